@@ -8,10 +8,15 @@ confirmed on the full sets. A pair at similarity 0.75 shares no band with probab
 (1 - 0.75**4)**32 = 5e-6, and falls short of SLACK with probability below 1e-9.
 
 Copies are folded first (same word sequence: one representative), so a group of copies costs one
-row. In a bucket, members are compared with the bucket's smallest member (round 1), components are
-formed, and only pairs that still lie in different components are compared (round 2): a large
-group of near copies costs rows in proportion to its size, yet no link between different
-components is lost.
+row. In a bucket, members are compared with its hub, the member that meets most others in all its
+buckets (round 1), and components are formed. Of the pairs that still lie in different components
+(round 2), one can only be a link if
+
+    100 * m >= 75 * (n_a + n_b - m),   m = min(h_a, h_b) + min(n_a - h_a - u_a, n_b - h_b - u_b)
+
+where n is the size of a set, h what it shares with the bucket's hub, and u counts its shingles that
+no other text of these buckets has: m is an exact bound of the intersection. So a large group of near copies costs rows in
+proportion to its size, yet no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -135,25 +140,43 @@ def estimate(a: str, b: str) -> F.Column:
     return (F.lit(1.0) - unequal / F.lit(float(BANDS * ROWS)) - F.lit(0.25)) / F.lit(0.75)
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes, last = WordHashes(), (None, None)
     for batch in batches:
-        keep = np.zeros(batch.num_rows, bool)
+        found = np.zeros((batch.num_rows, 3), np.int64)
         for i, (a, b) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
             a, b = a.as_py(), b.as_py()
             if a != last[0]:
                 last = (a, shingle_set(words_of(a), hashes))
             one, two = last[1], shingle_set(words_of(b), hashes)
-            common = len(np.intersect1d(one, two, assume_unique=True))
-            keep[i] = 100 * common >= THRESHOLD * (len(one) + len(two) - common)
-        yield batch.select([0, 1]).filter(pa.array(keep))
+            found[i] = len(one), len(two), len(np.intersect1d(one, two, assume_unique=True))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(3))], names=["a", "b", "n_a", "n_b", "common"])
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
+def overlaps(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b, common): sizes of the full shingle sets of pairs (a, b), and of their intersection."""
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(_overlap, "a long, b long, n_a long, n_b long, common long")
+
+
+def links_of(found: DataFrame) -> DataFrame:
+    return found.where(100 * F.col("common") >= THRESHOLD * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            found = shingle_set(words_of(text.as_py()), hashes).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), doc_id)), pa.array(found)], names=["doc_id", "h"])
+
+
+def own_shingles(texts: DataFrame) -> DataFrame:
+    """(doc_id, u): how many shingles of a text none of the other texts has; texts without such a shingle do not appear."""
+    rows = texts.select("doc_id", "text").mapInArrow(_shingles, "doc_id long, h long")
+    single = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
+    return single.groupBy("doc_id").agg(F.count("*").alias("u"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -167,38 +190,50 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialize(signatures(docs), "signatures")
     class_of = ["c1", "c2"]
-    reps = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*class_of).agg(F.min_by(F.struct("doc_id", "s0", "s1", "s2", "s3", "bands"), "doc_id").alias("r"))
+    reps = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*class_of).agg(F.min_by(F.struct("doc_id", "n_shingles", "s0", "s1", "s2", "s3", "bands"), "doc_id").alias("r"))
     reps = reps.select(*class_of, "r.*").withColumnRenamed("doc_id", "rep")
 
-    entries = reps.select("rep", F.explode("bands").alias("key"), "s0", "s1", "s2", "s3")
-    shared = entries.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("key", "first")
+    entries = reps.select("rep", F.explode("bands").alias("key"))
+    shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(entries.join(shared, "key"), "members")
+    met = members.groupBy("rep").agg(F.sum("n").alias("met"))
+    signs = reps.select("rep", "n_shingles", "s0", "s1", "s2", "s3").join(met, "rep")
+    hubs = members.join(met, "rep").groupBy("key").agg(F.max_by("rep", F.struct("met", -F.col("rep"))).alias("hub"))
+    members = materialize(members.join(hubs, "key").join(signs.drop("met"), "rep"), "members")
     ids = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = materialize(docs.join(small(ids, MAX_BROADCAST_IDS), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
 
-    signs = members.groupBy("rep").agg(*(F.first(f"s{k}").alias(f"s{k}") for k in range(4)))
-    stars = members.where("rep <> first").select("first", "rep").distinct()
-    stars = stars.alias("p").join(signs.alias("x"), F.col("p.rep") == F.col("x.rep")).join(signs.alias("y"), F.col("p.first") == F.col("y.rep"))
-    stars = stars.where(estimate("x", "y") >= SLACK).select(F.col("p.first").alias("a"), F.col("p.rep").alias("b"))
-    links = materialize(confirmed(stars, texts), "links")
+    stars = members.where("rep <> hub").select("hub", "rep").distinct()
+    stars = stars.alias("p").join(signs.alias("x"), F.col("p.rep") == F.col("x.rep")).join(signs.alias("y"), F.col("p.hub") == F.col("y.rep"))
+    stars = stars.where(estimate("x", "y") >= SLACK).select(F.col("p.hub").alias("a"), F.col("p.rep").alias("b"))
+    told = materialize(overlaps(stars, texts), "overlaps")
+    links = links_of(told)
 
     roots = connected_components(links)
     placed = members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    counts = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
-    mixed = counts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
+    counts = placed.groupBy("key", "root").agg(F.count("*").alias("n_root"))
+    mixed = counts.groupBy("key").agg(F.max_by("root", F.struct("n_root", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
     placed = materialize(placed.join(mixed, "key"), "placed")
+    alone = own_shingles(texts.join(placed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")).withColumnRenamed("doc_id", "rep")
+    placed = placed.join(alone, "rep", "left").withColumn("u", F.coalesce("u", F.lit(0))).where(100 * (F.col("n_shingles") - F.col("u")) >= THRESHOLD * F.col("n_shingles"))
+    at_hub = told.select(F.col("a").alias("hub"), F.col("b").alias("rep"), F.col("common").alias("h"))
+    placed = materialize(placed.join(at_hub, ["hub", "rep"], "left"), "placed")
     x, y = placed.where("root <> main").alias("x"), placed.alias("y")
+    n, u, h = (lambda t: F.col(f"{t}.n_shingles")), (lambda t: F.col(f"{t}.u")), (lambda t: F.col(f"{t}.h"))
+    inside = F.least(h("x"), h("y")) + F.least(n("x") - h("x") - u("x"), n("y") - h("y") - u("y"))
+    most = F.coalesce(F.when(h("x").isNotNull() & h("y").isNotNull(), inside), F.least(n("x") - u("x"), n("y") - u("y")))
     across = x.join(
         y,
         (F.col("x.key") == F.col("y.key"))
         & (F.col("x.root") != F.col("y.root"))
         & ((F.col("y.root") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
-        & (F.col("x.rep") != F.col("x.first"))
-        & (F.col("y.rep") != F.col("y.first"))
+        & (F.col("x.rep") != F.col("x.hub"))
+        & (F.col("y.rep") != F.col("y.hub"))
+        & (100 * most >= THRESHOLD * (n("x") + n("y") - most))
         & (estimate("x", "y") >= SLACK),
     )
     across = across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    links = links.union(confirmed(across, texts))
+    links = links.union(links_of(overlaps(across, texts)))
 
     roots = connected_components(links).withColumnRenamed("node", "rep")
     classes = reps.select(*class_of, "rep").join(roots, "rep", "left").select(*class_of, F.coalesce("root", "rep").alias("component"))
