@@ -23,7 +23,7 @@ _FIELDS = 0x0000000100000001
 
 
 def fingerprints(texts: DataFrame, keys: list[str], carried: list[str] | None = None) -> DataFrame:
-    """keys, carried columns (any one value of each) and fingerprint (long) for every combination of keys; texts has text too.
+    """keys, carried columns (any one value of each; numbers, so that the sums stay in a hash table) and fingerprint (long) for every combination of keys; texts has text too.
 
     Null, empty and blank texts get fingerprint 0; a bit whose votes are even is 0. Rows that agree on keys vote together.
     """
@@ -130,10 +130,12 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     placed = with_next(docs, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     own, other = F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("kind"), edited(F.col("text"), F.coalesce("next_text", "text")).alias("text"))
     kinds = placed.select("doc_id", F.coalesce("next_id", "doc_id").alias("next_id"), F.explode(F.array(own, other)).alias("t")).select("doc_id", "next_id", "t.kind", "t.text")
-    kinds = kinds.withColumn("n_chars", F.length("text").cast("long")).withColumn("sha", F.when(F.col("kind") == 1, F.sha2(F.encode("text", "UTF-8"), 256)))
-    found = materialize(fingerprints(kinds, ["doc_id", "kind"], ["next_id", "n_chars", "sha"]), "fingerprints")
+    digest = F.when(F.col("kind") == 1, F.sha2(F.encode("text", "UTF-8"), 256))
+    parts = [F.conv(F.substring("digest", 16 * k + 1, 16), 16, -10).cast("long").alias(f"sha{k}") for k in range(4)]
+    kinds = kinds.withColumn("n_chars", F.length("text").cast("long")).withColumn("digest", digest).select("doc_id", "kind", "next_id", "n_chars", "text", *parts)
+    found = materialize(fingerprints(kinds, ["doc_id", "kind"], ["next_id", "n_chars", "sha0", "sha1", "sha2", "sha3"]), "fingerprints")
     own = found.where("kind = 0").select("doc_id", "next_id", "n_chars", "fingerprint")
-    other = found.where("kind = 1").select("doc_id", F.col("sha").alias("edited_sha256"), F.col("fingerprint").alias("edited_fingerprint"))
+    other = found.where("kind = 1").select("doc_id", F.concat(*(hex16(F.col(f"sha{k}")) for k in range(4))).alias("edited_sha256"), F.col("fingerprint").alias("edited_fingerprint"))
     following = own.select(F.col("doc_id").alias("next_id"), F.col("fingerprint").alias("next_fingerprint"))
     near = within_radius(own.where("doc_id % 20 = 0"), own).groupBy("query").agg((F.count("*") - 1).alias("n_near"))
     rows = own.join(other, "doc_id").join(following, "next_id").join(near, F.col("fingerprint") == F.col("query"), "left")
