@@ -39,7 +39,7 @@ def _byte_of() -> dict[str, int]:
 
 
 def encoder(path: str):
-    """text -> ids of a byte-level BPE file, without special tokens: their strings in a text are ordinary text.
+    """text -> array of ids of a byte-level BPE file, without special tokens: their strings in a text are ordinary text.
 
     The file's vocabulary is read as ranks, which gives the ids of its merges several times faster.
     """
@@ -52,7 +52,8 @@ def encoder(path: str):
         special = {x["content"] for x in spec.get("added_tokens", [])}
         ranks = {bytes(byte[c] for c in token): k for token, k in spec["model"]["vocab"].items() if token not in special}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        _encoders[path] = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encoding = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        _encoders[path] = lambda text: encoding.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
     return _encoders[path]
 
 
@@ -84,16 +85,19 @@ def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def curve_key(ids: np.ndarray) -> int:
-    """Hilbert key (DIMENSIONS * LEVEL_BITS bits) of a document's ids."""
+def point(ids: np.ndarray) -> np.ndarray:
+    """A document's ids as a hashed signed vector of length 1, projected to DIMENSIONS."""
     if not len(ids):
-        return 0
+        return np.zeros(DIMENSIONS)
     at = ids.astype(np.int64) & 0xFFFF
     vector = np.bincount(_CELL[at], weights=_SIGN[at], minlength=HASHED)
-    vector /= max(np.linalg.norm(vector), 1e-9)
-    levels = 1 / (1 + np.exp(-1.702 * (vector @ _PROJECTION)))
-    point = np.minimum((levels * (1 << LEVEL_BITS)).astype(np.int64), (1 << LEVEL_BITS) - 1)
-    return int(hilbert_index(point[None], LEVEL_BITS)[0])
+    return vector @ _PROJECTION / max(np.sqrt(vector @ vector), 1e-9)
+
+
+def curve_keys(points: np.ndarray) -> np.ndarray:
+    """Hilbert keys (DIMENSIONS * LEVEL_BITS bits) of projected vectors (n, DIMENSIONS), whose numbers are near standard normal."""
+    levels = 1 / (1 + np.exp(-1.702 * points))
+    return hilbert_index(np.minimum((levels * (1 << LEVEL_BITS)).astype(np.int64), (1 << LEVEL_BITS) - 1), LEVEL_BITS)
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
@@ -102,14 +106,18 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         for batch in batches:
-            keys, lengths, blobs = [], [], []
-            for doc_id, text in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                text = text.as_py() or ""
-                ids = np.array([*encode(text.encode("utf-8", "replace").decode()), end_id], "<u4")
-                keys.append(curve_key(ids[:-1]) << 31 | crc32(b"%d" % (doc_id or 0)) >> 1)
-                lengths.append(len(ids))
-                blobs.append((b"2" + ids.astype("<u2").tobytes()) if ids.max() < 65536 else b"4" + ids.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(lengths, pa.int64()), pa.array(blobs, pa.binary())], names=["row", "doc_id", "key", "n_tokens", "ids"])
+            points, lengths, blobs = np.zeros((batch.num_rows, DIMENSIONS)), [], []
+            doc_ids = batch.column(1).to_pylist()
+            for i, text in enumerate(batch.column(2)):
+                ids = encode(text.as_py() or "")
+                points[i] = point(ids)
+                lengths.append(len(ids) + 1)
+                wide = max(end_id, int(ids.max()) if len(ids) else 0) > 65535
+                kind = "<u4" if wide else "<u2"
+                blobs.append(b"".join((b"4" if wide else b"2", ids.astype(kind).tobytes(), np.array(end_id, kind).tobytes())))
+            spread = np.array([crc32(b"%d" % (x or 0)) >> 1 for x in doc_ids], np.int64)
+            keys = curve_keys(points) << 31 | spread
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys), pa.array(lengths, pa.int64()), pa.array(blobs, pa.binary())], names=["row", "doc_id", "key", "n_tokens", "ids"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "row long, doc_id long, key long, n_tokens long, ids binary")
