@@ -5,7 +5,7 @@ over 64-bit shingle hashes. 32 bands of 4 whole minima give the candidates; of e
 the two low bits are kept, packed into four longs, and a candidate must reach a
 collision-corrected similarity of SLACK by bit counts before both texts are fetched and the link is
 confirmed on the full sets. A pair at similarity 0.75 shares no band with probability
-(1 - 0.75**4)**32 = 5e-6, and falls short of SLACK with probability below 1e-9.
+(1 - 0.75**4)**32 = 5e-6, and falls short of SLACK with probability below 1e-7.
 
 Copies are folded first (same word sequence: one representative), so a group of copies costs one
 row. In a bucket, members are compared with its hub, the member that meets most others in all its
@@ -33,7 +33,7 @@ from .common import materialize, small
 from .graph import connected_components
 
 SHINGLE, BANDS, ROWS = 5, 32, 4
-THRESHOLD, SLACK = 75, 0.45
+THRESHOLD, SLACK = 75, 0.5
 #: Documents whose ids may be broadcast to pick their texts (8 bytes each); beyond it the join is shuffled.
 MAX_BROADCAST_IDS = 2_000_000
 _MASK = (1 << 64) - 1
@@ -198,6 +198,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = materialize(entries.join(shared, "key"), "members")
     met = members.groupBy("rep").agg(F.sum("n").alias("met"))
     signs = reps.select("rep", "n_shingles", "s0", "s1", "s2", "s3").join(met, "rep")
+    bands = reps.select("rep", "bands")
     hubs = members.join(met, "rep").groupBy("key").agg(F.max_by("rep", F.struct("met", -F.col("rep"))).alias("hub"))
     members = materialize(members.join(hubs, "key").join(signs.drop("met"), "rep"), "members")
     ids = members.select(F.col("rep").alias("doc_id")).distinct()
@@ -216,6 +217,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = materialize(placed.join(mixed, "key"), "placed")
     alone = own_shingles(texts.join(placed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")).withColumnRenamed("doc_id", "rep")
     placed = placed.join(alone, "rep", "left").withColumn("u", F.coalesce("u", F.lit(0))).where(100 * (F.col("n_shingles") - F.col("u")) >= THRESHOLD * F.col("n_shingles"))
+    placed = placed.join(bands, "rep")
     at_hub = told.select(F.col("a").alias("hub"), F.col("b").alias("rep"), F.col("common").alias("h"))
     placed = materialize(placed.join(at_hub, ["hub", "rep"], "left"), "placed")
     x, y = placed.where("root <> main").alias("x"), placed.alias("y")
@@ -230,7 +232,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         & (F.col("x.rep") != F.col("x.hub"))
         & (F.col("y.rep") != F.col("y.hub"))
         & (100 * most >= THRESHOLD * (n("x") + n("y") - most))
-        & (estimate("x", "y") >= SLACK),
+        & (estimate("x", "y") >= SLACK)
+        # of the buckets that both share, the first one gives the pair
+        & (F.col("x.key") == F.array_min(F.array_intersect("x.bands", "y.bands"))),
     )
     across = across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     links = links.union(links_of(overlaps(across, texts)))
