@@ -450,7 +450,7 @@ def places_asked(spark, sf_dir) -> DataFrame:
     return minutes_of(spark, sf_dir).where("event_type <> 'purchase'").select("event_id", "chrom_id", "at")
 
 
-@query(f"WITH {_SITES} SELECT event_id, sid FROM q JOIN si ON q.user_id = si.user_id AND r BETWEEN mi - 2879 AND at")
+@query(f"WITH {_SITES} SELECT event_id, sid FROM q JOIN si ON q.user_id = si.user_id AND r BETWEEN mi - 2879 AND mi")
 def splice_range_left(spark, sf_dir):
     return intervals.sites_left(places_asked(spark, sf_dir), sites_of(spark, sf_dir), 2880).select("event_id", "sid")
 
