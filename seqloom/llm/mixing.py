@@ -70,8 +70,10 @@ def mix_epochs(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
     epochs = F.sequence(F.lit(0), F.lit(max_epochs - 1))
     finish = (F.col("_epoch") * F.col("source_size") + F.col("_upto") - F.col("size") / 2) / F.col("target")
     offers = summed.where("size > 0").select("row", "doc_id", "size", "source_size", "target", "place", "_upto", F.explode(epochs).alias("_epoch")).withColumn("_finish", finish)
-    # virtual time runs evenly with the words taken, so equal steps of it are equal buckets
-    offers = materialize(offers.select("row", "doc_id", "size", "place", "_epoch", "_finish", F.floor(F.least("_finish", F.lit(4.0)) * F.lit(_BUCKETS)).cast("int").alias("_bucket")), "offers")
+    # up to the cut virtual time runs evenly with the words taken, so equal steps of it are equal buckets; beyond it, equal ratios
+    late = F.lit(_BUCKETS) + F.log2(F.greatest("_finish", F.lit(1.0))) * F.lit(_BUCKETS / 4)
+    step = F.when(F.col("_finish") < 1, F.greatest("_finish", F.lit(0.0)) * F.lit(_BUCKETS)).otherwise(late)
+    offers = materialize(offers.select("row", "doc_id", "size", "place", "_epoch", "_finish", F.floor(step).cast("int").alias("_bucket")), "offers")
     queue = prefix_sums(offers, [], "_bucket", ["_finish", "place", "_epoch", "doc_id", "row"], "size", "_total").where(F.col("_total") - F.col("size") / 2 <= budget)
     taken = queue.groupBy("row").agg(F.count("*").alias("epochs"))
     rows = summed.join(taken, "row", "left").withColumn("epochs", F.coalesce("epochs", F.lit(0)).cast("int"))
