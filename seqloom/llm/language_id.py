@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .models import BUCKETS, WordScores, ngram_buckets, sampled, softmax, temperature
+from .models import BUCKETS, WordBuckets, WordScores, sampled, softmax, temperature
 
 SIZES = (2, 3, 4)
 MAX_ROWS, DIMENSIONS, EPOCHS, RATE = 2_000, 16, 4, 0.5
@@ -35,18 +35,14 @@ def words_of(text: str) -> list[bytes]:
 
 def _examples(texts: list[str], gold: list[int]) -> list[tuple[np.ndarray, int]]:
     """Subword buckets of each text's pieces of up to 40 words, and of short ones of 4."""
-    out, known = [], {}
+    out, known = [], WordBuckets(SIZES)
     for text, label in zip(texts, gold, strict=True):
         words = words_of(text)
+        known.learn(words)
         for at in range(0, len(words), 40):
             for piece in (words[at : at + 40], words[at : at + 4]) if at % 160 == 0 else ():
-                ids = []
-                for word in piece:
-                    if word not in known:
-                        known[word] = ngram_buckets(word, SIZES)
-                    ids += known[word]
-                if ids:
-                    out.append((np.array(ids), label))
+                if piece:
+                    out.append((np.concatenate([known[w] for w in piece]), label))
     return out
 
 

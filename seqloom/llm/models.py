@@ -14,14 +14,40 @@ BUCKETS = 1 << BUCKET_BITS
 CACHED_WORDS = 1 << 18
 
 
-def ngram_buckets(word: bytes, sizes: tuple[int, ...]) -> list[int]:
-    """Buckets of the byte n-grams of <word>, and of the word itself. A word of any length is used whole."""
-    marked = b"<" + word + b">"
-    n = len(marked)
-    out = [crc32(marked) & (BUCKETS - 1)]
-    for size in sizes:
-        out += [crc32(marked[i : i + size], size) & (BUCKETS - 1) for i in range(n - size + 1)]
-    return out
+def ngram_buckets(words: list[bytes], sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, word numbers) of the byte n-grams of <word>, and of the word itself, for all words at once."""
+    if not words:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    data = np.frombuffer(b"<" + b"><".join(words) + b">", np.uint8).astype(np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    word = np.repeat(np.arange(len(words)), lengths)
+    left = np.cumsum(lengths)[word] - np.arange(len(data))  # bytes from here to the end of the word
+    buckets, owners = [np.fromiter(map(crc32, words), np.int64, len(words)) & (BUCKETS - 1)], [np.arange(len(words))]
+    h = np.zeros(len(data), np.uint64)
+    for k in range(max(sizes)):
+        h = h * np.uint64(0x100000001B3)
+        h[: len(data) - k] += data[k:] + np.uint64(1)
+        if k + 1 in sizes:
+            whole = left > k
+            mixed = (h[whole] + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
+            buckets.append((mixed >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
+            owners.append(word[whole])
+    return np.concatenate(buckets), np.concatenate(owners)
+
+
+class WordBuckets(dict):
+    """word -> its buckets, for the words of a training sample."""
+
+    def __init__(self, sizes: tuple[int, ...]):
+        super().__init__()
+        self.sizes = sizes
+
+    def learn(self, words: list[bytes]) -> None:
+        new = [w for w in set(words) if w not in self]
+        buckets, owners = ngram_buckets(new, self.sizes)
+        order = np.argsort(owners, kind="stable")
+        for w, part in zip(new, np.split(buckets[order], np.cumsum(np.bincount(owners, minlength=len(new)))[:-1] if new else []), strict=False):
+            self[w] = part
 
 
 class WordScores:
@@ -32,25 +58,27 @@ class WordScores:
         self.rows = np.zeros((CACHED_WORDS, table.shape[1] + 1), np.float32)
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        """One row for each word, summed in blocks so that a long text needs little memory."""
+        """Sum of the rows of all words, taken in blocks so that a long text needs little memory."""
         total = np.zeros(self.rows.shape[1], np.float64)
-        for at in range(0, len(words), 100_000):
-            block = words[at : at + 100_000]
-            index = self.index
-            if len(index) + len(block) > CACHED_WORDS:
-                index.clear()
-            ids = np.empty(len(block), np.int64)
-            for i, word in enumerate(block):
-                k = index.get(word)
-                if k is None:
-                    k = index[word] = len(index)
-                    buckets = ngram_buckets(word, self.sizes)
-                    self.rows[k, :-1] = self.table[buckets].sum(axis=0)
-                    self.rows[k, -1] = len(buckets)
-                ids[i] = k
-            total += self.rows[ids].sum(axis=0, dtype=np.float64)
+        for at in range(0, len(words), 50_000):
+            total += self._block(words[at : at + 50_000])
         return total
 
+    def _block(self, block: list[bytes]) -> np.ndarray:
+        index = self.index
+        if len(index) + len(block) > CACHED_WORDS:
+            index.clear()
+        new = [w for w in dict.fromkeys(block) if w not in index]
+        if new:
+            at = len(index)
+            index.update(zip(new, range(at, at + len(new)), strict=True))
+            buckets, owners = ngram_buckets(new, self.sizes)
+            for c in range(self.table.shape[1]):
+                self.rows[at : at + len(new), c] = np.bincount(owners, weights=self.table[buckets, c], minlength=len(new))
+            self.rows[at : at + len(new), -1] = np.bincount(owners, minlength=len(new))
+        ids = np.fromiter(map(index.__getitem__, block), np.int64, len(block))
+        return self.rows[ids].sum(axis=0, dtype=np.float64)
+
 
 def sampled(rows: DataFrame, key: Column, at_most: int, seed: int) -> DataFrame:
     """About at_most rows of rows (all, if there are fewer), picked by the hash of key; never more than at_most."""

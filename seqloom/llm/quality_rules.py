@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh64_intdigest
 
-from .models import BUCKETS, WordScores, ngram_buckets, sampled
+from .models import BUCKETS, WordBuckets, WordScores, sampled
 
 SIZES = (3, 4, 5)
 MAX_ROWS, EPOCHS, RATE, SCALE = 3_000, 12, 0.05, 40.0
@@ -31,8 +32,6 @@ class WordIds(dict):
     """word -> 64-bit number for pairs; kept for words seen lately."""
 
     def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
-
         if len(self) > 500_000:
             self.clear()
         self[word] = value = xxh64_intdigest(word)
@@ -77,15 +76,11 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
     return n_words < MIN_WORDS or 100 * n_repeat_words > MAX_REPEAT * n_words
 
 
-def _features(text: str, ids: WordIds, known: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _features(text: str, ids: WordIds, known: WordBuckets) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Buckets and mean weights of the n-grams, and of the pairs."""
     words, h, _ = counts(text, ids)
-    grams: list[int] = []
-    for word in words:
-        if word not in known:
-            known[word] = ngram_buckets(word, SIZES)
-        grams += known[word]
-    a, n = np.unique(np.array(grams, int), return_counts=True)
+    known.learn(words)
+    a, n = np.unique(np.concatenate([known[w] for w in words]) if words else np.empty(0, int), return_counts=True)
     b, m = np.unique(pair_buckets(h), return_counts=True) if len(h) > 1 else (np.empty(0, int), np.empty(0, int))
     return a, SCALE * n / max(1, n.sum()), b, SCALE * m / max(1, m.sum())
 
@@ -97,7 +92,7 @@ def train(rows: list[tuple[str, int]], seed: int = 5, epochs: int = EPOCHS, rate
     w, v, bias = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0
     if len(set(gold.tolist())) < 2:
         return {"words": w.astype(np.float32), "pairs": v.astype(np.float32), "bias": 0.0, "scale": 0.0, "shift": 8.0 if not len(gold) or gold[0] else -8.0}
-    ids, known = WordIds(), {}
+    ids, known = WordIds(), WordBuckets(SIZES)
     x = [_features(t, ids, known) for t, _ in rows]
     held = rng.random(len(rows)) < 0.25
     gw, gv, gb = np.full(BUCKETS, 1e-6), np.full(BUCKETS, 1e-6), 1e-6
