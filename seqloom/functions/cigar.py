@@ -12,8 +12,10 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EDIT = "struct<pos:int,type:string,ref:string,read:string,length:int,snp:string>"
+EDIT_TYPE = T.StructType([T.StructField(n, T.IntegerType() if n in ("pos", "length") else T.StringType()) for n in ("pos", "type", "ref", "read", "length", "snp")])
 
 
 def cigar_ops(cigar: Column) -> Column:
@@ -177,21 +179,21 @@ def _rows(edits) -> list:
     return [] if edits is None else [dict(e) if isinstance(e, dict) else e.asDict() for e in edits]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def cigar_of(length: pd.Series, edits: pd.Series, left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([build_cigar(int(n), _rows(e), int(a), int(b)) for n, e, a, b in zip(length, edits, left, right, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def md_of(length: pd.Series, edits: pd.Series) -> pd.Series:
     return pd.Series([build_md(int(n), _rows(e)) for n, e in zip(length, edits, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def reference_of(read: pd.Series, edits: pd.Series) -> pd.Series:
     return pd.Series([reference_side(r, _rows(e)) for r, e in zip(read, edits, strict=True)])
 
 
-@F.pandas_udf(f"array<{EDIT}>")
+@F.pandas_udf(T.ArrayType(EDIT_TYPE))
 def left_aligned(read: pd.Series, edits: pd.Series) -> pd.Series:
     return pd.Series([left_align(r, _rows(e)) for r, e in zip(read, edits, strict=True)])

@@ -46,9 +46,9 @@ def containment_join(left: DataFrame, right: DataFrame, keys: list[str], width:
 
 def contained(left: DataFrame, right: DataFrame, keys: list[str], width: int = 16384) -> DataFrame:
     """Rows of left that lie inside an interval of right (each once)."""
-    named = left.withColumn("_id", F.monotonically_increasing_id())
-    found = containment_join(named, right.select(*keys, "r_start", "r_end").distinct(), keys, width).select("_id").distinct()
-    return named.join(found, "_id", "left_semi").drop("_id")
+    named = left.withColumn("_cid", F.monotonically_increasing_id())
+    found = containment_join(named, right.select(*keys, "r_start", "r_end").distinct(), keys, width).select("_cid").distinct()
+    return named.join(found, "_cid", "left_semi").drop("_cid")
 
 
 def sites_left(queries: DataFrame, sites: DataFrame, reach: int) -> DataFrame:

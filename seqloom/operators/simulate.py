@@ -107,7 +107,7 @@ def simulate(transcripts: DataFrame, n: int, read_length: int = 100, fragment: i
             yield pd.DataFrame(out, columns=["name", "mate", "chrom", "pos", "fw", "aligned", "cigar", "md", "edits", "transcript"])
 
     made = transcripts.mapInPandas(run, f"name string, mate int, chrom string, pos long, fw boolean, aligned string, cigar string, md string, edits array<{edit}>, transcript string")
-    return made.withColumn("seq", F.when(F.col("fw"), F.col("aligned")).otherwise(reverse_complement("aligned"))).withColumn("rdid", F.xxhash64("name"))
+    return made.withColumn("seq", F.when(F.col("fw"), F.col("aligned")).otherwise(reverse_complement("aligned"))).withColumn("rdid", F.shiftrightunsigned(F.xxhash64("name"), 1))
 
 
 def expected_reference(read: str, cigar: str, md: str) -> str:
