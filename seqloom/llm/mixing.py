@@ -47,7 +47,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
 
 
 def mix_epochs(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """doc_id, size, source_size, target, taken and epochs for every row of docs (doc_id, text, source; other columns are not read).
+    """doc_id, size, source_size, target, taken, epochs and same (a hash of all columns of the row) for every row of docs (doc_id, text, source).
 
     size is the text's number of words (null: 0); taken = epochs * size, epochs at most max_epochs.
     Null sources form one source. Rows without words are taken with 0 words (epochs 0). Repeated rows and null doc_ids are offered
@@ -55,6 +55,7 @@ def mix_epochs(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
     """
     slim = docs.select(
         F.monotonically_increasing_id().alias("row"),
+        F.xxhash64(*docs.columns).alias("same"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -63,7 +64,7 @@ def mix_epochs(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
     targets = materialize(source_targets(slim, weights, max_epochs), "targets")
     budget = targets.agg(F.sum("source_size")).first()[0] or 0
     order = F.conv(F.substring(F.md5(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")), 1, 8), 16, 10).cast("long")
-    known = slim.join(targets, slim["source"].eqNullSafe(targets["source"])).select("row", "doc_id", "size", "source_size", "place", "target", order.alias("_order"))
+    known = slim.join(targets, slim["source"].eqNullSafe(targets["source"])).select("row", "same", "doc_id", "size", "source_size", "place", "target", order.alias("_order"))
     known = known.withColumn("_bucket", F.shiftright("_order", 20).cast("int"))
     summed = prefix_sums(known, ["place"], "_bucket", ["_order", "doc_id", "row"], "size", "_upto")
 
@@ -77,12 +78,13 @@ def mix_epochs(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
     queue = prefix_sums(offers, [], "_bucket", ["_finish", "place", "_epoch", "doc_id", "row"], "size", "_total").where(F.col("_total") - F.col("size") / 2 <= budget)
     taken = queue.groupBy("row").agg(F.count("*").alias("epochs"))
     rows = summed.join(taken, "row", "left").withColumn("epochs", F.coalesce("epochs", F.lit(0)).cast("int"))
-    return rows.select("row", "doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size")).alias("taken"), "epochs")
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size")).alias("taken"), "epochs", "same")
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """The rows of docs, each as often as the mix takes it (a row without words never)."""
-    told = mix_epochs(docs, weights, max_epochs).where("epochs > 0").select("row", "epochs")
-    names = docs.columns
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    return rows.join(told, F.col("_row") == F.col("row")).withColumn("_copy", F.explode(F.sequence(F.lit(1), "epochs"))).select(*(docs[c] for c in names))
+    told = mix_epochs(docs, weights, max_epochs).where("epochs > 0").groupBy(F.col("same").alias("_same")).agg(F.sum("epochs").alias("_epochs"))
+    # rows that agree in all columns are one row that is taken as often as all of them
+    rows = docs.withColumn("_hash", F.xxhash64(*docs.columns)).dropDuplicates(["_hash"])
+    taken = rows.join(told, F.col("_hash") == F.col("_same")).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_epochs"))))
+    return taken.select(*docs.columns)

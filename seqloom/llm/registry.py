@@ -61,7 +61,7 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_epochs(table(spark, sf_dir, "documents")).drop("row", "epochs")
+    return mixing.mix_epochs(table(spark, sf_dir, "documents")).drop("epochs", "same")
 
 
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
