@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .models import BUCKETS, WordBuckets, WordScores, sampled, softmax, temperature
+from .models import BUCKETS, WordScores, ngram_buckets, sampled, softmax, temperature
 
 SIZES = (2, 3, 4)
-MAX_ROWS, DIMENSIONS, EPOCHS, RATE = 2_000, 16, 4, 0.5
+MAX_ROWS, DIMENSIONS, EPOCHS, RATE = 1_500, 16, 4, 0.5
+#: Gradient steps at least, by further epochs where the sample is small.
+MIN_STEPS = 15_000
 #: Calibrated probability under which a text is rejected.
 REJECT_BELOW = 0.5
 UNKNOWN = "und"
@@ -35,14 +37,13 @@ def words_of(text: str) -> list[bytes]:
 
 def _examples(texts: list[str], gold: list[int]) -> list[tuple[np.ndarray, int]]:
     """Subword buckets of each text's pieces of up to 40 words, and of short ones of 4."""
-    out, known = [], WordBuckets(SIZES)
+    out = []
     for text, label in zip(texts, gold, strict=True):
         words = words_of(text)
-        known.learn(words)
         for at in range(0, len(words), 40):
             for piece in (words[at : at + 40], words[at : at + 4]) if at % 160 == 0 else ():
                 if piece:
-                    out.append((np.concatenate([known[w] for w in piece]), label))
+                    out.append((ngram_buckets(piece, SIZES)[0].astype(np.int32), label))
     return out
 
 
@@ -56,8 +57,9 @@ def train(rows: list[tuple[str, str]], seed: int = 11, dimensions: int = DIMENSI
     held = rng.random(len(rows)) < 0.2
     fit = _examples([t for (t, _), h in zip(rows, held, strict=True) if not h], [code[x] for (_, x), h in zip(rows, held, strict=True) if not h])
     check = _examples([t for (t, _), h in zip(rows, held, strict=True) if h], [code[x] for (_, x), h in zip(rows, held, strict=True) if h])
-    embedding = (rng.random((BUCKETS, dimensions)) - 0.5) / dimensions
+    embedding = (rng.random((BUCKETS, dimensions), np.float32) - np.float32(0.5)) / np.float32(dimensions)
     weights = np.zeros((dimensions, len(langs)))
+    epochs = max(epochs, -(-MIN_STEPS // max(1, len(fit)))) if fit else 0
     step, steps = 0, max(1, epochs * len(fit))
     for _ in range(epochs):
         for k in rng.permutation(len(fit)):

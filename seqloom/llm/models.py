@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 #: Words whose scores a worker keeps at a time.
-CACHED_WORDS = 1 << 18
+CACHED_WORDS = 1 << 17
 
 
 def ngram_buckets(words: list[bytes], sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -35,21 +35,6 @@ def ngram_buckets(words: list[bytes], sizes: tuple[int, ...]) -> tuple[np.ndarra
     return np.concatenate(buckets), np.concatenate(owners)
 
 
-class WordBuckets(dict):
-    """word -> its buckets, for the words of a training sample."""
-
-    def __init__(self, sizes: tuple[int, ...]):
-        super().__init__()
-        self.sizes = sizes
-
-    def learn(self, words: list[bytes]) -> None:
-        new = [w for w in set(words) if w not in self]
-        buckets, owners = ngram_buckets(new, self.sizes)
-        order = np.argsort(owners, kind="stable")
-        for w, part in zip(new, np.split(buckets[order], np.cumsum(np.bincount(owners, minlength=len(new)))[:-1] if new else []), strict=False):
-            self[w] = part
-
-
 class WordScores:
     """Sums of table rows over a word's n-grams, with the number of n-grams last; kept for words seen lately."""
 

@@ -51,7 +51,7 @@ class WordHashes(dict):
     """word -> 64-bit hash, kept for words seen lately."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word)
         return value

@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .models import BUCKETS, WordBuckets, WordScores, sampled
+from .models import BUCKETS, WordScores, ngram_buckets, sampled
 
 SIZES = (3, 4, 5)
-MAX_ROWS, EPOCHS, RATE, SCALE = 3_000, 12, 0.05, 40.0
+MAX_ROWS, EPOCHS, RATE, SCALE = 2_000, 12, 0.05, 40.0
 #: Fixed thresholds: fewest words, largest share of repeated words in percent, and the probability of good quality under which a text is rejected.
 MIN_WORDS, MAX_REPEAT, KEEP_FROM = 50, 50, 0.5
 _SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -32,7 +32,7 @@ class WordIds(dict):
     """word -> 64-bit number for pairs; kept for words seen lately."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = value = xxh64_intdigest(word)
         return value
@@ -76,13 +76,13 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
     return n_words < MIN_WORDS or 100 * n_repeat_words > MAX_REPEAT * n_words
 
 
-def _features(text: str, ids: WordIds, known: WordBuckets) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _features(text: str, ids: WordIds) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Buckets and mean weights of the n-grams, and of the pairs."""
     words, h, _ = counts(text, ids)
-    known.learn(words)
-    a, n = np.unique(np.concatenate([known[w] for w in words]) if words else np.empty(0, int), return_counts=True)
+    a, n = np.unique(np.concatenate([ngram_buckets(words[k : k + 50_000], SIZES)[0] for k in range(0, max(1, len(words)), 50_000)]), return_counts=True)
     b, m = np.unique(pair_buckets(h), return_counts=True) if len(h) > 1 else (np.empty(0, int), np.empty(0, int))
-    return a, SCALE * n / max(1, n.sum()), b, SCALE * m / max(1, m.sum())
+    share = lambda x: (SCALE * x / max(1, x.sum())).astype(np.float32)
+    return a.astype(np.int32), share(n), b.astype(np.int32), share(m)
 
 
 def train(rows: list[tuple[str, int]], seed: int = 5, epochs: int = EPOCHS, rate: float = RATE) -> dict:
@@ -92,8 +92,8 @@ def train(rows: list[tuple[str, int]], seed: int = 5, epochs: int = EPOCHS, rate
     w, v, bias = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0
     if len(set(gold.tolist())) < 2:
         return {"words": w.astype(np.float32), "pairs": v.astype(np.float32), "bias": 0.0, "scale": 0.0, "shift": 8.0 if not len(gold) or gold[0] else -8.0}
-    ids, known = WordIds(), WordBuckets(SIZES)
-    x = [_features(t, ids, known) for t, _ in rows]
+    ids = WordIds()
+    x = [_features(t, ids) for t, _ in rows]
     held = rng.random(len(rows)) < 0.25
     gw, gv, gb = np.full(BUCKETS, 1e-6), np.full(BUCKETS, 1e-6), 1e-6
     balance = {1.0: 0.5 / gold.mean(), 0.0: 0.5 / (1 - gold.mean())}
