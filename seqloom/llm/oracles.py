@@ -1,3 +1,83 @@
-"""DuckDB SQL for the contract queries that SQL can express."""
+"""DuckDB SQL for the contract queries that SQL can express.
 
-SQL: dict[str, str] = {}
+The others rest on a trained model (op1, op4, op5), a tokenizer (op6) or hashes that DuckDB lacks
+(op7, op10); tests/llm holds them against brute-force versions.
+"""
+
+from __future__ import annotations
+
+from . import licenses, mixing
+from .common import LOWER, UPPER
+from .registry import URL_RULES
+
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _lower(c: str) -> str:
+    return f"translate({c}, '{UPPER}', '{LOWER}')"
+
+
+def _values(rows: list[tuple]) -> str:
+    cell = lambda v: str(v).lower() if isinstance(v, (bool, int)) else "'" + v.replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows)
+
+
+URLS = f"""
+WITH r(action, rule, rhost, rpath) AS (VALUES {_values([(a, x, x.partition('/')[0], '/' + x.partition('/')[2]) for a, x in URL_RULES])}),
+u AS (SELECT page_id, row_number() OVER () AS row, CASE WHEN strpos(url, '://') > 0 THEN substring(url, strpos(url, '://') + 3) END AS rest FROM pages),
+h AS (SELECT page_id, row, coalesce({_lower("regexp_extract(rest, '^[^/?#]*')")}, '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+m AS (SELECT row, arg_max(rule, (length(rule), length(rhost))) AS rule, arg_max(action, (length(rule), length(rhost))) AS action
+      FROM h JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY row)
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM h LEFT JOIN m USING (row)
+"""
+
+NEAR = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_lower("text")}, '{_WORD}') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+      ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c(doc, reach) AS (SELECT a, b FROM e UNION SELECT c.doc, e.b FROM c JOIN e ON c.reach = e.a),
+g AS (SELECT doc, min(reach) AS low FROM c GROUP BY doc)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id, least(d.doc_id, coalesce(low, d.doc_id)) = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN g ON g.doc = d.doc_id
+"""
+
+_W = ", ".join(f"{float(w)}::DOUBLE" for w in mixing.WEIGHTS)
+MIX = f"""
+WITH z AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORD}')), 0) AS size FROM documents),
+per AS (SELECT source, sum(size)::BIGINT AS source_size FROM z GROUP BY source),
+k AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1 AS place FROM per),
+q AS (SELECT *, [{_W}][place % {len(mixing.WEIGHTS)} + 1] AS weight, source_size * {float(mixing.MAX_EPOCHS)}::DOUBLE AS cap FROM k),
+f AS (SELECT *, cap / weight AS fill FROM q),
+v AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS level FROM f WINDOW o AS (ORDER BY fill, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b AS (SELECT min_by(level, (fill, place)) AS level FROM v WHERE fill >= level),
+t AS (SELECT source, source_size, place, CASE WHEN fill < v.level THEN cap ELSE least(cap, weight * b.level) END AS target FROM v CROSS JOIN b),
+a AS (SELECT z.doc_id, z.size, source_size, place, target, sum(z.size) OVER (PARTITION BY place ORDER BY substring(md5(CAST(doc_id AS VARCHAR)), 1, 8), doc_id) AS upto FROM z JOIN t ON z.source IS NOT DISTINCT FROM t.source),
+o AS (SELECT *, (epoch * source_size + upto - size / 2) / target AS finish FROM (SELECT *, unnest(range(0, {mixing.MAX_EPOCHS})) AS epoch FROM a WHERE size > 0)),
+s AS (SELECT doc_id, sum(size) OVER (ORDER BY finish, place, epoch, doc_id) - size / 2 <= (SELECT sum(source_size) FROM per) AS inside FROM o),
+n AS (SELECT doc_id, count(*) FILTER (inside) AS epochs FROM s GROUP BY doc_id)
+SELECT a.doc_id, a.size::BIGINT AS size, source_size, target, (coalesce(epochs, 0) * a.size)::BIGINT AS taken FROM a LEFT JOIN n USING (doc_id)
+"""
+
+_TEMPLATES = [(k, label, base, phrase) for k, (phrase, label, base) in enumerate([*((*x, True) for x in licenses.BASE), *((*x, False) for x in licenses.TEMPLATES)])]
+LICENSES = rf"""
+WITH ph(tid, label, base, phrase) AS (VALUES {_values(_TEMPLATES)}),
+pw AS (SELECT *, string_split(phrase, ' ') AS w FROM ph),
+tp AS (SELECT tid, label, base, len(w) - 1 AS n_pairs, t AS tpos, w[t + 1] AS a, w[t + 2] AS b FROM (SELECT *, unnest(range(0, len(w) - 1)) AS t FROM pw)),
+d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_lower("coalesce(text, '')")}, '{licenses.TOKEN}') AS w FROM documents),
+g AS (SELECT row, p AS pos, w[p + 1] AS a, w[p + 2] AS b FROM (SELECT row, w, unnest(range(0, len(w) - 1)) AS p FROM d)),
+v AS (SELECT row, tid, label, base, n_pairs, pos - tpos AS diagonal, count(*) AS votes, min(pos) AS first, max(pos) AS last FROM g JOIN tp USING (a, b) GROUP BY ALL),
+m AS (SELECT *, CASE WHEN base OR diagonal - lag(diagonal) OVER o > {licenses.SHIFT} OR first - lag(last) OVER o > {licenses.SHIFT} + 1 OR lag(first) OVER o IS NULL THEN 1 ELSE 0 END AS fresh FROM v WINDOW o AS (PARTITION BY row, tid ORDER BY diagonal)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY row, tid ORDER BY diagonal) AS span FROM m),
+c AS (SELECT row, label, base, min(first) AS first_word, least(sum(votes) / max(n_pairs), 1.0) AS coverage FROM s GROUP BY row, tid, label, base, span),
+k AS (SELECT row, count(*) FILTER (base AND coverage >= 1) AS n_base, min(first_word) FILTER (base AND coverage >= 1) AS first_word, max(first_word) FILTER (base AND coverage >= 1) AS last_word,
+      string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND coverage >= 1) AS base_labels,
+      string_agg(DISTINCT label, ',' ORDER BY label) FILTER ((base AND coverage >= 1) OR (NOT base AND coverage >= {licenses.COVERAGE})) AS labels,
+      max(coverage) FILTER ((base AND coverage >= 1) OR (NOT base AND coverage >= {licenses.COVERAGE})) AS score FROM c GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score FROM d LEFT JOIN k USING (row)
+"""
+
+SQL: dict[str, str] = {"op2_url_filters": URLS, "op3_minhash_near_dedup": NEAR, "op8_mixing": MIX, "op9_license_scans": LICENSES}

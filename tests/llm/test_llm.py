@@ -602,3 +602,11 @@ def test_registered(spark):
 
     got = __spark_entry__.queries()
     assert {f"op{k}_" for k in range(1, 11)} == {n.split("_")[0] + "_" for n in got if n.startswith("op")} and "pipeline" in got
+
+
+@pytest.mark.parametrize("name", ["op2_url_filters", "op3_minhash_near_dedup", "op8_mixing", "op9_license_scans"])
+def test_sql(spark, name):
+    from compare import connect, same
+
+    sf = "/root/testdata/sf0.001"
+    same(registry.queries()[name](spark, sf), connect(sf).sql(registry.oracle_sql()[name]))
