@@ -270,3 +270,26 @@ def test_session(spark, tmp_path):
     ix.close()
     with pytest.raises(ValueError):
         ix.reference_names()
+
+
+def test_known_variants_are_free(spark):
+    from seqloom.operators import variants
+
+    s = bases(81, 300)
+    other = next(b for b in "ACGT" if b != s[100])
+    read = s[80:100] + other + s[101:130] + s[131:160]
+    ref = spark.createDataFrame([("c0", 0, s)], "chrom string, chrom_id long, seq string")
+    rd = spark.createDataFrame([(0, 0, "r", read, "I" * len(read), None)], "rdid long, mate int, name string, seq string, qual string, filter string")
+    o = Options(kmer=14, spliced=False)
+    alns = align.align(rd, ref, index.kmer_index(ref, 14), o).drop("qual")
+    v = spark.createDataFrame([(0, "rs1", "single", 100, other), (0, "rs2", "single", 100, "N"), (0, "rs3", "insertion", 90, "A")], "chrom_id long, id string, type string, pos long, data string")
+    before = alns.first()
+    marked = variants.apply_known(alns, v)
+    after = marked.first()
+    assert after.score == before.score + 6
+    assert [e.snp for e in after.edits if e.type == "mm"] == ["rs1"]
+    out = align.report(rd, marked, ref, o).first()
+    assert "Zs:Z:20|S|rs1" in out.tags and "XM:i:0" in out.tags
+    h = spark.createDataFrame([("h1", 0, 95, 105, ["rs1"]), ("h2", 0, 200, 210, ["x"])], "hid string, chrom_id long, left long, right long, alts array<string>")
+    assert told(variants.haplotypes_over(alns.select("chrom_id", "pos", "end"), h), "hid") == [("h1",)]
+    assert variants.edit_score([{"pos": 0, "type": "del", "ref": "AC", "length": 2, "snp": None}, {"pos": 1, "type": "ins", "read": "A", "length": 1, "snp": "x"}]) == -11
