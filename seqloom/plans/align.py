@@ -14,10 +14,13 @@ from ..functions.config import Options
 from ..functions.sam import counted_edits, filter_tag, flag, known_variant_tag, pair_class_tag, strand_tag, template_length
 from ..functions.scoring import composite_score
 from ..functions.seq import clean_name, read_seed, reverse_complement, trim, window_rows
+from ..operators.evaluate import is_canonical
 from ..operators.filters import filtered, sample, skip_upto, strands
+from ..operators.index import variant_windows
 from ..operators.kernels import align_candidates, combine_candidates
 from ..operators.pairing import concordant_pairs
 from ..operators.ranking import best_and_second, category, distinct_alignments, mapq, seed_cap, top_k
+from ..operators.variants import apply_known
 from ..sources.sinks import tags
 
 #: Index rows that may be broadcast (about 60 bytes each); larger indexes are joined by shuffle.
@@ -70,8 +73,8 @@ def candidates(parts: DataFrame, o: Options = Options()) -> DataFrame:
     return seed_cap(best.withColumn("pos", F.col("diagonal")), ["rdid", "mate"], o.seeds).drop("pos")
 
 
-def extend_candidates(cands: DataFrame, stranded: DataFrame, ref: DataFrame, o: Options = Options(), slack: int = 12) -> DataFrame:
-    """Gapped alignment of each candidate in its reference window: (rdid, mate, fw, chrom_id, pos, score, cigar, md, edits, left_clip, len)."""
+def extend_candidates(cands: DataFrame, stranded: DataFrame, ref: DataFrame, o: Options = Options(), slack: int = 12, every: bool = False) -> DataFrame:
+    """Gapped alignment of each candidate in its reference window: (rdid, mate, fw, chrom_id, pos, score, cigar, md, edits, len, splice_strand); every: those under the least score, too."""
     j = cands.join(stranded.select("rdid", "mate", "fw", F.col("s").alias("read"), F.col("q").alias("qual")), ["rdid", "mate", "fw"])
     j = j.join(bounded(ref.select("chrom_id", "seq"), 10_000) if ref.count() <= 10_000 else ref.select("chrom_id", "seq"), "chrom_id")
     start = F.greatest(F.col("diagonal") - slack, F.lit(0))
@@ -79,7 +82,7 @@ def extend_candidates(cands: DataFrame, stranded: DataFrame, ref: DataFrame, o:
     done = align_candidates(j.select("rdid", "mate", "fw", "chrom_id", "start", "read", "qual", "window"), o.scoring)
     n = F.length("read")
     least = o.scoring.min_score.whole(n)
-    placed = done.where(F.col("score") >= least).withColumn("pos", F.col("start") + F.col("ref_start"))
+    placed = (done if every else done.where(F.col("score") >= least)).withColumn("pos", F.col("start") + F.col("ref_start"))
     return placed.select("rdid", "mate", "fw", "chrom_id", "pos", "score", cigar_of(n, "edits", F.lit(0), F.lit(0)).alias("cigar"), md_of(n, "edits").alias("md"), "edits", n.alias("len"), F.lit(None).cast("string").alias("splice_strand"))
 
 
@@ -99,21 +102,50 @@ def spliced_candidates(parts: DataFrame, stranded: DataFrame, ref: DataFrame, o:
     return good.select("rdid", "mate", "fw", "chrom_id", "pos", F.col("join_score").alias("score"), cigar_of(F.length("read"), "edits", F.lit(0), F.lit(0)).alias("cigar"), md_of(F.length("read"), "edits").alias("md"), "edits", F.length("read").alias("len"), F.col("strand").alias("splice_strand"))
 
 
-def align(reads: DataFrame, ref: DataFrame, index: DataFrame, o: Options = Options()) -> DataFrame:
-    """All alignments that reach the least score: (rdid, mate, chrom_id, pos, end, fw, score, cigar, md, edits, len, splice_strand)."""
+def align(reads: DataFrame, ref: DataFrame, index: DataFrame, o: Options = Options(), variants: DataFrame | None = None) -> DataFrame:
+    """All alignments that reach the least score: (rdid, mate, chrom_id, pos, end, fw, score, cigar, md, edits, len, splice_strand).
+
+    With variants (chrom_id, id, type, pos, data), k-mers that cross up to max_alternatives
+    combinations of them are seeds, too, and edits that are known variants cost nothing.
+    """
+    from ..functions.cigar import cigar_end
+
     ready = prepare(reads, o).where("yf is null")
     both = strands(ready, o.nofw, o.norc, o.policy)
     stranded = both.select("rdid", "mate", "fw", F.when(F.col("fw"), F.col("seq")).otherwise(reverse_complement("seq")).alias("s"), F.when(F.col("fw"), F.col("qual")).otherwise(F.reverse("qual")).alias("q"))
-    parts = partial_hits(seed_hits(stranded, index, o.kmer), o.kmer)
-    found = extend_candidates(candidates(parts, o), stranded, ref, o)
+    seeds = index.select("kmer", "chrom_id", "pos")
+    if variants is not None:
+        seeds = seeds.unionByName(variant_windows(ref, variants, o.kmer, o.max_alternatives).select("kmer", "chrom_id", "pos")).distinct()
+    parts = partial_hits(seed_hits(stranded, seeds, o.kmer), o.kmer)
+    found = extend_candidates(candidates(parts, o), stranded, ref, o, every=variants is not None)
     if o.spliced:
         found = found.unionByName(spliced_candidates(parts, stranded, ref, o))
-    from ..functions.cigar import cigar_end
-
     placed = found.withColumn("end", cigar_end(F.col("pos"), F.col("cigar")))
+    if variants is not None:
+        placed = apply_known(placed, variants, o.scoring).where(F.col("score") >= o.scoring.min_score.whole(F.col("len")))
     return distinct_alignments(placed, ["rdid", "mate"])
 
 
+def junction_uses(alns: DataFrame, ref: DataFrame) -> DataFrame:
+    """(rdid, chrom_id, left, right, fw, left_anchor, right_anchor, mismatches, canonical) of the introns of alignments, as operators.metrics.site_support takes them.
+
+    An anchor is what the read has between this intron and the next one or its end.
+    """
+    spliced = alns.where(F.exists("edits", lambda e: e["type"] == "spl"))
+    width = lambda e: F.when(e["type"].isin("del", "spl"), e["length"]).when(e["type"] == "ins", -e["length"]).otherwise(0)
+    introns = F.filter("edits", lambda e: e["type"] == "spl")
+    rows = spliced.select("rdid", "chrom_id", "pos", "len", "edits", "splice_strand", introns.alias("_i"), F.posexplode(introns).alias("_k", "_e"))
+    before = F.coalesce(F.try_element_at("_i", F.when(F.col("_k") > 0, F.col("_k")).otherwise(F.size("_i") + 1))["pos"], F.lit(0))
+    after = F.coalesce(F.try_element_at("_i", F.col("_k") + 2)["pos"], F.col("len"))
+    here = F.col("_e.pos")
+    shift = F.aggregate(F.filter("edits", lambda e: e["pos"] < here), F.lit(0), lambda a, e: a + width(e))
+    left = F.col("pos") + here + shift - 1
+    mm = F.size(F.filter("edits", lambda e: (e["type"] != "spl") & e["snp"].isNull()))
+    out = rows.select("rdid", "chrom_id", left.cast("long").alias("left"), (left + F.col("_e.length") + 1).cast("long").alias("right"), (F.col("splice_strand") == "+").alias("fw"), (here - before).alias("left_anchor"), (after - here).alias("right_anchor"), mm.alias("mismatches"))
+    at = out.join(ref.select("chrom_id", "seq"), "chrom_id")
+    return at.withColumn("canonical", is_canonical(F.col("seq"), F.col("left"), F.col("right"))).drop("seq")
+
+
 def report(reads: DataFrame, alns: DataFrame, ref: DataFrame, o: Options = Options()) -> DataFrame:
     """Records: for each read its reported alignments, or one unmapped record.
 

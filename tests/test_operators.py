@@ -293,3 +293,22 @@ def test_known_variants_are_free(spark):
     h = spark.createDataFrame([("h1", 0, 95, 105, ["rs1"]), ("h2", 0, 200, 210, ["x"])], "hid string, chrom_id long, left long, right long, alts array<string>")
     assert told(variants.haplotypes_over(alns.select("chrom_id", "pos", "end"), h), "hid") == [("h1",)]
     assert variants.edit_score([{"pos": 0, "type": "del", "ref": "AC", "length": 2, "snp": None}, {"pos": 1, "type": "ins", "read": "A", "length": 1, "snp": "x"}]) == -11
+
+
+def test_align_with_variants_and_junction_uses(spark):
+    s = bases(91, 400)
+    flip = lambda b: "ACGT"[("ACGT".index(b) + 1) % 4]
+    spots = [100, 112, 124, 136, 148]
+    read = "".join(flip(b) if 90 + i in spots else b for i, b in enumerate(s[90:160]))
+    gene = bases(92, 200) + "GT" + bases(93, 296) + "AG" + bases(94, 200)
+    spliced = gene[160:200] + gene[500:540]
+    ref = spark.createDataFrame([("c0", 0, s), ("c1", 1, gene)], "chrom string, chrom_id long, seq string")
+    v = spark.createDataFrame([(0, f"rs{p}", "single", p, flip(s[p])) for p in spots], "chrom_id long, id string, type string, pos long, data string")
+    rd = spark.createDataFrame([(k, 0, f"r{k}", q, "I" * len(q), None) for k, q in enumerate((read, spliced))], "rdid long, mate int, name string, seq string, qual string, filter string")
+    ix, o = index.kmer_index(ref, 14), Options(kmer=14, max_alternatives=64)
+    assert told(align.align(rd, ref, ix, o), "rdid") == [(1,)]
+    found = align.align(rd, ref, ix, o, variants=v).cache()
+    assert told(found, "rdid", "pos", "score") == [(0, 90, 0), (1, 160, 0)]
+    uses = align.junction_uses(found, ref)
+    assert told(uses, "rdid", "left", "right", "left_anchor", "right_anchor", "mismatches", "canonical") == [(1, 199, 500, 40, 40, 0, True)]
+    assert told(metrics.site_support(uses), "left", "num_reads") == [(199, 1)]
