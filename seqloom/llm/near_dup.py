@@ -244,9 +244,3 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = signed.select("doc_id", *class_of, "n_shingles").join(classes, class_of, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
-
-
-def nameless_rows(docs: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is null and whose text no row with a doc_id has; of equal texts one row."""
-    nameless = docs.where("doc_id is null").dropDuplicates(["text"])
-    return nameless.join(docs.where("doc_id is not null").select("text").distinct(), "text", "left_anti")
