@@ -80,16 +80,18 @@ def windows(seq: Column | str, k: int, step: int = 1) -> Column:
     return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.substring(s, i + 1, F.lit(k)).alias("kmer")))
 
 
-#: Letters that are cut out at a time; a window is then taken from a short piece, so that long sequences cost in proportion to their length.
-BLOCK = 512
+#: Letters that are cut out at a time, first to last: a cut walks its string from the start, so windows are taken from short pieces of longer pieces, and a long sequence costs in proportion to its length.
+BLOCKS = (8192, 64)
 
 
 def window_rows(df: DataFrame, keep: list[str], seq: Column | str, k: int, step: int = 1) -> DataFrame:
     """keep, pos and kmer of the windows of k characters, every step characters, one row each."""
-    s = col(seq)
-    starts = F.when(F.length(s) >= k, F.sequence(F.lit(0), F.length(s) - k, F.lit(BLOCK)))
-    blocks = df.select(*keep, F.explode(F.transform(starts, lambda b: F.struct(b.alias("b"), F.substring(s, b + 1, F.lit(BLOCK + k - 1)).alias("s")))).alias("_b"))
-    places = blocks.select(*keep, F.col("_b.b").alias("_at"), F.col("_b.s").alias("_s")).select(*keep, "_at", "_s", F.explode(F.sequence(F.lit(0), F.length("_s") - k)).alias("_i"))
+    pieces = df.select(*keep, F.lit(0).alias("_at"), col(seq).alias("_s"))
+    for block in BLOCKS:
+        starts = F.when(F.length("_s") >= k, F.sequence(F.lit(0), F.length("_s") - k, F.lit(block)))
+        cut = pieces.select(*keep, "_at", "_s", F.explode(starts).alias("_b"))
+        pieces = cut.select(*keep, (F.col("_at") + F.col("_b")).alias("_at"), F.substring("_s", F.col("_b") + 1, F.lit(block + k - 1)).alias("_s"))
+    places = pieces.select(*keep, "_at", "_s", F.explode(F.sequence(F.lit(0), F.length("_s") - k)).alias("_i"))
     if step > 1:
         places = places.where((F.col("_at") + F.col("_i")) % step == 0)
     return places.select(*keep, (F.col("_at") + F.col("_i")).cast("long").alias("pos"), F.substring("_s", F.col("_i") + 1, F.lit(k)).alias("kmer"))
