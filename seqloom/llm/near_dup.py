@@ -29,13 +29,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import arrow_rows, materialize, small
 from .graph import connected_components
 
 SHINGLE, BANDS, ROWS = 5, 32, 4
 THRESHOLD, SLACK = 75, 0.5
 #: Documents whose ids may be broadcast to pick their texts (8 bytes each); beyond it the join is shuffled.
 MAX_BROADCAST_IDS = 2_000_000
+#: Rows in an Arrow batch: whole texts, in pairs.
+BATCH_ROWS = 500
 _MASK = (1 << 64) - 1
 
 
@@ -187,6 +189,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     through its copies only: it gets the component of an equal text that has an id, else null; it
     is kept if it has none.
     """
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        return _near_duplicates(docs)
+
+
+def _near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialize(signatures(docs), "signatures")
     class_of = ["c1", "c2"]

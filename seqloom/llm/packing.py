@@ -21,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, prefix_sums
+from .common import arrow_rows, materialize, prefix_sums
 
 LENGTH, END_ID = 1024, 0
+#: Rows in an Arrow batch of whole texts.
+BATCH_ROWS = 2_000
 DIMENSIONS, LEVEL_BITS, HASHED = 4, 8, 512
 _rng = np.random.default_rng(23)
 _PROJECTION = _rng.standard_normal((HASHED, DIMENSIONS))
@@ -145,7 +147,9 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = EN
     docs: doc_id, text (other columns are not read). A null or empty text is its end id alone.
     Repeated rows are packed each. The same rows give the same sequences.
     """
-    laid = lay_out(materialize(tokenize(docs, tokenizer, end_id), "tokens"))
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        tokens = materialize(tokenize(docs, tokenizer, end_id), "tokens")
+    laid = lay_out(tokens)
     width = length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
