@@ -20,7 +20,7 @@ from ..operators import annotation, evaluate, filters, index, intervals, metrics
 from ..streaming import feedback
 from . import align
 
-K, TILE_STEP = 24, index.TILE - index.OVERLAP
+K, READ, TILE_STEP = 24, 100, index.TILE - index.OVERLAP
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
@@ -580,14 +580,14 @@ def visible_sites(spark, sf_dir):
 
 
 @query(
-    "WITH al AS (SELECT DISTINCT n_nationkey % 8 AS allele, n_regionkey AS variant FROM nation), sh AS (SELECT DISTINCT l_orderkey AS aln, l_linenumber % 5 AS variant FROM lineitem WHERE l_orderkey % 10 = 0), "
+    "WITH al AS (SELECT DISTINCT n_nationkey % 8 AS allele, n_regionkey AS variant FROM nation), sh AS (SELECT DISTINCT l_orderkey AS aln, l_linenumber % 5 AS variant FROM lineitem), "
     "n AS (SELECT aln, count(*) AS n FROM sh GROUP BY aln), names AS (SELECT DISTINCT allele FROM al), h AS (SELECT aln, allele, count(*) AS k FROM sh JOIN al USING (variant) GROUP BY aln, allele), "
     "s AS (SELECT n.aln, names.allele, -2.0 * (n - coalesce(k, 0)) AS s FROM n CROSS JOIN names LEFT JOIN h ON h.aln = n.aln AND h.allele = names.allele) "
     "SELECT CAST(a.allele AS BIGINT) AS allele_a, CAST(b.allele AS BIGINT) AS allele_b, round(sum(ln((exp(a.s) + exp(b.s)) / 2 + 0.001)), 4) AS log_likelihood FROM s a JOIN s b ON a.aln = b.aln AND a.allele <= b.allele GROUP BY 1, 2"
 )
 def allele_likelihood(spark, sf_dir):
     al = t(spark, sf_dir, "nation").select((F.col("n_nationkey") % 8).cast("long").alias("allele"), F.col("n_regionkey").alias("variant")).distinct()
-    sh = t(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("aln_id"), (F.col("l_linenumber") % 5).alias("variant")).distinct()
+    sh = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("aln_id"), (F.col("l_linenumber") % 5).alias("variant")).distinct()
     return metrics.allele_likelihood(sh, al).withColumn("log_likelihood", F.round("log_likelihood", 4))
 
 
@@ -614,16 +614,16 @@ def repeat_expand(spark, sf_dir):
 
 def alignments_of(spark, sf_dir, o: Options) -> tuple[DataFrame, DataFrame, DataFrame]:
     ref = t(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("chrom"), F.col("item_id").alias("chrom_id"), text_to_bases("text").alias("seq"))
-    lines = t(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    seq = text_to_bases("line")
-    reads = lines.select(F.xxhash64("doc_id", "line").alias("rdid"), F.lit(0).alias("mate"), F.concat_ws("_", F.lit("d"), "doc_id").alias("name"), seq.alias("seq"), F.repeat(F.lit("I"), F.length(seq)).alias("qual"), F.lit(None).cast("string").alias("filter"))
-    reads = reads.where(F.length("seq").between(30, 2000)).dropDuplicates(["rdid"])
+    starts = F.when(F.length("seq") > 0, F.sequence(F.lit(0), F.length("seq") - 1, F.lit(READ)))
+    pieces = reads_of(spark, sf_dir).select("doc_id", "seq", F.explode(starts).alias("at")).select("doc_id", "at", F.substring("seq", F.col("at") + 1, F.lit(READ)).alias("seq"))
+    rdid = F.shiftrightunsigned(F.xxhash64("doc_id", "at"), 1)
+    reads = pieces.select(rdid.alias("rdid"), F.lit(0).alias("mate"), F.concat_ws("_", F.lit("d"), "doc_id", "at").alias("name"), "seq", F.repeat(F.lit("I"), F.length("seq")).alias("qual"), F.lit(None).cast("string").alias("filter"))
     return reads, align.align(reads, ref, index.kmer_index(ref, o.kmer), o), ref
 
 
 @query()
 def gapped_alignments(spark, sf_dir):
-    """Lines of documents of 30 to 2000 bases, aligned with gaps to benchmark."""
+    """All documents, cut into reads of READ bases, aligned with gaps to benchmark."""
     o = Options(kmer=K, spliced=False, norc=True)
     reads, alns, ref = alignments_of(spark, sf_dir, o)
     return alns.select("rdid", "chrom_id", "pos", "fw", "score", "cigar", "md")
