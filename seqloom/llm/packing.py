@@ -30,7 +30,6 @@ DIMENSIONS, LEVEL_BITS, HASHED = 4, 8, 512
 _rng = np.random.default_rng(23)
 _PROJECTION = _rng.standard_normal((HASHED, DIMENSIONS))
 _CELL, _SIGN = _rng.integers(0, HASHED, 1 << 16), _rng.choice([-1.0, 1.0], 1 << 16)
-_encoders: dict[str, object] = {}
 
 
 def _byte_of() -> dict[str, int]:
@@ -40,23 +39,22 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
-def encoder(path: str):
-    """text -> array of ids of a byte-level BPE file, without special tokens: their strings in a text are ordinary text.
+def ranks_of(path: str) -> dict[bytes, int]:
+    """The vocabulary of a byte-level BPE file as ranks, without special tokens."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    byte = _byte_of()
+    special = {x["content"] for x in spec.get("added_tokens", [])}
+    return {bytes(byte[c] for c in token): k for token, k in spec["model"]["vocab"].items() if token not in special}
 
-    The file's vocabulary is read as ranks, which gives the ids of its merges several times faster.
-    """
-    if path not in _encoders:
-        import tiktoken
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        byte = _byte_of()
-        special = {x["content"] for x in spec.get("added_tokens", [])}
-        ranks = {bytes(byte[c] for c in token): k for token, k in spec["model"]["vocab"].items() if token not in special}
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        encoding = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        _encoders[path] = lambda text: encoding.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
-    return _encoders[path]
+def encoder(ranks: dict[bytes, int]):
+    """text -> array of ids; the strings of special tokens are ordinary text. Ranks give the ids of the file's merges several times faster."""
+    import tiktoken
+
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return lambda text: encoding.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
 
 
 def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
@@ -105,8 +103,10 @@ def curve_keys(points: np.ndarray) -> np.ndarray:
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """row, doc_id, key, n_tokens, ids (little-endian unsigned 16 bits if the vocabulary allows, else 32) for every row of docs."""
 
+    shared = docs.sparkSession.sparkContext.broadcast(ranks_of(tokenizer))  # the size of the vocabulary
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(shared.value)
         for batch in batches:
             points, lengths, blobs = np.zeros((batch.num_rows, DIMENSIONS)), [], []
             doc_ids = batch.column(1).to_pylist()
@@ -129,15 +129,9 @@ def lay_out(tokens: DataFrame) -> DataFrame:
     """Adds first: the place of each row's first token in the stream, in the order (key, doc_id, row)."""
     n = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = tokens.agg(F.percentile_approx("key", [k / n for k in range(1, n)], 100 * n) if n > 1 else F.lit(None)).first()[0] or []
-    cuts = np.array(sorted(set(cuts)), np.int64)
-
-    @F.pandas_udf("int")
-    def bucket(key):
-        import pandas as pd
-
-        return pd.Series(np.searchsorted(cuts, key.to_numpy(), side="left").astype(np.int32))
-
-    placed = prefix_sums(tokens.withColumn("_bucket", bucket("key")), [], "_bucket", ["key", "doc_id", "row"], "n_tokens", "_upto")
+    cuts = F.array(*(F.lit(c) for c in sorted(set(cuts)))) if cuts else F.array().cast("array<long>")
+    bucket = F.size(F.filter(cuts, lambda c: c < F.col("key")))
+    placed = prefix_sums(tokens.withColumn("_bucket", bucket), [], "_bucket", ["key", "doc_id", "row"], "n_tokens", "_upto")
     return placed.withColumn("first", F.col("_upto") - F.col("n_tokens")).drop("_upto", "_bucket")
 
 
