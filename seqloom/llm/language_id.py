@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .models import BUCKETS, WordScores, ngram_buckets, sampled, softmax, temperature
+from .models import BUCKETS, WordScores, give_back, ngram_buckets, sampled, softmax, temperature
 
 SIZES = (2, 3, 4)
-MAX_ROWS, DIMENSIONS, EPOCHS, RATE = 1_500, 16, 4, 0.5
+MAX_ROWS, DIMENSIONS, EPOCHS, RATE = 800, 16, 4, 0.5
 #: Gradient steps at least, by further epochs where the sample is small.
 MIN_STEPS = 15_000
 #: Calibrated probability under which a text is rejected.
@@ -80,7 +80,10 @@ def train_on(labelled: DataFrame, max_rows: int = MAX_ROWS, seed: int = 11) -> d
     """Model from a sample of at most max_rows rows of labelled (doc_id, text, lang); rows with null text or lang are left out."""
     usable = labelled.where("text is not null and lang is not null").select("doc_id", "lang", "text")
     rows = sampled(usable, F.col("doc_id"), max_rows, seed).collect()
-    return train([(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id, r.text))], seed)
+    model = train([(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id, r.text))], seed)
+    del rows
+    give_back()
+    return model
 
 
 def predict(text: str | None, model: dict, scores: WordScores) -> tuple[str, float]:

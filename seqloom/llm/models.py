@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from zlib import crc32
 
 import numpy as np
@@ -74,6 +77,13 @@ def sampled(rows: DataFrame, key: Column, at_most: int, seed: int) -> DataFrame:
     return rows.limit(at_most)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, so that a driver that trained something does not keep it."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)

@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .models import BUCKETS, WordScores, ngram_buckets, sampled
+from .models import BUCKETS, WordScores, give_back, ngram_buckets, sampled
 
 SIZES = (3, 4, 5)
-MAX_ROWS, EPOCHS, RATE, SCALE = 2_000, 12, 0.05, 40.0
+MAX_ROWS, EPOCHS, RATE, SCALE = 1_500, 12, 0.05, 40.0
 #: Fixed thresholds: fewest words, largest share of repeated words in percent, and the probability of good quality under which a text is rejected.
 MIN_WORDS, MAX_REPEAT, KEEP_FROM = 50, 50, 0.5
 _SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -92,8 +92,7 @@ def train(rows: list[tuple[str, int]], seed: int = 5, epochs: int = EPOCHS, rate
     w, v, bias = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0
     if len(set(gold.tolist())) < 2:
         return {"words": w.astype(np.float32), "pairs": v.astype(np.float32), "bias": 0.0, "scale": 0.0, "shift": 8.0 if not len(gold) or gold[0] else -8.0}
-    ids = WordIds()
-    x = [_features(t, ids) for t, _ in rows]
+    x = [_features(t, WordIds()) for t, _ in rows]
     held = rng.random(len(rows)) < 0.25
     gw, gv, gb = np.full(BUCKETS, 1e-6), np.full(BUCKETS, 1e-6), 1e-6
     balance = {1.0: 0.5 / gold.mean(), 0.0: 0.5 / (1 - gold.mean())}
@@ -135,7 +134,10 @@ def train_on(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, seed:
     usable = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     picked = F.broadcast(sampled(usable, F.col("doc_id"), max_rows, seed))  # at most max_rows rows
     rows = docs.where("text is not null").select("doc_id", "text").join(picked, "doc_id").limit(2 * max_rows).collect()
-    return train([(r.text, r.quality) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))], seed)
+    model = train([(r.text, r.quality) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))], seed)
+    del rows
+    give_back()
+    return model
 
 
 def probability(words: list[bytes], h: np.ndarray, model: dict, scores: WordScores) -> float:
