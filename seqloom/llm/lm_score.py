@@ -1,173 +1,201 @@
 """Cross-entropy difference of two n-gram models (operator 1).
 
 Words (A-Z lower-cased) and pairs of neighbouring words are counted over all documents, once for the
-background (every row) and once for the target rows. Both models share one vocabulary: the words that
-make up at least VOCABULARY_SHARE of the corpus's words; every other word is one unknown symbol. A
-pair's probability is its count, smoothed by STRENGTH expected counts of the second word's own
-probability, which is smoothed by one count for each symbol.
-
-A share bounds what is broadcast, whatever the corpus: at most 1 / VOCABULARY_SHARE words and at
-most 1 / PAIR_SHARE pairs can reach it. Rarer pairs back off to the single word in both models.
+background (every row) and once for the target rows. A pair's probability is its count, smoothed by
+STRENGTH expected counts of the second word's own probability, which is smoothed by one count for each
+word of the corpus and one for the unknown. Every word and every pair counts, however rare, so the
+models grow with the corpus; they are never collected or broadcast.
+
+Documents are encoded once, in chunks of about CHUNK_WORDS words. A chunk asks for the counts of its
+distinct words and pairs (63-bit hashes, so two different ones are taken for one about once in 2^63
+pairs of them); what it asks is dealt by ranges of the hash to buckets, which sum up the counts of all
+chunks and answer each. A word or pair, however common, is one entry for each chunk it occurs in. The
+losses of a chunk's documents are then taken from its answers.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from .common import materialize
+from .common import arrow_rows, materialize, small
 
-VOCABULARY_SHARE, PAIR_SHARE, STRENGTH = 2.0**-16, 2.0**-21, 32.0
-#: Counts a worker holds before it hands them on.
-HELD_COUNTS = 400_000
+#: Shares of the corpus that a word and a pair must reach to be in the models: none, at any size.
+VOCABULARY_SHARE, PAIR_SHARE = 0.0, 0.0
+STRENGTH = 32.0
+#: Words in a chunk (whole documents, so a longer one makes a longer chunk), and words of the corpus for each bucket.
+CHUNK_WORDS, BUCKET_WORDS = 1 << 18, 1 << 19
+#: Rows in an Arrow batch of whole texts, and of chunks.
+BATCH_ROWS, BATCH_CHUNKS = 2_000, 2
+_START, _PAIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(1)
+_CHUNK = "chunk long, n long, n_target long, starts long, starts_target long, doc_ids array<long>, lengths array<long>, targets array<boolean>, hashes binary, ids binary"
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+def packed(x: np.ndarray) -> bytes:
+    """The bytes of integers, first bytes first, compressed: high bytes are nearly always 0. The rows of these tables are mostly hashes and counts, which are large otherwise."""
+    return len(x).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), codec="zstd", asbytes=True)
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out() -> pa.RecordBatch:
-        words = list(every)
-        told = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([every[w] for w in words], pa.int64()), pa.array([target.get(w, 0) for w in words], pa.int64())], names=["word", "n", "n_target"])
-        every.clear()
-        target.clear()
-        return told
+def unpacked(data: bytes, kind: str) -> np.ndarray:
+    n, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    found = np.frombuffer(pa.decompress(data[8:], n * width, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(found.reshape(width, n).T).view(kind).ravel()
 
-    every, target = Counter(), Counter()
-    for batch in batches:
-        for text, flag in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            words = words_of(text.as_py())
-            every.update(words)
-            if flag:
-                target.update(words)
-            if len(every) > HELD_COUNTS:
-                yield out()
-    yield out()
+
+def words_of(text: str | None) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
 class Vocabulary(dict):
-    """word -> symbol; 0 is the unknown word."""
+    """word -> number in the order of first sight."""
 
     def __missing__(self, word: bytes) -> int:
-        return 0
-
-
-def pair_keys(words: list[bytes], vocabulary: Vocabulary) -> np.ndarray:
-    """One number for each word with the word before it; the first follows symbol 0 of a row of its own (the start)."""
-    ids = np.fromiter(map(vocabulary.__getitem__, words), np.int64, len(words))
-    before = np.empty_like(ids)
-    before[:1] = len(vocabulary) + 1
-    before[1:] = ids[:-1]
-    return before << 20 | ids
-
+        self[word] = number = len(self)
+        return number
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """word, n, n_target of all rows of docs (text, is_target)."""
-    return docs.select("text", "is_target").mapInArrow(_count_words, "word binary, n long, n_target long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
 
+def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def out() -> pa.RecordBatch:
+        ids = np.concatenate([*held, np.empty(0, "<i4")])
+        hashes = np.fromiter(map(xxh64_intdigest, vocabulary), "<u8", len(vocabulary))
+        n, target = np.array(lengths, np.int64), np.array(targets, bool)
+        totals = (len(ids), int(n[target].sum()), int((n > 0).sum()), int((n[target] > 0).sum()))
+        row = (TaskContext.get().partitionId() << 32 | made, *totals, doc_ids, lengths, targets, hashes.tobytes(), packed(ids))
+        kinds = (*[pa.int64()] * 5, pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["chunk", "n", "n_target", "starts", "starts_target", "doc_ids", "lengths", "targets", "hashes", "ids"])
+
+    vocabulary, held, doc_ids, lengths, targets, size, made = Vocabulary(), [], [], [], [], 0, 0
+    for batch in batches:
+        for doc_id, text, target in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            words = words_of(text.as_py())
+            held.append(np.fromiter(map(vocabulary.__getitem__, words), "<i4", len(words)))
+            doc_ids.append(doc_id)
+            lengths.append(len(words))
+            targets.append(bool(target))
+            size += len(words) + 1
+            if size >= CHUNK_WORDS:
+                yield out()
+                vocabulary, held, doc_ids, lengths, targets, size, made = Vocabulary(), [], [], [], [], 0, made + 1
+    if doc_ids:
+        yield out()
 
-def count_pairs(docs: DataFrame, vocabulary: dict) -> DataFrame:
-    """pair, n, n_target of all rows of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(shared.value)
-        held: list[tuple[np.ndarray, bool]] = []
-        size = 0
-
-        def out() -> pa.RecordBatch:
-            keys = np.concatenate([x for x, _ in held]) if held else np.empty(0, np.int64)
-            flags = np.concatenate([np.full(len(x), f) for x, f in held]) if held else np.empty(0, bool)
-            pairs, index = np.unique(keys, return_inverse=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(np.bincount(index, minlength=len(pairs)).astype(np.int64)), pa.array(np.bincount(index, weights=flags, minlength=len(pairs)).astype(np.int64))], names=["pair", "n", "n_target"])
 
-        for batch in batches:
-            for text, flag in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                keys = pair_keys(words_of(text.as_py()), vocabulary)
-                held.append((keys, bool(flag)))
-                size += len(keys)
-                if size > 4_000_000:
-                    yield out()
-                    size = 0
-        yield out()
+class Chunk:
+    """What a chunk's row holds. before, word: numbers of the words of each distinct pair, before is the number of words at the start of a text; at: the pair of each position.
 
-    return docs.select("text", "is_target").mapInArrow(run, "pair long, n long, n_target long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-
-
-def fit(docs: DataFrame) -> dict:
-    """Both models from docs (text, is_target): vocabulary, and arrays of losses in bits for the single words and for the pairs that are kept."""
-    words = materialize(count_words(docs), "word_counts")
-    total, total_target = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).first()
-    known = words.where(F.col("n") >= F.lit(total * VOCABULARY_SHARE)).collect()  # at most 1 / VOCABULARY_SHARE rows
-    known.sort(key=lambda r: bytes(r.word))
-    vocabulary = {bytes(r.word): k + 1 for k, r in enumerate(known)}
-    size = len(known) + 1
-    single = np.zeros((2, size))
-    single[:, 1:] = np.array([[r.n_target for r in known], [r.n for r in known]], float).reshape(2, -1)
-    single[:, 0] = (total_target, total) - single[:, 1:].sum(axis=1)
-    p_single = (single + 1) / (np.array([[total_target], [total]]) + size)
-    pairs = materialize(count_pairs(docs, vocabulary), "pair_counts")
-    # how often a word stands before another, over all pairs, kept or not
-    before = np.zeros((2, size + 1))
-    for r in pairs.groupBy(F.shiftright("pair", 20).alias("b")).agg(F.sum("n").alias("n"), F.sum("n_target").alias("t")).collect():  # at most 1 / VOCABULARY_SHARE + 2 rows
-        before[:, r.b] = r.t, r.n
-    kept = pairs.where(F.col("n") >= F.lit(total * PAIR_SHARE)).toArrow()  # at most 1 / PAIR_SHARE rows
-    keys = kept.column("pair").to_numpy()
-    n = np.array([kept.column("n_target").to_numpy(), kept.column("n").to_numpy()], float)
-    order = np.argsort(keys)
-    keys, n = keys[order], n[:, order]
-    b, w = keys >> 20, keys & ((1 << 20) - 1)
-    p_pair = (n + STRENGTH * p_single[:, w]) / (before[:, b] + STRENGTH)
-    back_off = STRENGTH / (before + STRENGTH)
-    return {"vocabulary": vocabulary, "pairs": keys, "pair_loss": -np.log2(p_pair).astype(np.float32), "loss": -np.log2(p_single).astype(np.float32), "back_off": -np.log2(back_off).astype(np.float32)}
-
-
-def losses(keys: np.ndarray, model: dict) -> np.ndarray:
-    """Loss in bits of every word, (target, background) by word."""
-    b, w = keys >> 20, keys & ((1 << 20) - 1)
-    out = model["loss"][:, w] + model["back_off"][:, b]
-    if len(model["pairs"]):
-        at = np.minimum(np.searchsorted(model["pairs"], keys), len(model["pairs"]) - 1)
-        hit = model["pairs"][at] == keys
-        out[:, hit] = model["pair_loss"][:, at[hit]]
-    return out
-
-
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, n_words, target_loss, background_loss (bits a word) and ce_difference (target less background: low is like the target) for every row of docs.
-
-    docs: doc_id, text. A null or blank text has no words and null losses. Whole texts are read.
+    keys: of the words, and of the pairs; the lowest bit tells which.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the shares
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        vocabulary = Vocabulary(model["vocabulary"])
+    def __init__(self, row: dict):
+        self.doc_ids, self.lengths, self.targets = row["doc_ids"], np.array(row["lengths"], np.int64), np.array(row["targets"], bool)
+        hashes, self.ids = np.frombuffer(row["hashes"], "<u8"), unpacked(row["ids"], "<i4").astype(np.int64)
+        v = self.n_words = len(hashes)
+        ends = np.cumsum(self.lengths)
+        first = np.empty_like(self.ids)
+        first[1:] = self.ids[:-1]
+        first[(ends - self.lengths)[self.lengths > 0]] = v
+        self.ends = ends[self.lengths > 0] - 1
+        pairs, self.at = np.unique(first * (v + 1) + self.ids, return_inverse=True)
+        self.before, self.word = pairs // (v + 1), pairs % (v + 1)
+        known = np.append(hashes, _START)
+        x = hashes[self.word]
+        mixed = (known[self.before] * np.uint64(0xC2B2AE3D27D4EB4F) + (x << np.uint64(31) | x >> np.uint64(33))) * np.uint64(0x9FB21C651E98DF25)
+        mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
+        self.keys = np.concatenate([hashes & ~_PAIR, mixed | _PAIR])
+
+    def counts(self) -> np.ndarray:
+        """Of each key in this chunk: occurrences, those in target rows, and both at the end of a text (0 for pairs)."""
+        target = np.repeat(self.targets, self.lengths)
+        v, k = self.n_words, len(self.word)
+        out = np.zeros((4, v + k), "<u4")
+        for m, (inside, last) in enumerate(((slice(None), self.ends), (target, self.ends[target[self.ends]]))):
+            out[m] = np.concatenate([np.bincount(self.ids[inside], minlength=v), np.bincount(self.at[inside], minlength=k)])
+            out[m + 2, :v] = np.bincount(self.ids[last], minlength=v)
+        return out
+
+    def losses(self, n: np.ndarray, totals: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+        """Sums of the losses in bits of each document, (background, target). n: counts() of the corpus; totals, starts: its words, and its texts that have some."""
+        n = n.astype(float)
+        word, pair = np.split(n[:2], [self.n_words], axis=1)
+        before = np.column_stack([word - n[2:, : self.n_words], starts])
+        p_word = (word + 1) / (totals[:, None] + size)
+        loss = -np.log2((pair + STRENGTH * p_word[:, self.word]) / (before[:, self.before] + STRENGTH))
+        doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        return np.array([np.bincount(doc, weights=x[self.at], minlength=len(self.lengths)) for x in loss])
+
+
+def encode(docs: DataFrame) -> DataFrame:
+    """The chunks of all rows of docs (doc_id, text, is_target)."""
+    return docs.select("doc_id", "text", "is_target").mapInArrow(_encode, _CHUNK)
+
+
+def count(chunks: DataFrame, buckets: int) -> DataFrame:
+    """The corpus's counts for each chunk and bucket: chunk, bucket, n_new (words that no other row counts), counts (four for each key of the chunk in this bucket, in the order of keys)."""
+    cuts = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths, sums = [], []
-            for text in batch.column(1):
-                keys = pair_keys(words_of(text.as_py()), vocabulary)
-                lengths.append(len(keys))
-                total = sum((losses(keys[k : k + 50_000], model).sum(axis=1, dtype=np.float64) for k in range(0, len(keys), 50_000)), np.zeros(2))
-                sums.append(tuple(total / len(keys)) if len(keys) else (None, None))
-            difference = [None if t is None else t - b for t, b in sums]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), *(pa.array(x, pa.float64()) for x in ([s[0] for s in sums], [s[1] for s in sums], difference))], names=["doc_id", "n_words", "target_loss", "background_loss", "ce_difference"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_words long, target_loss double, background_loss double, ce_difference double")
+            for row in batch.to_pylist():
+                chunk = Chunk(row)
+                order = np.argsort(chunk.keys)
+                keys, n = chunk.keys[order], chunk.counts()[:, order]
+                ends = [0, *np.searchsorted(keys, cuts).tolist(), len(keys)]
+                spans = [(b, slice(i, j)) for b, (i, j) in enumerate(zip(ends, ends[1:], strict=False)) if j > i]
+                told = [packed(np.diff(keys[s], prepend=np.uint64(0))) for _, s in spans], [packed(n[:, s].ravel()) for _, s in spans]
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in spans], pa.int64()), pa.array([row["chunk"]] * len(spans), pa.int64()), *(pa.array(x, pa.binary()) for x in told)], names=["bucket", "chunk", "keys", "counts"])
+
+    def answer(asked: pa.Table) -> pa.Table:
+        keys = [np.cumsum(unpacked(x.as_py(), "<u8"), dtype=np.uint64) for x in asked["keys"]]
+        every, at = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.concatenate([unpacked(x.as_py(), "<u4").reshape(4, -1) for x in asked["counts"]], axis=1)
+        n = np.array([np.bincount(at, weights=x) for x in n]).astype("<i8")
+        ends = np.cumsum([0, *map(len, keys)])
+        told = pa.array([packed(n[:, at[i:j]].ravel()) for i, j in zip(ends, ends[1:], strict=False)], pa.binary())
+        new = [int(np.count_nonzero(every & _PAIR == 0)), *[0] * (len(keys) - 1)]
+        return pa.table([asked["chunk"], asked["bucket"], pa.array(new, pa.int64()), told], names=["chunk", "bucket", "n_new", "counts"])
+
+    asked = chunks.mapInArrow(ask, "bucket long, chunk long, keys binary, counts binary")
+    return asked.groupBy("bucket").applyInArrow(answer, "chunk long, bucket long, n_new long, counts binary")
+
+
+def score(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words, target_loss, background_loss (bits a word) and ce_difference (target less background: low is like the target) for every row of docs, by models of docs.
+
+    docs: doc_id, text, is_target. A null or blank text has no words and null losses. Whole texts are read.
+    """
+    spark = docs.sparkSession
+    rows = {"parquet.page.size.row.check.min": 1, "parquet.block.size.row.check.min": 1}  # a chunk is a large row
+    with arrow_rows(spark, BATCH_ROWS):
+        chunks = materialize(encode(docs), "chunks", **rows)
+    totals, starts = np.array(chunks.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "n_target", "starts", "starts_target"))).first(), float).reshape(2, 2)
+    with arrow_rows(spark, BATCH_CHUNKS):
+        counted = materialize(count(chunks, max(1, -(-int(totals[0]) // BUCKET_WORDS))), "counts", **rows)
+    size = 1 + counted.agg(F.coalesce(F.sum("n_new"), F.lit(0))).first()[0]
+
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        chunk = Chunk(rows.to_pylist()[0])
+        answers = answers.sort_by("bucket")
+        n = np.zeros((4, len(chunk.keys)), np.int64)
+        n[:, np.argsort(chunk.keys)] = np.concatenate([np.zeros((4, 0), np.int64), *(unpacked(x.as_py(), "<i8").reshape(4, -1) for x in answers["counts"])], axis=1)
+        lengths = chunk.lengths
+        background, target = chunk.losses(n, totals, starts, size) / np.maximum(lengths, 1)
+        told = [pa.array(x, pa.float64(), mask=lengths == 0) for x in (target, background, target - background)]
+        return pa.table([pa.array(chunk.doc_ids, pa.int64()), pa.array(lengths), *told], names=["doc_id", "n_words", "target_loss", "background_loss", "ce_difference"])
+
+    parts = chunks.groupBy("chunk").cogroup(counted.drop("n_new").groupBy("chunk"))
+    return parts.applyInArrow(run, "doc_id long, n_words long, target_loss double, background_loss double, ce_difference double")
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame, max_broadcast: int = 2_000_000) -> DataFrame:
-    """score() of every row of docs by models fitted on docs; target rows are those whose doc_id is in targets (doc_id)."""
-    from .common import small
-
+    """score() of every row of docs; target rows are those whose doc_id is in targets (doc_id)."""
     ids = targets.select(F.col("doc_id").cast("long").alias("_t")).where("_t is not null").distinct()
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked = marked.join(small(ids, max_broadcast), F.col("doc_id") == F.col("_t"), "left").select("doc_id", "text", F.col("_t").isNotNull().alias("is_target"))
-    return score(marked, fit(marked))
+    return score(marked)

@@ -114,6 +114,23 @@ def test_lm_score_awkward_rows(spark):
     assert len(told(lm_score.cross_entropy_difference(documents(spark), documents(spark, EMPTY)))) == len(rows())
 
 
+def test_lm_score_over_many_chunks_and_buckets(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "CHUNK_WORDS", 300)
+    monkeypatch.setattr(lm_score, "BUCKET_WORDS", 500)
+    test_lm_score_against_brute_force(spark)
+
+
+def test_lm_score_knows_rare_words_of_a_large_corpus(spark):
+    data = [(k, "many " * 1_000) for k in range(200)] + [(200, "rare pair"), (201, "rare pair"), (202, "once")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in told(lm_score.cross_entropy_difference(df, df.where("doc_id = 200")))}
+    total, size, starts = 200_005, 5, 203
+    loss = lambda pair, word, before: -math.log2((pair + 32 * (word + 1) / (total + size)) / (before + 32))
+    assert got[200]["background_loss"] == pytest.approx((loss(2, 2, starts) + loss(2, 2, 2)) / 2, abs=1e-6)
+    assert got[202]["background_loss"] == pytest.approx(loss(1, 1, starts), abs=1e-6)
+    assert got[201]["target_loss"] < got[202]["target_loss"]
+
+
 # ---- 2: url filters -----------------------------------------------------------------------------
 
 
