@@ -40,7 +40,7 @@ def _byte_of() -> dict[str, int]:
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
-    """The vocabulary of a byte-level BPE file as ranks, without special tokens."""
+    """The vocabulary of a byte-level BPE file as ranks, without added tokens."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     byte = _byte_of()
@@ -48,13 +48,22 @@ def ranks_of(path: str) -> dict[bytes, int]:
     return {bytes(byte[c] for c in token): k for token, k in spec["model"]["vocab"].items() if token not in special}
 
 
-def encoder(ranks: dict[bytes, int]):
-    """text -> array of ids; the strings of special tokens are ordinary text. Ranks give the ids of the file's merges several times faster."""
+def added_of(path: str) -> dict[str, int]:
+    """The added tokens of the file; they are found in a text before its words are."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens", [])
+    if odd := [x["content"] for x in added if x.get("single_word") or x.get("lstrip") or x.get("rstrip")]:
+        raise ValueError(f"added tokens that match by what stands beside them are not known: {odd}")
+    return {x["content"]: x["id"] for x in added}
+
+
+def encoder(ranks: dict[bytes, int], added: dict[str, int] | None = None):
+    """text -> array of ids; the strings of added tokens get their own ids. Ranks give the ids of the file's merges several times faster."""
     import tiktoken
 
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: encoding.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
+    encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added or {})
+    return lambda text: encoding.encode_to_numpy(text, allowed_special="all", disallowed_special=())
 
 
 def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
@@ -103,10 +112,10 @@ def curve_keys(points: np.ndarray) -> np.ndarray:
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """row, doc_id, key, n_tokens, ids (little-endian unsigned 16 bits if the vocabulary allows, else 32) for every row of docs."""
 
-    shared = docs.sparkSession.sparkContext.broadcast(ranks_of(tokenizer))  # the size of the vocabulary
+    shared = docs.sparkSession.sparkContext.broadcast((ranks_of(tokenizer), added_of(tokenizer)))  # the size of the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(shared.value)
+        encode = encoder(*shared.value)
         for batch in batches:
             points, lengths, blobs = np.zeros((batch.num_rows, DIMENSIONS)), [], []
             doc_ids = batch.column(1).to_pylist()

@@ -384,6 +384,18 @@ def test_encoder_gives_the_ids_of_the_file(text):
     assert here.encode(text).tolist() == here.tok.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_get_the_ids_of_the_file(spark):
+    from tokenizers import Tokenizer
+
+    tok, mark = Tokenizer.from_file(registry.TOKENIZER), "<|endoftext|>"
+    texts = [f"a {mark} b", mark, mark * 3, f"  {mark}\n\n  x", f"end{mark}", f"<|endoftext |> {mark[:-1]} <{mark}>", f"word \u00e9{mark}\u00e9 \t{mark} ", "none"]
+    got = collections.defaultdict(list)
+    for r in sorted(told(packing.pack(documents(spark, [(k, t, None, None) for k, t in enumerate(texts)]), registry.TOKENIZER, length=8)), key=lambda r: r["start"]):
+        got[r["doc_id"]] += r["ids"]
+    assert got[0] == [64, 220, 50256, 275, 0]
+    assert [got[k] for k in range(len(texts))] == [[*tok.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+
+
 def test_hilbert_curve():
     n = 4
     points = np.array([(x, y) for x in range(1 << n) for y in range(1 << n)])
