@@ -82,6 +82,22 @@ def within_radius(queries: DataFrame, fps: DataFrame, radius: int = RADIUS) -> D
     return near.select("query", "found", d.alias("distance"))
 
 
+def near_classes(queries: DataFrame, docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """What lies within radius of each fingerprint of queries (doc_id, fingerprint) among docs (doc_id, fingerprint; queries are some of them).
+
+    query, first_id (the smallest doc_id of queries that has it), n_near (other fingerprints),
+    n_near_docs (documents, the copies of the query too, less the query itself) and near_classes:
+    (distance, doc_id, n_docs) of each other fingerprint, doc_id being the smallest that has it.
+    The search runs over distinct fingerprints, so copies cost nothing and are still counted.
+    """
+    classes = docs.groupBy("fingerprint").agg(F.count("*").alias("_n"), F.min("doc_id").alias("_first"))
+    asked = queries.groupBy(F.col("fingerprint").alias("query")).agg(F.min("doc_id").alias("first_id"))
+    found = within_radius(queries, docs, radius).join(classes, F.col("found") == F.col("fingerprint"))
+    other = F.when(F.col("found") != F.col("query"), F.struct("distance", F.col("_first").alias("doc_id"), F.col("_n").alias("n_docs")))
+    near = found.groupBy("query").agg((F.count("*") - 1).alias("n_near"), (F.sum("_n") - 1).alias("n_near_docs"), F.array_sort(F.collect_list(other)).alias("near_classes"))
+    return near.join(asked, "query")
+
+
 def with_next(docs: DataFrame, buckets: int) -> DataFrame:
     """docs (doc_id, text) with next_id and next_text: of the next document by descending doc_id, of the first after the last.
 
@@ -123,8 +139,11 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     is null have no place in the order and are left out; of rows that share a doc_id the one with
     the smallest text counts. A single document is its own next one.
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint (16 hex digits), near_edited,
-    near_next (1 - distance / 64), n_near: for doc_ids divisible by 20, how many other
-    fingerprints lie within RADIUS bits, else null.
+    near_next (1 - distance / 64), and for doc_ids divisible by 20, else null: n_near, how many other
+    fingerprints lie within RADIUS bits; n_near_docs, how many other documents have one of these or
+    the same; near_classes, the links of near_classes(), given once for each fingerprint, at the
+    smallest of these doc_ids that has it. The documents of a class are those that share the
+    fingerprint of its doc_id.
     """
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     placed = with_next(docs, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -137,7 +156,7 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     own = found.where("kind = 0").select("doc_id", "next_id", "n_chars", "fingerprint")
     other = found.where("kind = 1").select("doc_id", F.concat(*(hex16(F.col(f"sha{k}")) for k in range(4))).alias("edited_sha256"), F.col("fingerprint").alias("edited_fingerprint"))
     following = own.select(F.col("doc_id").alias("next_id"), F.col("fingerprint").alias("next_fingerprint"))
-    near = within_radius(own.where("doc_id % 20 = 0"), own).groupBy("query").agg((F.count("*") - 1).alias("n_near"))
+    near = near_classes(own.where("doc_id % 20 = 0"), own)
     rows = own.join(other, "doc_id").join(following, "next_id").join(near, F.col("fingerprint") == F.col("query"), "left")
     return rows.select(
         "doc_id",
@@ -147,5 +166,6 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
         hex16(F.col("edited_fingerprint")).alias("edited_fingerprint"),
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
-        F.when(F.col("doc_id") % 20 == 0, F.col("n_near")).alias("n_near"),
+        *(F.when(F.col("doc_id") % 20 == 0, F.col(c)).alias(c) for c in ("n_near", "n_near_docs")),
+        F.when(F.col("doc_id") == F.col("first_id"), F.col("near_classes")).alias("near_classes"),
     )

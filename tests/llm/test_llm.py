@@ -446,6 +446,31 @@ def test_fingerprints_against_brute_force(spark):
     assert one[0]["near_next"] == 1.0
 
 
+def test_copies_and_links_of_what_is_near(spark):
+    text = " ".join(f"word{k % 97} {prose(k, 8)}" for k in range(80))
+    data = [(k, text) for k in range(30)] + [(30 + k, text.replace(f"word{k}", f"ward{k}", 1)) for k in range(51)] + [(100, "alone and unlike all others"), (101, None)]
+    got = {r["doc_id"]: r for r in told(simhash.document_fingerprints(documents(spark, [(d, t, None, None) for d, t in data])))}
+    fps = {d: int(r["fingerprint"], 16) for d, r in got.items()}
+    members = collections.defaultdict(set)
+    for d, x in fps.items():
+        members[x].add(d)
+    links, copies = {}, 0
+    for d, r in got.items():
+        if r["near_classes"] is not None:
+            assert d == min(x for x in members[fps[d]] if x % 20 == 0)
+            assert all(n.n_docs == len(members[fps[n.doc_id]]) and n.doc_id == min(members[fps[n.doc_id]]) for n in r["near_classes"])
+            links[fps[d]] = {(x, n.distance) for n in r["near_classes"] for x in members[fps[n.doc_id]]} | {(x, 0) for x in members[fps[d]]}
+    for d, r in got.items():
+        if d % 20:
+            assert r["n_near_docs"] is None and r["near_classes"] is None
+        else:
+            near = {(x, n) for x in fps if (n := bin(fps[d] ^ fps[x]).count("1")) <= 3}
+            assert r["n_near_docs"] == len(near) - 1 and links[fps[d]] == near
+            copies += r["n_near_docs"] > r["n_near"]
+    assert got[0]["n_near_docs"] >= 29 and got[100]["n_near_docs"] == 0 and got[100]["near_classes"] == [] and copies >= 2
+    assert any(n for r in got.values() for n in r["near_classes"] or [])
+
+
 def test_every_pair_within_the_radius(spark):
     rng = random.Random(4)
     fps = [rng.getrandbits(64) for _ in range(60)]
