@@ -3,8 +3,9 @@
 Subwords are the byte n-grams of 2 to 4 bytes of each lower-cased word, and the word. They are hashed
 to embeddings of 16 numbers; a text is the mean of its subwords' embeddings, and a linear layer with
 softmax gives the languages. Both are trained together by stochastic gradient descent in numpy on a
-sample of at most MAX_ROWS labelled rows (whole texts and pieces of them, so that short texts are
-known too). A temperature fitted on rows that were held back calibrates the score, and what
+sample of at most ROWS_EACH labelled rows of each language, all of a rarer one; an epoch takes the
+pieces of a rarer language more often, up to REPEATS times. Of each text, one in four pieces of 40
+words is read, and the first 4 words of it, so that short texts are known too. A temperature fitted on rows that were held back calibrates the score, and what
 falls under ``reject_below`` is rejected.
 """
 
@@ -19,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .models import BUCKETS, WordScores, give_back, ngram_buckets, sampled, softmax, temperature
+from .models import BUCKETS, WordScores, give_back, ngram_buckets, sampled_each, softmax, temperature
 
 SIZES = (2, 3, 4)
-MAX_ROWS, DIMENSIONS, EPOCHS, RATE = 800, 16, 4, 0.5
+ROWS_EACH, DIMENSIONS, EPOCHS, RATE = 500, 16, 4, 0.5
+#: How often an epoch takes an example of a language that has few, at most.
+REPEATS = 20
 #: Gradient steps at least, by further epochs where the sample is small.
 MIN_STEPS = 15_000
 #: Calibrated probability under which a text is rejected.
@@ -55,14 +58,18 @@ def train(rows: list[tuple[str, str]], seed: int = 11, dimensions: int = DIMENSI
         return {"langs": [], "table": np.zeros((1, 1), np.float32), "temperature": 1.0}
     code = {x: k for k, x in enumerate(langs)}
     held = rng.random(len(rows)) < 0.2
+    held[[[x for _, x in rows].index(lang) for lang in langs]] = False  # a row of each language at least is learned from
     fit = _examples([t for (t, _), h in zip(rows, held, strict=True) if not h], [code[x] for (_, x), h in zip(rows, held, strict=True) if not h])
     check = _examples([t for (t, _), h in zip(rows, held, strict=True) if h], [code[x] for (_, x), h in zip(rows, held, strict=True) if h])
     embedding = (rng.random((BUCKETS, dimensions), np.float32) - np.float32(0.5)) / np.float32(dimensions)
     weights = np.zeros((dimensions, len(langs)))
-    epochs = max(epochs, -(-MIN_STEPS // max(1, len(fit)))) if fit else 0
-    step, steps = 0, max(1, epochs * len(fit))
+    labels = np.array([x for _, x in fit], int)
+    n = np.bincount(labels, minlength=len(langs))
+    taken = np.repeat(np.arange(len(fit)), np.clip(n.max() // np.maximum(n, 1), 1, REPEATS)[labels]) if fit else labels
+    epochs = max(epochs, -(-MIN_STEPS // max(1, len(taken)))) if fit else 0
+    step, steps = 0, max(1, epochs * len(taken))
     for _ in range(epochs):
-        for k in rng.permutation(len(fit)):
+        for k in rng.permutation(taken):
             ids, label = fit[k]
             lr = rate * (1 - step / steps)
             step += 1
@@ -76,10 +83,10 @@ def train(rows: list[tuple[str, str]], seed: int = 11, dimensions: int = DIMENSI
     return {"langs": langs, "table": (embedding @ weights).astype(np.float32), "temperature": temperature(logits, np.array([x for _, x in check], int))}
 
 
-def train_on(labelled: DataFrame, max_rows: int = MAX_ROWS, seed: int = 11) -> dict:
-    """Model from a sample of at most max_rows rows of labelled (doc_id, text, lang); rows with null text or lang are left out."""
+def train_on(labelled: DataFrame, rows_each: int = ROWS_EACH, seed: int = 11) -> dict:
+    """Model from a sample of at most rows_each rows of each lang of labelled (doc_id, text, lang); rows with null text or lang are left out."""
     usable = labelled.where("text is not null and lang is not null").select("doc_id", "lang", "text")
-    rows = sampled(usable, F.col("doc_id"), max_rows, seed).collect()
+    rows = sampled_each(usable, "lang", ["doc_id", "text"], rows_each, seed).collect()
     model = train([(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id, r.text))], seed)
     del rows
     give_back()

@@ -8,7 +8,7 @@ import gc
 from zlib import crc32
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_BITS = 18
@@ -77,6 +77,18 @@ def sampled(rows: DataFrame, key: Column, at_most: int, seed: int) -> DataFrame:
     return rows.limit(at_most)
 
 
+def sampled_each(rows: DataFrame, group: str, keys: list[str], at_most: int, seed: int) -> DataFrame:
+    """at_most rows of each group (all of a smaller one), those of the smallest hashes of keys. group must not be null.
+
+    A hash bound from the group's count leaves few rows of a large group before they are ordered.
+    """
+    counts = rows.groupBy(group).agg(F.count("*").alias("_n"))  # a row for each group
+    spare = F.lit(float(2 * at_most + 100)) / F.col("_n") * F.lit(float(1 << 32))
+    picked = rows.withColumn("_hash", F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 32))).join(F.broadcast(counts), group).where(F.col("_hash") < spare)
+    place = F.row_number().over(Window.partitionBy(group).orderBy("_hash", *keys))
+    return picked.withColumn("_place", place).where(F.col("_place") <= at_most).select(*rows.columns)
+
+
 def give_back() -> None:
     """Returns freed memory to the system, so that a driver that trained something does not keep it."""
     gc.collect()

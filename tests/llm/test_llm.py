@@ -286,6 +286,18 @@ def test_language_never_learns_from_held_out_rows(spark, monkeypatch):
     assert seen and not out & {t for t, _ in seen}
 
 
+def test_a_rare_language_is_learned(spark):
+    x, y, rare = sorted(TONGUES)[:3]
+    data = [(k, sentence((x, y)[k % 2], k), (x, y)[k % 2], None) for k in range(3_000)] + [(3_000 + k, sentence(rare, k, 60), rare, None) for k in range(2)]
+    model = language_id.train_on(documents(spark, data))
+    scores = models.WordScores(model["table"], language_id.SIZES)
+    assert model["langs"] == [x, y, rare]
+    got = [language_id.predict(sentence(t, 5_000 + k, 40), model, scores)[0] == t for t in (x, y, rare) for k in range(20)]
+    assert sum(got) == len(got)
+    each = models.sampled_each(documents(spark, data), "lang", ["doc_id", "text"], 700, 3).groupBy("lang").count().collect()
+    assert {r[0]: r[1] for r in each} == {x: 700, y: 700, rare: 2}
+
+
 def test_held_out_accuracy_on_the_table(spark):
     got = registry.op4_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert got and sum(r.lang == r.lang_pred for r in got) / len(got) > 0.98
