@@ -4,7 +4,9 @@ Words (A-Z lower-cased) and pairs of neighbouring words are counted over all doc
 background (every row) and once for the target rows. A pair's probability is its count, smoothed by
 STRENGTH expected counts of the second word's own probability, which is smoothed by one count for each
 word of the corpus and one for the unknown. Every word and every pair counts, however rare, so the
-models grow with the corpus; they are never collected or broadcast.
+models grow with the corpus; they are never collected or broadcast. What a document itself added to
+the counts is taken off before it is scored by either model, so a target document is not known to the
+target model by its own words, and a score tells likeness rather than membership.
 
 Documents are encoded once, in chunks of about CHUNK_WORDS words. A chunk asks for the counts of its
 distinct words and pairs (63-bit hashes, so two different ones are taken for one about once in 2^63
@@ -26,8 +28,6 @@ from xxhash import xxh64_intdigest
 
 from .common import arrow_rows, materialize, small
 
-#: Shares of the corpus that a word and a pair must reach to be in the models: none, at any size.
-VOCABULARY_SHARE, PAIR_SHARE = 0.0, 0.0
 STRENGTH = 32.0
 #: Words in a chunk (whole documents, so a longer one makes a longer chunk), and words of the corpus for each bucket.
 CHUNK_WORDS, BUCKET_WORDS = 1 << 18, 1 << 19
@@ -121,14 +121,28 @@ class Chunk:
         return out
 
     def losses(self, n: np.ndarray, totals: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-        """Sums of the losses in bits of each document, (background, target). n: counts() of the corpus; totals, starts: its words, and its texts that have some."""
-        n = n.astype(float)
-        word, pair = np.split(n[:2], [self.n_words], axis=1)
-        before = np.column_stack([word - n[2:, : self.n_words], starts])
-        p_word = (word + 1) / (totals[:, None] + size)
-        loss = -np.log2((pair + STRENGTH * p_word[:, self.word]) / (before[:, self.before] + STRENGTH))
+        """Sums of the losses in bits of each document, (background, target), by what the rest of the corpus holds. n: counts() of the corpus; totals, starts: its words, and its texts that have some."""
+        v, k = self.n_words, len(self.word)
         doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        return np.array([np.bincount(doc, weights=x[self.at], minlength=len(self.lengths)) for x in loss])
+        # own counts of each document: of its pairs, and of its words, all and but the last one
+        own, own_pair = np.unique(doc * max(k, 1) + self.at, return_counts=True)
+        doc, at = own // max(k, 1), own % max(k, 1)
+        words, own_word = np.unique(np.repeat(np.arange(len(self.lengths)), self.lengths) * (v + 1) + self.ids, return_counts=True)
+        own_before = own_word.copy()
+        own_before[np.searchsorted(words, np.flatnonzero(self.lengths) * (v + 1) + self.ids[self.ends])] -= 1
+        word, before = self.word[at], self.before[at]
+        own_word = own_word[np.searchsorted(words, doc * (v + 1) + word)]
+        # a text's first word has the start before it, which is in each text once
+        own_before = np.where(before == v, 1, np.append(own_before, 0)[np.searchsorted(words, doc * (v + 1) + before)])
+        out = []
+        for m, inside in enumerate((np.ones(len(self.lengths), bool), self.targets)):
+            mine = inside[doc].astype(float)
+            n_word, n_pair = n[m, :v].astype(float), n[m, v:].astype(float)
+            n_before = np.append(n_word - n[m + 2, :v], starts[m])
+            p_word = (n_word[word] - mine * own_word + 1) / (totals[m] - mine * self.lengths[doc] + size)
+            loss = -np.log2((n_pair[at] - mine * own_pair + STRENGTH * p_word) / (n_before[before] - mine * own_before + STRENGTH))
+            out.append(np.bincount(doc, weights=own_pair * loss, minlength=len(self.lengths)))
+        return np.array(out)
 
 
 def encode(docs: DataFrame) -> DataFrame:
@@ -166,9 +180,9 @@ def count(chunks: DataFrame, buckets: int) -> DataFrame:
 
 
 def score(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, target_loss, background_loss (bits a word) and ce_difference (target less background: low is like the target) for every row of docs, by models of docs.
+    """doc_id, n_words, target_loss, background_loss (bits a word) and ce_difference (target less background: low is like the target) for every row of docs, by models of docs without the row itself.
 
-    docs: doc_id, text, is_target. A null or blank text has no words and null losses. Whole texts are read.
+    docs: doc_id, text, is_target. A copy of a row is another row. A null or blank text has no words and null losses. Whole texts are read.
     """
     spark = docs.sparkSession
     rows = {"parquet.page.size.row.check.min": 1, "parquet.block.size.row.check.min": 1}  # a chunk is a large row
