@@ -7,8 +7,8 @@ collision-corrected similarity of SLACK by bit counts before both texts are fetc
 confirmed on the full sets. A pair at similarity 0.75 shares no band with probability
 (1 - 0.75**4)**32 = 5e-6, and falls short of SLACK with probability below 1e-7.
 
-Copies are folded first (same word sequence: one representative), so a group of copies costs one
-row. In a bucket, members are compared with its hub, the member that meets most others in all its
+Copies are folded first: the texts of one word sequence (by its 128-bit hash) are a class, which
+costs one row and is named by its smallest doc_id. In a bucket, members are compared with its hub, the member that meets most others in all its
 buckets (round 1), and components are formed. Of the pairs that still lie in different components
 (round 2), one can only be a link if
 
@@ -26,16 +26,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialize, small
+from .common import WORD, arrow_rows, discard, materialize, small
 from .graph import connected_components
 
 SHINGLE, BANDS, ROWS = 5, 32, 4
 THRESHOLD, SLACK = 75, 0.5
 #: Documents whose ids may be broadcast to pick their texts (8 bytes each); beyond it the join is shuffled.
 MAX_BROADCAST_IDS = 2_000_000
+#: Pairs of one hub that a task compares, about.
+PAIRS_EACH = 256
 #: Rows in an Arrow batch: whole texts, in pairs.
 BATCH_ROWS = 500
 _MASK = (1 << 64) - 1
@@ -104,7 +106,7 @@ def band_keys(lows: np.ndarray) -> np.ndarray:
     return (out ^ (out >> np.uint64(30))).view(np.int64)
 
 
-_SIGNATURE = "doc_id long, c1 long, c2 long, n_shingles long, s0 long, s1 long, s2 long, s3 long, bands array<long>"
+_SIGNATURE = "doc_id long, t long, c1 long, c2 long, n_shingles long, s0 long, s1 long, s2 long, s3 long, bands array<long>"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +115,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = batch.num_rows
         classes, sizes = np.zeros((n, 2), np.int64), np.zeros(n, np.int64)
         packed, bands = np.zeros((n, 4), np.int64), np.zeros((n, BANDS), np.int64)
-        for i, text in enumerate(batch.column(1)):
+        for i, text in enumerate(batch.column(2)):
             words = words_of(text.as_py())
             shingles = shingle_set(words, hashes)
             sizes[i] = len(shingles)
@@ -123,14 +125,15 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 packed[i], bands[i] = pack_low_bits(lows), band_keys(lows)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).cast(pa.int64()), *(pa.array(x) for x in (classes[:, 0], classes[:, 1], sizes)), *(pa.array(packed[:, k]) for k in range(4)), lists],
-            names=["doc_id", "c1", "c2", "n_shingles", "s0", "s1", "s2", "s3", "bands"],
+            [batch.column(0), batch.column(1), *(pa.array(x) for x in (classes[:, 0], classes[:, 1], sizes)), *(pa.array(packed[:, k]) for k in range(4)), lists],
+            names=["doc_id", "t", "c1", "c2", "n_shingles", "s0", "s1", "s2", "s3", "bands"],
         )
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, class of the word sequence (c1, c2), n_shingles, packed two-bit minima (s0..s3) and band keys."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sign, _SIGNATURE)
+    """doc_id, t (hash of the text), class of the word sequence (c1, c2), n_shingles, packed two-bit minima (s0..s3) and band keys."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text), text).mapInArrow(_sign, _SIGNATURE)
 
 
 def estimate(a: str, b: str) -> F.Column:
@@ -156,10 +159,16 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def overlaps(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, n_a, n_b, common): sizes of the full shingle sets of pairs (a, b), and of their intersection."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(_overlap, "a long, b long, n_a long, n_b long, common long")
+    """(a, b, n_a, n_b, common): sizes of the full shingle sets of pairs (a, b), and of their intersection.
+
+    The pairs of one a (a hub may have any number of them) are dealt to several tasks, PAIRS_EACH or so to each; its text is sent to as many.
+    """
+    each = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_EACH).cast("int").alias("parts"))
+    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).join(each, "a")
+    left = left.select("a", "text_a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+    dealt = pairs.join(each, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"))
+    return dealt.join(right, "b").join(left, ["a", "part"]).select("a", "b", "text_a", "text_b").mapInArrow(_overlap, "a long, b long, n_a long, n_b long, common long")
 
 
 def links_of(found: DataFrame) -> DataFrame:
@@ -169,23 +178,38 @@ def links_of(found: DataFrame) -> DataFrame:
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             found = shingle_set(words_of(text.as_py()), hashes).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), doc_id)), pa.array(found)], names=["doc_id", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), name)), pa.array(found)], names=["rep", "h"])
 
 
 def own_shingles(texts: DataFrame) -> DataFrame:
-    """(doc_id, u): how many shingles of a text none of the other texts has; texts without such a shingle do not appear."""
-    rows = texts.select("doc_id", "text").mapInArrow(_shingles, "doc_id long, h long")
-    single = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
-    return single.groupBy("doc_id").agg(F.count("*").alias("u"))
+    """(rep, u): how many shingles of a text (id, text) none of the other texts has; texts without such a shingle do not appear."""
+    rows = texts.select("id", "text").mapInArrow(_shingles, "rep long, h long")
+    single = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1")
+    return single.groupBy("rep").agg(F.count("*").alias("u"))
+
+
+def _classes(signed: DataFrame) -> DataFrame:
+    """One row for each word sequence: c1, c2, rep (its name), least (its smallest doc_id), t (the hash of that row's text), n_shingles, s0..s3, bands.
+
+    rep is least, unless rows of one doc_id have different texts: of the classes that share their
+    least, all but one are then named by a negative hash.
+    """
+    per = signed.where("n_shingles > 0 and doc_id is not null").groupBy("c1", "c2").agg(F.min_by(F.struct("doc_id", "t", "n_shingles", "s0", "s1", "s2", "s3", "bands"), F.struct("doc_id", "t")).alias("r"))
+    per = materialize(per.select("c1", "c2", "r.*").withColumnRenamed("doc_id", "least"), "classes")
+    shared = per.groupBy("least").agg(F.count("*").alias("n"), F.min(F.struct("c1", "c2")).alias("first")).where("n > 1").select("least", "first")
+    named = per.join(small(shared, MAX_BROADCAST_IDS), "least", "left")
+    other = F.col("first").isNotNull() & (F.struct("c1", "c2") != F.col("first"))
+    return named.withColumn("rep", F.when(other, F.xxhash64("c1", "c2").bitwiseOR(F.lit(-(1 << 63)))).otherwise(F.col("least"))).drop("first")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text; other columns are not read).
 
     Words are compared with A-Z in lower case. A text without words (null, empty, blank) is linked
-    with nothing. Repeated rows and copies share a component. A row whose doc_id is null takes part
+    with nothing. Repeated rows and copies share a component; rows of one doc_id with different texts
+    are linked each by its own text. A row whose doc_id is null takes part
     through its copies only: it gets the component of an equal text that has an id, else null; it
     is kept if it has none.
     """
@@ -196,25 +220,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def _near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialize(signatures(docs), "signatures")
-    class_of = ["c1", "c2"]
-    reps = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*class_of).agg(F.min_by(F.struct("doc_id", "n_shingles", "s0", "s1", "s2", "s3", "bands"), "doc_id").alias("r"))
-    reps = reps.select(*class_of, "r.*").withColumnRenamed("doc_id", "rep")
+    reps = _classes(signed)
 
     entries = reps.select("rep", F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialize(entries.join(shared, "key"), "members")
-    met = members.groupBy("rep").agg(F.sum("n").alias("met"))
-    signs = reps.select("rep", "n_shingles", "s0", "s1", "s2", "s3").join(met, "rep")
+    met = materialize(entries.join(shared, "key"), "met")
+    signs = reps.select("rep", "least", "t", "n_shingles", "s0", "s1", "s2", "s3").join(met.groupBy("rep").agg(F.sum("n").alias("met")), "rep")
     bands = reps.select("rep", "bands")
-    hubs = members.join(met, "rep").groupBy("key").agg(F.max_by("rep", F.struct("met", -F.col("rep"))).alias("hub"))
-    members = materialize(members.join(hubs, "key").join(signs.drop("met"), "rep"), "members")
-    ids = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = materialize(docs.join(small(ids, MAX_BROADCAST_IDS), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-
-    stars = members.where("rep <> hub").select("hub", "rep").distinct()
-    stars = stars.alias("p").join(signs.alias("x"), F.col("p.rep") == F.col("x.rep")).join(signs.alias("y"), F.col("p.hub") == F.col("y.rep"))
-    stars = stars.where(estimate("x", "y") >= SLACK).select(F.col("p.hub").alias("a"), F.col("p.rep").alias("b"))
-    told = materialize(overlaps(stars, texts), "overlaps")
+    signed_members = met.select("key", "rep").join(signs, "rep")
+    # a bucket's hub comes with its signature, so that no task gathers the pairs of a hub
+    hubs = signed_members.groupBy("key").agg(F.max_by(F.struct(F.col("rep").alias("hub"), "s0", "s1", "s2", "s3"), F.struct("met", -F.col("rep"))).alias("its"))
+    members = materialize(signed_members.join(hubs, "key").withColumn("hub", F.col("its.hub")), "members")
+    discard(met)
+    ids = members.select(F.col("rep").alias("id"), F.col("least").alias("_d"), F.col("t").alias("_t")).distinct()
+    # the text whose hash the class has kept: rows of one doc_id may have different texts
+    held = docs.join(small(ids, MAX_BROADCAST_IDS), (F.col("doc_id") == F.col("_d")) & (F.xxhash64("text") == F.col("_t")))
+    texts = materialize(held.select("id", "text").dropDuplicates(["id"]), "texts")
+
+    stars = members.where("rep <> hub").dropDuplicates(["hub", "rep"]).select("hub", "rep", F.struct("s0", "s1", "s2", "s3").alias("x"), F.col("its").alias("y"))
+    stars = stars.where(estimate("x", "y") >= SLACK).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    told = materialize(overlaps(materialize(stars, "stars"), texts), "overlaps")
+    members = members.drop("its")
     links = links_of(told)
 
     roots = connected_components(links)
@@ -222,7 +248,7 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
     counts = placed.groupBy("key", "root").agg(F.count("*").alias("n_root"))
     mixed = counts.groupBy("key").agg(F.max_by("root", F.struct("n_root", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
     placed = materialize(placed.join(mixed, "key"), "placed")
-    alone = own_shingles(texts.join(placed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")).withColumnRenamed("doc_id", "rep")
+    alone = own_shingles(texts.join(placed.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
     placed = placed.join(alone, "rep", "left").withColumn("u", F.coalesce("u", F.lit(0))).where(100 * (F.col("n_shingles") - F.col("u")) >= THRESHOLD * F.col("n_shingles"))
     placed = placed.join(bands, "rep")
     at_hub = told.select(F.col("a").alias("hub"), F.col("b").alias("rep"), F.col("common").alias("h"))
@@ -243,11 +269,37 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
         # of the buckets that both share, the first one gives the pair
         & (F.col("x.key") == F.array_min(F.array_intersect("x.bands", "y.bands"))),
     )
-    across = across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    links = links.union(links_of(overlaps(across, texts)))
+    across = materialize(across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct(), "across")
+    links = materialize(links.union(links_of(overlaps(across, texts))), "links")
 
     roots = connected_components(links).withColumnRenamed("node", "rep")
-    classes = reps.select(*class_of, "rep").join(roots, "rep", "left").select(*class_of, F.coalesce("root", "rep").alias("component"))
-    rows = signed.select("doc_id", *class_of, "n_shingles").join(classes, class_of, "left")
+    classes = materialize(reps.select("c1", "c2", "rep", "least").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "roots")
+    # a root that is a name, not a doc_id: the smallest doc_id among its classes
+    named = classes.where("root < 0").groupBy("root").agg(F.min("least").alias("low"))
+    classes = classes.join(small(named, MAX_BROADCAST_IDS), "root", "left").select("c1", "c2", F.coalesce("low", "root").alias("component"))
+    rows = signed.select("doc_id", "c1", "c2", "n_shingles").join(classes, ["c1", "c2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text, any other columns) that stay when each group of near duplicates keeps one document, that of the smallest doc_id.
+
+    Of repeated rows (one doc_id, one text) the one with the smallest hash of all columns stays. Rows
+    without a doc_id, and those whose doc_id has several texts, are linked like all others, each by
+    its own text; in the order they stand behind the rest, by a hash of doc_id and text. Texts
+    without words all stay.
+    """
+    text, spare = F.col("text").cast("string"), "_" * (1 + max(map(len, docs.columns)))
+    number, words, row = f"{spare}number", f"{spare}words", f"{spare}row"
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t")).where("doc_id is not null")
+    several = ids.groupBy("doc_id").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low <> high").select(F.col("doc_id").alias(f"{spare}several"))
+    marked = docs.join(small(several, MAX_BROADCAST_IDS), F.col("doc_id").cast("long") == F.col(f"{spare}several"), "left")
+    behind = F.shiftrightunsigned(F.xxhash64("doc_id", text), 2).bitwiseOR(F.lit(1 << 62))
+    own = F.when(F.col(f"{spare}several").isNull() & F.col("doc_id").isNotNull(), F.col("doc_id").cast("long")).otherwise(behind)
+    numbered = marked.select(*(docs[c] for c in docs.columns), own.alias(number), F.coalesce(F.regexp(text, F.lit(WORD)), F.lit(False)).alias(words))
+    kept = near_duplicates(numbered.where(F.col(words)).select(F.col(number).alias("doc_id"), text.alias("text"))).where("kept").select(F.col("doc_id").alias(f"{spare}kept")).distinct()
+    blank = numbered.where(~F.col(words)).select(*docs.columns)
+    same = Window.partitionBy(number).orderBy(F.xxhash64(*docs.columns))
+    first = numbered.where(F.col(words)).join(kept, F.col(number) == F.col(f"{spare}kept"), "left_semi").withColumn(row, F.row_number().over(same)).where(F.col(row) == 1)
+    return first.select(*docs.columns).unionAll(blank)
