@@ -4,14 +4,19 @@ Subwords are the byte n-grams of 2 to 4 bytes of each lower-cased word, and the
 to embeddings of 16 numbers; a text is the mean of its subwords' embeddings, and a linear layer with
 softmax gives the languages. Both are trained together by stochastic gradient descent in numpy on a
 sample of at most ROWS_EACH labelled rows of each language, all of a rarer one; an epoch takes the
-pieces of a rarer language more often, up to REPEATS times. Of each text, one in four pieces of 40
-words is read, and the first 4 words of it, so that short texts are known too. A temperature fitted on rows that were held back calibrates the score, and what
-falls under ``reject_below`` is rejected.
+pieces of a rarer language more often, up to REPEATS times.
+
+A sampled text is learned from whole: as pieces of PIECES[1] words, which cover all of it, and of its
+first PIECES[0] words of each piece, so that short texts are known too. Texts are held as word
+numbers, and the subwords once for each distinct word, so memory grows with the words of the sample.
+
+Scores are calibrated by temperatures fitted on rows that were held back: one for texts of up to
+LENGTHS[0] words (fitted on the short pieces), one for those of up to LENGTHS[1] (on the long ones),
+one for longer ones (on whole texts). What falls under ``reject_below`` is rejected.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,64 +28,103 @@ from pyspark.sql import types as T
 from .models import BUCKETS, WordScores, give_back, ngram_buckets, sampled_each, softmax, temperature
 
 SIZES = (2, 3, 4)
-ROWS_EACH, DIMENSIONS, EPOCHS, RATE = 500, 16, 4, 0.5
+ROWS_EACH, DIMENSIONS, EPOCHS, RATE = 500, 16, 2, 0.5
+#: Words of a short and of a long piece, and up to how many words a text's score is calibrated like them.
+PIECES, LENGTHS = (4, 40), (12, 120)
 #: How often an epoch takes an example of a language that has few, at most.
 REPEATS = 20
-#: Gradient steps at least, by further epochs where the sample is small.
-MIN_STEPS = 15_000
+#: Examples of a gradient step, and examples taken at least, by further epochs where the sample is small.
+BATCH, MIN_EXAMPLES = 16, 15_000
 #: Calibrated probability under which a text is rejected.
 REJECT_BELOW = 0.5
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").split()
 
 
-def _examples(texts: list[str], gold: list[int]) -> list[tuple[np.ndarray, int]]:
-    """Subword buckets of each text's pieces of up to 40 words, and of short ones of 4."""
-    out = []
-    for text, label in zip(texts, gold, strict=True):
-        words = words_of(text)
-        for at in range(0, len(words), 40):
-            for piece in (words[at : at + 40], words[at : at + 4]) if at % 160 == 0 else ():
-                if piece:
-                    out.append((ngram_buckets(piece, SIZES)[0].astype(np.int32), label))
+def has_letter(text: str) -> bool:
+    """Whether a character is of one of the Unicode categories of letters (Lu, Ll, Lt, Lm, Lo)."""
+    return any(map(str.isalpha, text))
+
+
+class Texts:
+    """Texts as word numbers, with the subword buckets of each distinct word, and their pieces (text's label, first word, end)."""
+
+    def __init__(self, texts: list[str], labels: list[int]):
+        index: dict[bytes, int] = {}
+        numbers = [np.fromiter((index.setdefault(w, len(index)) for w in words_of(t)), np.int32) for t in texts]
+        self.words = np.concatenate([*numbers, np.empty(0, np.int32)])
+        ends = np.cumsum([len(x) for x in numbers]).astype(np.int64)
+        self.whole = [(label, end - len(x), end) for label, x, end in zip(labels, numbers, ends.tolist(), strict=True) if len(x)]
+        buckets, owners = ngram_buckets(list(index), SIZES)
+        order = np.argsort(owners, kind="stable")
+        self.buckets = buckets[order].astype(np.int32)
+        self.sizes = np.bincount(owners, minlength=len(index)).astype(np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def pieces(self, size: int) -> list[tuple[int, int, int]]:
+        """The first size words of each stretch of PIECES[1] words, the last of which may be shorter."""
+        return [(label, at, min(at + size, end)) for label, first, end in self.whole for at in range(first, end, PIECES[1])]
+
+    def subwords(self, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of the subwords of all pieces (label, first, end), and how many each piece has."""
+        spans = pieces[:, 2] - pieces[:, 1]
+        words = self.words[_ranges(pieces[:, 1], spans)]
+        sizes = self.sizes[words]
+        return self.buckets[_ranges(self.starts[words], sizes)], np.add.reduceat(sizes, np.cumsum(spans) - spans)
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one range after the other."""
+    before = np.cumsum(sizes) - sizes
+    return np.arange(int(sizes.sum())) - np.repeat(before - starts, sizes)
+
+
+def _means(table: np.ndarray, texts: Texts, pieces: np.ndarray) -> np.ndarray:
+    """Mean of table's rows over the subwords of each piece; a few pieces at a time, so that long texts need little memory."""
+    out = np.zeros((len(pieces), table.shape[1]))
+    for k in range(0, len(pieces), 8):
+        buckets, n = texts.subwords(pieces[k : k + 8])
+        out[k : k + 8] = np.add.reduceat(table[buckets], np.cumsum(n) - n, dtype=np.float64) / n[:, None]
     return out
 
 
 def train(rows: list[tuple[str, str]], seed: int = 11, dimensions: int = DIMENSIONS, epochs: int = EPOCHS, rate: float = RATE) -> dict:
-    """Model from (text, lang) rows: languages, table (a row of logits for each bucket), temperature. The same rows give the same model."""
+    """Model from (text, lang) rows: languages, table (a row of logits for each bucket), temperatures. The same rows give the same model."""
     langs = sorted({lang for _, lang in rows})
     rng = np.random.default_rng(seed)
     if not langs:
-        return {"langs": [], "table": np.zeros((1, 1), np.float32), "temperature": 1.0}
+        return {"langs": [], "table": np.zeros((1, 1), np.float32), "temperatures": (1.0, 1.0, 1.0)}
     code = {x: k for k, x in enumerate(langs)}
     held = rng.random(len(rows)) < 0.2
     held[[[x for _, x in rows].index(lang) for lang in langs]] = False  # a row of each language at least is learned from
-    fit = _examples([t for (t, _), h in zip(rows, held, strict=True) if not h], [code[x] for (_, x), h in zip(rows, held, strict=True) if not h])
-    check = _examples([t for (t, _), h in zip(rows, held, strict=True) if h], [code[x] for (_, x), h in zip(rows, held, strict=True) if h])
+    fit, check = (Texts([t for (t, _), h in zip(rows, held, strict=True) if h == side], [code[x] for (_, x), h in zip(rows, held, strict=True) if h == side]) for side in (False, True))
     embedding = (rng.random((BUCKETS, dimensions), np.float32) - np.float32(0.5)) / np.float32(dimensions)
     weights = np.zeros((dimensions, len(langs)))
-    labels = np.array([x for _, x in fit], int)
-    n = np.bincount(labels, minlength=len(langs))
-    taken = np.repeat(np.arange(len(fit)), np.clip(n.max() // np.maximum(n, 1), 1, REPEATS)[labels]) if fit else labels
-    epochs = max(epochs, -(-MIN_STEPS // max(1, len(taken)))) if fit else 0
-    step, steps = 0, max(1, epochs * len(taken))
+    pieces = np.array([*fit.pieces(PIECES[0]), *fit.pieces(PIECES[1])], np.int64).reshape(-1, 3)
+    n = np.bincount(pieces[:, 0], minlength=len(langs))
+    taken = np.repeat(np.arange(len(pieces)), np.clip(n.max() // np.maximum(n, 1), 1, REPEATS)[pieces[:, 0]])
+    epochs = max(epochs, -(-MIN_EXAMPLES // max(1, len(taken)))) if len(taken) else 0
+    columns = np.arange(dimensions)
+    done, total = 0, max(1, epochs * len(taken))
     for _ in range(epochs):
-        for k in rng.permutation(taken):
-            ids, label = fit[k]
-            lr = rate * (1 - step / steps)
-            step += 1
-            mean = embedding[ids].mean(axis=0)
+        order = rng.permutation(taken)
+        for k in range(0, len(order), BATCH):
+            batch = pieces[order[k : k + BATCH]]
+            lr = rate * (1 - done / total)
+            done += len(batch)
+            buckets, sizes = fit.subwords(batch)
+            mean = np.add.reduceat(embedding[buckets], np.cumsum(sizes) - sizes) / sizes[:, None]
             error = softmax(mean @ weights)
-            error[label] -= 1
-            back = weights @ error
-            weights -= lr * np.outer(mean, error)
-            np.subtract.at(embedding, ids, lr * back / len(ids))
-    logits = np.array([embedding[ids].mean(axis=0) @ weights for ids, _ in check]).reshape(-1, len(langs))
-    return {"langs": langs, "table": (embedding @ weights).astype(np.float32), "temperature": temperature(logits, np.array([x for _, x in check], int))}
+            error[np.arange(len(batch)), batch[:, 0]] -= 1
+            back = (lr / sizes[:, None]) * (error @ weights.T)
+            weights -= lr * (mean.T @ error)
+            np.subtract.at(embedding.reshape(-1), (buckets[:, None].astype(np.int64) * dimensions + columns).ravel(), np.repeat(back.astype(np.float32), sizes, axis=0).ravel())
+    table = (embedding @ weights).astype(np.float32)
+    kinds = [np.array(x, np.int64).reshape(-1, 3) for x in (check.pieces(PIECES[0]), check.pieces(PIECES[1]), check.whole)]
+    return {"langs": langs, "table": table, "temperatures": tuple(temperature(_means(table, check, x), x[:, 0]) for x in kinds)}
 
 
 def train_on(labelled: DataFrame, rows_each: int = ROWS_EACH, seed: int = 11) -> dict:
@@ -95,24 +139,27 @@ def train_on(labelled: DataFrame, rows_each: int = ROWS_EACH, seed: int = 11) ->
 
 def predict(text: str | None, model: dict, scores: WordScores) -> tuple[str, float]:
     """(lang, calibrated probability); UNKNOWN and 0 for a text that is null, has no letter, or if nothing was learned."""
-    if not text or not model["langs"] or not _LETTER.search(text):
+    if not text or not model["langs"] or not has_letter(text):
         return UNKNOWN, 0.0
-    total = scores.of(words_of(text))
-    p = softmax(total[:-1] / max(total[-1], 1) / model["temperature"])
+    words = words_of(text)
+    total = scores.of(words)
+    p = softmax(total[:-1] / max(total[-1], 1) / model["temperatures"][sum(len(words) > n for n in LENGTHS)])
     best = int(p.argmax())
     return model["langs"][best], float(min(1.0, p[best]))
 
 
-def identify(docs: DataFrame, model: dict, text: str = "text", reject_below: float = REJECT_BELOW) -> DataFrame:
-    """Adds lang_pred, lang_score and lang_rejected to every row of docs; columns of these names are replaced.
+def identify(docs: DataFrame, model: dict, text: str = "text", reject_below: float = REJECT_BELOW, carried: list[str] | None = None) -> DataFrame:
+    """Adds lang_pred, lang_score and lang_rejected to every row of docs; columns of these names are replaced. carried: the columns to keep (all).
 
     lang_pred is ``und``, with score 0 and rejected, where the text is null or has no letter; whole
     texts are read, repeated rows are judged alike.
     """
-    docs = docs.drop("lang_pred", "lang_score", "lang_rejected")
+    added = ["lang_pred", "lang_score", "lang_rejected"]
+    docs = docs.drop(*added)
+    kept = [c for c in docs.columns if carried is None or c in carried]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: BUCKETS rows of a logit for each language
-    at = docs.columns.index(text)
-    names = [*docs.columns, "lang_pred", "lang_score", "lang_rejected"]
+    at, places = docs.columns.index(text), [docs.columns.index(c) for c in kept]
+    names = [*kept, *added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -121,7 +168,7 @@ def identify(docs: DataFrame, model: dict, text: str = "text", reject_below: flo
             found = [predict(x.as_py(), model, scores) for x in batch.column(at)]
             score = pa.array([x[1] for x in found], pa.float64())
             rejected = pa.array([x[0] == UNKNOWN or x[1] < reject_below for x in found], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), score, rejected], names=names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in places), pa.array([x[0] for x in found], pa.string()), score, rejected], names=names)
 
-    schema = T.StructType([*docs.schema, *T._parse_datatype_string("lang_pred string, lang_score double, lang_rejected boolean")])
+    schema = T.StructType([*(docs.schema[k] for k in places), *T._parse_datatype_string("lang_pred string, lang_score double, lang_rejected boolean")])
     return docs.mapInArrow(run, schema)

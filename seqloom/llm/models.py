@@ -8,7 +8,7 @@ import gc
 from zlib import crc32
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_BITS = 18
@@ -68,13 +68,9 @@ class WordScores:
         return self.rows[ids].sum(axis=0, dtype=np.float64)
 
 
-def sampled(rows: DataFrame, key: Column, at_most: int, seed: int) -> DataFrame:
-    """About at_most rows of rows (all, if there are fewer), picked by the hash of key; never more than at_most."""
-    n = rows.count()
-    if n > at_most:
-        share = int((at_most / n) * (1 << 32))
-        rows = rows.where(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 32)) < share)
-    return rows.limit(at_most)
+def sampled(rows: DataFrame, keys: list[str], at_most: int, seed: int) -> DataFrame:
+    """at_most rows of rows (all, if there are fewer): those of the smallest hashes of keys, then of the smallest keys, so that neither files nor retries matter. Each task keeps at_most rows at most."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(at_most)
 
 
 def sampled_each(rows: DataFrame, group: str, keys: list[str], at_most: int, seed: int) -> DataFrame:
@@ -102,7 +98,12 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def temperature(logits: np.ndarray, gold: np.ndarray) -> float:
-    """The temperature of least log loss on rows that were not fitted."""
+    """The temperature of least log loss on rows that were not fitted; of n rows one more is taken to be wrong, so that few rows never make a score certain."""
+    if not len(gold):
+        return 1.0
+    wrong = 1 / (len(gold) + 2)
+    target = np.full(logits.shape, wrong / max(1, logits.shape[1] - 1))
+    target[np.arange(len(gold)), gold] = 1 - wrong
     grid = np.geomspace(0.25, 8, 61)
-    losses = [-np.log(np.maximum(softmax(logits / t)[np.arange(len(gold)), gold], 1e-12)).mean() for t in grid] if len(gold) else [0.0]
-    return float(grid[int(np.argmin(losses))]) if len(gold) else 1.0
+    losses = [-(target * np.log(np.maximum(softmax(logits / t), 1e-12))).sum(axis=1).mean() for t in grid]
+    return float(grid[int(np.argmin(losses))])
