@@ -21,7 +21,7 @@ from xxhash import xxh64_intdigest
 from .models import BUCKETS, WordScores, give_back, ngram_buckets, sampled
 
 SIZES = (3, 4, 5)
-MAX_ROWS, EPOCHS, RATE, SCALE = 1_500, 12, 0.05, 40.0
+MAX_ROWS, EPOCHS, RATE, SCALE = 3_000, 6, 0.05, 40.0
 #: Fixed thresholds: fewest words, largest share of repeated words in percent, and the probability of good quality under which a text is rejected.
 MIN_WORDS, MAX_REPEAT, KEEP_FROM = 50, 50, 0.5
 _SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -130,10 +130,10 @@ def _platt(z: np.ndarray, gold: np.ndarray) -> dict:
 
 
 def train_on(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, seed: int = 5) -> dict:
-    """Model from at most max_rows labelled rows: docs (doc_id, text) joined with labels (doc_id, quality 0 or 1). Null texts and labels are left out."""
+    """Model from at most max_rows labelled rows: docs (doc_id, text) joined with labels (doc_id, quality 0 or 1). Null texts and labels are left out; of rows that share a doc_id the smallest text is learned from. The same rows give the same model."""
     usable = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    picked = F.broadcast(sampled(usable, F.col("doc_id"), max_rows, seed))  # at most max_rows rows
-    rows = docs.where("text is not null").select("doc_id", "text").join(picked, "doc_id").limit(2 * max_rows).collect()
+    picked = F.broadcast(sampled(usable, ["doc_id"], max_rows, seed))  # at most max_rows rows
+    rows = docs.where("text is not null").select("doc_id", "text").join(picked, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
     model = train([(r.text, r.quality) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))], seed)
     del rows
     give_back()
@@ -151,17 +151,18 @@ def probability(words: list[bytes], h: np.ndarray, model: dict, scores: WordScor
     return float(1 / (1 + np.exp(-np.clip(model["scale"] * z + model["shift"], -30, 30))))
 
 
-def judge(docs: DataFrame, model: dict, text: str = "text", keep_from: float = KEEP_FROM) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, quality_score and kept to every row of docs; columns of these names are replaced.
+def judge(docs: DataFrame, model: dict, text: str = "text", keep_from: float = KEEP_FROM, carried: list[str] | None = None) -> DataFrame:
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, quality_score and kept to every row of docs; columns of these names are replaced. carried: the columns to keep (all).
 
     A null or blank text has no words and fails the base rules. kept is false where base_failed, or
     where the calibrated probability is under keep_from. Whole texts are read, rows one by one.
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality_score", "kept"]
     docs = docs.drop(*added)
+    carry = [c for c in docs.columns if carried is None or c in carried]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: two tables of BUCKETS weights
-    at = docs.columns.index(text)
-    names = [*docs.columns, *added]
+    at, places = docs.columns.index(text), [docs.columns.index(c) for c in carry]
+    names = [*carry, *added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -174,7 +175,7 @@ def judge(docs: DataFrame, model: dict, text: str = "text", keep_from: float = K
                 score.append(probability(words, h, model, scores))
             kept = [not f and s >= keep_from for f, s in zip(failed, score, strict=True)]
             numbers = [pa.array(np.ascontiguousarray(told[:, k])) for k in range(5)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *numbers, pa.array(failed, pa.bool_()), pa.array(score, pa.float64()), pa.array(kept, pa.bool_())], names=names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in places), *numbers, pa.array(failed, pa.bool_()), pa.array(score, pa.float64()), pa.array(kept, pa.bool_())], names=names)
 
     told = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, quality_score double, kept boolean"
-    return docs.mapInArrow(run, T.StructType([*docs.schema, *T._parse_datatype_string(told)]))
+    return docs.mapInArrow(run, T.StructType([*(docs.schema[k] for k in places), *T._parse_datatype_string(told)]))

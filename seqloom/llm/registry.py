@@ -42,14 +42,14 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.train_on(docs.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))))
-    found = language_id.identify(docs.select("doc_id", "text"), model)
+    found = language_id.identify(docs.select("doc_id", "text"), model, carried=["doc_id"])
     return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_rules.train_on(docs, table(spark, sf_dir, "labels"))
-    return quality_rules.judge(docs, model).drop("text")
+    return quality_rules.judge(docs, model, carried=["doc_id"])
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
