@@ -6,8 +6,9 @@ alike. Documents are laid end to end in that order (below the curve, by a hash o
 large group of copies is spread over partitions) and the stream is cut at every ``length`` tokens:
 only the last sequence is padded.
 
-The tokens are computed once, written to the shared folder with their key, and range-partitioned by
-quantiles of the key; the start of each partition comes from the partition totals (one row each).
+The tokens are computed once, written to the shared folder with their key, and cut into buckets by
+quantiles of the key, as many as keep a bucket small; the start of each comes from the totals of the
+buckets before it (one row each).
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialize, prefix_sums
+from .common import arrow_rows, cuts_of, materialize, part_of, prefix_sums
 
 LENGTH, END_ID = 1024, 0
-#: Rows in an Arrow batch of whole texts.
-BATCH_ROWS = 2_000
+#: Rows in an Arrow batch of whole texts, and of documents that are cut at a time.
+BATCH_ROWS, CUT_ROWS = 2_000, 1_000
+#: Tokens of a bucket of the curve, about, where the session has fewer partitions.
+BUCKET_TOKENS = 1 << 23
 DIMENSIONS, LEVEL_BITS, HASHED = 4, 8, 512
 _rng = np.random.default_rng(23)
 _PROJECTION = _rng.standard_normal((HASHED, DIMENSIONS))
@@ -136,11 +139,10 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame
 
 def lay_out(tokens: DataFrame) -> DataFrame:
     """Adds first: the place of each row's first token in the stream, in the order (key, doc_id, row)."""
-    n = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = tokens.agg(F.percentile_approx("key", [k / n for k in range(1, n)], 100 * n) if n > 1 else F.lit(None)).first()[0] or []
-    cuts = F.array(*(F.lit(c) for c in sorted(set(cuts)))) if cuts else F.array().cast("array<long>")
-    bucket = F.size(F.filter(cuts, lambda c: c < F.col("key")))
-    placed = prefix_sums(tokens.withColumn("_bucket", bucket), [], "_bucket", ["key", "doc_id", "row"], "n_tokens", "_upto")
+    parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = tokens.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    cuts = cuts_of(tokens, "key", max(4 * parts, -(-total // BUCKET_TOKENS)))
+    placed = prefix_sums(tokens.withColumn("_bucket", part_of(F.col("key"), cuts)), [], "_bucket", ["key", "doc_id", "row"], "n_tokens", "_upto")
     return placed.withColumn("first", F.col("_upto") - F.col("n_tokens")).drop("_upto", "_bucket")
 
 
@@ -156,7 +158,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = EN
     width = length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, CUT_ROWS) for b in batches for k in range(0, b.num_rows, CUT_ROWS)):
             out: list[list] = [[] for _ in range(8)]
             for doc_id, first, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 blob = blob.as_py()
