@@ -11,15 +11,18 @@ blocks, so twenty tables, each keyed by three blocks (31 to 33 bits), hold every
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, ascii_lower, materialize
+from .common import WORD, ascii_lower, cuts_of, materialize, part_of
 
 BITS, RADIUS, BLOCKS, MAX_WEIGHT = 64, 3, (11, 11, 11, 11, 10, 10), 30
 _FIELDS = 0x0000000100000001
+#: Rows of a bucket of the order by doc_id, about, where the session has fewer partitions.
+ROWS_EACH = 20_000
 
 
 def fingerprints(texts: DataFrame, keys: list[str], carried: list[str] | None = None) -> DataFrame:
@@ -98,28 +101,32 @@ def near_classes(queries: DataFrame, docs: DataFrame, radius: int = RADIUS) -> D
     return near.join(asked, "query")
 
 
-def with_next(docs: DataFrame, buckets: int) -> DataFrame:
-    """docs (doc_id, text) with next_id and next_text: of the next document by descending doc_id, of the first after the last.
+def with_next(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with place, next_place and next_text: a number of each row, and of the next row by descending doc_id, of the first after the last.
 
-    Documents are cut into buckets by quantiles of doc_id, so no task sorts them all; the first
-    document of each bucket is also sent to the end of the bucket before it. Of rows that share a
-    doc_id, the one with the smallest text stays.
+    Rows that share a doc_id follow by their text, rows without one come last. Rows are cut into
+    buckets of about ROWS_EACH by quantiles of doc_id, so no task sorts them all; the first row of
+    each bucket is also sent to the end of the bucket before it.
     """
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)], 100 * buckets)).first()[0] or []
-    cuts = F.array(*(F.lit(c) for c in sorted(set(cuts)))) if cuts else F.array().cast("array<long>")
-    rows = docs.withColumn("_bucket", -F.size(F.filter(cuts, lambda c: F.col("doc_id") > c)))
-    # one row for each bucket
-    firsts = rows.groupBy("_bucket").agg(F.max("doc_id").alias("_first"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = cuts_of(docs, "doc_id", max(4 * parts, math.ceil(docs.count() / ROWS_EACH)))
+    # descending: the bucket of the largest doc_ids is the first, that of rows without one the last
+    bucket = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(len(cuts) - part_of(F.col("doc_id"), cuts))
+    rows = docs.withColumn("_bucket", bucket)
+    order = F.struct(F.bitwise_not("doc_id"), F.col("text"))
+    # one row for each bucket: its first text
+    firsts = rows.groupBy("_bucket").agg(F.min_by(F.struct("doc_id", "text"), order).alias("_f"))
     before = F.coalesce(F.lag("_bucket").over(Window.orderBy("_bucket")), F.max("_bucket").over(Window.partitionBy()))
-    sent = F.broadcast(firsts.select(F.col("_bucket").alias("_own"), "_first", before.alias("_before")))
-    rows = rows.join(sent, (F.col("_bucket") == F.col("_own")) & (F.col("doc_id") == F.col("_first")), "left")
-    ghost = F.when(F.col("_before").isNotNull(), F.struct(F.col("_before").alias("b"), F.lit(True).alias("ghost")))
-    copies = F.array_compact(F.array(F.struct(F.col("_bucket").alias("b"), F.lit(False).alias("ghost")), ghost))
-    dealt = rows.select("doc_id", "text", F.explode(copies).alias("_c")).select("doc_id", "text", F.col("_c.b").alias("_bucket"), F.col("_c.ghost").alias("_ghost"))
-    w = Window.partitionBy("_bucket").orderBy("_ghost", F.desc("doc_id"), "text")
-    single = dealt.withColumn("_same", (F.lag("doc_id").over(w) == F.col("doc_id")) & (F.lag("_ghost").over(w) == F.col("_ghost"))).where("not coalesce(_same, false)")
-    ahead = single.withColumn("next_id", F.lead("doc_id").over(w)).withColumn("next_text", F.lead("text").over(w))
-    return ahead.where("not _ghost").select("doc_id", "text", "next_id", "next_text")
+    sent = firsts.select(before.alias("_bucket"), F.col("_f.doc_id").alias("doc_id"), F.col("_f.text").alias("text"), F.lit(True).alias("_ghost"), _place(F.col("_bucket"), F.lit(1)).alias("_at"))
+    every = rows.select("_bucket", "doc_id", "text", F.lit(False).alias("_ghost"), F.lit(None).cast("long").alias("_at")).unionByName(sent)
+    w = Window.partitionBy("_bucket").orderBy("_ghost", F.desc_nulls_last("doc_id"), "text")
+    numbered = every.withColumn("place", F.coalesce("_at", _place(F.col("_bucket"), F.row_number().over(w))))
+    ahead = numbered.withColumn("next_place", F.lead("place").over(w)).withColumn("next_text", F.lead("text").over(w))
+    return ahead.where("not _ghost").select("place", "doc_id", "text", "next_place", "next_text")
+
+
+def _place(bucket: Column, row: Column) -> Column:
+    return F.shiftleft(bucket.cast("long"), 40).bitwiseOR(row.cast("long"))
 
 
 def edited(text: Column, other: Column) -> Column:
@@ -133,11 +140,11 @@ def hex16(fp: Column) -> Column:
 
 
 def document_fingerprints(docs: DataFrame) -> DataFrame:
-    """The fingerprint of every text and of its edited text, and what lies near it.
+    """The fingerprint of every text and of its edited text, and what lies near it; one row for each row of docs.
 
-    docs: doc_id, text (other columns are not read). A null text counts as empty. Rows whose doc_id
-    is null have no place in the order and are left out; of rows that share a doc_id the one with
-    the smallest text counts. A single document is its own next one.
+    docs: doc_id, text (other columns are not read). A null text counts as empty. Rows that share a
+    doc_id, repeated rows too, each have a place in the order, by their text; rows without a doc_id
+    come after all others. A single document is its own next one.
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint (16 hex digits), near_edited,
     near_next (1 - distance / 64), and for doc_ids divisible by 20, else null: n_near, how many other
     fingerprints lie within RADIUS bits; n_near_docs, how many other documents have one of these or
@@ -145,19 +152,23 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     smallest of these doc_ids that has it. The documents of a class are those that share the
     fingerprint of its doc_id.
     """
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    placed = with_next(docs, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    own, other = F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("kind"), edited(F.col("text"), F.coalesce("next_text", "text")).alias("text"))
-    kinds = placed.select("doc_id", F.coalesce("next_id", "doc_id").alias("next_id"), F.explode(F.array(own, other)).alias("t")).select("doc_id", "next_id", "t.kind", "t.text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    placed = with_next(docs)
+    own, other = F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("kind"), edited(F.col("text"), F.col("next_text")).alias("text"))
+    kinds = placed.select("place", "doc_id", "next_place", F.explode(F.array(own, other)).alias("t")).select("place", "doc_id", "next_place", "t.kind", "t.text")
     digest = F.when(F.col("kind") == 1, F.sha2(F.encode("text", "UTF-8"), 256))
     parts = [F.conv(F.substring("digest", 16 * k + 1, 16), 16, -10).cast("long").alias(f"sha{k}") for k in range(4)]
-    kinds = kinds.withColumn("n_chars", F.length("text").cast("long")).withColumn("digest", digest).select("doc_id", "kind", "next_id", "n_chars", "text", *parts)
-    found = materialize(fingerprints(kinds, ["doc_id", "kind"], ["next_id", "n_chars", "sha0", "sha1", "sha2", "sha3"]), "fingerprints")
-    own = found.where("kind = 0").select("doc_id", "next_id", "n_chars", "fingerprint")
-    other = found.where("kind = 1").select("doc_id", F.concat(*(hex16(F.col(f"sha{k}")) for k in range(4))).alias("edited_sha256"), F.col("fingerprint").alias("edited_fingerprint"))
-    following = own.select(F.col("doc_id").alias("next_id"), F.col("fingerprint").alias("next_fingerprint"))
-    near = near_classes(own.where("doc_id % 20 = 0"), own)
-    rows = own.join(other, "doc_id").join(following, "next_id").join(near, F.col("fingerprint") == F.col("query"), "left")
+    kinds = kinds.withColumn("n_chars", F.length("text").cast("long")).withColumn("digest", digest).select("place", "kind", "doc_id", "next_place", "n_chars", "text", *parts)
+    found = materialize(fingerprints(kinds, ["place", "kind"], ["doc_id", "next_place", "n_chars", "sha0", "sha1", "sha2", "sha3"]), "fingerprints")
+    own = found.where("kind = 0").select("place", "doc_id", "next_place", "n_chars", "fingerprint")
+    other = found.where("kind = 1").select("place", F.concat(*(hex16(F.col(f"sha{k}")) for k in range(4))).alias("edited_sha256"), F.col("fingerprint").alias("edited_fingerprint"))
+    following = own.select(F.col("place").alias("next_place"), F.col("fingerprint").alias("next_fingerprint"))
+    asked = own.where("doc_id % 20 = 0").select("place", "doc_id", "fingerprint")
+    # lists of links may be large: never broadcast
+    named = asked.select(F.struct("doc_id", "place").alias("doc_id"), "fingerprint")  # repeated rows have one doc_id
+    near = asked.join(near_classes(named, own).hint("shuffle_merge"), F.col("fingerprint") == F.col("query"))
+    near = near.select("place", "n_near", "n_near_docs", F.when(F.struct("doc_id", "place") == F.col("first_id"), F.col("near_classes")).alias("near_classes"))
+    rows = own.join(other, "place").join(near, "place", "left").join(following, "next_place")
     return rows.select(
         "doc_id",
         "n_chars",
@@ -166,6 +177,7 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
         hex16(F.col("edited_fingerprint")).alias("edited_fingerprint"),
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
-        *(F.when(F.col("doc_id") % 20 == 0, F.col(c)).alias(c) for c in ("n_near", "n_near_docs")),
-        F.when(F.col("doc_id") == F.col("first_id"), F.col("near_classes")).alias("near_classes"),
+        "n_near",
+        "n_near_docs",
+        "near_classes",
     )
