@@ -2,14 +2,15 @@
 
 All rolling pairs of words of every text are joined, by hash and then by the words themselves, to
 the pairs of the license templates. A hit at text place p and template place t votes for diagonal
-p - t; neighbouring diagonals (words inserted or left out) are merged into a span, and a span counts
-where enough of the template's pairs were found in it. A base phrase counts where one diagonal holds
+p - t; neighbouring diagonals (words inserted or left out) are merged into a span. A span is verified:
+each template place counts once, at its first hit, and only as far as the hits stand in the template's
+order; it counts where enough of the template's pairs are left. A base phrase counts where one diagonal holds
 all of its pairs, which is where its words stand consecutively.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, small
@@ -50,7 +51,9 @@ def template_pairs(spark: SparkSession, base: tuple = BASE, templates: tuple = T
 
 
 def scan_spans(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Rows of (row, doc_id, n_words) with, for each span found, tid, label, base, first_word, end_word, coverage; every row of docs appears, with nulls if it has no span.
+    """Rows of (row, doc_id, n_words) with, for each span found, tid, label, base, first_word, end_word, coverage; every row of docs appears (its own entry has tid -1).
+
+    coverage is the share of the template's pairs that the span holds; in the template's order, where it is enough for the span to count.
 
     docs: doc_id, text (other columns are not read); a null text counts as empty. Words are ASCII
     letters (A-Z lower-cased), digits and everything beyond ASCII. Repeated rows are scanned each on its own.
@@ -64,13 +67,25 @@ def scan_spans(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     known = small(pairs.union(sentinel), MAX_BROADCAST_PAIRS)
     hits = grams.select("row", "doc_id", "n_words", (F.col("pos") - 1).alias("pos"), F.col("g.h").alias("h"), F.col("g.a").alias("a"), F.col("g.b").alias("b")).join(known, "h").where("a = ta and b = tb")
     template = ["row", "doc_id", "n_words", "tid", "label", "base", "n_pairs"]
-    votes = hits.groupBy(*template, (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.count("*").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    votes = hits.groupBy(*template, (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_list("tpos").alias("places"))
     in_order = Window.partitionBy("row", "tid").orderBy("diagonal")
     apart = F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(in_order) > SHIFT) | (F.col("first") - F.lag("last").over(in_order) > SHIFT + 1)
     merged = votes.withColumn("new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("span", F.sum("new").over(in_order))
-    spans = merged.groupBy(*template, "span").agg(F.sum("votes").alias("votes"), F.min("first").alias("first_word"), (F.max("last") + 1).alias("end_word"))
-    coverage = F.least(F.col("votes") / F.greatest("n_pairs", F.lit(1)), F.lit(1.0))
-    return spans.select("row", "doc_id", "n_words", "tid", "label", "base", F.col("first_word").cast("long").alias("first_word"), F.col("end_word").cast("long").alias("end_word"), coverage.alias("coverage"))
+    # each template place once, at its first hit: at most as many as the template has pairs
+    single = merged.select(*template, "span", "diagonal", "first", "last", F.explode("places").alias("tpos")).groupBy(*template, "span", "tpos")
+    single = single.agg(F.min(F.col("diagonal") + F.col("tpos")).alias("pos"), F.min("first").alias("first"), F.max("last").alias("last"))
+    spans = single.groupBy(*template, "span").agg(F.array_sort(F.collect_list(F.struct("tpos", "pos"))).alias("found"), F.min("first").alias("first_word"), (F.max("last") + 1).alias("end_word"))
+    enough = F.size("found") >= F.col("n_pairs") * COVERAGE
+    kept = F.when(enough, _longest_in_order(F.col("found"))).otherwise(F.size("found"))
+    return spans.select("row", "doc_id", "n_words", "tid", "label", "base", F.col("first_word").cast("long").alias("first_word"), F.col("end_word").cast("long").alias("end_word"), (kept / F.greatest("n_pairs", F.lit(1))).alias("coverage"))
+
+
+def _longest_in_order(found: Column) -> Column:
+    """Length of the longest part of found (tpos, pos; by tpos) whose text places ascend, too."""
+    longest = lambda ends, pos: F.coalesce(F.array_max(F.transform(F.filter(ends, lambda e: e["pos"] < pos), lambda e: e["n"])), F.lit(0))
+    none = F.array().cast("array<struct<pos:int,n:int>>")
+    ends = F.aggregate(found, none, lambda ends, x: F.array_append(ends, F.struct(x["pos"].cast("int").alias("pos"), (longest(ends, x["pos"]) + 1).alias("n"))))
+    return F.coalesce(F.array_max(F.transform(ends, lambda e: e["n"])), F.lit(0))
 
 
 def scan_licenses(docs: DataFrame, base: tuple = BASE, templates: tuple = TEMPLATES) -> DataFrame:

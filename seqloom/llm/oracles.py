@@ -64,15 +64,21 @@ SELECT a.doc_id, a.size::BIGINT AS size, source_size, target, (coalesce(epochs,
 
 _TEMPLATES = [(k, label, base, phrase) for k, (phrase, label, base) in enumerate([*((*x, True) for x in licenses.BASE), *((*x, False) for x in licenses.TEMPLATES)])]
 LICENSES = rf"""
-WITH ph(tid, label, base, phrase) AS (VALUES {_values(_TEMPLATES)}),
+WITH RECURSIVE ph(tid, label, base, phrase) AS (VALUES {_values(_TEMPLATES)}),
 pw AS (SELECT *, string_split(phrase, ' ') AS w FROM ph),
 tp AS (SELECT tid, label, base, len(w) - 1 AS n_pairs, t AS tpos, w[t + 1] AS a, w[t + 2] AS b FROM (SELECT *, unnest(range(0, len(w) - 1)) AS t FROM pw)),
 d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_lower("coalesce(text, '')")}, '{licenses.TOKEN}') AS w FROM documents),
 g AS (SELECT row, p AS pos, w[p + 1] AS a, w[p + 2] AS b FROM (SELECT row, w, unnest(range(0, len(w) - 1)) AS p FROM d)),
-v AS (SELECT row, tid, label, base, n_pairs, pos - tpos AS diagonal, count(*) AS votes, min(pos) AS first, max(pos) AS last FROM g JOIN tp USING (a, b) GROUP BY ALL),
+x AS (SELECT row, tid, label, base, n_pairs, pos, tpos, pos - tpos AS diagonal FROM g JOIN tp USING (a, b)),
+v AS (SELECT row, tid, base, diagonal, min(pos) AS first, max(pos) AS last FROM x GROUP BY ALL),
 m AS (SELECT *, CASE WHEN base OR diagonal - lag(diagonal) OVER o > {licenses.SHIFT} OR first - lag(last) OVER o > {licenses.SHIFT} + 1 OR lag(first) OVER o IS NULL THEN 1 ELSE 0 END AS fresh FROM v WINDOW o AS (PARTITION BY row, tid ORDER BY diagonal)),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY row, tid ORDER BY diagonal) AS span FROM m),
-c AS (SELECT row, label, base, min(first) AS first_word, least(sum(votes) / max(n_pairs), 1.0) AS coverage FROM s GROUP BY row, tid, label, base, span),
+f AS (SELECT x.row, x.tid, x.label, x.base, n_pairs, span, tpos, min(pos) AS pos FROM x JOIN s USING (row, tid, diagonal) GROUP BY ALL),
+q AS (SELECT row, tid, label, base, n_pairs, span, count(*) AS n, min(pos) AS first_word FROM f GROUP BY ALL),
+h(row, tid, span, tpos, pos, len) AS (SELECT row, tid, span, tpos, pos, 1 FROM f SEMI JOIN (FROM q WHERE n >= n_pairs * {licenses.COVERAGE}) USING (row, tid, span)
+      UNION SELECT f.row, f.tid, f.span, f.tpos, f.pos, len + 1 FROM h JOIN f ON f.row = h.row AND f.tid = h.tid AND f.span = h.span AND f.tpos > h.tpos AND f.pos > h.pos),
+y AS (SELECT row, tid, span, max(len) AS len FROM h GROUP BY ALL),
+c AS (SELECT row, label, base, first_word, coalesce(len, n) / n_pairs AS coverage FROM q LEFT JOIN y USING (row, tid, span)),
 k AS (SELECT row, count(*) FILTER (base AND coverage >= 1) AS n_base, min(first_word) FILTER (base AND coverage >= 1) AS first_word, max(first_word) FILTER (base AND coverage >= 1) AS last_word,
       string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND coverage >= 1) AS base_labels,
       string_agg(DISTINCT label, ',' ORDER BY label) FILTER ((base AND coverage >= 1) OR (NOT base AND coverage >= {licenses.COVERAGE})) AS labels,
