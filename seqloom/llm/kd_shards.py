@@ -4,21 +4,24 @@ Equal texts form one group, which stays together. A group is a point in three me
 (log size, source, language; the strings by their hash), weighted by its bytes; below every
 coordinate lies a hash of the text, so that points that share a coordinate can still be parted.
 A node that holds m leaves is split along its widest dimension at the place nearest to
-floor(m / 2) / m of its weight. All nodes of a level are split together: the place is found by four
-histograms of 16 bits each (one row per node and bin), never by sorting a node.
+floor(m / 2) / m of its weight. All nodes of a level are split together: the place is found by six
+histograms of 11 bits each (one row per node and bin, so 2,048 of a node at most), never by sorting a
+node. Nodes are a table in the shared folder; none of it goes through the driver.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, prefix_sums
+from .common import discard, materialize, prefix_sums
 
 DIMENSIONS = ("size", "source", "lang")
-_STEP, _PASSES, _BUCKETS = 16, 4, 4096
+_STEP, _PASSES, _BUCKETS = 11, 6, 4096
+#: Leaves up to which a table of nodes (a row of about 60 bytes each) is broadcast; with more, the join is shuffled.
+MAX_BROADCAST_NODES = 1_000_000
 
 
 def _groups(docs: DataFrame) -> DataFrame:
@@ -31,51 +34,49 @@ def _groups(docs: DataFrame) -> DataFrame:
     return found.select("g1", "g2", "weight", *coordinates)
 
 
-def _local(spark: SparkSession, rows: list, schema: str) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(rows, schema))
+def _at(dim: Column) -> Column:
+    return F.element_at(F.array(*(F.col(f"x_{d}") for d in DIMENSIONS)), dim + 1)
 
 
-def _split(points: DataFrame, leaves: dict[int, int]) -> dict[int, tuple[int, int]]:
-    """node -> (dimension, largest coordinate of the left part) for the nodes that hold two leaves or more."""
-    spark = points.sparkSession
-    ask = [n for n, m in leaves.items() if m > 1]
-    spread = [(F.max(f"x_{d}") - F.min(f"x_{d}")).alias(f"w_{d}") for d in DIMENSIONS]
-    wide = points.where(F.col("node").isin(ask)).groupBy("node").agg(F.sum("weight").alias("weight"), *spread).collect()
-    state = {r.node: {"dim": max(range(len(DIMENSIONS)), key=lambda k, r=r: (r[2 + k], -k)), "want": r.weight * (leaves[r.node] // 2) / leaves[r.node], "low": 0, "before": 0} for r in wide}
+def _split(points: DataFrame, asked: DataFrame, known) -> DataFrame:
+    """node, leaves, dim and cut (the largest coordinate of the left part) of the nodes asked (node, leaves) that have points. known: a hint for joins with a table of nodes."""
+    width = [(F.max(f"x_{d}") - F.min(f"x_{d}")).alias(f"w_{d}") for d in DIMENSIONS]
+    wide = points.join(known(asked), "node").groupBy("node", "leaves").agg(F.sum("weight").alias("weight"), *width)
+    most = F.greatest(*(F.col(f"w_{d}") for d in DIMENSIONS))
+    dim = F.coalesce(*(F.when(F.col(f"w_{d}") == most, F.lit(k)) for k, d in enumerate(DIMENSIONS)))
+    want = F.col("weight") * F.floor(F.col("leaves") / 2) / F.col("leaves")
+    zero = F.lit(0).cast("long")
+    state = materialize(wide.select("node", "leaves", dim.alias("dim"), want.cast("double").alias("want"), zero.alias("low"), zero.alias("before"), zero.alias("upto")), "nodes")
     for step in range(_PASSES):
         shift = _STEP * (_PASSES - 1 - step)
-        rows = [(n, s["dim"], s["low"], s["before"], s["want"]) for n, s in state.items()]
-        asked = _local(spark, rows, "node int, dim int, low long, before long, want double")
-        x = F.element_at(F.array(*(F.col(f"x_{d}") for d in DIMENSIONS)), F.col("dim") + 1)
-        inside = points.join(asked, "node").withColumn("x", x)
+        inside = points.join(known(state.drop("upto")), "node").withColumn("x", _at(F.col("dim")))
         if step:
             inside = inside.where(F.shiftrightunsigned("x", shift + _STEP) == F.shiftrightunsigned("low", shift + _STEP))
-        bins = inside.groupBy("node", "before", "want", F.shiftrightunsigned("x", shift).alias("bin")).agg(F.sum("weight").alias("w"))
-        upto = bins.withColumn("upto", F.col("before") + F.sum("w").over(Window.partitionBy("node").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
+        bins = inside.groupBy("node", "leaves", "dim", "want", "before", F.shiftrightunsigned("x", shift).alias("bin")).agg(F.sum("weight").alias("w"))
+        in_order = Window.partitionBy("node").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        summed = bins.withColumn("upto", F.col("before") + F.sum("w").over(in_order))
         # the bin in which the wanted weight is reached
-        hit = upto.where("upto >= want").groupBy("node").agg(F.min_by(F.struct("bin", "upto", "w"), "bin").alias("h")).collect()
-        for r in hit:
-            state[r.node] |= {"low": r.h.bin << shift, "before": r.h.upto - r.h.w, "upto": r.h.upto}
-    cuts = {}
-    for n, s in state.items():
-        # the last bin is one group (or groups that share a hash): it goes to the side that brings the split nearer
-        left = s["upto"] - s["want"] <= s["want"] - s["before"]
-        cuts[n] = (s["dim"], s["low"] if left else s["low"] - 1)
-    return cuts
+        hit = summed.where((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("w") < F.col("want")))
+        last, state = state, materialize(hit.select("node", "leaves", "dim", "want", F.shiftleft("bin", shift).alias("low"), (F.col("upto") - F.col("w")).alias("before"), "upto"), "nodes")
+        discard(last)
+    # the last bin is one group (or groups that share a hash): it goes to the side that brings the split nearer
+    left = F.col("upto") - F.col("want") <= F.col("want") - F.col("before")
+    return state.select("node", "leaves", "dim", F.when(left, F.col("low")).otherwise(F.col("low") - 1).alias("cut"))
 
 
 def kd_leaves(points: DataFrame, n_leaves: int) -> DataFrame:
-    """Adds leaf (0 to n_leaves - 1) to points (weight, x_size, x_source, x_lang)."""
-    spark = points.sparkSession
-    now = points.withColumn("node", F.lit(0))
-    leaves = {0: n_leaves}  # node: leaves; a node is named by its first leaf
-    while any(m > 1 for m in leaves.values()):
-        cuts = _split(now, leaves)
-        rows = [(n, d, c, n + leaves[n] // 2) for n, (d, c) in cuts.items()]
-        known = _local(spark, rows, "node int, dim int, cut long, other int")
-        x = F.element_at(F.array(*(F.col(f"x_{d}") for d in DIMENSIONS)), F.col("dim") + 1)
-        now = now.join(known, "node", "left").withColumn("node", F.when(x > F.col("cut"), F.col("other")).otherwise(F.col("node"))).drop("dim", "cut", "other")
-        leaves = {k: v for n, m in leaves.items() for k, v in ({n: m // 2, n + m // 2: m - m // 2} if m > 1 else {n: m}).items()}
+    """Adds leaf (0 to n_leaves - 1) to points (weight, x_size, x_source, x_lang, node: 0 for all). A node is named by its first leaf."""
+    known = F.broadcast if n_leaves <= MAX_BROADCAST_NODES else lambda df: df
+    now, nodes = points, points.select("node").distinct().select("node", F.lit(n_leaves).alias("leaves"))
+    for level in range(max(0, n_leaves - 1).bit_length()):
+        cuts = _split(now, nodes.where("leaves > 1"), known)
+        other = F.col("node") + F.floor(F.col("leaves") / 2).cast("int")
+        now = now.join(known(cuts), "node", "left").withColumn("node", F.when(_at(F.col("dim")) > F.col("cut"), other).otherwise(F.col("node"))).drop("leaves", "dim", "cut")
+        if level % 4 == 3:
+            now = materialize(now, "points")  # joins with four tables of nodes at most
+        half = F.floor(F.col("leaves") / 2).cast("int")
+        parts = F.array(F.struct(F.col("node"), half.alias("leaves")), F.struct(other.alias("node"), (F.col("leaves") - half).alias("leaves")))
+        nodes = nodes.where("leaves = 1").unionByName(cuts.select(F.explode(parts).alias("n")).select("n.*"))
     return now.withColumnRenamed("node", "leaf")
 
 
@@ -99,7 +100,7 @@ def shard_documents(docs: DataFrame, n_shards: int | None = None, target_bytes:
         F.col("lang").cast("string").alias("lang"),
     )
     slim = materialize(slim, "slim")
-    points = materialize(_groups(slim), "points")
+    points = materialize(_groups(slim).withColumn("node", F.lit(0)), "points")
     if n_shards is None:
         n_shards = max(1, math.ceil((slim.agg(F.sum("size")).first()[0] or 0) / target_bytes))
     leaves = kd_leaves(points, n_shards).select("g1", "g2", F.col("leaf").alias("shard"))
