@@ -9,6 +9,7 @@ import pytest
 from cases import CLASH, documents, edited, prose, rows, shaped
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from seqloom.llm import common, graph, kd_shards, language_id, licenses, lm_score, mixing, models, near_dup, packing, quality_rules, registry, simhash, url_rules
 
@@ -60,35 +61,21 @@ def test_prefix_sums(spark):
 
 
 def brute_lm(data, targets):
+    """Losses by models of all rows but the one that is scored."""
     every = [(d, words(t), d in targets) for d, t in data]
-    n, nt = collections.Counter(), collections.Counter()
-    for _, w, f in every:
-        n.update(w)
-        nt.update(w if f else [])
-    total, total_t = sum(n.values()), sum(nt.values())
-    known = {w for w in n if n[w] >= total * lm_score.VOCABULARY_SHARE}
-    size = len(known) + 1
-    sym = lambda w: w if w in known else None
-    uni = [collections.Counter(), collections.Counter()]
-    pair = [collections.Counter(), collections.Counter()]
-    before = [collections.Counter(), collections.Counter()]
-    for _, w, f in every:
-        s = [sym(x) for x in w]
-        for x, y in zip(["<s>", *s], s, strict=False):
-            for m in (0, 1) if f else (1,):
-                uni[m][y] += 1
-                pair[m][x, y] += 1
-                before[m][x] += 1
+    size = len({w for _, ws, _ in every for w in ws}) + 1
     out = {}
-    for d, w, _ in every:
-        s = [sym(x) for x in w]
-        loss = [0.0, 0.0]
-        for x, y in zip(["<s>", *s], s, strict=False):
-            for m, t in enumerate((total_t, total)):
-                p1 = (uni[m][y] + 1) / (t + size)
-                keep = pair[1][x, y] >= total * lm_score.PAIR_SHARE
-                loss[m] -= math.log2(((pair[m][x, y] if keep else 0) + lm_score.STRENGTH * p1) / (before[m][x] + lm_score.STRENGTH))
-        out[d] = (len(s), *(v / len(s) if s else None for v in loss))
+    for k, (d, ws, _) in enumerate(every):
+        loss = []
+        for rest in ([x for j, x in enumerate(every) if j != k and x[2]], [x for j, x in enumerate(every) if j != k]):
+            uni, pair, before = collections.Counter(), collections.Counter(), collections.Counter()
+            for _, other, _ in rest:
+                uni.update(other)
+                pair.update(zip(["<s>", *other], other, strict=False))
+                before.update(["<s>", *other][: len(other)])
+            total = sum(uni.values())
+            loss.append(-sum(math.log2((pair[x, y] + lm_score.STRENGTH * (uni[y] + 1) / (total + size)) / (before[x] + lm_score.STRENGTH)) for x, y in zip(["<s>", *ws], ws, strict=False)))
+        out[d] = (len(ws), *(v / len(ws) if ws else None for v in loss))
     return out
 
 
@@ -124,13 +111,33 @@ def test_lm_score_knows_rare_words_of_a_large_corpus(spark):
     data = [(k, "many " * 1_000) for k in range(200)] + [(200, "rare pair"), (201, "rare pair"), (202, "once")]
     df = spark.createDataFrame(data, "doc_id long, text string")
     got = {r["doc_id"]: r for r in told(lm_score.cross_entropy_difference(df, df.where("doc_id = 200")))}
-    total, size, starts = 200_005, 5, 203
-    loss = lambda pair, word, before: -math.log2((pair + 32 * (word + 1) / (total + size)) / (before + 32))
-    assert got[200]["background_loss"] == pytest.approx((loss(2, 2, starts) + loss(2, 2, 2)) / 2, abs=1e-6)
-    assert got[202]["background_loss"] == pytest.approx(loss(1, 1, starts), abs=1e-6)
+    size = 5
+    loss = lambda pair, word, before, total: -math.log2((pair + 32 * (word + 1) / (total + size)) / (before + 32))
+    assert got[200]["background_loss"] == pytest.approx((loss(1, 1, 202, 200_003) + loss(1, 1, 1, 200_003)) / 2, abs=1e-6)
+    assert got[202]["background_loss"] == pytest.approx(loss(0, 0, 202, 200_004), abs=1e-6)
     assert got[201]["target_loss"] < got[202]["target_loss"]
 
 
+def test_lm_score_tells_likeness_rather_than_membership(spark):
+    vocabulary = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("a", "e", "i", "o", "u", "an", "el", "os")]
+    rng = random.Random(12)
+    step = {w: rng.sample(vocabulary, 6) for w in vocabulary}
+
+    def text(kind):
+        out = [rng.choice(vocabulary)]
+        while len(out) < 120:
+            out.append(rng.choice(step[out[-1]][:4] if kind else vocabulary))
+        return " ".join(out)
+
+    data = [(k, text(k % 4 > 0)) for k in range(800)]
+    good = {k for k, _ in data if k % 4 > 0}
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    targets = df.where("doc_id % 4 > 0 and doc_id < 400")
+    got = {r["doc_id"]: r["ce_difference"] for r in told(lm_score.cross_entropy_difference(df, targets))}
+    member, held, other = (np.median([got[k] for k in part]) for part in ([k for k in good if k < 400], [k for k in good if k >= 400], set(got) - good))
+    assert abs(member - held) < 0.2 and other > held + 0.2
+
+
 # ---- 2: url filters -----------------------------------------------------------------------------
 
 
@@ -233,6 +240,28 @@ def test_near_duplicates_awkward_rows(spark):
     assert near_dup.near_duplicates(documents(spark, EMPTY)).count() == 0
 
 
+def test_one_doc_id_with_two_texts(spark):
+    a, b = prose(900, 60), prose(901, 60)
+    data = [(5, a), (5, b), (6, a + " word"), (7, b + " word"), (8, prose(902, 50)), (3, a + " word other")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = collections.Counter((r["doc_id"], r["component_id"]) for r in told(near_dup.near_duplicates(df)))
+    assert got == collections.Counter([(5, 3), (6, 3), (3, 3), (5, 5), (7, 5), (8, 8)])
+    kept = [(r.doc_id, r.text) for r in near_dup.deduplicated(df).collect()]
+    assert len(kept) == 3 and {(3, data[5][1]), (8, data[4][1])} < set(kept) and dict(kept).keys() & {5, 7}
+
+
+def test_deduplicated_keeps_wordless_rows_and_one_of_each_group(spark):
+    got = near_dup.deduplicated(documents(spark))
+    assert got.columns == documents(spark).columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    blank = [(d, t) for d, t, _, _ in rows() if not words(t)]
+    assert sorted((x for x in kept if not words(x[1])), key=str) == sorted(blank, key=str)
+    near = brute_near([(d, t) for d, t, _, _ in rows() if d is not None and words(t)])
+    named = [d for d, t in kept if words(t) and d is not None]
+    assert sorted(named) == sorted(d for d, (_, _, k) in near.items() if k)
+    assert [t for d, t in kept if d is None and words(t)] == ["alone here in the text"]
+
+
 def test_signature_estimates_similarity():
     hashes = near_dup.WordHashes()
     rng = random.Random(3)
@@ -265,6 +294,24 @@ def test_language_on_rows_not_seen():
     assert model["langs"] == sorted(TONGUES) and language_id.train([]) ["langs"] == []
     again = language_id.train([(sentence(x, k), x) for x in TONGUES for k in range(60)])
     assert np.array_equal(model["table"], again["table"])
+    for text in ("\u00bd \u00b2", "\u2167 12", "_ !"):  # numbers are not letters
+        assert language_id.predict(text, model, scores) == ("und", 0.0)
+
+
+def test_every_word_of_a_training_text_counts():
+    texts = [(sentence(x, k, 170), x) for x in sorted(TONGUES)[:2] for k in range(4)]
+    table = language_id.train(texts)["table"]
+    for at in (3, 60, 130, 169):
+        changed = texts[0][0].split()
+        changed[at] = "zzyzx"
+        assert not np.array_equal(table, language_id.train([(" ".join(changed), texts[0][1]), *texts[1:]])["table"]), at
+
+
+def test_samples_do_not_depend_on_files(spark):
+    df = documents(spark, [(k % 400, f"text {k}", "en", "s") for k in range(500)])
+    for f in (lambda x: models.sampled(x, ["doc_id", "text"], 90, 3), lambda x: models.sampled_each(x, "lang", ["doc_id", "text"], 90, 3)):
+        one, two = (sorted((r.doc_id, r.text) for r in f(x).collect()) for x in (df.repartition(3), df.repartition(7, "text")))
+        assert one == two and len(one) == 90
 
 
 def test_language_awkward_rows(spark):
@@ -279,7 +326,7 @@ def test_language_awkward_rows(spark):
 
 def test_language_never_learns_from_held_out_rows(spark, monkeypatch):
     seen = []
-    monkeypatch.setattr(language_id, "train", lambda rows, seed: seen.extend(rows) or {"langs": [], "table": np.zeros((1, 1), np.float32), "temperature": 1.0})
+    monkeypatch.setattr(language_id, "train", lambda rows, seed: seen.extend(rows) or {"langs": [], "table": np.zeros((1, 1), np.float32), "temperatures": (1.0, 1.0, 1.0)})
     registry.op4_language_id(spark, "/root/testdata/sf0.001")
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
     out = {r.text for r in docs if zlib.crc32(str(r.doc_id).encode()) % 4 == 2} - {r.text for r in docs if zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
@@ -428,36 +475,52 @@ def test_neighbours_are_alike(spark):
 # ---- 7: fingerprints ----------------------------------------------------------------------------
 
 
-def test_fingerprints_against_brute_force(spark):
-    data = {}
-    for d, t, _, _ in rows():
-        if d is not None:
-            data[d] = min(data.get(d, t or ""), t or "")
-    got = {r["doc_id"]: r for r in told(simhash.document_fingerprints(documents(spark)))}
-    order = sorted(data, reverse=True)
-    assert sorted(got) == sorted(data)
+def test_fingerprints_against_brute_force(spark, monkeypatch):
+    data = [(d, t or "") for d, t, _, _ in rows()]
+    order = sorted(data, key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
     far = lambda x, y: 1 - bin(int(x, 16) ^ int(y, 16)).count("1") / 64
-    for k, d in enumerate(order):
-        text, other = data[d], data[order[(k + 1) % len(order)]]
-        n = len(text) // 3
-        r = got[d]
-        assert r["n_chars"] == len(text)
-        assert r["edited_sha256"] == hashlib.sha256((text[: len(text) - n] + other[:n]).encode()).hexdigest()
-        assert r["near_edited"] == far(r["fingerprint"], r["edited_fingerprint"])
-        assert r["near_next"] == far(r["fingerprint"], got[order[(k + 1) % len(order)]]["fingerprint"])
-    same = collections.defaultdict(set)
-    for d, t in data.items():
-        same[t].add(got[d]["fingerprint"])
-    assert all(len(x) == 1 for x in same.values())
-    fps = {int(r["fingerprint"], 16) for r in got.values()}
-    for d, r in got.items():
-        near = sum(bin(int(r["fingerprint"], 16) ^ x).count("1") <= 3 for x in fps) - 1
-        assert r["n_near"] == (near if d % 20 == 0 else None)
+    for each in (20_000, 3):
+        monkeypatch.setattr(simhash, "ROWS_EACH", each)
+        got = told(simhash.document_fingerprints(documents(spark)))
+        assert len(got) == len(data)
+        fp = {}
+        for r in got:
+            fp.setdefault((r["doc_id"], r["n_chars"], r["edited_sha256"]), r)
+        seen = {}
+        for k, (d, text) in enumerate(order):
+            other = order[(k + 1) % len(order)][1]
+            n = len(text) // 3
+            r = fp[d, len(text), hashlib.sha256((text[: len(text) - n] + other[:n]).encode()).hexdigest()]
+            assert seen.setdefault(text, r["fingerprint"]) == r["fingerprint"]
+            assert r["near_edited"] == far(r["fingerprint"], r["edited_fingerprint"])
+        expected = collections.Counter((d, len(t), far(seen[t], seen[order[(k + 1) % len(order)][1]])) for k, (d, t) in enumerate(order))
+        assert expected == collections.Counter((r["doc_id"], r["n_chars"], r["near_next"]) for r in got)
+        fps = {int(r["fingerprint"], 16) for r in got}
+        for r in got:
+            near = sum(bin(int(r["fingerprint"], 16) ^ x).count("1") <= 3 for x in fps) - 1
+            assert r["n_near"] == (near if r["doc_id"] is not None and r["doc_id"] % 20 == 0 else None)
     assert simhash.document_fingerprints(documents(spark, EMPTY)).count() == 0
     one = told(simhash.document_fingerprints(documents(spark, [(7, "abc def ghi", None, None)])))
     assert one[0]["near_next"] == 1.0
 
 
+def test_one_row_out_for_each_row_in(spark):
+    data = [(5, "first text of five", None, None), (5, "second text of five", None, None), (None, "no name", None, None), (None, None, None, None), (20, "same", None, None), (20, "same", None, None)]
+    got = told(simhash.document_fingerprints(documents(spark, data)))
+    assert collections.Counter((r["doc_id"], r["n_chars"]) for r in got) == collections.Counter((d, len(t or "")) for d, t, _, _ in data)
+    assert sum(r["near_classes"] is not None for r in got) == 1 and [r["n_near_docs"] for r in got if r["doc_id"] == 20] == [1, 1]
+
+
+def test_cuts(spark):
+    df = spark.createDataFrame([(k,) for k in range(1000)] + [(None,)], "x long")
+    for n in (1, 2, 7, 60):
+        cuts = common.cuts_of(df, "x", n)
+        assert len(cuts) == n - 1
+        got = df.select("x", common.part_of(F.col("x"), cuts).alias("p")).collect()
+        assert all(r.p == (0 if r.x is None else sum(c < r.x for c in cuts)) for r in got)
+    assert common.cuts_of(df.limit(0), "x", 5) == []
+
+
 def test_copies_and_links_of_what_is_near(spark):
     text = " ".join(f"word{k % 97} {prose(k, 8)}" for k in range(80))
     data = [(k, text) for k in range(30)] + [(30 + k, text.replace(f"word{k}", f"ward{k}", 1)) for k in range(51)] + [(100, "alone and unlike all others"), (101, None)]
@@ -582,6 +645,56 @@ def test_licenses_against_brute_force(spark):
     assert licenses.scan_licenses(documents(spark, EMPTY)).count() == 0
 
 
+def brute_labels(text):
+    """Labels and score: spans of neighbouring diagonals, of which the longest run of pairs in both orders counts."""
+    import re
+
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    labels, score = set(), 0.0
+    for phrase, label, base in [*((*x, True) for x in licenses.BASE), *((*x, False) for x in licenses.TEMPLATES)]:
+        p = phrase.split()
+        by = collections.defaultdict(list)
+        for i in range(len(w) - 1):
+            for t in range(len(p) - 1):
+                if w[i : i + 2] == p[t : t + 2]:
+                    by[i - t].append((i, t))
+        spans, before = [], None
+        for d in sorted(by):
+            if base or before is None or d - before > licenses.SHIFT or by[d][0][0] - by[before][-1][0] > licenses.SHIFT + 1:
+                spans.append([])
+            spans[-1] += by[d]
+            before = d
+        for hits in spans:
+            first = {}
+            for i, t in sorted(hits):
+                first.setdefault(t, i)
+            best = {}
+            for t in sorted(first):
+                best[t] = 1 + max((best[u] for u in best if first[u] < first[t]), default=0)
+            share = max(best.values()) / (len(p) - 1)
+            if share >= (1 if base else licenses.COVERAGE):
+                labels.add(label)
+                score = max(score, share)
+    return ",".join(sorted(labels)), score
+
+
+def test_license_spans_are_verified(spark):
+    whole = [p for p, _ in licenses.TEMPLATES]
+    rng = random.Random(8)
+    texts = ["is licensed under " * 4, "licensed under a creative commons attribution " * 2, " ".join(reversed(whole[1].split())), "the license the license the license at", *whole]
+    for p in whole:
+        ws = p.split()
+        for share in (0.1, 0.3):
+            texts.append(" ".join(x for w in ws for x in ([] if rng.random() < share / 2 else [w, "inserted"] if rng.random() < share else [w])))
+        cut = len(ws) // 2
+        texts += [" ".join(ws[cut:] + ws[:cut]), p + " and again " + p]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in told(licenses.scan_licenses(documents(spark, [(k, t, None, None) for k, t in enumerate(texts)])))}
+    assert got[0] == ("", 0.0)
+    for k, t in enumerate(texts):
+        labels, score = brute_labels(t)
+        assert (got[k][0], got[k][1]) == (labels, pytest.approx(score)), t
+
+
 # ---- 10: sharding -------------------------------------------------------------------------------
 
 
@@ -613,6 +726,39 @@ def test_shards_are_near_equal(spark):
     assert {r["doc_id"]: r["shard"] for r in by_target} == {r["doc_id"]: r["shard"] for r in got}
 
 
+def brute_leaves(points, n):
+    """(g1, g2) -> leaf, by sorting every node."""
+    if n == 1 or not points:
+        return {(p["g1"], p["g2"]): 0 for p in points}
+    axes = [f"x_{d}" for d in kd_shards.DIMENSIONS]
+    axis = max(axes, key=lambda x: (max(p[x] for p in points) - min(p[x] for p in points), -axes.index(x)))
+    per = collections.Counter()
+    for p in points:
+        per[p[axis]] += p["weight"]
+    want, before = sum(per.values()) * (n // 2) / n, 0
+    for x in sorted(per):
+        upto = before + per[x]
+        if upto >= want:
+            cut = x if upto - want <= want - before else x - 1
+            break
+        before = upto
+    left, right = [p for p in points if p[axis] <= cut], [p for p in points if p[axis] > cut]
+    return brute_leaves(left, n // 2) | {k: v + n // 2 for k, v in brute_leaves(right, n - n // 2).items()}
+
+
+@pytest.mark.parametrize("n", [5, 8])
+def test_leaves_against_brute_force(spark, monkeypatch, n):
+    rng = random.Random(n)
+    near = lambda: rng.choice([rng.randrange(1 << 62), rng.randrange(64), 7 << 32 | rng.randrange(3)])
+    points = [{"g1": k, "g2": -k, "weight": rng.choice([1, 2, 900, rng.randrange(1, 50)]), "x_size": near(), "x_source": near(), "x_lang": near() // 3, "node": 0} for k in range(200)]
+    df = spark.createDataFrame(points, "g1 long, g2 long, weight long, x_size long, x_source long, x_lang long, node int")
+    got = {(r.g1, r.g2): r.leaf for r in kd_shards.kd_leaves(df, n).collect()}
+    assert got == brute_leaves(points, n)
+    if n == 5:
+        monkeypatch.setattr(kd_shards, "MAX_BROADCAST_NODES", 0)
+        assert {(r.g1, r.g2): r.leaf for r in kd_shards.kd_leaves(df, n).collect()} == got
+
+
 def test_shards_awkward_rows(spark):
     got = told(kd_shards.shard_documents(documents(spark), n_shards=8))
     assert len(got) == len(rows())
