@@ -147,6 +147,12 @@ def invert(edits: list, length: int) -> list:
     return [dict(e) | {"pos": length - e["pos"] - (e["length"] if e["type"] == "ins" else 1 if e["type"] == "mm" else 0)} for e in reversed(edits)]
 
 
+def inverted(edits: Column, length: Column) -> Column:
+    """invert() as a column."""
+    width = lambda e: F.when(e["type"] == "ins", e["length"]).when(e["type"] == "mm", 1).otherwise(0)
+    return F.transform(F.reverse(edits), lambda e: e.withField("pos", (length - e["pos"] - width(e)).cast("int")))
+
+
 def edits_of(read: str, cigar: str, md: str) -> list:
     """Edits from a read, its CIGAR and MD (clips are cut off first)."""
     ops = [(int(n), op) for n, op in re.findall(r"(\d+)([MIDNSHP=X])", cigar)]

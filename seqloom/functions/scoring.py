@@ -46,6 +46,14 @@ def base_score(read: Column, ref: Column, quality: Column, s: Scoring = Scoring(
     return F.when(~known, F.lit(-s.n_penalty)).when(F.upper(read) == F.upper(ref), F.lit(s.match)).otherwise(-mismatch_penalty(quality, s)).cast("int")
 
 
+def ungapped_score(read: Column, ref: Column, s: Scoring = Scoring()) -> Column:
+    """Score of two base strings of one length on one diagonal, all bases of the best quality."""
+    worst, n = s.mismatch_max, s.n_penalty
+    letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    cost = F.zip_with(letters(read), letters(ref), lambda a, b: F.when(~a.isin(*"ACGT") | ~b.isin(*"ACGT"), -n).when(a == b, s.match).otherwise(-worst))
+    return F.aggregate(cost, F.lit(0).cast("long"), lambda acc, x: acc + x)
+
+
 def clip_penalty(quality_char: Column, s: Scoring = Scoring()) -> Column:
     """Of one clipped base, by its phred33 character."""
     q = F.greatest(F.ascii(quality_char) - 33, F.lit(0))
@@ -103,13 +111,36 @@ def required_probability(intron: Column) -> Column:
     return out
 
 
-def site_probability(window: Column, matrix: list[dict[str, float]], background: float = 0.25) -> Column:
-    """1 / (1 + 1 / ratio) of a window of bases against position weights (one dict of base -> probability for each place); null where a letter is unknown."""
-    maps = [F.create_map(*(F.lit(x) for pair in {b: p / background for b, p in place.items()}.items() for x in pair)) for place in matrix]
+#: Fixed values of the splice-site model: shares of A, C, G, T at each place of a donor (3 bases of the exon, 6 of the intron) and of an acceptor (14 of the intron, 1 of the exon), and in the genome.
+DONOR = (
+    (0.340, 0.604, 0.092, 0.001, 0.001, 0.526, 0.713, 0.071, 0.160),
+    (0.363, 0.129, 0.033, 0.001, 0.001, 0.028, 0.076, 0.055, 0.165),
+    (0.183, 0.125, 0.803, 1.000, 0.001, 0.419, 0.118, 0.814, 0.209),
+    (0.114, 0.142, 0.073, 0.001, 1.000, 0.025, 0.093, 0.059, 0.462),
+)
+ACCEPTOR = (
+    (0.090, 0.084, 0.075, 0.068, 0.076, 0.080, 0.097, 0.092, 0.076, 0.078, 0.237, 0.042, 1.000, 0.001, 0.239),
+    (0.310, 0.310, 0.307, 0.293, 0.326, 0.330, 0.373, 0.385, 0.410, 0.352, 0.309, 0.708, 0.001, 0.001, 0.138),
+    (0.125, 0.115, 0.106, 0.104, 0.110, 0.113, 0.113, 0.085, 0.066, 0.064, 0.212, 0.003, 0.001, 1.000, 0.520),
+    (0.463, 0.440, 0.470, 0.494, 0.471, 0.463, 0.408, 0.429, 0.445, 0.504, 0.240, 0.246, 0.001, 0.001, 0.104),
+)
+GENOME = (0.27, 0.23, 0.23, 0.27)
+
+
+def _ratio(window: Column, shares: tuple, background: tuple) -> Column:
+    """Product over the places of a base's share to its share in the background; null where a letter is unknown."""
     ratio = F.lit(1.0)
-    for k, m in enumerate(maps):
-        ratio = ratio * F.try_element_at(m, F.substring(window, k + 1, 1))
-    return ratio / (ratio + F.lit(1.0))
+    for k in range(len(shares[0])):
+        at = F.nullif(F.instr(F.lit("ACGT"), F.substring(window, k + 1, 1)), F.lit(0))
+        ratio = ratio * F.element_at(F.array(*(F.lit(row[k] / b) for row, b in zip(shares, background, strict=True))), at)
+    return ratio
+
+
+def site_probability(donor: Column, acceptor: Column, donor_shares: tuple = DONOR, acceptor_shares: tuple = ACCEPTOR, background: tuple = GENOME) -> Column:
+    """Probability, r / (1 + r) for the likelihood ratio r, that the bases around both ends of an intron are those of a splice site; null where a base is unknown."""
+    long = lambda c, shares: F.length(c) == len(shares[0])
+    r = _ratio(donor, donor_shares, background) * _ratio(acceptor, acceptor_shares, background)
+    return F.when(long(donor, donor_shares) & long(acceptor, acceptor_shares), r / (r + F.lit(1.0)))
 
 
 def composite_score(score: Column, repeat: Column, transcript: Column, splice: Column, trimmed: Column) -> Column:

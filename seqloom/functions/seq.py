@@ -59,18 +59,27 @@ def kmer_int(seq: Column | str) -> Column:
     return F.when(F.upper(col(seq)).rlike("^[ACGT]{1,31}$"), value)
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), the value computed once however often use takes it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def minimizer_hash(kmer: Column | str, bits: int) -> Column:
-    """Invertible mix of a k-mer number of so many bits (60 at most): multiplications by odd numbers and shifted exclusive ors, kept within the bits."""
+    """Invertible mix of a k-mer number of so many bits (62 at most): multiplications by odd numbers and shifted exclusive ors, kept within the bits."""
     mask = F.lit((1 << bits) - 1)
     half = max(1, bits // 2)
-    x = col(kmer).bitwiseAND(mask)
-    for odd in (0x2545F, 0x9E37B):
-        x = x.bitwiseXOR(F.shiftrightunsigned(x, half))
+
+    def multiplied(x: Column, odd: int) -> Column:
         # the product is taken in two halves, so that it never leaves 64 bits
         low, high = x.bitwiseAND(F.lit((1 << half) - 1)), F.shiftrightunsigned(x, half)
         part = (high * F.lit(odd)).bitwiseAND(F.lit((1 << (bits - half)) - 1))
-        x = (F.shiftleft(part, half) + low * F.lit(odd)).bitwiseAND(mask)
-    return x.bitwiseXOR(F.shiftrightunsigned(x, half))
+        return (F.shiftleft(part, half) + low * F.lit(odd)).bitwiseAND(mask)
+
+    times = lambda odd: lambda y: multiplied(y, odd)
+    x = col(kmer).bitwiseAND(mask)
+    for odd in (0x2545F, 0x9E37B):
+        x = bound(bound(x, lambda y: y.bitwiseXOR(F.shiftrightunsigned(y, half))), times(odd))
+    return bound(x, lambda y: y.bitwiseXOR(F.shiftrightunsigned(y, half)))
 
 
 def windows(seq: Column | str, k: int, step: int = 1) -> Column:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.seq import reverse_complement, window_rows
+from ..functions.seq import kmer_int, minimizer_hash, reverse_complement, window_rows
 
 TILE, OVERLAP = 57344, 1024
 
@@ -45,13 +45,33 @@ def positions(index: DataFrame) -> DataFrame:
     return index.groupBy("kmer").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("chrom_id", "pos"))).alias("positions"))
 
 
+#: Windows of k-mers that are looked at in one row.
+BLOCK = 64
+
+
 def minimizers(seqs: DataFrame, k: int, w: int) -> DataFrame:
-    """(id, kmer, pos) of the smallest k-mer, by its letters, of each w neighbouring ones of seqs (id, seq); among equals the later one, each place once."""
-    grams = window_rows(seqs, ["id"], "seq", k)
-    ahead = Window.partitionBy("id").orderBy("pos").rowsBetween(0, w - 1)
-    last = grams.groupBy("id").agg(F.max("pos").alias("_last"))
-    best = grams.withColumn("m", F.min(F.struct("kmer", (-F.col("pos")).alias("back"))).over(ahead)).join(last, "id")
-    return best.where(F.col("pos") <= F.greatest(F.col("_last") - (w - 1), F.lit(0))).select("id", "m.kmer", (-F.col("m.back")).alias("pos")).distinct()
+    """(id, kmer, pos) of the k-mer of least hash of each w neighbouring ones of seqs (id, seq); among equals the later one, each place once. k is 31 at most; windows with other letters than A, C, G, T are passed over.
+
+    A sequence of fewer than w k-mers is one window. Sequences are cut into blocks of windows, and a
+    block leaves out the place that the last window before it has picked, so nothing is shuffled and
+    no task holds a sequence.
+    """
+    n = F.length("seq") - F.lit(k - 1)
+    last = F.greatest(n - w, F.lit(0))
+    starts = F.when(n > 0, F.sequence(F.lit(0), last, F.lit(BLOCK)))
+    # one window more in front tells what was picked before
+    cut = seqs.select("id", "seq", last.alias("_last"), F.explode(starts).alias("_b")).withColumn("_from", F.greatest(F.col("_b") - 1, F.lit(0)))
+    pieces = cut.select("id", "_b", "_from", F.least(F.col("_last"), F.col("_b") + BLOCK - 1).alias("_to"), F.substring("seq", F.col("_from") + 1, F.lit(BLOCK + w + k - 1)).alias("_s"))
+    grams = F.transform(F.sequence(F.lit(0), F.length("_s") - k), lambda i: F.struct(F.substring("_s", i + 1, F.lit(k)).alias("kmer"), i.alias("i")))
+    ranked = F.transform(grams, lambda g: F.when(g["kmer"].rlike("^[ACGT]*$"), F.struct(minimizer_hash(kmer_int(g["kmer"]), 2 * k).alias("h"), (-g["i"]).alias("back"), g["kmer"].alias("kmer"))))
+    # exploded, so that each hash is taken once and not for every window
+    pieces = pieces.select("id", "_b", "_from", "_to", F.explode(F.array(ranked)).alias("_g"))
+    picked = F.transform(F.sequence(F.lit(0), F.col("_to") - F.col("_from")), lambda i: F.array_min(F.slice("_g", i + 1, F.lit(w))))
+    pieces = pieces.select("_b", "_from", "id", F.explode(F.array(picked)).alias("_p"))
+    before = F.when(F.col("_b") > 0, F.element_at("_p", 1)["back"])
+    own = F.when(F.col("_b") > 0, F.slice("_p", 2, F.greatest(F.size("_p") - 1, F.lit(0)))).otherwise(F.col("_p"))
+    kept = F.filter(F.array_distinct(own), lambda x: x.isNotNull() & ~x["back"].eqNullSafe(before))
+    return pieces.select("id", "_from", F.explode(kept).alias("m")).select("id", "m.kmer", (F.col("_from") - F.col("m.back")).cast("long").alias("pos"))
 
 
 def minimizer_index(seqs: DataFrame, k: int = 31, w: int = 5) -> DataFrame:

@@ -6,9 +6,11 @@ is given in the bin of its larger start only, so no distinct is needed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import bucketed, islands, running
+
 
 def _bins(start: Column, end: Column, width: int) -> Column:
     return F.sequence(F.floor(start / width), F.floor(end / width))
@@ -76,16 +78,12 @@ def any_site(queries: DataFrame, sites: DataFrame, width: int = 16384) -> DataFr
 
 def prefix_max_ends(intervals: DataFrame, keys: list[str]) -> DataFrame:
     """Adds max_end: the largest end among the intervals (start, end) up to and with this one, by start; it bounds backward scans."""
-    w = Window.partitionBy(*keys).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
-    return intervals.withColumn("max_end", F.max("end").over(w))
+    return running(bucketed(intervals, "start"), keys, ["start", "end"], "end", "max_end", "max").drop("_bucket")
 
 
 def merge(intervals: DataFrame, keys: list[str], gap: int = 0, carried: dict[str, Column] | None = None) -> DataFrame:
     """Merged intervals (keys, start, end, n, carried aggregates): closed intervals that start at most gap past the end of what came before belong together."""
-    before = Window.partitionBy(*keys).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    new = F.coalesce(F.col("start") > F.max("end").over(before) + gap, F.lit(True)).cast("int")
-    island = F.sum("_new").over(Window.partitionBy(*keys).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0))
-    marked = intervals.withColumn("_new", new).withColumn("_island", island)
+    marked = islands(intervals, keys, ["start", "end"], "start", "end", gap)
     out = marked.groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"), *((c.alias(k)) for k, c in (carried or {}).items()))
     return out.drop("_island")
 
@@ -97,8 +95,7 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, start: str
     a = left.select("*", F.col(at).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(right.select(told.alias("t")).schema["t"].dataType).alias("_told"))
     b = right.select(*keys, F.col(start).alias("_at"), F.lit(0).alias("_side"), told.alias("_told"))
     both = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    swept = both.withColumn("_last", F.last("_told", ignorenulls=True).over(w)).where("_side = 1")
+    swept = running(bucketed(both, "_at"), keys, ["_at", "_side"], "_told", "_last", "last").where("_side = 1")
     return swept.select(*names, *(F.col("_last")[v].alias(v) for v in value))
 
 

@@ -61,41 +61,127 @@ def affine(read: str, ref: str, qual: str | None = None, s: Scoring = Scoring(),
     else:
         i, j = n, m if fixed_ends else int(h[n].argmax())
     score = int(h[i, j])
-    edits, state, end = [], "h", i
+    if not local:
+        j, edits = _trace(h, ins, gone, sub, read, ref, i, j, s, fixed_ends)
+        return score, j, 0, left_align(read, edits)
+    # of a local alignment the part up to the first place where nothing is gained
+    end = i
+    i, j, edits = _trace_local(h, ins, gone, sub, read, ref, i, j, s)
+    return score, j, i, left_align(read[i:end], [e | {"pos": e["pos"] - i} for e in edits])
+
+
+def affine_batch(reads: list[str], refs: list[str], quals: list, s: Scoring = Scoring(), fixed_ends: bool = False) -> list[tuple[int, int, int, list]]:
+    """affine() of candidates whose reads have one length and whose windows have one length.
+
+    A read that fits its window without any loss at some place is done at once. For the others the
+    rows of all tables are filled together; where the best score is that of a single diagonal, which
+    is the common case, the edits are its mismatches, and only the rest is traced back step by step.
+    """
+    n, m = len(reads[0]), len(refs[0])
+    a, b = (np.array([np.frombuffer(x.encode(), np.uint8) for x in xs]) for xs in (reads, refs))
+    pen = np.array([penalties(q, n, s) for q in quals])
+    known, ref_known = (np.isin(x, list(b"ACGT")) for x in (a, b))
+    sub = lambda rows, i, lo, hi: np.where(known[rows, i, None] & ref_known[rows, lo:hi], np.where(a[rows, i, None] == b[rows, lo:hi], s.match, -pen[rows, i, None]), -s.n_penalty)
+    out: list = [None] * len(reads)
+    rest = np.arange(len(reads))
+    if m >= n and not fixed_ends:
+        spans = np.lib.stride_tricks.sliding_window_view(b, n, axis=1)
+        whole = (spans == a[:, None, :]).all(axis=2) & known.all(axis=1)[:, None]
+        for k in np.flatnonzero(whole.any(axis=1)):
+            out[k] = (n * s.match, int(whole[k].argmax()), 0, [])
+        rest = np.flatnonzero(~whole.any(axis=1))
+    if not len(rest):
+        return out
+    h = np.full((n + 1, len(rest), m + 1), _LOW, np.int32)
+    ins, gone = h.copy(), h.copy()
+    h[0] = np.concatenate([[0], -(s.read_gap_open + s.read_gap_extend * np.arange(1, m + 1))]) if fixed_ends else 0
+    cols = np.arange(m + 1, dtype=np.int32)
+    for i in range(1, n + 1):
+        ins[i] = np.maximum(ins[i - 1], h[i - 1] - s.ref_gap_open) - s.ref_gap_extend
+        row = np.maximum(ins[i], h[i])
+        row[:, 1:] = np.maximum(row[:, 1:], h[i - 1, :, :-1] + sub(rest, i - 1, 0, m))
+        best = np.maximum.accumulate(row + s.read_gap_extend * cols, axis=1)
+        gone[i, :, 1:] = best[:, :-1] - s.read_gap_open - s.read_gap_extend * cols[1:]
+        h[i] = np.maximum(row, gone[i])
+    ends = np.full(len(rest), m) if fixed_ends else h[n].argmax(axis=1)
+    for k, (row, j) in enumerate(zip(rest.tolist(), ends.tolist(), strict=True)):
+        score = int(h[n, k, j])
+        start = j - n
+        if start >= 0 and not (fixed_ends and start):
+            piece = b[row, start:j]
+            cost = np.where(known[row] & ref_known[row, start:j], np.where(a[row] == piece, s.match, -pen[row]), -s.n_penalty)
+            if int(cost.sum()) == score:
+                ref, read = refs[row], reads[row]
+                out[row] = (score, start, 0, [{"pos": int(x), "type": "mm", "ref": ref[start + x], "read": read[x], "length": 1, "snp": None} for x in np.flatnonzero(a[row] != piece)])
+                continue
+        cost = np.where(known[row][:, None] & ref_known[row][None, :], np.where(a[row][:, None] == b[row][None, :], s.match, -pen[row][:, None]), -s.n_penalty)
+        j, edits = _trace(h[:, k], ins[:, k], gone[:, k], cost, reads[row], refs[row], n, j, s, fixed_ends)
+        out[row] = (score, j, 0, left_align(reads[row], edits))
+    return out
+
+
+def _trace(h: np.ndarray, ins: np.ndarray, gone: np.ndarray, sub: np.ndarray, read: str, ref: str, i: int, j: int, s: Scoring, fixed_ends: bool) -> tuple[int, list]:
+    """Start in ref, and edits from left to right, of the best path that ends at (i, j)."""
+    return _path(h, ins, gone, sub, read, ref, i, j, s, fixed_ends, False)[1:]
+
+
+def _trace_local(h: np.ndarray, ins: np.ndarray, gone: np.ndarray, sub: np.ndarray, read: str, ref: str, i: int, j: int, s: Scoring) -> tuple[int, int, list]:
+    """Start in the read, start in ref and edits of the best path that ends at (i, j) and begins where nothing is gained before it."""
+    return _path(h, ins, gone, sub, read, ref, i, j, s, False, True)
+
+
+def _path(h: np.ndarray, ins: np.ndarray, gone: np.ndarray, sub: np.ndarray, read: str, ref: str, i: int, j: int, s: Scoring, fixed_ends: bool, local: bool) -> tuple[int, int, list]:
+    edits, state, run = [], "h", 0
+    edit = lambda pos, kind, gone_, put, size: edits.append({"pos": pos, "type": kind, "ref": gone_, "read": put, "length": size, "snp": None})
     while (i > 0 or (fixed_ends and j > 0)) and not (local and state == "h" and h[i, j] == 0):
         if state == "h":
             if i and j and h[i, j] == h[i - 1, j - 1] + sub[i - 1, j - 1]:
                 if read[i - 1] != ref[j - 1]:
-                    edits.append({"pos": i - 1, "type": "mm", "ref": ref[j - 1], "read": read[i - 1], "length": 1, "snp": None})
+                    edit(i - 1, "mm", ref[j - 1], read[i - 1], 1)
                 i, j = i - 1, j - 1
             elif i and h[i, j] == ins[i, j]:
                 state, run = "ins", 0
             elif j and h[i, j] == gone[i, j]:
                 state, run = "del", 0
             elif i == 0:
-                edits.append({"pos": 0, "type": "del", "ref": ref[:j], "read": "", "length": j, "snp": None})
+                edit(0, "del", ref[:j], "", j)
                 j = 0
             else:
                 break
         elif state == "ins":
-            run += 1
-            opened = ins[i, j] == h[i - 1, j] - s.ref_gap_open - s.ref_gap_extend
+            run, opened = run + 1, ins[i, j] == h[i - 1, j] - s.ref_gap_open - s.ref_gap_extend
             i -= 1
             if opened:
-                edits.append({"pos": i, "type": "ins", "ref": "", "read": read[i : i + run], "length": run, "snp": None})
+                edit(i, "ins", "", read[i : i + run], run)
                 state = "h"
         else:
-            run += 1
-            opened = gone[i, j] == h[i, j - 1] - s.read_gap_open - s.read_gap_extend
+            run, opened = run + 1, gone[i, j] == h[i, j - 1] - s.read_gap_open - s.read_gap_extend
             j -= 1
             if opened:
-                edits.append({"pos": i, "type": "del", "ref": ref[j : j + run], "read": "", "length": run, "snp": None})
+                edit(i, "del", ref[j : j + run], "", run)
                 state = "h"
     edits.reverse()
-    if local:
-        edits = [e | {"pos": e["pos"] - i} for e in edits]
-        return score, j, i, left_align(read[i:end], edits)
-    return score, j, i, left_align(read, edits)
+    return i, j, edits
+
+
+#: Candidates whose tables are filled at once.
+BATCH = 128
+
+
+def affine_all(reads: list[str], refs: list[str], quals: list, s: Scoring = Scoring(), local: bool = False, fixed_ends: bool = False) -> list[tuple[int, int, int, list]]:
+    """affine() of each candidate, those of equal lengths together; (very low, 0, 0, []) where a read or its window is empty."""
+    out: list = [(_LOW, 0, 0, [])] * len(reads)
+    groups: dict[tuple[int, int], list[int]] = {}
+    for k, (r, w) in enumerate(zip(reads, refs, strict=True)):
+        if r and w:
+            groups.setdefault((len(r), len(w)), []).append(k)
+    for rows in groups.values():
+        for at in range(0, len(rows), BATCH):
+            part = rows[at : at + BATCH]
+            told = [affine(reads[k], refs[k], quals[k], s, True, fixed_ends) for k in part] if local else affine_batch([reads[k] for k in part], [refs[k] for k in part], [quals[k] for k in part], s, fixed_ends)
+            for k, x in zip(part, told, strict=True):
+                out[k] = x
+    return out
 
 
 def ungapped(read: str, ref: str, qual: str | None = None, s: Scoring = Scoring()) -> tuple[int, list]:
@@ -202,14 +288,14 @@ def edit_limit(a: str, b: str, limit: int) -> int:
 _SCHEMA = f"score int, ref_start int, left_clip int, edits array<{EDIT}>"
 
 
-def align_candidates(candidates: DataFrame, s: Scoring = Scoring(), local: bool = False) -> DataFrame:
-    """Adds score, ref_start, left_clip and edits to candidates (read, qual, window: the reference bases around the place)."""
+def align_candidates(candidates: DataFrame, s: Scoring = Scoring(), local: bool = False, fixed_ends: bool = False) -> DataFrame:
+    """Adds score, ref_start, left_clip and edits to candidates (read, qual, window: the reference bases around the place); fixed_ends: the whole window is aligned."""
     names = candidates.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema) + ", " + _SCHEMA
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = [affine(r, w, q, s, local) if r and w else (_LOW, 0, 0, []) for r, q, w in zip(frame.read, frame.qual, frame.window, strict=True)]
+            out = affine_all([x or "" for x in frame.read], [x or "" for x in frame.window], list(frame.qual), s, local, fixed_ends)
             told = pd.DataFrame(out, columns=["score", "ref_start", "left_clip", "edits"], index=frame.index)
             yield pd.concat([frame[names], told], axis=1)
 

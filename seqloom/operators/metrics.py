@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from .ordered import bucketed, running
+
 #: Read count up to which the distribution of splice-site support is looked at, and the share that sets the cutoff.
 SUPPORT_CAP, SUPPORT_SHARE = 100, 0.7
 
@@ -127,9 +129,10 @@ def novel_sites(sites: DataFrame, near: int = 10) -> DataFrame:
     cutoff = support_cutoff(sites)
     total = sites.agg((F.count("*") / 100000).cast("long").alias("floor"))
     good = sites.crossJoin(F.broadcast(cutoff)).crossJoin(F.broadcast(total)).where((F.col("num_reads") >= F.col("cutoff")) | ((F.col("edit_dist") == 0) & (F.col("num_reads") >= F.col("floor"))))
-    w = Window.partitionBy("chrom_id", "fw").orderBy("left", "right")
-    new = F.coalesce((F.col("left") - F.lag("left").over(w) > near) | (F.abs(F.col("right") - F.lag("right").over(w)) > near), F.lit(True)).cast("int")
-    groups = good.withColumn("_new", new).withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    keys, order = ["chrom_id", "fw"], ["left", "right"]
+    marked = running(bucketed(good.withColumn("_here", F.struct("left", "right")), "left"), keys, order, "_here", "_last", "last", inclusive=False)
+    new = F.coalesce((F.col("left") - F.col("_last.left") > near) | (F.abs(F.col("right") - F.col("_last.right")) > near), F.lit(True)).cast("long")
+    groups = running(marked.withColumn("_new", new), keys, order, "_new", "_g", "sum")
     best = Window.partitionBy("chrom_id", "fw", "_g").orderBy(F.desc("num_reads"), "edit_dist", "left", "right")
     return groups.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("chrom_id", "left", "right", "fw", "num_reads", "edit_dist")
 

@@ -113,18 +113,20 @@ BINNED = (
     (30, 27, 0, 0, 0, 0, 0, 0, 0, 0, 0),
     (30, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0),
 )
-BINNED_PAIR, BINNED_SINGLE = 44, 255
+BINNED_PAIR, BINNED_ALONE_PERFECT, BINNED_SINGLE = 44, 44, 255
 
 
-def mapq_binned(best: Column, second: Column, perfect: Column, least: Column, paired: Column | None = None) -> Column:
-    """Mapping quality by tenths of the score range: of the loss of the best score and of its distance to the runner-up. Pairs get one value, reads without a runner-up another."""
+def mapq_binned(best: Column, second: Column, perfect: Column, least: Column, paired: Column | None = None, exhausted: Column | None = None) -> Column:
+    """Mapping quality by tenths of the score range: of the loss of the best score and of its distance to the runner-up. Pairs get one value; a read without a runner-up is judged by its loss where the search was exhausted, else it gets BINNED_SINGLE."""
     span = F.greatest((perfect - least).cast("double"), F.lit(1e-9))
     tenth = lambda x: F.least(F.greatest((x * (10.0 / span) + 0.5).cast("int"), F.lit(0)), F.lit(10))
     loss = perfect - best
     table = F.array(*(F.array(*map(F.lit, row)) for row in BINNED))
     told = F.element_at(F.element_at(table, tenth(best - second) + 1), tenth(loss) + 1)
     whole = F.element_at(F.array(*map(F.lit, BINNED_PERFECT)), tenth(loss) + 1)
-    out = F.when(best.isNull(), F.lit(None)).when(second.isNull(), BINNED_SINGLE).when(loss == perfect, whole).otherwise(told)
+    alone = F.when(loss == perfect, BINNED_ALONE_PERFECT).otherwise(F.element_at(F.array(*map(F.lit, BINNED_ALONE)), tenth(loss) + 1))
+    single = F.when(exhausted, alone).otherwise(BINNED_SINGLE) if exhausted is not None else F.lit(BINNED_SINGLE)
+    out = F.when(best.isNull(), F.lit(None)).when(second.isNull(), single).when(loss == perfect, whole).otherwise(told)
     return (F.when(paired, BINNED_PAIR).otherwise(out) if paired is not None else out).cast("int")
 
 

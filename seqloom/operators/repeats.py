@@ -187,10 +187,9 @@ def common_places(one: DataFrame, two: DataFrame, distance: int) -> DataFrame:
 
 
 def place_on_chromosomes(copies: DataFrame, stretches: DataFrame) -> DataFrame:
-    """copies (rep_id, joined) -> adds chrom_id and pos: of the last stretch that starts at or before the place."""
-    s = stretches.withColumn("one", F.lit(1))
-    told = asof(copies.withColumn("one", F.lit(1)).withColumn("_j", F.col("joined")), s, ["one"], "_j", "joined_start", ["chrom_id", "tstart", "joined_start"])
-    return told.withColumn("pos", F.col("tstart") + F.col("joined") - F.col("joined_start")).drop("one", "_j", "tstart", "joined_start")
+    """copies (rep_id, joined) -> adds chrom_id and pos: of the last stretch that starts at or before the place. The joined text is cut into buckets, so no task holds all copies."""
+    told = asof(copies, stretches, [], "joined", "joined_start", ["chrom_id", "tstart", "joined_start"])
+    return told.withColumn("pos", F.col("tstart") + F.col("joined") - F.col("joined_start")).drop("tstart", "joined_start")
 
 
 def minimizer_hits(queries: DataFrame, targets: DataFrame, k: int = 31, w: int = 5, least: int = 1) -> DataFrame:

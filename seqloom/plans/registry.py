@@ -159,9 +159,7 @@ _JOINED = _JOINED.replace(") , st", "), st")
 @query(_JOINED + "SELECT event_id, item_id, CAST(tstart + joined - js AS BIGINT) AS pos FROM q ASOF JOIN st ON joined >= js")
 def asof_stretch(spark, sf_dir):
     q = t(spark, sf_dir, "events").select(F.col("event_id").alias("rep_id"), (F.col("event_id") % 4000).alias("joined"))
-    s = stretches_of(spark, sf_dir)
-    # few stretches, many places: the lookup is a bin join; the as-of window would put all places into one task
-    found = intervals.to_chromosome(q.withColumn("len", F.lit(1)), s, 64)
+    found = repeats.place_on_chromosomes(q, stretches_of(spark, sf_dir)).where("chrom_id is not null")
     return found.select(F.col("rep_id").alias("event_id"), F.col("chrom_id").alias("item_id"), "pos")
 
 
@@ -246,23 +244,6 @@ def repeat_kmers(spark, sf_dir):
     return per.groupBy("kmer").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).where("docs >= 5")
 
 
-_MINI = (
-    f"WITH {REF}, g AS (SELECT item_id, p AS pos, substring(seq, p + 1, 15) AS kmer, length(seq) - 15 AS last FROM (SELECT item_id, seq, unnest(range(0, length(seq) - 14)) AS p FROM ref WHERE length(seq) >= 15)), "
-    "w AS (SELECT a.item_id, a.pos AS at, b.kmer, b.pos, row_number() OVER (PARTITION BY a.item_id, a.pos ORDER BY b.kmer, b.pos DESC) AS k FROM g a JOIN g b ON a.item_id = b.item_id AND b.pos BETWEEN a.pos AND a.pos + 4 WHERE a.pos <= greatest(a.last - 4, 0)), "
-    "m AS (SELECT DISTINCT item_id, kmer, pos FROM w WHERE k = 1) "
-)
-
-
-@query(_MINI + "SELECT item_id, kmer, CAST(pos AS BIGINT) AS pos FROM m")
-def minimizers(spark, sf_dir):
-    return index.minimizers(ref_of(spark, sf_dir).withColumnRenamed("chrom_id", "id"), 15, 5).withColumnRenamed("id", "item_id")
-
-
-@query(_MINI + "SELECT kmer, count(*) AS n FROM m GROUP BY kmer HAVING count(*) > 1")
-def common_minimizers(spark, sf_dir):
-    return index.minimizer_index(ref_of(spark, sf_dir).withColumnRenamed("chrom_id", "id"), 15, 5).where("n > 1").select("kmer", "n")
-
-
 @query(
     f"WITH {REF}, c AS (SELECT item_id, seq, unnest(range(1, length(seq) + 1)) AS p FROM ref), n AS (SELECT p - 1 AS pos, substring(seq, p, 1) AS base, count(*) AS n FROM c GROUP BY ALL), "
     "r AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY n DESC, base) AS k FROM n) SELECT string_agg(base, '' ORDER BY pos) AS consensus FROM r WHERE k = 1"
@@ -656,10 +637,13 @@ def novel_sites(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import queries_io, queries_rules  # noqa: F401  they register themselves
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 

@@ -33,7 +33,7 @@ def constant_quality(seq: Column) -> Column:
 def fasta_records(spark: SparkSession, path: str) -> DataFrame:
     """(ordinal, name, seq): comment lines start with # or ;, records may be empty."""
     raw = spark.read.option("lineSep", ">").text(path).where(F.length(F.trim("value")) > 0)
-    lines = F.transform(F.split("value", r"\r?\n"), F.trim)
+    lines = F.transform(F.split("value", r"\r?\n"), lambda x: F.trim(x))  # a second argument would be the place
     parts = with_ordinal(raw.select(lines.alias("l")), "ordinal")
     body = F.filter(F.slice("l", 2, F.greatest(F.size("l"), F.lit(1))), lambda x: ~x.rlike("^[#;]"))
     return parts.select("ordinal", F.col("l")[0].alias("name"), F.array_join(body, "").alias("seq"))

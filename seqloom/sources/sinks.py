@@ -77,9 +77,9 @@ def route(reads: DataFrame, alns: DataFrame) -> dict[str, DataFrame]:
     return {"un": pick(~paired & none), "al": pick(~paired & ~none), "un_conc": pick(paired & ~proper), "al_conc": pick(paired & proper), "al_conc_disc": pick(paired & (proper | (F.col("disc") == 1)))}
 
 
-def fastq_lines(reads: DataFrame) -> DataFrame:
-    """Four-line records as one value each."""
-    return reads.select(F.concat_ws("\n", F.concat(F.lit("@"), "name"), "seq", F.lit("+"), "qual").alias("value"))
+def fastq_lines(reads: DataFrame, *keep: str) -> DataFrame:
+    """Four-line records as one value each, with the columns keep."""
+    return reads.select(*keep, F.concat_ws("\n", F.concat(F.lit("@"), "name"), "seq", F.lit("+"), "qual").alias("value"))
 
 
 def write_tsv(df: DataFrame, path: str) -> None:

@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordered import bucketed, running
+
 #: Reads that may be in work at once for each thread.
 LAG_PER_THREAD = 1000
 
@@ -38,8 +40,9 @@ def newest_before(reads: DataFrame, sites: DataFrame, threads: int = 1) -> DataF
     """reads (rdid, chrom_id) with seen: how many sites of the chromosome are visible to each."""
     a = reads.select("rdid", "chrom_id", F.lit(1).alias("side"))
     b = sites.select((F.col("first_rdid") + lag(threads)).alias("rdid"), "chrom_id", F.lit(0).alias("side"))
-    w = Window.partitionBy("chrom_id").orderBy("rdid", "side").rowsBetween(Window.unboundedPreceding, 0)
-    return a.unionByName(b).withColumn("seen", F.sum(1 - F.col("side")).over(w)).where("side = 1").select("rdid", "chrom_id", F.col("seen").cast("long").alias("seen"))
+    both = a.unionByName(b).withColumn("_site", (1 - F.col("side")).cast("long"))
+    seen = running(bucketed(both, "rdid"), ["chrom_id"], ["rdid", "side"], "_site", "seen", "sum")
+    return seen.where("side = 1").select("rdid", "chrom_id", F.col("seen").cast("long").alias("seen"))
 
 
 def stream_sites(junctions: DataFrame) -> DataFrame:
