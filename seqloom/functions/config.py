@@ -89,6 +89,8 @@ class Options:
     qc_filter: bool = False
     khits: int = 5
     max_seeds: int | None = None
+    #: Seeds with more places than this are left out, so that a common one does not give each read so many candidates.
+    max_hits: int | None = 10_000
     kmer: int = 22
     tile: int = 57344
     tile_overlap: int = 1024

@@ -32,6 +32,32 @@ def tiles(ref: DataFrame, tile: int = TILE, overlap: int = OVERLAP) -> DataFrame
     return rows.select("chrom_id", "tile_id", "start", F.substring("seq", F.col("start") + 1, F.lit(tile)).alias("seq"))
 
 
+#: Bases up to which pieces of a reference may be broadcast (a byte each, overlaps apart).
+MAX_BROADCAST_BASES = 64_000_000
+
+
+def total_bases(ref: DataFrame) -> int:
+    return ref.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()[0]
+
+
+def bases_at(places: DataFrame, ref: DataFrame, start: str, length: str, out: str, longest: int = OVERLAP, bases: int | None = None) -> DataFrame:
+    """Adds out: the reference bases of places (chrom_id, start, length, ...) from start on, fewer where the sequence ends; longest bounds the lengths.
+
+    The join is on tiles of the reference, so a row gets a piece of TILE bases and never a chromosome.
+    The tiles are broadcast if the reference has MAX_BROADCAST_BASES at most (bases, if it was counted
+    before). Places that begin before 0 or whose length is not positive get an empty string.
+    """
+    step = max(TILE - OVERLAP, longest)
+    pieces = tiles(ref, step + longest, longest).select(F.col("chrom_id").alias("_tile_chrom"), F.col("tile_id").alias("_tile_id"), F.col("start").alias("_tile_start"), F.col("seq").alias("_tile_seq"))
+    if (total_bases(ref) if bases is None else bases) <= MAX_BROADCAST_BASES:
+        pieces = F.broadcast(pieces)
+    tile = F.greatest(F.floor(F.col(start) / step), F.lit(0))
+    inside = (F.col(start) >= 0) & (F.col(length) > 0)
+    j = places.withColumn("_tile", tile).join(pieces, (F.col("chrom_id") == F.col("_tile_chrom")) & (F.col("_tile") == F.col("_tile_id")), "left")
+    cut = F.when(inside, F.substring("_tile_seq", (F.col(start) - F.col("_tile_start")).cast("int") + 1, F.col(length).cast("int")))
+    return j.withColumn(out, F.coalesce(cut, F.lit(""))).drop("_tile", "_tile_chrom", "_tile_id", "_tile_start", "_tile_seq")
+
+
 def lookup(queries: DataFrame, index: DataFrame, max_hits: int | None = None) -> DataFrame:
     """Hits of queries (kmer, ...); k-mers with more than max_hits places are left out on the index side, before the join."""
     if max_hits is not None:
@@ -90,44 +116,65 @@ def is_repeat(seqs: DataFrame, repeats: DataFrame, k: int = 31, w: int = 5) -> D
 def variant_windows(ref: DataFrame, variants: DataFrame, k: int, max_alternatives: int = 16) -> DataFrame:
     """(kmer, chrom_id, pos, alts, complete): windows of k bases that cross known variants (chrom_id, id, type, pos, data).
 
-    Variants at most k apart form one site, whose alleles are combined; a site with more than
-    max_alternatives of them gives those with the fewest variants, marked complete = false.
+    Variants at most k apart form a site. Alleles are combined for each window of bases, so a site of
+    any length gives every window that crosses up to max_alternatives combinations of the variants
+    within reach of each other; windows with a single variant are always given. complete is false for
+    the windows of a place whose variants have more combinations than that.
     """
     from .intervals import merge
 
     width = F.when(F.col("type") == "deletion", F.col("data").try_cast("long")).otherwise(F.lit(1))
     v = variants.withColumn("start", F.col("pos")).withColumn("end", F.col("pos") + width - 1)
     sites = merge(v, ["chrom_id"], gap=k, carried={"vs": F.sort_array(F.collect_list(F.struct("pos", "type", "data", "id")))})
-    around = sites.join(ref.select("chrom_id", "seq"), "chrom_id")
     left = F.greatest(F.col("start") - k, F.lit(0))
-    cut = around.select("chrom_id", left.alias("left"), F.substring("seq", left.cast("int") + 1, (F.col("end") - left + k + 1).cast("int")).alias("bases"), "vs")
+    sites = sites.withColumn("left", left).withColumn("_n", F.col("end") - left + k + 1)
+    longest = sites.agg(F.coalesce(F.max("_n"), F.lit(1))).first()[0]
+    cut = bases_at(sites, ref, "left", "_n", "bases", longest=max(OVERLAP, int(longest))).select("chrom_id", "left", "bases", "vs")
 
     def run(frames):
         for frame in frames:
             out = []
             for chrom_id, left, bases, vs in zip(frame.chrom_id, frame["left"], frame.bases, frame.vs, strict=True):
                 vs = [dict(x) if isinstance(x, dict) else x.asDict() for x in vs]
-                chosen = sorted(allele_sets(vs), key=lambda s: (len(s), [vs.index(x) for x in s]))
-                complete = len(chosen) - 1 <= max_alternatives
-                for alleles in chosen[1 : max_alternatives + 1]:
+                chosen, complete = allele_sets(vs, k, max_alternatives)
+                for alleles in chosen:
                     text, places = apply_variants(bases, left, alleles)
-                    for i in range(len(text) - k + 1):
+                    low, high = max(0, places[0][0] - k + 1), min(len(text) - k, places[-1][1] - 1)
+                    for i in range(low, high + 1):
                         used = [x["id"] for x, (a, b) in zip(alleles, places, strict=True) if a < i + k and b > i]
-                        if used and set(text[i : i + k]) <= set("ACGT"):
+                        # a window that crosses only some of them belongs to the smaller combination
+                        if len(used) == len(alleles) and set(text[i : i + k]) <= set("ACGT"):
                             out.append((text[i : i + k], chrom_id, _origin(i, left, alleles, places), used, complete))
             yield pd.DataFrame(out, columns=["kmer", "chrom_id", "pos", "alts", "complete"])
 
     return cut.mapInPandas(run, "kmer string, chrom_id long, pos long, alts array<string>, complete boolean")
 
 
-def allele_sets(vs: list[dict]) -> list[list[dict]]:
-    """Combinations of variants of which no two touch the same base, the empty one first."""
-    out: list[list[dict]] = [[]]
-    for x in sorted(vs, key=lambda x: x["pos"]):
-        out += [s + [x] for s in out if not s or _after(s[-1], x)]
-        if len(out) > 4096:
-            break
-    return out
+def allele_sets(vs: list[dict], reach: int, most: int) -> tuple[list[list[dict]], bool]:
+    """Combinations of one variant or more of which no two touch the same base and the last begins less than reach bases after the first ends, and whether these are all.
+
+    All single variants, then pairs, and so on; of each first variant at most ``most`` combinations.
+    """
+    vs = sorted(vs, key=lambda x: x["pos"])
+    out, complete = [], True
+    for at, first in enumerate(vs):
+        level, found = [([first], at)], 0
+        while level:
+            after = []
+            for alleles, last in level:
+                if found >= most:
+                    complete = False
+                    break
+                out.append(alleles)
+                found += 1
+                for n in range(last + 1, len(vs)):
+                    if vs[n]["pos"] - first["pos"] - (int(first["data"]) if first["type"] == "deletion" else 0) >= reach:
+                        break
+                    if _after(alleles[-1], vs[n]):
+                        after.append(([*alleles, vs[n]], n))
+            level = after if found < most else []
+            complete = complete and not (after and not level)
+    return out, complete
 
 
 def _after(a: dict, b: dict) -> bool:

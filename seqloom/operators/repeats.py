@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.config import RepeatOptions
 from ..functions.seq import collapse_cg, reverse_complement, window_rows
-from .index import minimizers
-from .intervals import asof, overlap_join
+from .index import OVERLAP, TILE, bases_at, minimizers, total_bases
+from .intervals import asof, containment_join, overlap_join
 
 
 def repeated_seeds(ref: DataFrame, o: RepeatOptions = RepeatOptions()) -> DataFrame:
@@ -39,42 +39,37 @@ def chained_seeds(seeds: DataFrame) -> DataFrame:
 
 
 def extend_seeds(groups: DataFrame, o: RepeatOptions = RepeatOptions()) -> DataFrame:
-    """(rep_id, consensus, copies, left) of groups (rep_id, seed_len, copies: array of reference pieces that start flank bases before their seed, flank).
+    """(rep_id, grown, alive, open) of groups (rep_id, size, copies: array of (k, piece), the bases that follow the consensus in each copy).
 
-    One pass: both sides grow by the majority letter while at least seed_count copies agree with it
-    without a mismatch, at most to max_length. left is how many bases were added in front.
+    The consensus, which has size bases, grows by the majority letter while at least seed_count copies
+    agree with it without a mismatch, at most to max_length. alive are the copies k that agree to the
+    end; open tells whether the pieces ended before the growth did.
     """
 
     def run(frames):
         for frame in frames:
             out = []
-            for rep_id, n, copies, flank in zip(frame.rep_id, frame.seed_len, frame.copies, frame.flank, strict=True):
-                copies = [str(c) for c in copies]
-                seed = copies[0][flank : flank + n]
-                right, alive = "", list(range(len(copies)))
-                for k in range(flank + n, min(map(len, copies))):
-                    base, agree = _major(copies, alive, k)
-                    if base is None or len(agree) < o.seed_count or len(seed) + len(right) >= o.max_length:
+            for rep_id, size, copies in zip(frame.rep_id, frame["size"], frame.copies, strict=True):
+                pieces = {int(c["k"]): str(c["piece"]) for c in copies}
+                alive, grown = sorted(pieces), []
+                while True:
+                    at = len(grown)
+                    counts = Counter(pieces[k][at] for k in alive if at < len(pieces[k]) and pieces[k][at] != "N")
+                    base = min(counts, key=lambda b: (-counts[b], b), default=None)
+                    if base is None or counts[base] < o.seed_count or size + at >= o.max_length:
                         break
-                    right, alive = right + base, agree
-                left = ""
-                for k in range(flank - 1, -1, -1):
-                    base, agree = _major(copies, alive, k)
-                    if base is None or len(agree) < o.seed_count or len(seed) + len(right) + len(left) >= o.max_length:
-                        break
-                    left, alive = base + left, agree
-                out.append((rep_id, left + seed + right, alive, len(left)))
-            yield pd.DataFrame(out, columns=["rep_id", "consensus", "alive", "left"])
+                    grown.append(base)
+                    alive = [k for k in alive if at < len(pieces[k]) and pieces[k][at] == base]
+                # the pieces ended, if no letter is left to disagree
+                more = size + len(grown) < o.max_length and all(len(pieces[k]) == len(grown) for k in alive)
+                out.append((rep_id, "".join(grown), alive, more and bool(grown)))
+            yield pd.DataFrame(out, columns=["rep_id", "grown", "alive", "open"])
 
-    return groups.select("rep_id", "seed_len", "copies", "flank").mapInPandas(run, "rep_id long, consensus string, alive array<int>, left int")
+    return groups.select("rep_id", "size", "copies").mapInPandas(run, "rep_id long, grown string, alive array<int>, open boolean")
 
 
-def _major(copies: list[str], alive: list[int], k: int) -> tuple[str | None, list[int]]:
-    counts = Counter(copies[i][k] for i in alive if copies[i][k] != "N")
-    if not counts:
-        return None, []
-    base = min(counts, key=lambda b: (-counts[b], b))
-    return base, [i for i in alive if copies[i][k] == base]
+#: Bases by which repeats grow in the first round; each round takes twice as many.
+FIRST_CHUNK = 128
 
 
 def consensus(columns: DataFrame) -> DataFrame:
@@ -85,32 +80,66 @@ def consensus(columns: DataFrame) -> DataFrame:
     return best.groupBy("rep_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "base"))), lambda x: x["base"]), "").alias("consensus"))
 
 
+def start_seeds(places: DataFrame, ref: DataFrame, o: RepeatOptions = RepeatOptions()) -> DataFrame:
+    """(rep_id) of the seeds that a repeat may begin with: fewer than seed_count places (rep_id, chrom_id, pos, fw) share the letter before it, or at some place no repeated seed begins one base before."""
+    before = F.when(F.col("fw"), F.col("pos") - 1).otherwise(F.col("pos") + o.seed_length)
+    lettered = bases_at(places.withColumn("_b", before).withColumn("_one", F.lit(1)), ref, "_b", "_one", "letter")
+    letter = F.when(F.col("fw"), F.col("letter")).otherwise(reverse_complement("letter"))
+    agree = lettered.groupBy("rep_id", letter.alias("letter")).agg(F.count_if(letter.isin(*"ACGT")).alias("n")).groupBy("rep_id").agg(F.max("n").alias("n"))
+    heads = agree.where(F.col("n") < o.seed_count).select("rep_id")
+    step = F.when(F.col("fw"), 1).otherwise(-1)
+    after = places.select("chrom_id", "fw", (F.col("pos") + step).alias("pos")).distinct()
+    return heads.union(places.join(after, ["chrom_id", "fw", "pos"], "left_anti").select("rep_id")).distinct()
+
+
 def discover(ref: DataFrame, o: RepeatOptions = RepeatOptions()) -> DataFrame:
     """(rep_id, consensus, positions, n) of repeats of at least min_length bases with at least count copies.
 
-    Seeds are grouped; each group is extended by majority; groups whose copies lie on the same places
-    are one repeat, the longest (then the smallest sequence) stays.
+    Seeds are grouped; those that a repeat may begin with grow to the right by majority, in rounds of
+    twice as many bases, until none grows or all have max_length bases; copies near an end take part
+    as far as they go. A repeat all of whose copies lie inside copies of another, which is longer (or
+    as long, with a smaller sequence), is dropped.
     """
+    from ..sources.scratch import written
+
     seeds = repeated_seeds(ref, o)
-    flank = o.min_length
-    named = seeds.withColumn("rep_id", F.xxhash64("seed"))
-    at = named.select("rep_id", F.col("seed"), F.posexplode("positions").alias("k", "p")).select("rep_id", "seed", "k", "p.chrom_id", "p.pos", "p.fw")
-    start = F.greatest(F.col("pos") - flank, F.lit(0))
-    piece = F.substring(F.col("seq"), start.cast("int") + 1, F.length("seed") + 2 * flank)
-    cut = at.join(ref.select("chrom_id", "seq"), "chrom_id").withColumn("piece", F.when(F.col("fw"), piece).otherwise(reverse_complement(piece)))
-    # copies too near an end to have a full flank do not take part
-    whole = cut.where((F.col("pos") >= flank) & (F.length("piece") == F.length("seed") + 2 * flank))
-    groups = whole.groupBy("rep_id").agg(F.first(F.length("seed")).alias("seed_len"), F.transform(F.sort_array(F.collect_list(F.struct("k", "piece"))), lambda x: x["piece"]).alias("copies"), F.transform(F.sort_array(F.collect_list(F.struct("k", "chrom_id", "pos", "fw"))), lambda x: F.struct(x["chrom_id"].alias("chrom_id"), x["pos"].alias("pos"), x["fw"].alias("fw"))).alias("at"))
-    groups = groups.where(F.size("copies") >= o.seed_count).withColumn("flank", F.lit(flank))
-    grown = extend_seeds(groups, o).join(groups.select("rep_id", "at", "seed_len"), "rep_id")
-    right = F.length("consensus") - F.col("left") - F.col("seed_len")
-    moved = F.transform("alive", lambda i: F.element_at("at", i + 1))
-    placed = grown.withColumn("positions", F.transform(moved, lambda p: F.struct(p["chrom_id"].alias("chrom_id"), (p["pos"] - F.when(p["fw"], F.col("left")).otherwise(right)).alias("pos"), p["fw"].alias("fw"))))
-    kept = placed.where((F.length("consensus") >= o.min_length) & (F.size("positions") >= o.count))
-    # one repeat for each first place: overlapping growths of one repeat share it
-    key = F.element_at(F.sort_array("positions"), 1)
-    w = Window.partitionBy(key).orderBy(F.desc(F.length("consensus")), "consensus")
-    return kept.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("rep_id", "consensus", "positions", F.size("positions").alias("n"))
+    bases = total_bases(ref)
+    every = seeds.select(F.xxhash64("seed").alias("rep_id"), "seed", F.posexplode("positions").alias("k", "p")).select("rep_id", "seed", "k", "p.chrom_id", "p.pos", "p.fw")
+    every = written(every, "places")
+    begun = every.join(start_seeds(every.select("rep_id", "chrom_id", "pos", "fw"), ref, o), "rep_id", "left_semi")
+    texts = written(begun.groupBy("rep_id").agg(F.first("seed").alias("consensus"), F.lit(True).alias("open")), "texts")
+    copies = written(begun.select("rep_id", "k", "chrom_id", "pos", "fw"), "copies")
+    done, chunk = None, FIRST_CHUNK
+    while True:
+        ended = texts.where("not open or length(consensus) >= " + str(o.max_length)).join(copies.groupBy("rep_id").agg(F.collect_list(F.struct("k", "chrom_id", "pos", "fw")).alias("copies")), "rep_id")
+        done = ended if done is None else done.union(ended)
+        growing = texts.where(f"open and length(consensus) < {o.max_length}")
+        if growing.isEmpty():
+            break
+        at = copies.join(growing.select("rep_id", F.length("consensus").alias("size")), "rep_id")
+        start = F.when(F.col("fw"), F.col("pos") + F.col("size")).otherwise(F.col("pos") + o.seed_length - F.col("size") - chunk)
+        at = at.withColumn("_s", F.greatest(start, F.lit(0))).withColumn("_n", F.lit(chunk) - (F.col("_s") - start))
+        piece = F.when(F.col("fw"), F.col("piece")).otherwise(reverse_complement("piece"))
+        pieces = bases_at(at, ref, "_s", "_n", "piece", longest=max(OVERLAP, chunk), bases=bases).select("rep_id", "size", "k", piece.alias("piece"))
+        groups = pieces.groupBy("rep_id", "size").agg(F.collect_list(F.struct("k", "piece")).alias("copies"))
+        grown = written(extend_seeds(groups, o), "grown")
+        texts = written(growing.join(grown, "rep_id").select("rep_id", F.concat("consensus", "grown").alias("consensus"), grown["open"].alias("open")), "texts")
+        copies = written(copies.join(grown.select("rep_id", F.explode("alive").alias("k")), ["rep_id", "k"]), "copies")
+        chunk = min(2 * chunk, TILE - OVERLAP)
+    n = F.length("consensus")
+    place = F.transform("copies", lambda c: F.struct(c["chrom_id"].alias("chrom_id"), F.when(c["fw"], c["pos"]).otherwise(c["pos"] + o.seed_length - n).alias("pos"), c["fw"].alias("fw")))
+    found = done.select("rep_id", "consensus", F.sort_array(place).alias("positions"), F.size("copies").alias("n"))
+    found = written(found.where((F.length("consensus") >= o.min_length) & (F.col("n") >= o.count)), "found")
+    return found.join(_inside_others(found), "rep_id", "left_anti")
+
+
+def _inside_others(found: DataFrame) -> DataFrame:
+    """(rep_id) of repeats all of whose copies lie inside copies of one other repeat that is longer, or as long with a smaller sequence."""
+    rows = found.select("rep_id", "consensus", "n", F.posexplode("positions").alias("k", "p")).select("rep_id", "n", "k", F.length("consensus").alias("len"), F.xxhash64("consensus").alias("tie"), "p.chrom_id", "p.pos")
+    side = lambda s, x: rows.select("chrom_id", *(F.col(c).alias(f"{s}_{c}") for c in ("rep_id", "n", "k", "len", "tie")), F.col("pos").alias(f"{x}_start"), (F.col("pos") + F.col("len") - 1).alias(f"{x}_end"))
+    inside = containment_join(side("a", "l"), side("b", "r"), ["chrom_id"]).where("a_rep_id <> b_rep_id and (b_len > a_len or (b_len = a_len and b_tie < a_tie))")
+    pairs = inside.groupBy("a_rep_id", "b_rep_id", "a_n").agg(F.countDistinct("a_k").alias("held"))
+    return pairs.where("held = a_n").select(F.col("a_rep_id").alias("rep_id")).distinct()
 
 
 def overlaps(ranges: DataFrame) -> DataFrame:
@@ -203,7 +232,8 @@ def minimizer_hits(queries: DataFrame, targets: DataFrame, k: int = 31, w: int =
 def validate(repeats: DataFrame, ref: DataFrame) -> DataFrame:
     """(rep_id, chrom_id, pos, fw, mismatches) of every copy against the reference."""
     at = repeats.select("rep_id", "consensus", F.explode("positions").alias("p")).select("rep_id", "consensus", "p.*")
-    piece = F.substring("seq", F.col("pos").cast("int") + 1, F.length("consensus"))
-    own = at.join(ref.select("chrom_id", "seq"), "chrom_id").withColumn("piece", F.when(F.col("fw"), piece).otherwise(reverse_complement(piece)))
+    at = at.withColumn("_n", F.length("consensus"))
+    longest = at.agg(F.coalesce(F.max("_n"), F.lit(1))).first()[0]
+    own = bases_at(at, ref, "pos", "_n", "piece", longest=max(OVERLAP, longest)).withColumn("piece", F.when(F.col("fw"), F.col("piece")).otherwise(reverse_complement("piece")))
     cells = F.zip_with(F.split("consensus", ""), F.split("piece", ""), lambda a, b: F.when(a.eqNullSafe(b), 0).otherwise(1))
     return own.select("rep_id", "chrom_id", "pos", "fw", F.aggregate(cells, F.lit(0), lambda a, x: a + x).alias("mismatches"))

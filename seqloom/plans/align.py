@@ -13,10 +13,9 @@ from ..functions.cigar import EDIT, cigar_of, md_of
 from ..functions.config import Options
 from ..functions.sam import counted_edits, filter_tag, flag, known_variant_tag, pair_class_tag, strand_tag, template_length
 from ..functions.scoring import composite_score
-from ..functions.seq import clean_name, read_seed, reverse_complement, trim, window_rows
-from ..operators.evaluate import is_canonical
+from ..functions.seq import canonical_junction, clean_name, read_seed, reverse_complement, trim, window_rows
 from ..operators.filters import filtered, sample, skip_upto, strands
-from ..operators.index import variant_windows
+from ..operators.index import OVERLAP, bases_at, total_bases, variant_windows
 from ..operators.kernels import align_candidates, combine_candidates
 from ..operators.pairing import concordant_pairs
 from ..operators.ranking import best_and_second, category, distinct_alignments, mapq, seed_cap, top_k
@@ -27,9 +26,9 @@ from ..sources.sinks import tags
 MAX_BROADCAST_INDEX = 500_000
 
 
-def bounded(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if it was counted to hold at most so many rows."""
-    return F.broadcast(df) if df.count() <= rows else df
+def bounded(df: DataFrame, rows: int, known: int | None = None) -> DataFrame:
+    """df with a broadcast hint if it holds at most so many rows: by a bound that is known, else counted."""
+    return F.broadcast(df) if (df.count() if known is None else known) <= rows else df
 
 
 def prepare(reads: DataFrame, o: Options = Options()) -> DataFrame:
@@ -41,13 +40,13 @@ def prepare(reads: DataFrame, o: Options = Options()) -> DataFrame:
     return filtered(cut, o)
 
 
-def seed_hits(stranded: DataFrame, index: DataFrame, k: int, max_hits: int | None = None, step: int = 1) -> DataFrame:
-    """(rdid, mate, fw, rdoff, chrom_id, pos) of exact k-mers of stranded reads (rdid, mate, fw, s)."""
+def seed_hits(stranded: DataFrame, index: DataFrame, k: int, max_hits: int | None = None, step: int = 1, rows: int | None = None) -> DataFrame:
+    """(rdid, mate, fw, rdoff, chrom_id, pos) of exact k-mers of stranded reads (rdid, mate, fw, s). K-mers with more than max_hits places give none. rows: a bound of the index's rows that is known."""
     grams = window_rows(stranded, ["rdid", "mate", "fw"], "s", k, step).withColumnRenamed("pos", "rdoff")
     table = index.select("kmer", "chrom_id", "pos")
     if max_hits is not None:
         table = table.join(table.groupBy("kmer").agg(F.count("*").alias("_n")).where(F.col("_n") > max_hits).select("kmer"), "kmer", "left_anti")
-    return grams.join(bounded(table, MAX_BROADCAST_INDEX), "kmer").drop("kmer")
+    return grams.join(bounded(table, MAX_BROADCAST_INDEX, rows), "kmer").drop("kmer")
 
 
 def partial_hits(hits: DataFrame, k: int) -> DataFrame:
@@ -73,12 +72,13 @@ def candidates(parts: DataFrame, o: Options = Options()) -> DataFrame:
     return seed_cap(best.withColumn("pos", F.col("diagonal")), ["rdid", "mate"], o.seeds).drop("pos")
 
 
-def extend_candidates(cands: DataFrame, stranded: DataFrame, ref: DataFrame, o: Options = Options(), slack: int = 12, every: bool = False) -> DataFrame:
+def extend_candidates(cands: DataFrame, stranded: DataFrame, ref: DataFrame, o: Options = Options(), slack: int = 12, every: bool = False, bases: int | None = None) -> DataFrame:
     """Gapped alignment of each candidate in its reference window: (rdid, mate, fw, chrom_id, pos, score, cigar, md, edits, len, splice_strand); every: those under the least score, too."""
     j = cands.join(stranded.select("rdid", "mate", "fw", F.col("s").alias("read"), F.col("q").alias("qual")), ["rdid", "mate", "fw"])
-    j = j.join(bounded(ref.select("chrom_id", "seq"), 10_000) if ref.count() <= 10_000 else ref.select("chrom_id", "seq"), "chrom_id")
     start = F.greatest(F.col("diagonal") - slack, F.lit(0))
-    j = j.withColumn("start", start).withColumn("window", F.substring("seq", start.cast("int") + 1, (F.col("diagonal") + F.length("read") + slack - start).cast("int")))
+    j = j.withColumn("start", start).withColumn("_n", F.col("diagonal") + F.length("read") + slack - start)
+    longest = stranded.agg(F.coalesce(F.max(F.length("s")), F.lit(0))).first()[0] + 2 * slack
+    j = bases_at(j, ref, "start", "_n", "window", longest=max(OVERLAP, longest), bases=bases)
     done = align_candidates(j.select("rdid", "mate", "fw", "chrom_id", "start", "read", "qual", "window"), o.scoring)
     n = F.length("read")
     least = o.scoring.min_score.whole(n)
@@ -86,17 +86,19 @@ def extend_candidates(cands: DataFrame, stranded: DataFrame, ref: DataFrame, o:
     return placed.select("rdid", "mate", "fw", "chrom_id", "pos", "score", cigar_of(n, "edits", F.lit(0), F.lit(0)).alias("cigar"), md_of(n, "edits").alias("md"), "edits", n.alias("len"), F.lit(None).cast("string").alias("splice_strand"))
 
 
-def spliced_candidates(parts: DataFrame, stranded: DataFrame, ref: DataFrame, o: Options = Options()) -> DataFrame:
+def spliced_candidates(parts: DataFrame, stranded: DataFrame, ref: DataFrame, o: Options = Options(), bases: int | None = None) -> DataFrame:
     """Alignments from two partial hits of a read on one strand whose diagonals differ by an intron."""
     a = parts.select("rdid", "mate", "fw", "chrom_id", F.col("diagonal").alias("d1"), F.col("rdoff").alias("o1"), F.col("len").alias("n1"))
     b = parts.select("rdid", "mate", "fw", "chrom_id", F.col("diagonal").alias("d2"), F.col("rdoff").alias("o2"), F.col("len").alias("n2"))
     s = o.scoring
     pairs = a.join(b, ["rdid", "mate", "fw", "chrom_id"]).where((F.col("o1") < F.col("o2")) & (F.col("d2") - F.col("d1")).between(s.min_intron, s.max_intron))
     best = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("rdid", "mate", "fw", "chrom_id", "d1", "d2").orderBy(F.desc(F.col("n1") + F.col("n2")), "o1", "o2"))).where("_n = 1")
-    j = best.join(stranded.select("rdid", "mate", "fw", F.col("s").alias("read"), F.col("q").alias("qual")), ["rdid", "mate", "fw"]).join(ref.select("chrom_id", "seq"), "chrom_id")
+    j = best.join(stranded.select("rdid", "mate", "fw", F.col("s").alias("read"), F.col("q").alias("qual")), ["rdid", "mate", "fw"])
     n = F.length("read")
-    inside = (F.col("d1") >= 0) & (F.col("d2") + n <= F.length("seq"))
-    j = j.where(inside).withColumn("left_ref", F.substring("seq", F.col("d1").cast("int") + 1, n + 2)).withColumn("right_ref", F.substring("seq", F.col("d2").cast("int") - 1, n + 2)).withColumn("gap", (F.col("d2") - F.col("d1")).cast("int"))
+    j = j.where("d1 >= 0").withColumn("gap", (F.col("d2") - F.col("d1")).cast("int")).withColumn("_n", n + 2).withColumn("_r", F.col("d2") - 2)
+    longest = max(OVERLAP, stranded.agg(F.coalesce(F.max(F.length("s")), F.lit(0))).first()[0] + 2)
+    j = bases_at(bases_at(j, ref, "d1", "_n", "left_ref", longest, bases), ref, "_r", "_n", "right_ref", longest, bases)
+    j = j.where(F.length("right_ref") == n + 2)  # the second hit ends inside the sequence
     joined = combine_candidates(j.select("rdid", "mate", "fw", "chrom_id", F.col("d1").alias("pos"), "read", "qual", "left_ref", "right_ref", "gap"), s)
     good = joined.where((F.col("join_score") >= s.min_score.whole(F.length("read"))) & F.col("strand").isNotNull())
     return good.select("rdid", "mate", "fw", "chrom_id", "pos", F.col("join_score").alias("score"), cigar_of(F.length("read"), "edits", F.lit(0), F.lit(0)).alias("cigar"), md_of(F.length("read"), "edits").alias("md"), "edits", F.length("read").alias("len"), F.col("strand").alias("splice_strand"))
@@ -116,10 +118,12 @@ def align(reads: DataFrame, ref: DataFrame, index: DataFrame, o: Options = Optio
     seeds = index.select("kmer", "chrom_id", "pos")
     if variants is not None:
         seeds = seeds.unionByName(variant_windows(ref, variants, o.kmer, o.max_alternatives).select("kmer", "chrom_id", "pos")).distinct()
-    parts = partial_hits(seed_hits(stranded, seeds, o.kmer), o.kmer)
-    found = extend_candidates(candidates(parts, o), stranded, ref, o, every=variants is not None)
+    bases = total_bases(ref)
+    # an index has at most a row for each base; with variants it is counted
+    parts = partial_hits(seed_hits(stranded, seeds, o.kmer, o.max_hits, rows=bases if variants is None else None), o.kmer)
+    found = extend_candidates(candidates(parts, o), stranded, ref, o, every=variants is not None, bases=bases)
     if o.spliced:
-        found = found.unionByName(spliced_candidates(parts, stranded, ref, o))
+        found = found.unionByName(spliced_candidates(parts, stranded, ref, o, bases))
     placed = found.withColumn("end", cigar_end(F.col("pos"), F.col("cigar")))
     if variants is not None:
         placed = apply_known(placed, variants, o.scoring).where(F.col("score") >= o.scoring.min_score.whole(F.col("len")))
@@ -142,8 +146,10 @@ def junction_uses(alns: DataFrame, ref: DataFrame) -> DataFrame:
     left = F.col("pos") + here + shift - 1
     mm = F.size(F.filter("edits", lambda e: (e["type"] != "spl") & e["snp"].isNull()))
     out = rows.select("rdid", "chrom_id", left.cast("long").alias("left"), (left + F.col("_e.length") + 1).cast("long").alias("right"), (F.col("splice_strand") == "+").alias("fw"), (here - before).alias("left_anchor"), (after - here).alias("right_anchor"), mm.alias("mismatches"))
-    at = out.join(ref.select("chrom_id", "seq"), "chrom_id")
-    return at.withColumn("canonical", is_canonical(F.col("seq"), F.col("left"), F.col("right"))).drop("seq")
+    ends = out.withColumn("_two", F.lit(2)).withColumn("_a", F.col("left") + 1).withColumn("_z", F.col("right") - 2)
+    n = total_bases(ref)
+    at = bases_at(bases_at(ends, ref, "_a", "_two", "_donor", bases=n), ref, "_z", "_two", "_acceptor", bases=n)
+    return at.withColumn("canonical", canonical_junction(F.col("_donor"), F.col("_acceptor"))).drop("_two", "_a", "_z", "_donor", "_acceptor")
 
 
 def report(reads: DataFrame, alns: DataFrame, ref: DataFrame, o: Options = Options()) -> DataFrame:

@@ -70,8 +70,10 @@ def test_penalties(spark):
     assert v(scoring.required_probability(F.lit(5000))) == 0.88
     assert v(scoring.decode_quality(F.lit("I"))) == 40 and v(scoring.decode_quality(F.lit("h"), "phred64")) == 40
     assert v(scoring.base_score(F.lit("A"), F.lit("N"), F.lit(40))) == -1
-    matrix = [{"A": 0.7, "C": 0.1, "G": 0.1, "T": 0.1}] * 2
-    assert v(scoring.site_probability(F.lit("AA"), matrix)) > 0.8 > v(scoring.site_probability(F.lit("CC"), matrix))
+    site = lambda a, b: v(scoring.site_probability(F.lit(a), F.lit(b)))
+    assert site("CAGGTAAGT", "TTTTTTTTTTTCAGG"[:15]) > 0.99 and site("CAGCCAAGT", "AAAAAAAAAAAACCC") < 0.01
+    assert site("CAGGTAAGN", "T" * 15) is None and site("CAG", "T" * 15) is None
+    assert v(scoring.ungapped_score(F.lit("ACGN"), F.lit("ACTA"))) == -7
 
 
 def test_composite_score_order(spark):

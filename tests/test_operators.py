@@ -1,3 +1,4 @@
+import collections
 import random
 
 import pytest
@@ -5,7 +6,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from seqloom.functions.config import Options, RepeatOptions
-from seqloom.operators import annotation, evaluate, filters, index, intervals, metrics, pairing, ranking, repeats, simulate
+from seqloom.operators import annotation, evaluate, filters, index, intervals, metrics, ordered, pairing, ranking, repeats, simulate
 from seqloom.plans import align
 from seqloom.streaming import feedback
 
@@ -19,6 +20,110 @@ def bases(seed, n):
     return "".join(rng.choice("ACGT") for _ in range(n))
 
 
+def test_running_values_against_a_sweep(spark):
+    rng = random.Random(5)
+    data = [(rng.choice(["x", None]) if k % 9 == 0 else "x", rng.randrange(60), k, rng.choice([None, rng.randrange(-9, 9)])) for k in range(300)]
+    df = ordered.bucketed(spark.createDataFrame(data, "k string, at long, id long, v long"), "at", 12)
+    for kind, inclusive in (("sum", True), ("max", True), ("max", False), ("last", True), ("last", False)):
+        got = {r.id: r.out for r in ordered.running(df, ["k"], ["at", "id"], "v", "out", kind, inclusive).collect()}
+        for key in ("x", None):
+            seen = []
+            for _, _, i, v in sorted((x for x in data if x[0] == key), key=lambda x: (x[1], x[2])):
+                past = [x for x in [*seen, v] if x is not None] if inclusive else [x for x in seen if x is not None]
+                assert got[i] == (sum(past) if kind == "sum" else None if not past else max(past) if kind == "max" else past[-1])
+                seen.append(v)
+
+
+def test_one_chromosome_is_many_tasks(spark):
+    df = spark.range(4000).selectExpr("1 as c", "id as start", "id + 3 as end")
+    sizes = [r["count"] for r in ordered.bucketed(df, "start").groupBy("_bucket").count().collect()]
+    assert max(sizes) < 0.1 * 4000
+    assert told(intervals.merge(df.where("start % 1000 < 900"), ["c"]), "start", "end", "n") == [(k * 1000, k * 1000 + 902, 900) for k in range(4)]
+
+
+def test_batched_kernel_is_the_single_one():
+    from seqloom.functions.config import Scoring
+    from seqloom.operators import kernels
+
+    rng = random.Random(2)
+    reads, refs, quals = [], [], []
+    for k in range(250):
+        ref = "".join(rng.choice("ACGT" if rng.random() < 0.98 else "N") for _ in range(40)) if k % 3 else "AC" * 20
+        at, read = rng.randrange(5), []
+        for c in ref[at : at + 30]:
+            read += [rng.choice("ACGT")] if (r := rng.random()) < 0.04 else [] if r < 0.06 else [c, "A"] if r < 0.08 else [c]
+        reads.append("".join(read))
+        refs.append(ref)
+        quals.append(rng.choice([None, "".join(chr(33 + rng.randrange(41)) for _ in read)]))
+    for s in (Scoring(), Scoring(match=2)):
+        for fixed in (False, True):
+            assert kernels.affine_all(reads, refs, quals, s, fixed_ends=fixed) == [kernels.affine(*x, s, fixed_ends=fixed) for x in zip(reads, refs, quals, strict=True)]
+
+
+def test_bases_by_tile(spark, monkeypatch):
+    s = bases(3, 900)
+    ref = spark.createDataFrame([(0, s), (1, s[::-1])], "chrom_id long, seq string")
+    rows = [(k % 2, k * 7 - 20, k % 40) for k in range(140)]
+    df = spark.createDataFrame(rows, "chrom_id long, start long, n int")
+    monkeypatch.setattr(index, "TILE", 164)
+    monkeypatch.setattr(index, "OVERLAP", 64)
+    for most in (10**6, 0):
+        monkeypatch.setattr(index, "MAX_BROADCAST_BASES", most)
+        got = [(r.chrom_id, r.start, r.n, r.out) for r in index.bases_at(df, ref, "start", "n", "out", longest=64).collect()]
+        assert sorted(got) == sorted((c, a, n, (s if c == 0 else s[::-1])[a : a + n] if a >= 0 and n > 0 else "") for c, a, n in rows)
+
+
+def test_minimizers_against_brute_force(spark):
+    def mixed(x, bits):
+        half, mask = bits // 2, (1 << bits) - 1
+        for odd in (0x2545F, 0x9E37B):
+            x ^= x >> half
+            x = x * odd & mask
+        return x ^ x >> half
+
+    for k, w, seqs in ((15, 5, [bases(1, 400), bases(2, 16), bases(3, 14), "A" * 90, bases(4, 80) + "N" + bases(5, 120)]), (31, 7, [bases(6, 300)])):
+        got = collections.Counter((r.id, r.pos, r.kmer) for r in index.minimizers(spark.createDataFrame(list(enumerate(seqs)), "id long, seq string"), k, w).collect())
+        expected = set()
+        for i, s in enumerate(seqs):
+            n = len(s) - k + 1
+            for at in range(max(n - w, 0) + 1 if n > 0 else 0):
+                window = [(mixed(sum("ACGT".index(c) * 4 ** (k - 1 - j) for j, c in enumerate(s[p : p + k])), 2 * k), -p) for p in range(at, min(at + w, n)) if "N" not in s[p : p + k]]
+                if window:
+                    p = -min(window)[1]
+                    expected.add((i, p, s[p : p + k]))
+        assert got == collections.Counter(expected)
+
+
+def test_every_single_variant_of_a_long_site_has_its_windows(spark):
+    s = bases(8, 400)
+    flip = lambda b: "ACGT"[("ACGT".index(b) + 1) % 4]
+    v = [(0, f"v{k}", "single", 50 + 6 * k, flip(s[50 + 6 * k])) for k in range(40)]
+    rows = index.variant_windows(spark.createDataFrame([(0, s)], "chrom_id long, seq string"), spark.createDataFrame(v, "chrom_id long, id string, type string, pos long, data string"), 12, 4).collect()
+    alone = collections.Counter(r.alts[0] for r in rows if len(r.alts) == 1)
+    assert alone == {x[1]: 12 for x in v}
+    for r in rows:
+        assert r.kmer == "".join(flip(c) if f"v{(r.pos + i - 50) // 6}" in r.alts and (r.pos + i - 50) % 6 == 0 else c for i, c in enumerate(s[r.pos : r.pos + 12]))
+
+
+def test_long_repeats_come_back_whole(spark):
+    unit, core = bases(21, 2000), bases(22, 300)
+    parts = []
+    for k in range(6):
+        parts += [bases(100 + k, 150), unit if k % 3 else unit.translate(str.maketrans("ACGT", "TGCA"))[::-1]]
+    for k in range(7):
+        parts += [bases(200 + k, 90), core]
+    text = "".join(parts) + bases(300, 100)
+    ref = spark.createDataFrame([("c0", 0, text)], "chrom string, chrom_id long, seq string")
+    found = repeats.discover(ref, RepeatOptions(seed_length=50, seed_count=5, min_length=100, count=5)).collect()
+    back = lambda x: x.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    assert {min(r.consensus, back(r.consensus)) for r in found} == {min(x, back(x)) for x in (unit, core)}
+    assert sorted(r.n for r in found) == [6, 7]
+    for r in found:
+        for p in r.positions:
+            here = text[p.pos : p.pos + len(r.consensus)]
+            assert (here if p.fw else back(here)) == r.consensus
+
+
 def test_overlap_join_against_all_pairs(spark):
     rng = random.Random(3)
     make = lambda n: [(k % 2, k, a, a + rng.randrange(90)) for k in range(n) for a in [rng.randrange(900)]]
@@ -305,7 +410,7 @@ def test_align_with_variants_and_junction_uses(spark):
     ref = spark.createDataFrame([("c0", 0, s), ("c1", 1, gene)], "chrom string, chrom_id long, seq string")
     v = spark.createDataFrame([(0, f"rs{p}", "single", p, flip(s[p])) for p in spots], "chrom_id long, id string, type string, pos long, data string")
     rd = spark.createDataFrame([(k, 0, f"r{k}", q, "I" * len(q), None) for k, q in enumerate((read, spliced))], "rdid long, mate int, name string, seq string, qual string, filter string")
-    ix, o = index.kmer_index(ref, 14), Options(kmer=14, max_alternatives=64)
+    ix, o = index.kmer_index(ref, 14), Options(kmer=14)
     assert told(align.align(rd, ref, ix, o), "rdid") == [(1,)]
     found = align.align(rd, ref, ix, o, variants=v).cache()
     assert told(found, "rdid", "pos", "score") == [(0, 90, 0), (1, 160, 0)]
