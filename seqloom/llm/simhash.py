@@ -81,7 +81,8 @@ def within_radius(queries: DataFrame, fps: DataFrame, radius: int = RADIUS) -> D
     first = F.coalesce(*(F.when(same[a] & same[b] & same[c], F.lit(t)) for t, (a, b, c) in enumerate(combinations(range(len(BLOCKS)), 3))))
     d = distance(F.col("query"), F.col("found"))
     left, right = left.withColumnsRenamed({"_t": "_t1", "_blocks": "_b1"}), right.withColumnsRenamed({"_t": "_t2", "_blocks": "_b2"})
-    near = left.join(right, (F.col("_t1") == F.col("_t2")) & (F.col("_b1") == F.col("_b2")) & (d <= radius) & (F.col("_t1") == first))
+    # each side has twenty times the rows that it is estimated by: never broadcast
+    near = left.hint("shuffle_merge").join(right, (F.col("_t1") == F.col("_t2")) & (F.col("_b1") == F.col("_b2")) & (d <= radius) & (F.col("_t1") == first))
     return near.select("query", "found", d.alias("distance"))
 
 
