@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from .ordered import bucketed, running
+from .ordered import bucketed
+from .ordered import running as swept
 
 #: Read count up to which the distribution of splice-site support is looked at, and the share that sets the cutoff.
 SUPPORT_CAP, SUPPORT_SHARE = 100, 0.7
@@ -130,9 +131,9 @@ def novel_sites(sites: DataFrame, near: int = 10) -> DataFrame:
     total = sites.agg((F.count("*") / 100000).cast("long").alias("floor"))
     good = sites.crossJoin(F.broadcast(cutoff)).crossJoin(F.broadcast(total)).where((F.col("num_reads") >= F.col("cutoff")) | ((F.col("edit_dist") == 0) & (F.col("num_reads") >= F.col("floor"))))
     keys, order = ["chrom_id", "fw"], ["left", "right"]
-    marked = running(bucketed(good.withColumn("_here", F.struct("left", "right")), "left"), keys, order, "_here", "_last", "last", inclusive=False)
+    marked = swept(bucketed(good.withColumn("_here", F.struct("left", "right")), "left"), keys, order, "_here", "_last", "last", inclusive=False)
     new = F.coalesce((F.col("left") - F.col("_last.left") > near) | (F.abs(F.col("right") - F.col("_last.right")) > near), F.lit(True)).cast("long")
-    groups = running(marked.withColumn("_new", new), keys, order, "_new", "_g", "sum")
+    groups = swept(marked.withColumn("_new", new), keys, order, "_new", "_g", "sum")
     best = Window.partitionBy("chrom_id", "fw", "_g").orderBy(F.desc("num_reads"), "edit_dist", "left", "right")
     return groups.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("chrom_id", "left", "right", "fw", "num_reads", "edit_dist")
 
@@ -142,19 +143,23 @@ def allele_likelihood(variants: DataFrame, alleles: DataFrame, error: float = 0.
 
     variants: (aln_id, variant), what each alignment shows; alleles: (allele, variant). An allele's score
     for an alignment is -2 for each shown variant that it lacks; a pair's likelihood is the sum over
-    alignments of the logarithm of the mean of both. The alleles are a bounded set of known types.
+    alignments of the logarithm of the mean of both. The alleles are a bounded set of known types;
+    alignments are folded first, so the cost goes by the different sets of variants that they show.
     """
-    ids = variants.select("aln_id").distinct()
-    shown = variants.where("variant is not null")
-    names = alleles.select("allele").distinct()
-    total = shown.groupBy("aln_id").agg(F.count("*").alias("n"))
-    hits = shown.join(alleles, "variant").groupBy("aln_id", "allele").agg(F.count("*").alias("k"))
-    grid = ids.crossJoin(F.broadcast(names)).join(total, "aln_id", "left").join(hits, ["aln_id", "allele"], "left")
-    score = -2.0 * (F.coalesce("n", F.lit(0)) - F.coalesce("k", F.lit(0)))
-    scored = grid.select("aln_id", "allele", score.alias("s"))
-    a, b = scored.select("aln_id", F.col("allele").alias("allele_a"), F.col("s").alias("sa")), scored.select("aln_id", F.col("allele").alias("allele_b"), F.col("s").alias("sb"))
-    both = a.join(b, "aln_id").where("allele_a <= allele_b")
-    return both.groupBy("allele_a", "allele_b").agg(F.sum(F.ln((F.exp("sa") + F.exp("sb")) / 2 + error)).alias("log_likelihood"))
+    known = alleles.select("allele", "variant").distinct()
+    # alignments that show the same known variants, and as many others, count as one with a weight
+    named = variants.join(known.select("variant", F.lit(True).alias("_known")).distinct(), "variant", "left")
+    shows = named.groupBy("aln_id").agg(F.array_sort(F.collect_list(F.when(F.col("_known"), F.col("variant")))).alias("shown"), F.count("variant").alias("n"))
+    kinds = shows.groupBy("shown", "n").agg(F.count("*").alias("weight")).withColumn("kind", F.xxhash64("shown", "n"))
+    hits = kinds.select("kind", F.explode("shown").alias("variant")).join(known, "variant").groupBy("kind", "allele").agg(F.count("*").alias("k"))
+    # of each kind the scores of the alleles that hold some of it; all others lack everything
+    told = kinds.join(hits.groupBy("kind").agg(F.map_from_entries(F.collect_list(F.struct("allele", "k"))).alias("held")), "kind", "left")
+    names = F.broadcast(known.select("allele").distinct())
+    score = -2.0 * (F.col("n") - F.coalesce(F.try_element_at("held", F.col("allele")), F.lit(0)))
+    scored = told.crossJoin(names).select("kind", "weight", "allele", score.alias("s"))
+    a, b = scored.select("kind", "weight", F.col("allele").alias("allele_a"), F.col("s").alias("sa")), scored.select("kind", F.col("allele").alias("allele_b"), F.col("s").alias("sb"))
+    both = a.join(b, "kind").where("allele_a <= allele_b")
+    return both.groupBy("allele_a", "allele_b").agg(F.sum(F.col("weight") * F.ln((F.exp("sa") + F.exp("sb")) / 2 + error)).alias("log_likelihood"))
 
 
 def is_concordant(chrom1: Column, fw1: Column, start1: Column, chrom2: Column, fw2: Column, end2: Column, clip2: Column, most: int = 1000) -> Column:

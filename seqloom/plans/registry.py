@@ -627,12 +627,19 @@ def greedy_haplotypes(spark, sf_dir):
     return annotation.haplotypes(rows)
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_USES}, j AS (SELECT DISTINCT chrom_id AS chrom, l + rdid % 4 AS l, r - l AS size FROM u), n AS (SELECT a.chrom, a.size, a.l, min(b.l) AS next FROM j a LEFT JOIN j b ON a.chrom = b.chrom AND a.size = b.size AND b.l > a.l + 10 GROUP BY a.chrom, a.size, a.l), "
+    "k(chrom, size, l) AS (SELECT chrom, size, min(l) FROM j GROUP BY chrom, size UNION ALL SELECT k.chrom, k.size, n.next FROM k JOIN n ON n.chrom = k.chrom AND n.size = k.size AND n.l = k.l WHERE n.next IS NOT NULL) SELECT chrom, l AS \"left\", l + size AS \"right\" FROM k"
+)
 def greedy_junctions(spark, sf_dir):
     return evaluate.distinct_junctions(uses_of(spark, sf_dir).select(F.col("chrom_id").alias("chrom"), (F.col("left") + F.col("rdid") % 4).alias("left"), (F.col("right") + F.col("rdid") % 4).alias("right")))
 
 
-@query()
+@query(
+    f"WITH {_USES}, {_SUPPORT}, c AS (SELECT least(num_reads, 99) AS k, count(*) AS n FROM s GROUP BY 1), f AS (SELECT k, sum(n) OVER (ORDER BY k) / sum(n) OVER () AS share FROM c), cut AS (SELECT coalesce(min(k) FILTER (share > 0.7), 0) AS cutoff, (SELECT count(*) // 100000 FROM s) AS floor FROM f), "
+    "good AS (SELECT s.* FROM s, cut WHERE num_reads >= cutoff OR (edit_dist = 0 AND num_reads >= floor)), m AS (SELECT *, CASE WHEN l - lag(l) OVER w <= 10 AND abs(r - lag(r) OVER w) <= 10 THEN 0 ELSE 1 END AS fresh FROM good WINDOW w AS (PARTITION BY chrom_id ORDER BY l, r)), g AS (SELECT *, sum(fresh) OVER (PARTITION BY chrom_id ORDER BY l, r ROWS UNBOUNDED PRECEDING) AS grp FROM m), "
+    "b AS (SELECT *, row_number() OVER (PARTITION BY chrom_id, grp ORDER BY num_reads DESC, edit_dist, l, r) AS n FROM g) SELECT chrom_id, l AS \"left\", r AS \"right\", true AS fw, num_reads, CAST(edit_dist AS BIGINT) AS edit_dist FROM b WHERE n = 1"
+)
 def novel_sites(spark, sf_dir):
     return metrics.novel_sites(metrics.site_support(uses_of(spark, sf_dir)))
 
