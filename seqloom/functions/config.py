@@ -92,6 +92,8 @@ class Options:
     #: Seeds with more places than this are left out, so that a common one does not give each read so many candidates.
     max_hits: int | None = 10_000
     kmer: int = 22
+    #: Bases of the k-mers by which lost mates are searched near their anchored mates; none: they are not.
+    rescue_kmer: int | None = None
     tile: int = 57344
     tile_overlap: int = 1024
     nofw: bool = False

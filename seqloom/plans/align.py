@@ -14,10 +14,10 @@ from ..functions.config import Options
 from ..functions.sam import counted_edits, filter_tag, flag, known_variant_tag, pair_class_tag, strand_tag, template_length
 from ..functions.scoring import composite_score
 from ..functions.seq import canonical_junction, clean_name, read_seed, reverse_complement, trim, window_rows
-from ..operators.filters import filtered, sample, skip_upto, strands
-from ..operators.index import OVERLAP, bases_at, total_bases, variant_windows
+from ..operators.filters import filtered, sample, skip_upto, strands, transcriptome_only
+from ..operators.index import OVERLAP, bases_at, kmer_index, total_bases, variant_windows
 from ..operators.kernels import align_candidates, combine_candidates
-from ..operators.pairing import concordant_pairs
+from ..operators.pairing import concordant_pairs, rescue
 from ..operators.ranking import best_and_second, category, distinct_alignments, mapq, seed_cap, top_k
 from ..operators.variants import apply_known
 from ..sources.sinks import tags
@@ -104,13 +104,26 @@ def spliced_candidates(parts: DataFrame, stranded: DataFrame, ref: DataFrame, o:
     return good.select("rdid", "mate", "fw", "chrom_id", "pos", F.col("join_score").alias("score"), cigar_of(F.length("read"), "edits", F.lit(0), F.lit(0)).alias("cigar"), md_of(F.length("read"), "edits").alias("md"), "edits", F.length("read").alias("len"), F.col("strand").alias("splice_strand"))
 
 
-def align(reads: DataFrame, ref: DataFrame, index: DataFrame, o: Options = Options(), variants: DataFrame | None = None) -> DataFrame:
+def rescued(found: DataFrame, ready: DataFrame, stranded: DataFrame, ref: DataFrame, o: Options, bases: int | None = None) -> DataFrame:
+    """Alignments of mates that have none in found, by k-mers of o.rescue_kmer bases in the tiles near their anchored mates, and only where the pair policy lets them lie."""
+    from ..functions.cigar import cigar_end
+
+    anchors = found.where("mate > 0").select("rdid", "mate", "chrom_id", "pos", cigar_end(F.col("pos"), F.col("cigar")).alias("end"), "fw")
+    index = kmer_index(ref, o.rescue_kmer)
+    hits = rescue(anchors, ready.where("mate > 0").select("rdid", "mate", "seq"), index, o.rescue_kmer, o)
+    return extend_candidates(candidates(partial_hits(hits, o.rescue_kmer), o), stranded, ref, o, bases=bases)
+
+
+def align(reads: DataFrame, ref: DataFrame, index: DataFrame, o: Options = Options(), variants: DataFrame | None = None, exons: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """All alignments that reach the least score: (rdid, mate, chrom_id, pos, end, fw, score, cigar, md, edits, len, splice_strand).
 
     With variants (chrom_id, id, type, pos, data), k-mers that cross up to max_alternatives
-    combinations of them are seeds, too, and edits that are known variants cost nothing.
+    combinations of them are seeds, too, and edits that are known variants cost nothing. With
+    o.rescue_kmer, mates without an alignment are searched again with shorter k-mers in the tiles near
+    their anchored mates. With o.transcriptome_only, alignments stay whose junctions are all in known
+    (chrom_id, left, right), or that lie in one of exons (chrom_id, left, right).
     """
-    from ..functions.cigar import cigar_end
+    from ..functions.cigar import cigar_end, cigar_junctions
 
     ready = prepare(reads, o).where("yf is null")
     both = strands(ready, o.nofw, o.norc, o.policy)
@@ -124,7 +137,12 @@ def align(reads: DataFrame, ref: DataFrame, index: DataFrame, o: Options = Optio
     found = extend_candidates(candidates(parts, o), stranded, ref, o, every=variants is not None, bases=bases)
     if o.spliced:
         found = found.unionByName(spliced_candidates(parts, stranded, ref, o, bases))
+    if o.rescue_kmer:
+        found = found.unionByName(rescued(found, ready, stranded, ref, o, bases))
     placed = found.withColumn("end", cigar_end(F.col("pos"), F.col("cigar")))
+    if o.transcriptome_only:
+        told = placed.withColumn("start", F.col("pos")).withColumn("junctions", cigar_junctions(F.col("pos"), F.col("cigar")))
+        placed = transcriptome_only(told, exons, known).select(*placed.columns)
     if variants is not None:
         placed = apply_known(placed, variants, o.scoring).where(F.col("score") >= o.scoring.min_score.whole(F.col("len")))
     return distinct_alignments(placed, ["rdid", "mate"])

@@ -1,11 +1,12 @@
 import collections
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from seqloom.functions.config import Options, RepeatOptions
+from seqloom.functions.config import LengthFunction, Options, RepeatOptions
 from seqloom.operators import annotation, evaluate, filters, index, intervals, metrics, ordered, pairing, ranking, repeats, simulate
 from seqloom.plans import align
 from seqloom.streaming import feedback
@@ -417,3 +418,19 @@ def test_align_with_variants_and_junction_uses(spark):
     uses = align.junction_uses(found, ref)
     assert told(uses, "rdid", "left", "right", "left_anchor", "right_anchor", "mismatches", "canonical") == [(1, 199, 500, 40, 40, 0, True)]
     assert told(metrics.site_support(uses), "left", "num_reads") == [(199, 1)]
+
+
+def test_align_rescues_mates_and_keeps_transcripts(spark):
+    flip = lambda b: "ACGT"[("ACGT".index(b) + 1) % 4]
+    back = lambda x: x.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    s = bases(95, 1200)
+    two = "".join(flip(c) if k in (14, 29, 44, 59) else c for k, c in enumerate(s[300:375]))  # no seed of 16 bases is left
+    ref = spark.createDataFrame([("c0", 0, s)], "chrom string, chrom_id long, seq string")
+    rd = spark.createDataFrame([(1, 1, "r", s[100:160], "I" * 60, None), (1, 2, "r", back(two), "I" * 75, None)], "rdid long, mate int, name string, seq string, qual string, filter string")
+    o = Options(kmer=16, spliced=False, scoring=replace(Options().scoring, min_score=LengthFunction("L", 0.0, -0.6)))
+    ix = index.kmer_index(ref, 16)
+    assert told(align.align(rd, ref, ix, o), "mate", "pos") == [(1, 100)]
+    assert told(align.align(rd, ref, ix, replace(o, rescue_kmer=12)), "mate", "pos", "fw", "score") == [(1, 100, True, 0), (2, 300, False, -24)]
+    exons = spark.createDataFrame([(0, 90, 170)], "chrom_id long, left long, right long")
+    kept = align.align(rd, ref, ix, replace(o, rescue_kmer=12, transcriptome_only=True), exons=exons, known=exons.where("false"))
+    assert told(kept, "mate", "pos") == [(1, 100)]
