@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+from collections.abc import Iterable
 from zlib import crc32
 
 import numpy as np
@@ -97,13 +98,15 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def temperature(logits: np.ndarray, gold: np.ndarray) -> float:
-    """The temperature of least log loss on rows that were not fitted; of n rows one more is taken to be wrong, so that few rows never make a score certain."""
-    if not len(gold):
+def temperature(blocks: Iterable[tuple[np.ndarray, np.ndarray]], n: int) -> float:
+    """The temperature of least log loss on n rows that were not fitted, given as blocks (logits, gold); of n rows one more is taken to be wrong, so that few rows never make a score certain."""
+    if not n:
         return 1.0
-    wrong = 1 / (len(gold) + 2)
-    target = np.full(logits.shape, wrong / max(1, logits.shape[1] - 1))
-    target[np.arange(len(gold)), gold] = 1 - wrong
+    wrong = 1 / (n + 2)
     grid = np.geomspace(0.25, 8, 61)
-    losses = [-(target * np.log(np.maximum(softmax(logits / t), 1e-12))).sum(axis=1).mean() for t in grid]
+    losses = np.zeros(len(grid))
+    for logits, gold in blocks:
+        target = np.full(logits.shape, wrong / max(1, logits.shape[1] - 1))
+        target[np.arange(len(gold)), gold] = 1 - wrong
+        losses += [-(target * np.log(np.maximum(softmax(logits / t), 1e-12))).sum() for t in grid]
     return float(grid[int(np.argmin(losses))])

@@ -2,7 +2,10 @@ import collections
 import hashlib
 import math
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -345,6 +348,48 @@ def test_a_rare_language_is_learned(spark):
     assert {r[0]: r[1] for r in each} == {x: 700, y: 700, rare: 2}
 
 
+def test_language_memory_does_not_grow_with_texts_or_languages(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(language_id, "MIN_EXAMPLES", 0)
+    tracemalloc.start()
+    model = language_id.train(((" ".join(f"{k}x{j}" for j in range(20_000)), f"l{k % 40:02}") for k in range(60)), epochs=0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250e6 and len(model["langs"]) == 40
+    assert model["table"].nbytes <= models.BUCKETS * language_id.DIMENSIONS * 4
+
+
+def test_many_languages_are_told_apart():
+    alphabet = [chr(0x3B1 + k) for k in range(24)]
+    say = lambda k, seed, n: " ".join("".join(random.Random(f"{k} {seed} {i}").choices(alphabet[k : k + 4], k=5)) for i in range(n))
+    langs = [f"l{k:02}" for k in range(20)]
+    model = language_id.train([(say(k, seed, 60), langs[k]) for k in range(20) for seed in range(20)])
+    scores = models.WordScores(model["table"], language_id.SIZES)
+    got = [language_id.predict(say(k, f"new {seed}", 60), model, scores) for k in range(20) for seed in range(5)]
+    assert model["langs"] == langs and sum(lang == langs[k // 5] for k, (lang, _) in enumerate(got)) > 95 and all(0 <= p <= 1 for _, p in got)
+
+
+def test_language_sample_is_not_collected_at_once(tmp_path):
+    """A sample larger than what a job may send to the driver, as many languages make it."""
+    code = """if 1:
+        import random
+        from pyspark.sql import SparkSession
+        from seqloom.llm import language_id
+        conf = {"spark.driver.maxResultSize": "1m", "spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.ui.enabled": "false"}
+        spark = SparkSession.builder.master("local[2]").config(map=conf).getOrCreate()
+        text = lambda k: " ".join(str(random.Random(k * 1000 + j).random()) for j in range(80))
+        df = spark.createDataFrame([(k, text(k), f"l{k % 30}") for k in range(3000)], "doc_id long, text string, lang string")
+        seen = []
+        language_id.train = lambda rows, seed: seen.extend(rows)
+        language_id.train_on(df)
+        assert seen == [(text(k), f"l{k % 30}") for k in range(3000)]
+        print("whole")
+    """
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[2], capture_output=True, text=True, timeout=300)
+    assert done.stdout.strip().endswith("whole"), done.stderr[-2000:]
+
+
 def test_held_out_accuracy_on_the_table(spark):
     got = registry.op4_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert got and sum(r.lang == r.lang_pred for r in got) / len(got) > 0.98
