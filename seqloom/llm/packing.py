@@ -60,13 +60,37 @@ def added_of(path: str) -> dict[str, int]:
     return {x["content"]: x["id"] for x in added}
 
 
-def encoder(ranks: dict[bytes, int], added: dict[str, int] | None = None):
-    """text -> array of ids; the strings of added tokens get their own ids. Ranks give the ids of the file's merges several times faster."""
+def encoder(ranks: dict[bytes, int], added: dict[str, int] | None = None, spec: str | None = None):
+    """text -> array of ids; the strings of added tokens get their own ids, without added they are plain text.
+
+    Ranks give the ids of the file's merges several times faster. Their pattern gives up on runs of
+    about a million white-space characters; such a text is encoded by the file itself (spec: what it holds).
+    """
     import tiktoken
 
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added or {})
-    return lambda text: encoding.encode_to_numpy(text, allowed_special="all", disallowed_special=())
+    whole: list = []
+
+    def encode(text: str) -> np.ndarray:
+        try:
+            return encoding.encode_to_numpy(text, allowed_special="all", disallowed_special=())
+        except ValueError:
+            if spec is None:
+                raise
+        if not whole:
+            from tokenizers import Tokenizer
+
+            whole.append(Tokenizer.from_str(spec))
+            whole[0].encode_special_tokens = not added
+        return np.array(whole[0].encode(text, add_special_tokens=False).ids, np.uint32)
+
+    return encode
+
+
+def spec_of(path: str) -> str:
+    with open(path, encoding="utf-8") as f:
+        return f.read()
 
 
 def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
@@ -115,7 +139,7 @@ def curve_keys(points: np.ndarray) -> np.ndarray:
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """row, doc_id, key, n_tokens, ids (little-endian unsigned 16 bits if the vocabulary allows, else 32) for every row of docs."""
 
-    shared = docs.sparkSession.sparkContext.broadcast((ranks_of(tokenizer), added_of(tokenizer)))  # the size of the vocabulary
+    shared = docs.sparkSession.sparkContext.broadcast((ranks_of(tokenizer), added_of(tokenizer), spec_of(tokenizer)))  # the size of the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(*shared.value)

@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kd_shards, language_id, licenses, lm_score, mixing, near_dup, packing, quality_rules, simhash, url_rules
+from . import jaccard_tree, kd_shards, language_id, licenses, lm_score, merkle, mixing, near_dup, packing, quality_rules, simhash, tokenizer_pairs, url_rules
 from .common import table
 
 #: (action, rule) of the contract.
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def held_out(doc_id) -> F.Column:
@@ -72,8 +73,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards.shard_documents(table(spark, sf_dir, "documents"), n_shards=8)
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer_pairs.align(table(spark, sf_dir, "documents"), TOKENIZER, PIECES)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(merkle.leaves_of(table(spark, sf_dir, "documents")))
+
+
+def op13_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_tree.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_lm_score, op2_url_filters, op3_minhash_near_dedup, op4_language_id, op5_quality_rules, op6_packing, op7_document_fingerprints, op8_mixing, op9_license_scans, op10_sharding)
+    found = (op1_lm_score, op2_url_filters, op3_minhash_near_dedup, op4_language_id, op5_quality_rules, op6_packing, op7_document_fingerprints, op8_mixing, op9_license_scans, op10_sharding, op11_tokenizer_alignment, op12_merkle_manifest, op13_ngram_jaccard)
     return {f.__name__: f for f in found}
 
 
