@@ -181,25 +181,73 @@ def edits_of(read: str, cigar: str, md: str) -> list:
     return out
 
 
-def _rows(edits) -> list:
+def compose(consensus: str, read: str, pos: int, edits: list, copy_edits: list) -> tuple[int, list]:
+    """(place in the copy, edits) of a read on a copy of a consensus, from its place and edits on the consensus, and the edits of the consensus on the copy.
+
+    Both edit lists are laid out base by base and merged: what either inserts or leaves out stays so,
+    a base that both leave out vanishes, and letters are compared with the copy's own.
+    """
+    # the copy's letter under each base of the consensus ("" where it has none), and its bases before each
+    under, extra = list(consensus), [""] * (len(consensus) + 1)
+    for e in copy_edits:
+        if e["type"] == "mm":
+            under[e["pos"]] = e["ref"]
+        elif e["type"] == "ins":
+            under[e["pos"] : e["pos"] + e["length"]] = [""] * e["length"]
+        else:
+            extra[e["pos"]] += e["ref"]
+    gaps = {(e["pos"], e["type"]): e for e in edits if e["type"] in ("ins", "del")}
+    columns, at, k = [], pos, 0  # (read letter or "", copy letter or "")
+    while True:
+        if e := gaps.pop((k, "del"), None):
+            for c in range(at, at + e["length"]):
+                columns += [("", x) for x in (extra[c] if c > pos else "")] + [("", under[c])]
+            at += e["length"]
+        if e := gaps.pop((k, "ins"), None):
+            columns += [(x, "") for x in read[k : k + e["length"]]]
+            k += e["length"]
+            continue
+        if k >= len(read):
+            break
+        columns += [("", x) for x in (extra[at] if at > pos else "")] + [(read[k], under[at])]
+        at, k = at + 1, k + 1
+    start = sum(len(x) for x in under[:pos]) + sum(map(len, extra[: pos + 1]))
+    columns = [c for c in columns if c != ("", "")]
+    while columns and not columns[0][0]:
+        columns, start = columns[1:], start + 1
+    while columns and not columns[-1][0]:
+        columns.pop()
+    out, k = [], 0
+    for mine, other in columns:
+        kind = "del" if not mine else "ins" if not other else "mm" if mine != other else ""
+        last = out[-1] if out else None
+        if kind in ("del", "ins") and last and last["type"] == kind and last["pos"] + (last["length"] if kind == "ins" else 0) == k:
+            out[-1] = last | {"ref": last["ref"] + other, "read": last["read"] + mine, "length": last["length"] + 1}
+        elif kind:
+            out.append({"pos": k, "type": kind, "ref": other, "read": mine, "length": 1, "snp": None})
+        k += bool(mine)
+    return start, out
+
+
+def edit_rows(edits) -> list:
     return [] if edits is None else [dict(e) if isinstance(e, dict) else e.asDict() for e in edits]
 
 
 @F.pandas_udf(T.StringType())
 def cigar_of(length: pd.Series, edits: pd.Series, left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([build_cigar(int(n), _rows(e), int(a), int(b)) for n, e, a, b in zip(length, edits, left, right, strict=True)])
+    return pd.Series([build_cigar(int(n), edit_rows(e), int(a), int(b)) for n, e, a, b in zip(length, edits, left, right, strict=True)])
 
 
 @F.pandas_udf(T.StringType())
 def md_of(length: pd.Series, edits: pd.Series) -> pd.Series:
-    return pd.Series([build_md(int(n), _rows(e)) for n, e in zip(length, edits, strict=True)])
+    return pd.Series([build_md(int(n), edit_rows(e)) for n, e in zip(length, edits, strict=True)])
 
 
 @F.pandas_udf(T.StringType())
 def reference_of(read: pd.Series, edits: pd.Series) -> pd.Series:
-    return pd.Series([reference_side(r, _rows(e)) for r, e in zip(read, edits, strict=True)])
+    return pd.Series([reference_side(r, edit_rows(e)) for r, e in zip(read, edits, strict=True)])
 
 
 @F.pandas_udf(T.ArrayType(EDIT_TYPE))
 def left_aligned(read: pd.Series, edits: pd.Series) -> pd.Series:
-    return pd.Series([left_align(r, _rows(e)) for r, e in zip(read, edits, strict=True)])
+    return pd.Series([left_align(r, edit_rows(e)) for r, e in zip(read, edits, strict=True)])

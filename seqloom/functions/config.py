@@ -89,11 +89,16 @@ class Options:
     qc_filter: bool = False
     khits: int = 5
     max_seeds: int | None = None
-    #: Seeds with more places than this are left out, so that a common one does not give each read so many candidates.
+    #: Seeds with more places than this are looked up by distinct repeated pieces, so that a common one does not give each read so many candidates.
     max_hits: int | None = 10_000
     kmer: int = 22
     #: Bases of the k-mers by which lost mates are searched near their anchored mates; none: they are not.
     rescue_kmer: int | None = None
+    #: Bases of the k-mers by which the unexplained ends of any read are searched in the tiles beside its partial hits; none: they are not.
+    end_kmer: int | None = None
+    #: Ends may be clipped at the scoring's clip penalty; local: any part of a read may align, matches count two each, least score 20 + 8 ln(length).
+    soft_clip: bool = False
+    local: bool = False
     tile: int = 57344
     tile_overlap: int = 1024
     nofw: bool = False
@@ -122,6 +127,10 @@ class Options:
     no_hd: bool = False
     no_sq: bool = False
 
+    @property
+    def least_score(self) -> LengthFunction:
+        return LengthFunction("G", 20.0, 8.0) if self.local else self.scoring.min_score
+
     @property
     def seeds(self) -> int:
         return self.max_seeds if self.max_seeds is not None else max(5, 2 * self.khits)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.cigar import EDIT, build_cigar, build_md, compose, edit_rows, invert
 from ..functions.seq import canonical_junction
 from .intervals import overlap_join
 
@@ -78,6 +82,38 @@ def pair_cost(found: DataFrame, truth: DataFrame, most: int = 1000) -> DataFrame
     return j.agg(F.count("*").alias("total"), count(F.col("n") > 0).alias("mapped"), count(F.col("n") == 1).alias("unique"), F.count_if(F.col("n").isNull()).alias("unmapped"), count(right).alias("correct"), count(near).alias("concordant"))
 
 
+def composed_records(records: DataFrame, copies: DataFrame) -> DataFrame:
+    """Records on a repeat's consensus as records on its copies: records' columns, chrom_id, pos, fw, seq, cigar, md and edits of each record on each copy.
+
+    records: rep_id, pos, seq, edits (on the consensus). copies: rep_id, consensus, chrom_id, start, span
+    (bases of the copy), fw, copy_edits (of the consensus on the copy's own strand). The edits of both
+    are composed; on reverse copies the read is turned round.
+    """
+    carried = [f for f in records.schema if f.name not in ("pos", "seq", "edits")]
+    names = [f.name for f in carried]
+    held = copies.select("rep_id", "consensus", "chrom_id", F.col("start").alias("_start"), F.col("span").alias("_span"), F.col("fw").alias("_fw"), "copy_edits")
+    j = records.join(held, "rep_id").select(*names, "pos", "seq", "edits", "consensus", "chrom_id", "_start", "_span", "_fw", "copy_edits")
+    turned = str.maketrans("ACGT", "TGCA")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for row in frame.itertuples(index=False, name=None):
+                x = dict(zip(frame.columns, row, strict=True))
+                seq = x["seq"]
+                pos, edits = compose(x["consensus"], seq, int(x["pos"]), edit_rows(x["edits"]), edit_rows(x["copy_edits"]))
+                if not x["_fw"]:
+                    covered = len(seq) + sum(e["length"] if e["type"] == "del" else -e["length"] if e["type"] == "ins" else 0 for e in edits)
+                    pos = int(x["_span"]) - pos - covered
+                    edits = [e | {"ref": e["ref"].translate(turned)[::-1], "read": e["read"].translate(turned)[::-1]} for e in invert(edits, len(seq))]
+                    seq = seq.translate(turned)[::-1]
+                out.append((*(x[c] for c in names), x["chrom_id"], int(x["_start"]) + pos, bool(x["_fw"]), seq, build_cigar(len(seq), edits), build_md(len(seq), edits), edits))
+            yield pd.DataFrame(out, columns=[*names, "chrom_id", "pos", "fw", "seq", "cigar", "md", "edits"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried) + f", chrom_id {copies.schema['chrom_id'].dataType.simpleString()}, pos long, fw boolean, seq string, cigar string, md string, edits array<{EDIT}>"
+    return j.mapInPandas(run, schema)
+
+
 def genome_records(records: DataFrame, repeats: DataFrame) -> DataFrame:
     """Records on repeats (rep_id, pos, len, ...) as records on the genome."""
     from .repeats import expand

@@ -31,7 +31,13 @@ def substitution(read: str, ref: str, qual: str | None, s: Scoring) -> np.ndarra
 
 
 def affine(read: str, ref: str, qual: str | None = None, s: Scoring = Scoring(), local: bool = False, fixed_ends: bool = False) -> tuple[int, int, int, list]:
-    """Best alignment of the whole read (local: of any part) to a stretch of ref with affine gaps: (score, start in ref, clipped read bases at the left, edits).
+    """Best alignment of the whole read (local: of any part) to a stretch of ref with affine gaps: (score, start in ref, clipped read bases at the left, edits)."""
+    score, start, left, _, edits = affine_ends(read, ref, qual, s, local, fixed_ends)
+    return score, start, left, edits
+
+
+def affine_ends(read: str, ref: str, qual: str | None = None, s: Scoring = Scoring(), local: bool = False, fixed_ends: bool = False) -> tuple[int, int, int, int, list]:
+    """affine() with the clipped read bases at the right before the edits.
 
     End gaps of the reference are free unless fixed_ends. Rows are read bases; a row is filled at
     once, the gaps along the reference by a running maximum.
@@ -63,11 +69,11 @@ def affine(read: str, ref: str, qual: str | None = None, s: Scoring = Scoring(),
     score = int(h[i, j])
     if not local:
         j, edits = _trace(h, ins, gone, sub, read, ref, i, j, s, fixed_ends)
-        return score, j, 0, left_align(read, edits)
+        return score, j, 0, 0, left_align(read, edits)
     # of a local alignment the part up to the first place where nothing is gained
     end = i
     i, j, edits = _trace_local(h, ins, gone, sub, read, ref, i, j, s)
-    return score, j, i, left_align(read[i:end], [e | {"pos": e["pos"] - i} for e in edits])
+    return score, j, i, n - end, left_align(read[i:end], [e | {"pos": e["pos"] - i} for e in edits])
 
 
 def affine_batch(reads: list[str], refs: list[str], quals: list, s: Scoring = Scoring(), fixed_ends: bool = False) -> list[tuple[int, int, int, list]]:
@@ -285,7 +291,94 @@ def edit_limit(a: str, b: str, limit: int) -> int:
     return min(limit + 1, sum(x != y for x, y in zip(a, b, strict=False)) + abs(len(a) - len(b)))
 
 
+def clip_penalties(qual: str | None, n: int, s: Scoring) -> np.ndarray:
+    """Penalty of each read base if it is clipped."""
+    if s.ignore_quals or not qual:
+        return np.full(n, s.clip_max, np.int64)
+    q = np.clip(np.frombuffer(qual.encode(), np.uint8).astype(np.int64) - 33, 0, 40)
+    return s.clip_min + (q / 40.0 * (s.clip_max - s.clip_min)).astype(np.int64)
+
+
+def edit_cost(e: dict, pen: np.ndarray, s: Scoring) -> int:
+    """What an edit costs; introns nothing."""
+    if e["type"] == "mm":
+        return int(pen[e["pos"]]) if e["ref"] in "ACGT" and e["read"] in "ACGT" else s.n_penalty
+    if e["type"] == "ins":
+        return s.ref_gap_open + s.ref_gap_extend * e["length"]
+    return s.read_gap_open + s.read_gap_extend * e["length"] if e["type"] == "del" else 0
+
+
+def clip_ends(read: str, qual: str | None, score: int, start: int, edits: list, s: Scoring = Scoring()) -> tuple[int, int, int, int, list]:
+    """An end-to-end alignment with each end clipped where that costs less than the edits it takes away: (score, start in ref, left clip, right clip, edits). Introns are not clipped away, and a base stays at least."""
+    n = len(read)
+    pen, clip = penalties(qual, n, s), np.concatenate([[0], np.cumsum(clip_penalties(qual, n, s))])
+    order = sorted(edits, key=lambda e: e["pos"])
+    introns = [k for k, e in enumerate(order) if e["type"] == "spl"]
+    width = lambda e: e["length"] if e["type"] == "ins" else 1 if e["type"] == "mm" else 0
+    # (gain, clipped bases, edits before or up to which they reach) of each way to clip an end
+    lefts, rights, saved = [(0, 0, 0)], [(0, 0, len(order))], 0
+    for k, e in enumerate(order[: introns[0]] if introns else order):
+        saved += edit_cost(e, pen, s)
+        at = e["pos"] + width(e)
+        lefts.append((saved - int(clip[at]), at, k + 1))
+    saved = 0
+    for k in range(len(order) - 1, introns[-1] if introns else -1, -1):
+        saved += edit_cost(order[k], pen, s)
+        rights.append((saved - int(clip[n] - clip[order[k]["pos"]]), n - order[k]["pos"], k))
+    pairs = ((a[0] + b[0], -a[1] - b[1], a, b) for a in lefts for b in rights if a[1] + b[1] < n and a[2] <= b[2])
+    (gain_left, left, first), (gain_right, right, last) = max(pairs, key=lambda x: x[:2])[2:]
+    gone = sum(e["length"] if e["type"] == "del" else -e["length"] if e["type"] == "ins" else 0 for e in order[:first])
+    return score + gain_left + gain_right, start + left + gone, left, right, [e | {"pos": e["pos"] - left} for e in order[first:last]]
+
+
+def clip_diagonal(read: str, ref: str, qual: str | None, s: Scoring = Scoring()) -> tuple[int, int, int, int, list]:
+    """Best ungapped alignment of a read to reference bases of its length with its ends clipped, as clip_ends()."""
+    n = len(read)
+    a, b = (np.frombuffer(x.encode(), np.uint8) for x in (read, ref))
+    known = np.isin(a, list(b"ACGT")) & np.isin(b, list(b"ACGT"))
+    cost = np.concatenate([[0], np.cumsum(np.where(~known, s.n_penalty, np.where(a == b, -s.match, penalties(qual, n, s))))])
+    clip = np.concatenate([[0], np.cumsum(clip_penalties(qual, n, s))])
+    # bases [i, j) are kept: clip[i] - cost[i] + cost[j] + (clip[n] - clip[j])
+    begin = np.minimum.accumulate((clip - cost)[:n])
+    total = begin + (cost - clip)[1:] + clip[n]
+    j = int(n - total[::-1].argmin())
+    i = int((clip - cost)[:j].argmin())
+    edits = [{"pos": int(k), "type": "mm", "ref": ref[i + k], "read": read[i + k], "length": 1, "snp": None} for k in np.flatnonzero(a[i:j] != b[i:j])]
+    return -int(total[j - 1]), i, i, n - j, edits
+
+
 _SCHEMA = f"score int, ref_start int, left_clip int, edits array<{EDIT}>"
+_CLIPPED = f"score int, ref_start int, left_clip int, right_clip int, edits array<{EDIT}>"
+
+
+def clip_candidates(candidates: DataFrame, s: Scoring = Scoring(), local: bool = False) -> DataFrame:
+    """Adds score, ref_start, left_clip, right_clip and edits to candidates (read, qual, window, lead: where the read's diagonal begins in the window).
+
+    Local: the best part of the read, matches count. Else clipped bases cost their penalty: the better
+    one of the gapped alignment with clipped ends and of the diagonal alone.
+    """
+    names = candidates.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema) + ", " + _CLIPPED
+
+    def clipped(reads: list[str], windows: list[str], quals: list, leads: list[int]) -> list[tuple]:
+        if local:
+            return [affine_ends(r, w, q, s, True) if r and w else (_LOW, 0, 0, 0, []) for r, w, q in zip(reads, windows, quals, strict=True)]
+        out = []
+        for read, window, qual, lead, (score, start, _, edits) in zip(reads, windows, quals, leads, affine_all(reads, windows, quals, s), strict=True):
+            best = clip_ends(read, qual, score, start, edits, s) if edits else (score, start, 0, 0, edits)
+            if edits and lead >= 0 and lead + len(read) <= len(window):
+                other = clip_diagonal(read, window[lead : lead + len(read)], qual, s)
+                best = max(best, (other[0], other[1] + lead, *other[2:]), key=lambda x: x[0])
+            out.append(best)
+        return out
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = clipped([x or "" for x in frame.read], [x or "" for x in frame.window], list(frame.qual), [int(x) for x in frame.lead])
+            told = pd.DataFrame(out, columns=["score", "ref_start", "left_clip", "right_clip", "edits"], index=frame.index)
+            yield pd.concat([frame[names], told], axis=1)
+
+    return candidates.mapInPandas(run, schema)
 
 
 def align_candidates(candidates: DataFrame, s: Scoring = Scoring(), local: bool = False, fixed_ends: bool = False) -> DataFrame:

@@ -138,30 +138,80 @@ def novel_sites(sites: DataFrame, near: int = 10) -> DataFrame:
     return groups.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("chrom_id", "left", "right", "fw", "num_reads", "edit_dist")
 
 
+#: Alleles of which all pairs are looked at; of more, those that the mixture weighs most. Rounds of the mixture, and how little of the largest weight an allele may have to stay.
+MAX_ALLELES, MIXTURE_ROUNDS, LEAST_WEIGHT = 256, 15, 1e-6
+
+
+def _shown_kinds(variants: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Alignments folded by the known variants they show, and as many others: (kind, n, weight); and how many of them an allele has: (kind, allele, k)."""
+    named = variants.join(known.select("variant", F.lit(True).alias("_known")).distinct(), "variant", "left")
+    shows = named.groupBy("aln_id").agg(F.array_sort(F.collect_list(F.when(F.col("_known"), F.col("variant")))).alias("shown"), F.count("variant").alias("n"))
+    kinds = shows.groupBy("shown", "n").agg(F.count("*").alias("weight")).withColumn("kind", F.xxhash64("shown", "n"))
+    hits = kinds.select("kind", F.explode("shown").alias("variant")).join(known, "variant").groupBy("kind", "allele").agg(F.count("*").alias("k"))
+    return kinds.select("kind", "n", "weight"), hits
+
+
+def allele_weights(variants: DataFrame, alleles: DataFrame, error: float = 0.001, rounds: int = MIXTURE_ROUNDS) -> DataFrame:
+    """(allele, share): the share of alignments that each allele explains in a mixture of all alleles, by expectation and maximisation; alleles below LEAST_WEIGHT of the largest are dropped on the way.
+
+    Only pairs of a kind of alignment and an allele that has some of its variants are kept, so tables grow
+    with those and not with alignments times alleles. Each round is two sums; it is written, so lineage stays short.
+    """
+    from ..sources.scratch import written
+
+    known = alleles.select("allele", "variant").distinct()
+    kinds, hits = _shown_kinds(variants, known)
+    kinds = written(kinds, "kinds")
+    all_weight = kinds.agg(F.sum("weight")).first()[0] or 1
+    fits = hits.join(kinds, "kind").select("kind", "allele", "weight", (F.exp(-2.0 * (F.col("n") - F.col("k"))) + error).alias("fit"), (F.exp(-2.0 * F.col("n")) + error).alias("rest"))
+    fits = written(fits, "fits")
+    share = fits.groupBy("allele").agg(F.lit(1.0).alias("share"))
+    count = share.count()
+    share = share.withColumn("share", F.lit(1.0 / max(1, count)))
+    for _ in range(rounds):
+        weighed = fits.join(share, "allele").withColumn("part", F.col("share") * F.col("fit"))
+        # alleles without any of the variants explain a kind no better than the error does
+        total = weighed.groupBy("kind").agg((F.sum("part") + (F.lit(1.0) - F.sum("share")) * F.max("rest")).alias("total"))
+        new = weighed.join(total, "kind").groupBy("allele").agg((F.sum(F.col("weight") * F.col("part") / F.col("total")) / all_weight).alias("share"))
+        new = written(new, "shares")
+        least = (new.agg(F.max("share")).first()[0] or 0.0) * LEAST_WEIGHT
+        share = new.where(F.col("share") >= least)
+    return share
+
+
 def allele_likelihood(variants: DataFrame, alleles: DataFrame, error: float = 0.001) -> DataFrame:
     """(allele_a, allele_b, log_likelihood) of pairs of alleles.
 
     variants: (aln_id, variant), what each alignment shows; alleles: (allele, variant). An allele's score
     for an alignment is -2 for each shown variant that it lacks; a pair's likelihood is the sum over
-    alignments of the logarithm of the mean of both. The alleles are a bounded set of known types;
-    alignments are folded first, so the cost goes by the different sets of variants that they show.
+    alignments of the logarithm of the mean of both. Of more than MAX_ALLELES alleles, the pairs of those
+    that the mixture (allele_weights) weighs most are looked at. Alignments are folded first, so the cost
+    goes by the different sets of variants that they show.
     """
     known = alleles.select("allele", "variant").distinct()
-    # alignments that show the same known variants, and as many others, count as one with a weight
-    named = variants.join(known.select("variant", F.lit(True).alias("_known")).distinct(), "variant", "left")
-    shows = named.groupBy("aln_id").agg(F.array_sort(F.collect_list(F.when(F.col("_known"), F.col("variant")))).alias("shown"), F.count("variant").alias("n"))
-    kinds = shows.groupBy("shown", "n").agg(F.count("*").alias("weight")).withColumn("kind", F.xxhash64("shown", "n"))
-    hits = kinds.select("kind", F.explode("shown").alias("variant")).join(known, "variant").groupBy("kind", "allele").agg(F.count("*").alias("k"))
+    if known.select("allele").distinct().count() > MAX_ALLELES:
+        best = allele_weights(variants, known, error).orderBy(F.desc("share"), "allele").limit(MAX_ALLELES)
+        named = best.select("allele")
+    else:
+        named = known.select("allele").distinct()
+    names = [r["allele"] for r in named.collect()]  # at most MAX_ALLELES
+    kinds, hits = _shown_kinds(variants, known.where(F.col("allele").isin(names)).unionByName(known.withColumn("allele", F.lit(None).cast(known.schema["allele"].dataType))))
+    hits = hits.where("allele is not null")
     # of each kind the scores of the alleles that hold some of it; all others lack everything
     told = kinds.join(hits.groupBy("kind").agg(F.map_from_entries(F.collect_list(F.struct("allele", "k"))).alias("held")), "kind", "left")
-    names = F.broadcast(known.select("allele").distinct())
     score = -2.0 * (F.col("n") - F.coalesce(F.try_element_at("held", F.col("allele")), F.lit(0)))
-    scored = told.crossJoin(names).select("kind", "weight", "allele", score.alias("s"))
+    scored = told.select("kind", "weight", "n", "held", F.explode(F.array(*map(F.lit, names)) if names else F.array().cast("array<bigint>")).alias("allele")).select("kind", "weight", "allele", score.alias("s"))
     a, b = scored.select("kind", "weight", F.col("allele").alias("allele_a"), F.col("s").alias("sa")), scored.select("kind", F.col("allele").alias("allele_b"), F.col("s").alias("sb"))
     both = a.join(b, "kind").where("allele_a <= allele_b")
     return both.groupBy("allele_a", "allele_b").agg(F.sum(F.col("weight") * F.ln((F.exp("sa") + F.exp("sb")) / 2 + error)).alias("log_likelihood"))
 
 
+def typed_pair(variants: DataFrame, alleles: DataFrame, error: float = 0.001) -> DataFrame:
+    """The pair of alleles of the highest likelihood (the smallest names among equal ones, to four digits), one row."""
+    pairs = allele_likelihood(variants, alleles, error).withColumn("log_likelihood", F.round("log_likelihood", 4))
+    return pairs.orderBy(F.desc("log_likelihood"), "allele_a", "allele_b").limit(1)
+
+
 def is_concordant(chrom1: Column, fw1: Column, start1: Column, chrom2: Column, fw2: Column, end2: Column, clip2: Column, most: int = 1000) -> Column:
     """Same chromosome, first mate forward and second reverse, and a reference span, less the right soft clip, of at most most bases."""
     return (chrom1 == chrom2) & fw1 & ~fw2 & (end2 - clip2 - start1 + 1 <= most)

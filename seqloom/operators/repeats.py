@@ -38,34 +38,79 @@ def chained_seeds(seeds: DataFrame) -> DataFrame:
     return merge(at, ["chrom_id", "fw"], gap=0)
 
 
-def extend_seeds(groups: DataFrame, o: RepeatOptions = RepeatOptions()) -> DataFrame:
-    """(rep_id, grown, alive, open) of groups (rep_id, size, copies: array of (k, piece), the bases that follow the consensus in each copy).
+#: Bases that are looked at to tell a changed base from a gap, how many of them must agree, and the longest gap of a copy.
+LOOK, AGREE, GAP = 12, 9, 4
+
+
+def _resume(own: str, ahead: str) -> tuple[int, int, int] | None:
+    """How a copy goes on that disagrees with the consensus: (bases of its own to pass, bases of the consensus to wait, edits); own, ahead: what follows in the copy, and in a copy that agrees. The first of the cheapest ways that AGREE of LOOK bases bear out."""
+    ways = [(1, 1, 1)] + [x for g in range(1, GAP + 1) for x in ((g, 0, g), (0, g, g))]
+    for mine, theirs, cost in sorted(ways, key=lambda x: x[2]):
+        a, b = own[mine : mine + LOOK], ahead[theirs : theirs + LOOK]
+        n = min(len(a), len(b))
+        if n and sum(x == y for x, y in zip(a, b, strict=False)) * LOOK >= AGREE * n and a[0] == b[0]:
+            return mine, theirs, cost
+    return None
+
 
-    The consensus, which has size bases, grows by the majority letter while at least seed_count copies
-    agree with it without a mismatch, at most to max_length. alive are the copies k that agree to the
-    end; open tells whether the pieces ended before the growth did.
+def grow(copies: dict[int, tuple[str, int, int]], size: int, chunk: int, o: RepeatOptions = RepeatOptions()) -> tuple[str, dict[int, tuple[int, int, int]], bool]:
+    """Growth of a consensus of size bases over copies k: (bases that follow, edits so far, bases of the consensus to wait for after a gap).
+
+    The letter that most copies have next is put on, while at least seed_count copies have it. A copy
+    that has another one goes on after a changed base or a short gap, if what follows agrees with the
+    others, and is left behind after max_edit edits. Returns what is put on, (bases used, edits, wait)
+    of the copies that are left, and whether the pieces (chunk bases, fewer where a sequence ends) were
+    too short to go on.
     """
+    at, edits, wait = {k: 0 for k in copies}, {k: x[1] for k, x in copies.items()}, {k: x[2] for k, x in copies.items()}
+    alive, grown, margin = sorted(copies), [], LOOK + GAP if o.max_edit else 0
+    more = False
+    while size + len(grown) < o.max_length:
+        if any(len(copies[k][0]) == chunk and chunk - at[k] <= margin for k in alive):
+            more = True
+            break
+        alive = [k for k in alive if at[k] < len(copies[k][0])]
+        counts = Counter(copies[k][0][at[k]] for k in alive if not wait[k] and copies[k][0][at[k]] != "N")
+        base = min(counts, key=lambda b: (-counts[b], b), default=None)
+        if base is None or counts[base] < o.seed_count:
+            break
+        leader = next(k for k in alive if not wait[k] and copies[k][0][at[k]] == base)
+        ahead = copies[leader][0][at[leader] : at[leader] + LOOK + GAP]
+        left = []
+        for k in alive:
+            piece = copies[k][0]
+            if wait[k]:
+                wait[k] -= 1
+            elif piece[at[k]] == base:
+                at[k] += 1
+            else:
+                way = _resume(piece[at[k] : at[k] + LOOK + GAP], ahead) if edits[k] < o.max_edit else None
+                if way is None or edits[k] + way[2] > o.max_edit:
+                    continue
+                mine, theirs, cost = way
+                at[k], edits[k] = at[k] + mine, edits[k] + cost
+                if theirs:
+                    wait[k] = theirs - 1
+                else:  # bases of its own are passed: the letter that is put on follows them
+                    at[k] += 1
+            left.append(k)
+        alive = left
+        grown.append(base)
+    return "".join(grown), {k: (at[k], edits[k], wait[k]) for k in alive}, more and bool(grown)
+
+
+def extend_seeds(groups: DataFrame, o: RepeatOptions = RepeatOptions()) -> DataFrame:
+    """(rep_id, grown, alive, open) of groups (rep_id, size, chunk, copies: array of (k, piece, edits, wait)): grow() for each. alive: array of (k, used, edits, wait)."""
 
     def run(frames):
         for frame in frames:
             out = []
-            for rep_id, size, copies in zip(frame.rep_id, frame["size"], frame.copies, strict=True):
-                pieces = {int(c["k"]): str(c["piece"]) for c in copies}
-                alive, grown = sorted(pieces), []
-                while True:
-                    at = len(grown)
-                    counts = Counter(pieces[k][at] for k in alive if at < len(pieces[k]) and pieces[k][at] != "N")
-                    base = min(counts, key=lambda b: (-counts[b], b), default=None)
-                    if base is None or counts[base] < o.seed_count or size + at >= o.max_length:
-                        break
-                    grown.append(base)
-                    alive = [k for k in alive if at < len(pieces[k]) and pieces[k][at] == base]
-                # the pieces ended, if no letter is left to disagree
-                more = size + len(grown) < o.max_length and all(len(pieces[k]) == len(grown) for k in alive)
-                out.append((rep_id, "".join(grown), alive, more and bool(grown)))
+            for rep_id, size, chunk, copies in zip(frame.rep_id, frame["size"], frame.chunk, frame.copies, strict=True):
+                told, left, more = grow({int(c["k"]): (str(c["piece"]), int(c["edits"]), int(c["wait"])) for c in copies}, int(size), int(chunk), o)
+                out.append((rep_id, told, [{"k": k, "used": x[0], "edits": x[1], "wait": x[2]} for k, x in left.items()], more))
             yield pd.DataFrame(out, columns=["rep_id", "grown", "alive", "open"])
 
-    return groups.select("rep_id", "size", "copies").mapInPandas(run, "rep_id long, grown string, alive array<int>, open boolean")
+    return groups.select("rep_id", "size", "chunk", "copies").mapInPandas(run, "rep_id long, grown string, alive array<struct<k:int,used:int,edits:int,wait:int>>, open boolean")
 
 
 #: Bases by which repeats grow in the first round; each round takes twice as many.
@@ -93,11 +138,11 @@ def start_seeds(places: DataFrame, ref: DataFrame, o: RepeatOptions = RepeatOpti
 
 
 def discover(ref: DataFrame, o: RepeatOptions = RepeatOptions()) -> DataFrame:
-    """(rep_id, consensus, positions, n) of repeats of at least min_length bases with at least count copies.
+    """(rep_id, consensus, positions, n, spans) of repeats of at least min_length bases with at least count copies; spans are the bases of each copy, in the order of the positions.
 
     Seeds are grouped; those that a repeat may begin with grow to the right by majority, in rounds of
     twice as many bases, until none grows or all have max_length bases; copies near an end take part
-    as far as they go. A repeat all of whose copies lie inside copies of another, which is longer (or
+    as far as they go, and copies with changed bases and short gaps, max_edit in all. A repeat all of whose copies lie inside copies of another, which is longer (or
     as long, with a smaller sequence), is dropped.
     """
     from ..sources.scratch import written
@@ -108,40 +153,113 @@ def discover(ref: DataFrame, o: RepeatOptions = RepeatOptions()) -> DataFrame:
     every = written(every, "places")
     begun = every.join(start_seeds(every.select("rep_id", "chrom_id", "pos", "fw"), ref, o), "rep_id", "left_semi")
     texts = written(begun.groupBy("rep_id").agg(F.first("seed").alias("consensus"), F.lit(True).alias("open")), "texts")
-    copies = written(begun.select("rep_id", "k", "chrom_id", "pos", "fw"), "copies")
+    fresh = [F.lit(o.seed_length).alias("extent"), F.lit(0).alias("edits"), F.lit(0).alias("wait")]
+    copies = written(begun.select("rep_id", "k", "chrom_id", "pos", "fw", *fresh), "copies")
     done, chunk = None, FIRST_CHUNK
     while True:
-        ended = texts.where("not open or length(consensus) >= " + str(o.max_length)).join(copies.groupBy("rep_id").agg(F.collect_list(F.struct("k", "chrom_id", "pos", "fw")).alias("copies")), "rep_id")
+        ended = texts.where("not open or length(consensus) >= " + str(o.max_length)).join(copies.groupBy("rep_id").agg(F.collect_list(F.struct("k", "chrom_id", "pos", "fw", "extent")).alias("copies")), "rep_id")
         done = ended if done is None else done.union(ended)
         growing = texts.where(f"open and length(consensus) < {o.max_length}")
         if growing.isEmpty():
             break
         at = copies.join(growing.select("rep_id", F.length("consensus").alias("size")), "rep_id")
-        start = F.when(F.col("fw"), F.col("pos") + F.col("size")).otherwise(F.col("pos") + o.seed_length - F.col("size") - chunk)
+        start = F.when(F.col("fw"), F.col("pos") + F.col("extent")).otherwise(F.col("pos") + o.seed_length - F.col("extent") - chunk)
         at = at.withColumn("_s", F.greatest(start, F.lit(0))).withColumn("_n", F.lit(chunk) - (F.col("_s") - start))
         piece = F.when(F.col("fw"), F.col("piece")).otherwise(reverse_complement("piece"))
-        pieces = bases_at(at, ref, "_s", "_n", "piece", longest=max(OVERLAP, chunk), bases=bases).select("rep_id", "size", "k", piece.alias("piece"))
-        groups = pieces.groupBy("rep_id", "size").agg(F.collect_list(F.struct("k", "piece")).alias("copies"))
+        pieces = bases_at(at, ref, "_s", "_n", "piece", longest=max(OVERLAP, chunk), bases=bases).select("rep_id", "size", "k", piece.alias("piece"), "edits", "wait")
+        groups = pieces.groupBy("rep_id", "size", F.lit(chunk).alias("chunk")).agg(F.collect_list(F.struct("k", "piece", "edits", "wait")).alias("copies"))
         grown = written(extend_seeds(groups, o), "grown")
         texts = written(growing.join(grown, "rep_id").select("rep_id", F.concat("consensus", "grown").alias("consensus"), grown["open"].alias("open")), "texts")
-        copies = written(copies.join(grown.select("rep_id", F.explode("alive").alias("k")), ["rep_id", "k"]), "copies")
+        left = grown.select("rep_id", F.explode("alive").alias("a")).select("rep_id", "a.k", "a.used", F.col("a.edits").alias("edits"), F.col("a.wait").alias("wait"))
+        moved = copies.drop("edits", "wait").join(left, ["rep_id", "k"]).withColumn("extent", F.col("extent") + F.col("used"))
+        copies = written(moved.select("rep_id", "k", "chrom_id", "pos", "fw", "extent", "edits", "wait"), "copies")
         chunk = min(2 * chunk, TILE - OVERLAP)
-    n = F.length("consensus")
-    place = F.transform("copies", lambda c: F.struct(c["chrom_id"].alias("chrom_id"), F.when(c["fw"], c["pos"]).otherwise(c["pos"] + o.seed_length - n).alias("pos"), c["fw"].alias("fw")))
-    found = done.select("rep_id", "consensus", F.sort_array(place).alias("positions"), F.size("copies").alias("n"))
+    place = F.transform("copies", lambda c: F.struct(c["chrom_id"].alias("chrom_id"), F.when(c["fw"], c["pos"]).otherwise(c["pos"] + o.seed_length - c["extent"]).alias("pos"), c["fw"].alias("fw"), c["extent"].alias("span")))
+    placed = done.select("rep_id", "consensus", F.sort_array(place).alias("_p"), F.size("copies").alias("n"))
+    found = placed.select("rep_id", "consensus", F.transform("_p", lambda p: p.dropFields("span")).alias("positions"), "n", F.transform("_p", lambda p: p["span"]).alias("spans"))
     found = written(found.where((F.length("consensus") >= o.min_length) & (F.col("n") >= o.count)), "found")
     return found.join(_inside_others(found), "rep_id", "left_anti")
 
 
 def _inside_others(found: DataFrame) -> DataFrame:
     """(rep_id) of repeats all of whose copies lie inside copies of one other repeat that is longer, or as long with a smaller sequence."""
-    rows = found.select("rep_id", "consensus", "n", F.posexplode("positions").alias("k", "p")).select("rep_id", "n", "k", F.length("consensus").alias("len"), F.xxhash64("consensus").alias("tie"), "p.chrom_id", "p.pos")
-    side = lambda s, x: rows.select("chrom_id", *(F.col(c).alias(f"{s}_{c}") for c in ("rep_id", "n", "k", "len", "tie")), F.col("pos").alias(f"{x}_start"), (F.col("pos") + F.col("len") - 1).alias(f"{x}_end"))
-    inside = containment_join(side("a", "l"), side("b", "r"), ["chrom_id"]).where("a_rep_id <> b_rep_id and (b_len > a_len or (b_len = a_len and b_tie < a_tie))")
+    both = F.arrays_zip(F.col("positions").alias("p"), F.col("spans").alias("s"))
+    rows = found.select("rep_id", "consensus", "n", F.posexplode(both).alias("k", "c")).select("rep_id", "n", "k", F.col("c.s").alias("len"), F.length("consensus").alias("size"), F.xxhash64("consensus").alias("tie"), "c.p.chrom_id", "c.p.pos")
+    side = lambda s, x: rows.select("chrom_id", *(F.col(c).alias(f"{s}_{c}") for c in ("rep_id", "n", "k", "size", "tie")), F.col("pos").alias(f"{x}_start"), (F.col("pos") + F.col("len") - 1).alias(f"{x}_end"))
+    inside = containment_join(side("a", "l"), side("b", "r"), ["chrom_id"]).where("a_rep_id <> b_rep_id and (b_size > a_size or (b_size = a_size and b_tie < a_tie))")
     pairs = inside.groupBy("a_rep_id", "b_rep_id", "a_n").agg(F.countDistinct("a_k").alias("held"))
     return pairs.where("held = a_n").select(F.col("a_rep_id").alias("rep_id")).distinct()
 
 
+#: Share of a consensus's bases that must agree for two repeats to be one, minimizers that a pair must share, and the most rounds of merging.
+IDENTITY, SHARED_MINIMIZERS, MERGE_ROUNDS = 0.9, 2, 8
+
+
+def similar_repeats(found: DataFrame, identity: float = IDENTITY, k: int = 15, w: int = 5) -> DataFrame:
+    """(member, root, turned, start, span): repeats (rep_id, consensus) whose whole consensus aligns inside a longer one's (or one as long with a smaller hash) with the share of equal bases; turned, if on the other strand.
+
+    Candidates share minimizers on near diagonals; each is aligned with gaps in the window that its
+    diagonals give.
+    """
+    from .kernels import affine
+
+    sides = found.select("rep_id", "consensus", F.length("consensus").alias("size"), F.xxhash64("consensus").alias("tie"))
+    asked = sides.select(F.struct("rep_id", F.lit(False).alias("turned")).alias("id"), F.col("consensus").alias("seq")).union(sides.select(F.struct("rep_id", F.lit(True).alias("turned")), reverse_complement("consensus")))
+    hits = minimizer_hits(asked, sides.select(F.col("rep_id").alias("id"), F.col("consensus").alias("seq")), k, w)
+    pairs = hits.groupBy("id", "target").agg(F.sum("hits").alias("hits"), F.min("diagonal").alias("low"), F.max("diagonal").alias("high")).where(F.col("hits") >= SHARED_MINIMIZERS)
+    pairs = pairs.select(F.col("id.rep_id").alias("member"), F.col("id.turned").alias("turned"), F.col("target").alias("root"), "low", "high").where("member <> root")
+    a = sides.select(F.col("rep_id").alias("member"), F.col("consensus").alias("a_seq"), F.col("size").alias("a_size"), F.col("tie").alias("a_tie"))
+    b = sides.select(F.col("rep_id").alias("root"), F.col("consensus").alias("b_seq"), F.col("size").alias("b_size"), F.col("tie").alias("b_tie"))
+    j = pairs.join(a, "member").join(b, "root").where("b_size > a_size or (b_size = a_size and (b_tie < a_tie or (b_tie = a_tie and root < member)))")
+    slack = 20
+    j = j.withColumn("a_seq", F.when(F.col("turned"), reverse_complement("a_seq")).otherwise(F.col("a_seq"))).withColumn("_from", F.greatest(F.col("low") - slack, F.lit(0)).cast("int"))
+    j = j.withColumn("window", F.substring("b_seq", F.col("_from") + 1, (F.col("high") + slack - F.col("_from") + F.col("a_size")).cast("int")))
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for member, root, turned, start, seq, window in zip(frame.member, frame.root, frame.turned, frame["_from"], frame.a_seq, frame.window, strict=True):
+                _, at, _, edits = affine(seq, window)
+                lost = sum(e["length"] for e in edits)
+                span = len(seq) + sum(e["length"] if e["type"] == "del" else -e["length"] if e["type"] == "ins" else 0 for e in edits)
+                if len(seq) - lost >= identity * len(seq):
+                    out.append((member, root, bool(turned), int(start) + at, span))
+            yield pd.DataFrame(out, columns=["member", "root", "turned", "start", "span"])
+
+    return j.select("member", "root", "turned", "_from", "a_seq", "window").mapInPandas(run, "member long, root long, turned boolean, start int, span int")
+
+
+def merge_similar(found: DataFrame, identity: float = IDENTITY) -> DataFrame:
+    """Repeats (rep_id, consensus, positions) less those that are much like a longer one: their copies become copies of that one, at the places that the alignment of both gives.
+
+    In a round every repeat that is like a longer one which itself is like none still longer goes into
+    it, the longest first; rounds end when nothing is like another. A copy that both have counts once.
+    """
+    from ..sources.scratch import written
+
+    now = found.select("rep_id", "consensus", "positions")
+    for _ in range(MERGE_ROUNDS):
+        links = written(similar_repeats(now, identity), "similar")
+        if links.isEmpty():
+            break
+        members = links.select(F.col("member").alias("root")).distinct()
+        sizes = now.select(F.col("rep_id").alias("root"), F.length("consensus").alias("size"))
+        best = links.join(members, "root", "left_anti").join(sizes, "root").withColumn("_n", F.row_number().over(Window.partitionBy("member").orderBy(F.desc("size"), "root", "turned", "start"))).where("_n = 1")
+        own = now.select(F.col("rep_id").alias("member"), F.explode("positions").alias("p")).join(best, "member")
+        fw = F.col("p.fw") != F.col("turned")
+        start = F.when(fw, F.col("p.pos") - F.col("start")).otherwise(F.col("p.pos") - (F.col("size") - F.col("start") - F.col("span")))
+        moved = own.select(F.col("root").alias("rep_id"), F.col("p.chrom_id").alias("chrom_id"), F.greatest(start, F.lit(0)).cast("long").alias("pos"), fw.alias("fw"), "size")
+        kept = now.join(best.select(F.col("member").alias("rep_id")), "rep_id", "left_anti")
+        held = kept.select("rep_id", F.explode("positions").alias("p"), F.length("consensus").alias("size")).select("rep_id", "p.chrom_id", "p.pos", "p.fw", "size")
+        every = held.unionByName(moved)
+        # places closer than a tenth of the repeat are one copy
+        w = Window.partitionBy("rep_id", "chrom_id", "fw").orderBy("pos")
+        apart = every.withColumn("_far", F.coalesce(F.col("pos") - F.lag("pos").over(w) > F.col("size") / 10, F.lit(True))).where("_far")
+        places = apart.groupBy("rep_id").agg(F.sort_array(F.collect_list(F.struct("chrom_id", "pos", "fw"))).alias("positions"))
+        now = written(kept.select("rep_id", "consensus").join(places, "rep_id"), "merged")
+    return now.withColumn("n", F.size("positions"))
+
+
 def overlaps(ranges: DataFrame) -> DataFrame:
     """(a, b, kind) of ranges (id, chrom_id, start, end) of two repeats that meet: contains, inside or overlap."""
     x = ranges.select("chrom_id", F.col("id").alias("a"), F.col("start").alias("l_start"), F.col("end").alias("l_end"))

@@ -9,17 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cigar import EDIT, cigar_of, md_of
+from ..functions.cigar import EDIT, cigar_of, clip, md_of, read_span
 from ..functions.config import Options
 from ..functions.sam import counted_edits, filter_tag, flag, known_variant_tag, pair_class_tag, strand_tag, template_length
 from ..functions.scoring import composite_score
 from ..functions.seq import canonical_junction, clean_name, read_seed, reverse_complement, trim, window_rows
+from ..operators.chaining import chained_alignments, end_parts, site_kmers, site_parts
+from ..operators.common_seeds import common_kmers, repeated_pieces, spread, with_common
 from ..operators.filters import filtered, sample, skip_upto, strands, transcriptome_only
 from ..operators.index import OVERLAP, bases_at, kmer_index, total_bases, variant_windows
-from ..operators.kernels import align_candidates, combine_candidates
+from ..operators.kernels import align_candidates, clip_candidates
+from ..operators.metrics import novel_sites, site_support
 from ..operators.pairing import concordant_pairs, rescue
 from ..operators.ranking import best_and_second, category, distinct_alignments, mapq, seed_cap, top_k
 from ..operators.variants import apply_known
+from ..sources.scratch import written
 from ..sources.sinks import tags
 
 #: Index rows that may be broadcast (about 60 bytes each); larger indexes are joined by shuffle.
@@ -40,12 +44,14 @@ def prepare(reads: DataFrame, o: Options = Options()) -> DataFrame:
     return filtered(cut, o)
 
 
-def seed_hits(stranded: DataFrame, index: DataFrame, k: int, max_hits: int | None = None, step: int = 1, rows: int | None = None) -> DataFrame:
-    """(rdid, mate, fw, rdoff, chrom_id, pos) of exact k-mers of stranded reads (rdid, mate, fw, s). K-mers with more than max_hits places give none. rows: a bound of the index's rows that is known."""
+def seed_hits(stranded: DataFrame, index: DataFrame, k: int, max_hits: int | None = None, step: int = 1, rows: int | None = None, common: DataFrame | None = None) -> DataFrame:
+    """(rdid, mate, fw, rdoff, chrom_id, pos) of exact k-mers of stranded reads (rdid, mate, fw, s). K-mers with more than max_hits places, or those in common (kmer), give none. rows: a bound of the index's rows that is known."""
     grams = window_rows(stranded, ["rdid", "mate", "fw"], "s", k, step).withColumnRenamed("pos", "rdoff")
     table = index.select("kmer", "chrom_id", "pos")
-    if max_hits is not None:
-        table = table.join(table.groupBy("kmer").agg(F.count("*").alias("_n")).where(F.col("_n") > max_hits).select("kmer"), "kmer", "left_anti")
+    if common is None and max_hits is not None:
+        common = common_kmers(table, max_hits)
+    if common is not None:
+        table = table.join(common, "kmer", "left_anti")
     return grams.join(bounded(table, MAX_BROADCAST_INDEX, rows), "kmer").drop("kmer")
 
 
@@ -78,30 +84,37 @@ def extend_candidates(cands: DataFrame, stranded: DataFrame, ref: DataFrame, o:
     start = F.greatest(F.col("diagonal") - slack, F.lit(0))
     j = j.withColumn("start", start).withColumn("_n", F.col("diagonal") + F.length("read") + slack - start)
     longest = stranded.agg(F.coalesce(F.max(F.length("s")), F.lit(0))).first()[0] + 2 * slack
-    j = bases_at(j, ref, "start", "_n", "window", longest=max(OVERLAP, longest), bases=bases)
-    done = align_candidates(j.select("rdid", "mate", "fw", "chrom_id", "start", "read", "qual", "window"), o.scoring)
+    j = bases_at(j, ref, "start", "_n", "window", longest=max(OVERLAP, longest), bases=bases).withColumn("lead", (F.col("diagonal") - F.col("start")).cast("int"))
+    told = j.select("rdid", "mate", "fw", "chrom_id", "start", "read", "qual", "window", "lead")
+    done = clip_candidates(told, o.scoring, o.local) if o.soft_clip or o.local else align_candidates(told, o.scoring).withColumn("right_clip", F.lit(0))
     n = F.length("read")
-    least = o.scoring.min_score.whole(n)
+    least = o.least_score.whole(n)
     placed = (done if every else done.where(F.col("score") >= least)).withColumn("pos", F.col("start") + F.col("ref_start"))
-    return placed.select("rdid", "mate", "fw", "chrom_id", "pos", "score", cigar_of(n, "edits", F.lit(0), F.lit(0)).alias("cigar"), md_of(n, "edits").alias("md"), "edits", n.alias("len"), F.lit(None).cast("string").alias("splice_strand"))
+    return _spelled(placed.withColumn("len", n).withColumn("splice_strand", F.lit(None).cast("string")))
 
 
-def spliced_candidates(parts: DataFrame, stranded: DataFrame, ref: DataFrame, o: Options = Options(), bases: int | None = None) -> DataFrame:
-    """Alignments from two partial hits of a read on one strand whose diagonals differ by an intron."""
-    a = parts.select("rdid", "mate", "fw", "chrom_id", F.col("diagonal").alias("d1"), F.col("rdoff").alias("o1"), F.col("len").alias("n1"))
-    b = parts.select("rdid", "mate", "fw", "chrom_id", F.col("diagonal").alias("d2"), F.col("rdoff").alias("o2"), F.col("len").alias("n2"))
-    s = o.scoring
-    pairs = a.join(b, ["rdid", "mate", "fw", "chrom_id"]).where((F.col("o1") < F.col("o2")) & (F.col("d2") - F.col("d1")).between(s.min_intron, s.max_intron))
-    best = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("rdid", "mate", "fw", "chrom_id", "d1", "d2").orderBy(F.desc(F.col("n1") + F.col("n2")), "o1", "o2"))).where("_n = 1")
-    j = best.join(stranded.select("rdid", "mate", "fw", F.col("s").alias("read"), F.col("q").alias("qual")), ["rdid", "mate", "fw"])
-    n = F.length("read")
-    j = j.where("d1 >= 0").withColumn("gap", (F.col("d2") - F.col("d1")).cast("int")).withColumn("_n", n + 2).withColumn("_r", F.col("d2") - 2)
-    longest = max(OVERLAP, stranded.agg(F.coalesce(F.max(F.length("s")), F.lit(0))).first()[0] + 2)
-    j = bases_at(bases_at(j, ref, "d1", "_n", "left_ref", longest, bases), ref, "_r", "_n", "right_ref", longest, bases)
-    j = j.where(F.length("right_ref") == n + 2)  # the second hit ends inside the sequence
-    joined = combine_candidates(j.select("rdid", "mate", "fw", "chrom_id", F.col("d1").alias("pos"), "read", "qual", "left_ref", "right_ref", "gap"), s)
-    good = joined.where((F.col("join_score") >= s.min_score.whole(F.length("read"))) & F.col("strand").isNotNull())
-    return good.select("rdid", "mate", "fw", "chrom_id", "pos", F.col("join_score").alias("score"), cigar_of(F.length("read"), "edits", F.lit(0), F.lit(0)).alias("cigar"), md_of(F.length("read"), "edits").alias("md"), "edits", F.length("read").alias("len"), F.col("strand").alias("splice_strand"))
+def _spelled(placed: DataFrame) -> DataFrame:
+    """Alignments with their CIGAR and MD, from edits, len and the clipped ends."""
+    inside = F.col("len") - F.col("left_clip") - F.col("right_clip")
+    return placed.select("rdid", "mate", "fw", "chrom_id", "pos", "score", cigar_of(inside, "edits", "left_clip", "right_clip").alias("cigar"), md_of(inside, "edits").alias("md"), "edits", "len", "splice_strand")
+
+
+def chained_candidates(parts: DataFrame, stranded: DataFrame, ref: DataFrame, o: Options = Options(), bases: int | None = None, sites: DataFrame | None = None) -> DataFrame:
+    """Alignments over any number of introns and gaps, from chains of the partial hits of a read on one strand.
+
+    With sites (chrom_id, left, right, fw), k-mers over their junctions are partial hits on both sides,
+    so a read finds a known intron of which it has min_anchor bases only. With o.end_kmer, what the
+    partial hits leave unexplained at the ends of a read is searched by shorter k-mers beside them.
+    """
+    plain = lambda x: x.withColumn("known", F.lit(None).cast("long")).withColumn("forward", F.lit(None).cast("boolean"))
+    every = plain(parts)
+    if sites is not None:
+        spanning = site_kmers(ref, sites, o.kmer, min(o.scoring.min_anchor, o.kmer // 2), bases)
+        every = every.unionByName(site_parts(stranded, spanning, o.kmer))
+    if o.end_kmer:
+        hits = end_parts(parts, stranded, kmer_index(ref, o.end_kmer), o.end_kmer, o)
+        every = every.unionByName(plain(partial_hits(hits, o.end_kmer)))
+    return _spelled(chained_alignments(every, stranded, ref, o, bases))
 
 
 def rescued(found: DataFrame, ready: DataFrame, stranded: DataFrame, ref: DataFrame, o: Options, bases: int | None = None) -> DataFrame:
@@ -114,14 +127,30 @@ def rescued(found: DataFrame, ready: DataFrame, stranded: DataFrame, ref: DataFr
     return extend_candidates(candidates(partial_hits(hits, o.rescue_kmer), o), stranded, ref, o, bases=bases)
 
 
-def align(reads: DataFrame, ref: DataFrame, index: DataFrame, o: Options = Options(), variants: DataFrame | None = None, exons: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+def repeat_candidates(stranded: DataFrame, ref: DataFrame, index: DataFrame, common: DataFrame, o: Options, bases: int | None = None) -> DataFrame:
+    """Alignments of reads with common k-mers (common: kmer): placed on the distinct repeated pieces first, then on o.seeds copies of each."""
+    own = written(with_common(stranded, common, o.kmer), "common-reads")
+    longest = own.agg(F.coalesce(F.max(F.length("s")), F.lit(0))).first()[0]
+    pieces, places = repeated_pieces(ref, index, common, o.kmer, longest + 24, bases)
+    parts = partial_hits(seed_hits(own, kmer_index(pieces, o.kmer), o.kmer), o.kmer)
+    found = extend_candidates(candidates(parts, o), own, pieces, o)
+    return extend_candidates(spread(found, pieces, places, o.seeds, o.seed), own, ref, o, bases=bases)
+
+
+def align(reads: DataFrame, ref: DataFrame, index: DataFrame, o: Options = Options(), variants: DataFrame | None = None, exons: DataFrame | None = None, known: DataFrame | None = None, sites: DataFrame | None = None) -> DataFrame:
     """All alignments that reach the least score: (rdid, mate, chrom_id, pos, end, fw, score, cigar, md, edits, len, splice_strand).
 
+    K-mers with more than o.max_hits places are not looked up one by one: reads that have them are placed
+    on the distinct repeated pieces of the reference, and get o.seeds of the copies of each, which tie.
+
     With variants (chrom_id, id, type, pos, data), k-mers that cross up to max_alternatives
     combinations of them are seeds, too, and edits that are known variants cost nothing. With
     o.rescue_kmer, mates without an alignment are searched again with shorter k-mers in the tiles near
     their anchored mates. With o.transcriptome_only, alignments stay whose junctions are all in known
-    (chrom_id, left, right), or that lie in one of exons (chrom_id, left, right).
+    (chrom_id, left, right), or that lie in one of exons (chrom_id, left, right). With sites
+    (chrom_id, left, right, fw: known splice sites), reads are also searched over their junctions. With
+    o.soft_clip or o.local, ends may be clipped; they stand in the CIGAR, and edits count from the first
+    base that is not clipped.
     """
     from ..functions.cigar import cigar_end, cigar_junctions
 
@@ -132,11 +161,16 @@ def align(reads: DataFrame, ref: DataFrame, index: DataFrame, o: Options = Optio
     if variants is not None:
         seeds = seeds.unionByName(variant_windows(ref, variants, o.kmer, o.max_alternatives).select("kmer", "chrom_id", "pos")).distinct()
     bases = total_bases(ref)
+    common = written(common_kmers(seeds, o.max_hits), "common") if o.max_hits is not None else None
+    if common is not None and common.isEmpty():
+        common = None
     # an index has at most a row for each base; with variants it is counted
-    parts = partial_hits(seed_hits(stranded, seeds, o.kmer, o.max_hits, rows=bases if variants is None else None), o.kmer)
+    parts = partial_hits(seed_hits(stranded, seeds, o.kmer, rows=bases if variants is None else None, common=common), o.kmer)
     found = extend_candidates(candidates(parts, o), stranded, ref, o, every=variants is not None, bases=bases)
     if o.spliced:
-        found = found.unionByName(spliced_candidates(parts, stranded, ref, o, bases))
+        found = found.unionByName(chained_candidates(parts, stranded, ref, o, bases, sites))
+    if common is not None:
+        found = found.unionByName(repeat_candidates(stranded, ref, index.select("kmer", "chrom_id", "pos"), common, o, bases))
     if o.rescue_kmer:
         found = found.unionByName(rescued(found, ready, stranded, ref, o, bases))
     placed = found.withColumn("end", cigar_end(F.col("pos"), F.col("cigar")))
@@ -144,10 +178,25 @@ def align(reads: DataFrame, ref: DataFrame, index: DataFrame, o: Options = Optio
         told = placed.withColumn("start", F.col("pos")).withColumn("junctions", cigar_junctions(F.col("pos"), F.col("cigar")))
         placed = transcriptome_only(told, exons, known).select(*placed.columns)
     if variants is not None:
-        placed = apply_known(placed, variants, o.scoring).where(F.col("score") >= o.scoring.min_score.whole(F.col("len")))
+        placed = apply_known(placed, variants, o.scoring).where(F.col("score") >= o.least_score.whole(F.col("len")))
     return distinct_alignments(placed, ["rdid", "mate"])
 
 
+def first_pass_sites(alns: DataFrame, ref: DataFrame) -> DataFrame:
+    """(chrom_id, left, right, fw) of the splice sites that alignments show with enough support."""
+    return novel_sites(site_support(junction_uses(alns, ref))).select("chrom_id", "left", "right", "fw")
+
+
+def align_twice(reads: DataFrame, ref: DataFrame, index: DataFrame, o: Options = Options(), sites: DataFrame | None = None) -> DataFrame:
+    """align() in two passes: the splice sites that the first one shows, and those in sites, are known to the second one, which searches the reads that the first one has not placed without a loss."""
+    first = written(align(reads, ref, index, o, sites=sites), "first-pass")
+    shown = first_pass_sites(first, ref)
+    known = written((shown if sites is None else shown.unionByName(sites.select(*shown.columns))).distinct(), "sites")
+    settled = first.where(F.col("score") >= 0).select("rdid", "mate")
+    again = align(reads.join(settled, ["rdid", "mate"], "left_anti"), ref, index, o, sites=known)
+    return distinct_alignments(first.unionByName(again), ["rdid", "mate"])
+
+
 def junction_uses(alns: DataFrame, ref: DataFrame) -> DataFrame:
     """(rdid, chrom_id, left, right, fw, left_anchor, right_anchor, mismatches, canonical) of the introns of alignments, as operators.metrics.site_support takes them.
 
@@ -156,7 +205,7 @@ def junction_uses(alns: DataFrame, ref: DataFrame) -> DataFrame:
     spliced = alns.where(F.exists("edits", lambda e: e["type"] == "spl"))
     width = lambda e: F.when(e["type"].isin("del", "spl"), e["length"]).when(e["type"] == "ins", -e["length"]).otherwise(0)
     introns = F.filter("edits", lambda e: e["type"] == "spl")
-    rows = spliced.select("rdid", "chrom_id", "pos", "len", "edits", "splice_strand", introns.alias("_i"), F.posexplode(introns).alias("_k", "_e"))
+    rows = spliced.select("rdid", "chrom_id", "pos", (read_span(F.col("cigar")) - clip(F.col("cigar")) - clip(F.col("cigar"), False)).alias("len"), "edits", "splice_strand", introns.alias("_i"), F.posexplode(introns).alias("_k", "_e"))
     before = F.coalesce(F.try_element_at("_i", F.when(F.col("_k") > 0, F.col("_k")).otherwise(F.size("_i") + 1))["pos"], F.lit(0))
     after = F.coalesce(F.try_element_at("_i", F.col("_k") + 2)["pos"], F.col("len"))
     here = F.col("_e.pos")
@@ -191,11 +240,11 @@ def report(reads: DataFrame, alns: DataFrame, ref: DataFrame, o: Options = Optio
     best_pairs = top_k(pairs.withColumn("tie", F.xxhash64("rdid", "a.pos", "b.pos", "a.chrom_id")), ["rdid"], o.khits, "score", "tie", o.secondary)
     as_mates = best_pairs.select("rdid", "rank", F.explode(F.array("a", "b")).alias("m"), F.col("a").alias("_a"), F.col("b").alias("_b"))
     other = F.when(F.col("m.mate") == 1, F.col("_b")).otherwise(F.col("_a"))
-    from_pairs = as_mates.select("rdid", "rank", *(F.col(f"m.{c}").alias(c) for c in told), F.struct(other["chrom_id"].alias("chrom_id"), other["pos"].alias("pos"), other["end"].alias("end"), other["fw"].alias("fw"), other["score"].alias("score")).alias("other"))
+    from_pairs = as_mates.select("rdid", "rank", *(F.col(f"m.{c}").alias(c) for c in told), F.struct(other["chrom_id"].alias("chrom_id"), other["pos"].alias("pos"), other["end"].alias("end"), other["fw"].alias("fw"), other["score"].alias("score"), other["cigar"].alias("cigar")).alias("other"))
     alone = per.where("category in ('unpaired', 'discordant')").select("rdid")
     best_single = top_k(single.join(alone, "rdid", "left_semi"), ["rdid", "mate"], o.khits, "rank_score", "tie", o.secondary)
     w = Window.partitionBy("rdid")
-    mate_of = lambda m: F.max(F.when((F.col("mate") == m) & (F.col("rank") == 1), F.struct("chrom_id", "pos", "end", "fw", "score"))).over(w)
+    mate_of = lambda m: F.max(F.when((F.col("mate") == m) & (F.col("rank") == 1), F.struct("chrom_id", "pos", "end", "fw", "score", "cigar"))).over(w)
     from_single = best_single.withColumn("other", F.when(F.col("mate") == 1, mate_of(2)).when(F.col("mate") == 2, mate_of(1))).select("rdid", "rank", *told, "other")
     mapped = from_pairs.unionByName(from_single)
 
@@ -213,13 +262,15 @@ def report(reads: DataFrame, alns: DataFrame, ref: DataFrame, o: Options = Optio
     other_fw = F.coalesce("other.fw", F.when(F.col("any.mate") != F.col("mate"), F.col("any.fw")), F.lit(True))
     xm, xo, xg, nm = counted_edits(F.col("edits"))
     n = F.length("seq")
-    quality = mapq(F.col("best"), F.col("second"), n * o.scoring.match, o.scoring.min_score.whole(n))
+    quality = mapq(F.col("best"), F.col("second"), n * (2 if o.local and not o.scoring.match else o.scoring.match), o.least_score.whole(n))
     tag = tags(
         AS=F.col("score"), ZS=F.when(is_mapped, F.col("second")), XN=F.when(is_mapped, F.lit(0)), XM=F.when(is_mapped, xm), XO=F.when(is_mapped, xo), XG=F.when(is_mapped, xg), NM=F.when(is_mapped, nm),
         YF=F.col("yf"), YT=pair_class_tag(F.col("paired"), concordant, discordant), YS=F.col("other.score"), MD=F.col("md"), XS=F.when(is_mapped, strand_tag(F.col("splice_strand"), F.col("fw"), F.col("mate"), o.rna_strandness)),
         NH=F.col("nh"), Zs=F.when(is_mapped, known_variant_tag(F.col("edits"))),
     )
     forward = F.coalesce("fw", F.lit(True))
+    # from end to end of the fragment, clipped bases included
+    outer = lambda start, end, cigar: (start - clip(cigar), end + 1 + clip(cigar, False))
     own_chrom = F.coalesce("chrom", F.when(mate_mapped, F.col("other_chrom")))
     from ..functions.seq import chrom_name
 
@@ -236,7 +287,7 @@ def report(reads: DataFrame, alns: DataFrame, ref: DataFrame, o: Options = Optio
         F.when(is_mapped, F.col("cigar")).alias("cigar"),
         F.when(F.col("paired"), spell(F.when(mate_mapped, F.col("other_chrom")).otherwise(F.col("chrom")))).alias("mate_chrom"),
         F.when(F.col("paired"), F.when(mate_mapped, other_pos).otherwise(F.col("pos"))).alias("mate_pos"),
-        F.when(is_mapped & F.col("other").isNotNull() & (F.col("other.chrom_id") == F.col("chrom_id")), template_length(F.col("pos"), F.col("end") + 1, F.col("other.pos"), F.col("other.end") + 1, F.col("mate") == 1)).otherwise(0).alias("tlen"),
+        F.when(is_mapped & F.col("other").isNotNull() & (F.col("other.chrom_id") == F.col("chrom_id")), template_length(*outer(F.col("pos"), F.col("end"), F.col("cigar")), *outer(F.col("other.pos"), F.col("other.end"), F.col("other.cigar")), F.col("mate") == 1)).otherwise(0).alias("tlen"),
         F.when(forward, F.col("seq")).otherwise(reverse_complement("seq")).alias("seq"),
         F.when(forward, F.col("qual")).otherwise(F.reverse("qual")).alias("qual"),
         tag.alias("tags"),
@@ -257,4 +308,4 @@ def counters(records: DataFrame) -> DataFrame:
     return per
 
 
-__all__ = ["EDIT", "align", "candidates", "counters", "diagonals", "extend_candidates", "filter_tag", "partial_hits", "prepare", "report", "seed_hits", "spliced_candidates"]
+__all__ = ["EDIT", "align", "candidates", "counters", "diagonals", "extend_candidates", "filter_tag", "partial_hits", "prepare", "report", "seed_hits", "chained_candidates"]

@@ -13,9 +13,9 @@ from ..sources.scratch import scratch, text_file, written
 from .registry import _DEDUP, _MAP, _VARIANTS, _VORDER, K, READS, REF, longs, query, reads_of, ref_of, t, variants_of
 
 _CONST = "repeat('I', length(seq))"
-#: The first 100 bases of each document, numbered by doc_id, with qualities that run through a pattern.
-_SHORT = f"short AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS n, doc_id, substring(seq, 1, 100) AS seq FROM (SELECT doc_id, {_MAP} AS seq FROM documents) WHERE seq <> '')"
-_PATTERN = "substring(repeat('{}', 100), 1, length(seq))"
+#: All bases of each document, numbered by doc_id, with qualities that run through a pattern.
+_SHORT = f"short AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS n, doc_id, seq FROM (SELECT doc_id, {_MAP} AS seq FROM documents) WHERE seq <> '')"
+_PATTERN = "substring(repeat('{}', length(seq)), 1, length(seq))"
 
 
 def numbered(df: DataFrame, by: str) -> DataFrame:
@@ -24,12 +24,12 @@ def numbered(df: DataFrame, by: str) -> DataFrame:
 
 
 def short_reads(spark, sf_dir) -> DataFrame:
-    rows = t(spark, sf_dir, "documents").select("doc_id", text_to_bases("text").alias("seq")).where("seq <> ''").select("doc_id", F.substring("seq", 1, 100).alias("seq"))
+    rows = t(spark, sf_dir, "documents").select("doc_id", text_to_bases("text").alias("seq")).where("seq <> ''")
     return written(numbered(rows, "doc_id"), "short")
 
 
 def quality(pattern: str) -> Column:
-    return F.expr(f"substring(repeat('{pattern}', 100), 1, length(seq))")
+    return F.expr(f"substring(repeat('{pattern}', length(seq)), 1, length(seq))")
 
 
 def fastq_file(rows: DataFrame, pattern: str, compression: str = "none") -> str:

@@ -561,16 +561,28 @@ def visible_sites(spark, sf_dir):
     return feedback.newest_before(q, feedback.first_found(uses_of(spark, sf_dir)), threads=2)
 
 
-@query(
-    "WITH al AS (SELECT DISTINCT n_nationkey % 8 AS allele, n_regionkey AS variant FROM nation), sh AS (SELECT DISTINCT l_orderkey AS aln, l_linenumber % 5 AS variant FROM lineitem), "
+_ALLELES = (
+    "al AS (SELECT DISTINCT n_nationkey % 8 AS allele, n_regionkey AS variant FROM nation), sh AS (SELECT DISTINCT l_orderkey AS aln, l_linenumber % 5 AS variant FROM lineitem), "
     "n AS (SELECT aln, count(*) AS n FROM sh GROUP BY aln), names AS (SELECT DISTINCT allele FROM al), h AS (SELECT aln, allele, count(*) AS k FROM sh JOIN al USING (variant) GROUP BY aln, allele), "
-    "s AS (SELECT n.aln, names.allele, -2.0 * (n - coalesce(k, 0)) AS s FROM n CROSS JOIN names LEFT JOIN h ON h.aln = n.aln AND h.allele = names.allele) "
-    "SELECT CAST(a.allele AS BIGINT) AS allele_a, CAST(b.allele AS BIGINT) AS allele_b, round(sum(ln((exp(a.s) + exp(b.s)) / 2 + 0.001)), 4) AS log_likelihood FROM s a JOIN s b ON a.aln = b.aln AND a.allele <= b.allele GROUP BY 1, 2"
+    "s AS (SELECT n.aln, names.allele, -2.0 * (n - coalesce(k, 0)) AS s FROM n CROSS JOIN names LEFT JOIN h ON h.aln = n.aln AND h.allele = names.allele), "
+    "pairs AS (SELECT CAST(a.allele AS BIGINT) AS allele_a, CAST(b.allele AS BIGINT) AS allele_b, round(sum(ln((exp(a.s) + exp(b.s)) / 2 + 0.001)), 4) AS log_likelihood FROM s a JOIN s b ON a.aln = b.aln AND a.allele <= b.allele GROUP BY 1, 2)"
 )
-def allele_likelihood(spark, sf_dir):
+
+
+def shown_alleles(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     al = t(spark, sf_dir, "nation").select((F.col("n_nationkey") % 8).cast("long").alias("allele"), F.col("n_regionkey").alias("variant")).distinct()
-    sh = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("aln_id"), (F.col("l_linenumber") % 5).alias("variant")).distinct()
-    return metrics.allele_likelihood(sh, al).withColumn("log_likelihood", F.round("log_likelihood", 4))
+    return t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("aln_id"), (F.col("l_linenumber") % 5).alias("variant")).distinct(), al
+
+
+@query(f"WITH {_ALLELES} SELECT * FROM pairs")
+def allele_likelihood(spark, sf_dir):
+    return metrics.allele_likelihood(*shown_alleles(spark, sf_dir)).withColumn("log_likelihood", F.round("log_likelihood", 4))
+
+
+@query(f"WITH {_ALLELES} SELECT * FROM pairs ORDER BY log_likelihood DESC, allele_a, allele_b LIMIT 1")
+def typed_alleles(spark, sf_dir):
+    """The best pair of alleles."""
+    return metrics.typed_pair(*shown_alleles(spark, sf_dir))
 
 
 _RULES = "SELECT o_orderkey AS rdid, o_custkey % 3 AS nc, o_orderkey % 4 AS n1, o_custkey % 4 AS n2 FROM orders"
@@ -645,7 +657,7 @@ def novel_sites(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import queries_io, queries_rules  # noqa: F401  they register themselves
+    from . import queries_align, queries_io, queries_rules  # noqa: F401  they register themselves
 
     return dict(_QUERIES)
 

@@ -10,14 +10,20 @@ from ..functions.scoring import decode_quality, integer_quality, quality_string
 COLUMNS = ("rdid", "mate", "name", "seq", "qual", "filter")
 
 
-def with_ordinal(df: DataFrame, name: str) -> DataFrame:
-    """Numbers the rows in the order of the scan, without gaps. Partitions are numbered one by one and shifted by the counts of those before them (one row each)."""
-    marked = df.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
-    counts = marked.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    # within a partition the ids follow each other, so a row's place is its id less the partition's first
-    place = F.col("_row") - F.shiftleft(F.col("_part").cast("long"), 33)
-    return marked.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + place).drop("_part", "_row", "_before")
+def with_ordinal(df: DataFrame, name: str, files: bool = False) -> DataFrame:
+    """Numbers the rows in the order of the scan, without gaps: by partition, or with files (columns _file and _at, as lines_of() gives them) by file name and block. Blocks are numbered one by one and shifted by the counts of those before them (one row each)."""
+    block = ["_file", "_at"] if files else ["_part"]
+    marked = (df if files else df.withColumn("_part", F.spark_partition_id())).withColumn("_row", F.monotonically_increasing_id())
+    # within a block the ids follow each other, so a row's place is its id less the block's first
+    counts = marked.groupBy(*block).agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    before = counts.select(*block, "_first", F.coalesce(F.sum("_n").over(Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return marked.join(F.broadcast(before), block).withColumn(name, F.col("_before") + F.col("_row") - F.col("_first")).drop(*block, "_row", "_before", "_first")
+
+
+def lines_of(spark: SparkSession, path: str, **options) -> DataFrame:
+    """The lines of a file, or of the files of a folder in the order of their names: value, with _file and _at for with_ordinal()."""
+    rows = spark.read.options(**options).text(path)
+    return rows.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"))
 
 
 def _reads(df: DataFrame, **columns: Column) -> DataFrame:
@@ -32,9 +38,9 @@ def constant_quality(seq: Column) -> Column:
 
 def fasta_records(spark: SparkSession, path: str) -> DataFrame:
     """(ordinal, name, seq): comment lines start with # or ;, records may be empty."""
-    raw = spark.read.option("lineSep", ">").text(path).where(F.length(F.trim("value")) > 0)
+    raw = lines_of(spark, path, lineSep=">").where(F.length(F.trim("value")) > 0)
     lines = F.transform(F.split("value", r"\r?\n"), lambda x: F.trim(x))  # a second argument would be the place
-    parts = with_ordinal(raw.select(lines.alias("l")), "ordinal")
+    parts = with_ordinal(raw.select(lines.alias("l"), "_file", "_at"), "ordinal", files=True)
     body = F.filter(F.slice("l", 2, F.greatest(F.size("l"), F.lit(1))), lambda x: ~x.rlike("^[#;]"))
     return parts.select("ordinal", F.col("l")[0].alias("name"), F.array_join(body, "").alias("seq"))
 
@@ -64,7 +70,7 @@ def decoded(qual: Column, scale: str) -> Column:
 
 def fastq(spark: SparkSession, path: str, mate: int = 0, scale: str = "phred33") -> DataFrame:
     """Four-line records."""
-    lines = with_ordinal(spark.read.text(path), "n").where("n is not null")
+    lines = with_ordinal(lines_of(spark, path), "n", files=True)
     line = lambda k: F.max(F.when(F.col("n") % 4 == k, F.regexp_replace("value", r"\r$", "")))
     df = lines.groupBy(F.floor(F.col("n") / 4).alias("ordinal")).agg(line(0).alias("name"), line(1).alias("seq"), line(3).alias("qual")).where("seq is not null")
     return _reads(df, rdid=F.col("ordinal"), mate=F.lit(mate), name=F.regexp_replace("name", "^@", ""), seq=F.upper("seq"), qual=decoded(F.col("qual"), scale))
@@ -72,7 +78,7 @@ def fastq(spark: SparkSession, path: str, mate: int = 0, scale: str = "phred33")
 
 def tabbed(spark: SparkSession, path: str, scale: str = "phred33") -> DataFrame:
     """Lines of 3 fields (name, seq, qual), 5 (name, two mates) or 6 (a name for each mate)."""
-    df = with_ordinal(spark.read.text(path), "ordinal").withColumn("f", F.split("value", "\t", -1))
+    df = with_ordinal(lines_of(spark, path), "ordinal", files=True).withColumn("f", F.split("value", "\t", -1))
     n = F.size("f")
     mate = lambda m, a, b, c: F.struct(F.lit(m).alias("mate"), F.col("f")[a].alias("name"), F.col("f")[b].alias("seq"), F.col("f")[c].alias("qual"))
     mates = F.when(n == 3, F.array(mate(0, 0, 1, 2))).when(n == 5, F.array(mate(1, 0, 1, 2), mate(2, 0, 3, 4))).when(n == 6, F.array(mate(1, 0, 1, 2), mate(2, 3, 4, 5)))
@@ -82,14 +88,14 @@ def tabbed(spark: SparkSession, path: str, scale: str = "phred33") -> DataFrame:
 
 def qseq(spark: SparkSession, path: str, scale: str = "phred33") -> DataFrame:
     """Eleven tab fields: machine, run, lane, tile, x, y, index, mate, seq, qual, filter."""
-    df = with_ordinal(spark.read.text(path), "ordinal").withColumn("f", F.split("value", "\t", -1)).where("size(f) = 11")
+    df = with_ordinal(lines_of(spark, path), "ordinal", files=True).withColumn("f", F.split("value", "\t", -1)).where("size(f) = 11")
     name = F.concat(F.array_join(F.slice("f", 1, 7), "_"), F.lit("/"), F.col("f")[7])
     return _reads(df, rdid=F.col("ordinal"), name=name, seq=F.upper(F.translate(F.col("f")[8], ".", "N")), qual=decoded(F.col("f")[9], scale), filter=F.col("f")[10])
 
 
 def raw(spark: SparkSession, path: str) -> DataFrame:
     """One sequence a line; the name is the number."""
-    df = with_ordinal(spark.read.text(path), "ordinal").where("trim(value) <> ''")
+    df = with_ordinal(lines_of(spark, path), "ordinal", files=True).where("trim(value) <> ''")
     return _reads(df, rdid=F.col("ordinal"), name=F.col("ordinal"), seq=F.upper(F.trim("value")), qual=constant_quality(F.trim("value")))
 
 
@@ -107,8 +113,8 @@ def accession(spark: SparkSession, name: str) -> DataFrame:
 def with_quality_file(reads: DataFrame, spark: SparkSession, path: str) -> DataFrame:
     """Replaces the qualities by those of a parallel file of records of numbers, by record number."""
     numbers = fasta_records(spark, path).select(F.col("ordinal").alias("rdid"), F.trim("seq").alias("_numbers"))
-    raw_numbers = spark.read.option("lineSep", ">").text(path).where(F.length(F.trim("value")) > 0)
-    told = with_ordinal(raw_numbers.select(F.trim(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n", ""), r"\s+", " ")).alias("q")), "rdid")
+    raw_numbers = lines_of(spark, path, lineSep=">").where(F.length(F.trim("value")) > 0)
+    told = with_ordinal(raw_numbers.select(F.trim(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n", ""), r"\s+", " ")).alias("q"), "_file", "_at"), "rdid", files=True)
     return reads.drop("qual").join(numbers.select("rdid").join(told, "rdid"), "rdid", "left").withColumn("qual", decoded(F.col("q"), "integers")).select(*COLUMNS)
 
 

@@ -35,7 +35,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def text_file(lines: DataFrame, name: str, compression: str = "none") -> str:
-    """Path of lines (value, in the order of column n) as one text file."""
+    """Path of lines (value, in the order of column n) as text files, whose names are in the order of their lines."""
     path = scratch(lines.sparkSession, name)
-    lines.orderBy("n").select("value").coalesce(1).write.option("compression", compression).text(path)
+    ordered = lines.repartitionByRange("n").sortWithinPartitions("n")
+    ordered.select("value").write.option("compression", compression).text(path)
     return path
