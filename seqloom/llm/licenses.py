@@ -61,7 +61,9 @@ def scan_spans(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     words = F.regexp_extract_all(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(TOKEN), F.lit(0))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words.alias("w"))
     rolling = "zip_with(slice(w, 1, greatest(size(w) - 1, 0)), slice(w, 2, size(w)), (a, b) -> struct(xxhash64(a, b) as h, a, b))"
-    grams = rows.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), F.posexplode(F.expr(f"concat(array(struct({_SENTINEL}L as h, '' as a, '' as b)), {rolling})")).alias("pos", "g"))
+    # the pairs are made before they are unfolded: otherwise every pair would carry a copy of all words
+    paired = rows.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), F.expr(f"concat(array(struct({_SENTINEL}L as h, '' as a, '' as b)), {rolling})").alias("pairs"))
+    grams = paired.select("row", "doc_id", "n_words", F.posexplode("pairs").alias("pos", "g"))
     # the row's own entry, so that one pass over the texts serves n_words and the hits
     sentinel = pairs.sparkSession.range(1).selectExpr("-1 as tid", "'' as label", "false as base", "0 as n_pairs", "0 as tpos", f"{_SENTINEL}L as h", "'' as ta", "'' as tb")
     known = small(pairs.union(sentinel), MAX_BROADCAST_PAIRS)
