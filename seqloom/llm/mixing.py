@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, prefix_sums
+from .common import WORD, column, materialize, prefix_sums, row_hash, spare
 
 WEIGHTS, MAX_EPOCHS = (5, 2, 1), 3
 _BUCKETS = 4096
@@ -55,7 +55,7 @@ def mix_epochs(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
     """
     slim = docs.select(
         F.monotonically_increasing_id().alias("row"),
-        F.xxhash64(*docs.columns).alias("same"),
+        row_hash(docs).alias("same"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -82,9 +82,11 @@ def mix_epochs(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it (a row without words never)."""
-    told = mix_epochs(docs, weights, max_epochs).where("epochs > 0").groupBy(F.col("same").alias("_same")).agg(F.sum("epochs").alias("_epochs"))
+    """The rows of docs, each as often as the mix takes it (a row without words never). Columns of any name and type come through as they are."""
+    own = spare(docs)
+    same, epochs = f"{own}same", f"{own}epochs"
+    told = mix_epochs(docs, weights, max_epochs).where("epochs > 0").groupBy(F.col("same").alias(same)).agg(F.sum("epochs").alias(epochs))
     # rows that agree in all columns are one row that is taken as often as all of them
-    rows = docs.withColumn("_hash", F.xxhash64(*docs.columns)).dropDuplicates(["_hash"])
-    taken = rows.join(told, F.col("_hash") == F.col("_same")).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_epochs"))))
-    return taken.select(*docs.columns)
+    rows = docs.withColumn(f"{own}hash", row_hash(docs)).dropDuplicates([f"{own}hash"])
+    taken = rows.join(told, F.col(f"{own}hash") == F.col(same)).withColumn(f"{own}copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(epochs))))
+    return taken.select(*map(column, docs.columns))

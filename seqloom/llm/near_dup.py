@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, arrow_rows, discard, materialize, small
+from .common import WORD, arrow_rows, column, discard, materialize, row_hash, small, spare
 from .graph import connected_components
 
 SHINGLE, BANDS, ROWS = 5, 32, 4
@@ -290,16 +290,17 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     its own text; in the order they stand behind the rest, by a hash of doc_id and text. Texts
     without words all stay.
     """
-    text, spare = F.col("text").cast("string"), "_" * (1 + max(map(len, docs.columns)))
-    number, words, row = f"{spare}number", f"{spare}words", f"{spare}row"
+    text, own = F.col("text").cast("string"), spare(docs)
+    number, words, row, several_of, kept_of = f"{own}number", f"{own}words", f"{own}row", f"{own}several", f"{own}kept"
+    columns = list(map(column, docs.columns))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t")).where("doc_id is not null")
-    several = ids.groupBy("doc_id").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low <> high").select(F.col("doc_id").alias(f"{spare}several"))
-    marked = docs.join(small(several, MAX_BROADCAST_IDS), F.col("doc_id").cast("long") == F.col(f"{spare}several"), "left")
+    several = ids.groupBy("doc_id").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low <> high").select(F.col("doc_id").alias(several_of))
+    marked = docs.join(small(several, MAX_BROADCAST_IDS), F.col("doc_id").cast("long") == F.col(several_of), "left")
     behind = F.shiftrightunsigned(F.xxhash64("doc_id", text), 2).bitwiseOR(F.lit(1 << 62))
-    own = F.when(F.col(f"{spare}several").isNull() & F.col("doc_id").isNotNull(), F.col("doc_id").cast("long")).otherwise(behind)
-    numbered = marked.select(*(docs[c] for c in docs.columns), own.alias(number), F.coalesce(F.regexp(text, F.lit(WORD)), F.lit(False)).alias(words))
-    kept = near_duplicates(numbered.where(F.col(words)).select(F.col(number).alias("doc_id"), text.alias("text"))).where("kept").select(F.col("doc_id").alias(f"{spare}kept")).distinct()
-    blank = numbered.where(~F.col(words)).select(*docs.columns)
-    same = Window.partitionBy(number).orderBy(F.xxhash64(*docs.columns))
-    first = numbered.where(F.col(words)).join(kept, F.col(number) == F.col(f"{spare}kept"), "left_semi").withColumn(row, F.row_number().over(same)).where(F.col(row) == 1)
-    return first.select(*docs.columns).unionAll(blank)
+    named = F.when(F.col(several_of).isNull() & F.col("doc_id").isNotNull(), F.col("doc_id").cast("long")).otherwise(behind)
+    numbered = marked.select(*columns, named.alias(number), F.coalesce(F.regexp(text, F.lit(WORD)), F.lit(False)).alias(words))
+    kept = near_duplicates(numbered.where(F.col(words)).select(F.col(number).alias("doc_id"), text.alias("text"))).where("kept").select(F.col("doc_id").alias(kept_of)).distinct()
+    blank = numbered.where(~F.col(words)).select(*columns)
+    same = Window.partitionBy(number).orderBy(row_hash(docs))
+    first = numbered.where(F.col(words)).join(kept, F.col(number) == F.col(kept_of), "left_semi").withColumn(row, F.row_number().over(same)).where(F.col(row) == 1)
+    return first.select(*columns).unionAll(blank)
