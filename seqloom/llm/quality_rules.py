@@ -9,7 +9,8 @@ Rows are scored in Arrow batches against fixed thresholds.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -85,15 +86,54 @@ def _features(text: str, ids: WordIds) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return a.astype(np.int32), share(n), b.astype(np.int32), share(m)
 
 
-def train(rows: list[tuple[str, int]], seed: int = 5, epochs: int = EPOCHS, rate: float = RATE) -> dict:
+class Features:
+    """Features of rows, one after another in a file of the driver, so that its memory does not grow with the length of their texts. A row: its buckets and weights of n-grams, then those of pairs."""
+
+    def __init__(self):
+        self._file, self._ends, self._kind = tempfile.TemporaryFile(), [(0, 0)], np.dtype([("at", "<i4"), ("share", "<f4")])
+        self.gold: list[int] = []
+        self._rows: np.ndarray | None = None
+
+    def add(self, data: bytes, n_words: int, quality: int) -> None:
+        """data: as feature_bytes() gives it."""
+        self._file.write(data)
+        start = self._ends[-1][1]
+        self._ends.append((start + n_words, start + len(data) // self._kind.itemsize))
+        self.gold.append(quality)
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        if self._rows is None:
+            self._file.flush()
+            self._rows = np.memmap(self._file, self._kind, "r") if self._ends[-1][1] else np.empty(0, self._kind)
+        (_, start), (middle, end) = self._ends[k], self._ends[k + 1]
+        words, pairs = self._rows[start:middle], self._rows[middle:end]
+        return words["at"], words["share"], pairs["at"], pairs["share"]
+
+
+def feature_bytes(text: str, ids: WordIds) -> tuple[bytes, int]:
+    """Features of a text as (int32, float32) pairs, and how many of them are n-grams."""
+    a, n, b, m = _features(text, ids)
+    out = np.empty(len(a) + len(b), [("at", "<i4"), ("share", "<f4")])
+    out["at"], out["share"] = np.concatenate([a, b]), np.concatenate([n, m])
+    return out.tobytes(), len(a)
+
+
+def train(rows: Iterable[tuple[str, int]], seed: int = 5, epochs: int = EPOCHS, rate: float = RATE) -> dict:
     """Model from (text, quality 0/1) rows. With rows of one class only, everything counts as that class. The same rows give the same model."""
+    found = Features()
+    for text, quality in rows:
+        found.add(*feature_bytes(text, WordIds()), quality)
+    return fit(found, seed, epochs, rate)
+
+
+def fit(x: Features, seed: int = 5, epochs: int = EPOCHS, rate: float = RATE) -> dict:
+    """Model from the features of rows."""
     rng = np.random.default_rng(seed)
-    gold = np.array([q for _, q in rows], float)
+    gold = np.array(x.gold, float)
     w, v, bias = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0
     if len(set(gold.tolist())) < 2:
         return {"words": w.astype(np.float32), "pairs": v.astype(np.float32), "bias": 0.0, "scale": 0.0, "shift": 8.0 if not len(gold) or gold[0] else -8.0}
-    x = [_features(t, WordIds()) for t, _ in rows]
-    held = rng.random(len(rows)) < 0.25
+    held = rng.random(len(gold)) < 0.25
     gw, gv, gb = np.full(BUCKETS, 1e-6), np.full(BUCKETS, 1e-6), 1e-6
     balance = {1.0: 0.5 / gold.mean(), 0.0: 0.5 / (1 - gold.mean())}
     for _ in range(epochs):
@@ -108,7 +148,7 @@ def train(rows: list[tuple[str, int]], seed: int = 5, epochs: int = EPOCHS, rate
             gb += error * error
             bias -= rate * error / np.sqrt(gb)
     model = {"words": w.astype(np.float32), "pairs": v.astype(np.float32), "bias": float(bias), "scale": 1.0, "shift": 0.0}
-    z = np.array([w[a] @ n + v[b] @ m + bias for a, n, b, m in x])
+    z = np.array([w[a] @ n + v[b] @ m + bias for a, n, b, m in map(x.__getitem__, range(len(gold)))])
     return model | _platt(z[held], gold[held])
 
 
@@ -130,12 +170,25 @@ def _platt(z: np.ndarray, gold: np.ndarray) -> dict:
 
 
 def train_on(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, seed: int = 5) -> dict:
-    """Model from at most max_rows labelled rows: docs (doc_id, text) joined with labels (doc_id, quality 0 or 1). Null texts and labels are left out; of rows that share a doc_id the smallest text is learned from. The same rows give the same model."""
+    """Model from at most max_rows labelled rows: docs (doc_id, text) joined with labels (doc_id, quality 0 or 1). Null texts and labels are left out; of rows that share a doc_id the smallest text is learned from. The same rows give the same model.
+
+    Executors make the features; they come to the driver a partition at a time and lie in a file there, so no text is on the driver.
+    """
     usable = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     picked = F.broadcast(sampled(usable, ["doc_id"], max_rows, seed))  # at most max_rows rows
-    rows = docs.where("text is not null").select("doc_id", "text").join(picked, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
-    model = train([(r.text, r.quality) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))], seed)
-    del rows
+    rows = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text")).join(picked, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for quality, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data, n_words = feature_bytes(text.as_py(), WordIds())
+                yield pa.RecordBatch.from_pydict({"quality": pa.array([quality], pa.int32()), "n_words": pa.array([n_words], pa.int64()), "data": pa.array([data], pa.binary())})
+
+    made = rows.orderBy("doc_id").select(F.col("quality").cast("int").alias("quality"), "text").mapInArrow(features, "quality int, n_words long, data binary")
+    found = Features()
+    for row in made.toLocalIterator():
+        found.add(bytes(row.data), row.n_words, row.quality)
+    model = fit(found, seed)
     give_back()
     return model
 
