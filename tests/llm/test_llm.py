@@ -818,6 +818,81 @@ def test_written_shards(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 20
 
 
+# ---- awkward texts ------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def whole_tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(registry.TOKENIZER)
+
+
+@pytest.mark.parametrize("run", [" " * 1_200_000, "\n" * 1_200_000, " \n\t" * 400_000, "\u00a0" * 1_100_000])
+def test_ids_of_long_white_space(whole_tokenizer, run):
+    encode = packing.encoder(packing.ranks_of(registry.TOKENIZER), packing.added_of(registry.TOKENIZER), packing.spec_of(registry.TOKENIZER))
+    for text in (run, f"a{run}b", f"{run}<|endoftext|>x"):
+        assert encode(text).tolist() == whole_tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_a_row_of_blanks_is_packed(spark, whole_tokenizer):
+    text = "start" + " " * 1_200_000 + "end"
+    got = told(packing.pack(spark.createDataFrame([(1, text), (2, "a b")], "doc_id long, text string"), registry.TOKENIZER))
+    pieces = sorted((r for r in got if r["doc_id"] == 1), key=lambda r: r["start"])
+    assert [x for r in pieces for x in r["ids"]] == [*whole_tokenizer.encode(text, add_special_tokens=False).ids, 0]
+
+
+def test_license_scan_is_linear_in_the_text(spark):
+    import time
+
+    took = []
+    for n in (150_000, 600_000):
+        text = prose(n, n // 2) + " released under the mit license " + prose(n + 1, n // 2)
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.perf_counter()
+        (r,) = told(licenses.scan_licenses(df))
+        took.append(time.perf_counter() - began)
+        assert r["n_words"] > n and r["n_base"] == 1 and r["labels"] == "mit"
+    assert took[1] < 10 + 6 * took[0]
+
+
+# ---- models by plain re-computation -------------------------------------------------------------
+
+
+def test_language_predictions_against_plain_numbers():
+    """Mean of the embeddings of all subwords, linear layer, temperature by length, softmax: one subword at a time."""
+    texts = [prose(k, 3 + 7 * k) for k in range(12)] + ["été à l'école près du château", "word", "zq1wx zq2wx", "Straße über die Brücke"]
+    model = language_id.train([(prose(k, 60), "en") for k in range(20)] + [(" ".join(f"zq{j}wx" for j in range(k, k + 50)), "de") for k in range(20)] + [("été à l'école près du château " * 5, "fr") for _ in range(20)])
+    scores = models.WordScores(model["table"], language_id.SIZES)
+    for text in texts:
+        words_found = language_id.words_of(text)
+        buckets = [int(b) for w in words_found for b in models.ngram_buckets([w], language_id.SIZES)[0]]
+        total = np.zeros(model["table"].shape[1])
+        for b in buckets:
+            total += model["table"][b]
+        z = total / max(1, len(buckets))
+        if model.get("weights") is not None:
+            z = z @ model["weights"]
+        z = z / model["temperatures"][sum(len(words_found) > n for n in language_id.LENGTHS)]
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        lang, score = language_id.predict(text, model, scores)
+        assert lang == model["langs"][int(p.argmax())] and score == pytest.approx(p.max(), abs=1e-4)
+
+
+def test_quality_probabilities_against_plain_numbers():
+    rng = np.random.default_rng(3)
+    model = {"words": rng.standard_normal(models.BUCKETS).astype(np.float32), "pairs": rng.standard_normal(models.BUCKETS).astype(np.float32), "bias": 0.3, "scale": 0.7, "shift": -0.2}
+    scores, ids = models.WordScores(model["words"][:, None], quality_rules.SIZES), quality_rules.WordIds()
+    for text in [prose(k, 1 + 9 * k) for k in range(10)] + ["one", "été straße", ""]:
+        found, h, _ = quality_rules.counts(text, ids)
+        grams = [float(model["words"][int(b)]) for w in found for b in models.ngram_buckets([w], quality_rules.SIZES)[0]]
+        pairs = [float(model["pairs"][int(quality_rules.pair_buckets(h[k : k + 2])[0])]) for k in range(len(h) - 1)]
+        mean = lambda x: sum(x) / len(x) if x else 0.0
+        z = model["bias"] + quality_rules.SCALE * (mean(grams) + mean(pairs))
+        want = 1 / (1 + math.exp(-(model["scale"] * z + model["shift"])))
+        assert quality_rules.probability(found, h, model, scores) == pytest.approx(want, abs=1e-4)
+
+
 # ---- pipeline -----------------------------------------------------------------------------------
 
 
@@ -855,11 +930,44 @@ def test_pipeline_stages_take_awkward_rows(spark, tmp_path):
     assert sorted(kept, key=str) == sorted([None, "alone here in the text"], key=str)
 
 
+#: Names that the stages use for columns of their own, and names and types that are awkward.
+OWN_NAMES = "_hash _copy _same _epochs n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed quality_score kept lang_pred lang_score lang_rejected same epochs size row _order _bucket _upto _finish _total place target taken number words several t n bits front rep root key".split()
+
+
+def test_every_column_comes_through_the_stages(spark):
+    import corpus_pipeline as cp
+
+    sf = "/root/testdata/sf0.001"
+    data = [(k, prose(k, 90 + k), "en", f"s{k % 2}") for k in range(12)] + [(50, prose(1, 91), "en", "s0"), (None, prose(70, 80), None, None)]
+    df = shaped(documents(spark, data, clash=False))
+    for name in OWN_NAMES:
+        df = df.withColumn(name, F.concat(F.lit(f"{name} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    df = df.withColumn("a.b", F.lit("dot")).withColumn("a`b", F.lit("tick")).withColumn("m", F.create_map(F.lit("k"), F.col("doc_id")))
+    models = {"quality rules": lambda d: cp._judged(d, lambda rows, text: quality_rules.judge(rows, quality_rules.train([]), text, keep_from=0.0), "not base_failed")}
+    for name, stage in cp.STAGES[:-1]:
+        out = models[name](df) if name in models else stage(spark, df, sf)
+        assert out.columns == df.columns
+        found = told(out)
+        assert found or name == "language ID"
+        for r in found:
+            assert r["a.b"] == "dot" and r["a`b"] == "tick" and r["m"] == {"k": r["doc_id"]}
+            assert all(r[c] == f"{c} of {'none' if r['doc_id'] is None else r['doc_id']}" for c in OWN_NAMES)
+
+
+def test_judged_columns_of_the_language_stage(spark):
+    import corpus_pipeline as cp
+
+    model = language_id.train([(prose(k, 60), "en") for k in range(30)] + [(" ".join(f"zq{k}wx" for _ in range(50)), "de") for k in range(30)])
+    df = documents(spark, [(1, prose(5, 80), "en", "s")], clash=False).withColumn("lang_pred", F.lit("mine")).withColumn("lang_score", F.lit("own"))
+    got = told(cp._judged(df, lambda rows, text: language_id.identify(rows, model, text), "not lang_rejected"))
+    assert [(r["lang_pred"], r["lang_score"]) for r in got] == [("mine", "own")]
+
+
 def test_registered(spark):
     import __spark_entry__
 
     got = __spark_entry__.queries()
-    assert {f"op{k}_" for k in range(1, 11)} == {n.split("_")[0] + "_" for n in got if n.startswith("op")} and "pipeline" in got
+    assert {f"op{k}_" for k in range(1, 14)} == {n.split("_")[0] + "_" for n in got if n.startswith("op")} and "pipeline" in got
 
 
 @pytest.mark.parametrize("name", ["op2_url_filters", "op3_minhash_near_dedup", "op8_mixing", "op9_license_scans"])
