@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cigar import cigar_junctions
 from ..functions.config import Options, RepeatOptions
-from ..operators import evaluate, index, repeats
+from ..operators import evaluate, index, kernels, repeats
 from . import align
 from .registry import REF, READS, longs, query, reads_of, ref_of
 
@@ -193,3 +194,51 @@ def grown_repeats(spark, sf_dir):
     found = repeats.discover(made, RepeatOptions(seed_length=40, seed_count=3, min_length=90, count=4, forward_only=True))
     units = ref.select(F.col("chrom_id").alias("item_id"), F.expr(_UNIT).alias("consensus"))
     return found.join(units, "consensus").select("item_id", "n")
+
+
+# seventy bases with known variants at three places, of which a read shows those of the set bits of a number
+_BITS = f"(doc_id + spot {{div}} {WINDOW}) % 8"
+_SHOWN = "substring(w, 101, 10) || {0} || substring(w, 112, 19) || {1} || substring(w, 132, 19) || {2} || substring(w, 152, 19)"
+
+
+def shown_bases(bits: str) -> str:
+    base = lambda k, p: f"CASE WHEN {bits} & {1 << k} <> 0 THEN translate(substring(w, {p}, 1), 'ACGT', 'CATG') ELSE substring(w, {p}, 1) END"
+    return _SHOWN.format(base(0, 111), base(1, 131), base(2, 151))
+
+
+@query(f"WITH {READS}, {_WINDOWS} SELECT doc_id, CAST(spot AS BIGINT) AS spot, 0 AS score, bit_count({_BITS.format(div='//')}) AS known FROM w")
+def variant_reads(spark, sf_dir):
+    """Reads that show some of the known variants of their place: they align without a loss, and their edits carry the variants' names."""
+    w = windows_of(spark, sf_dir).withColumn("bits", F.expr(_BITS.format(div="div")).cast("int"))
+    ref = sequences_of(spark, sf_dir)
+    flipped = lambda p: F.struct((F.col("spot") + p).cast("long").alias("pos"), F.expr(f"translate(substring(w, {p + 1}, 1), 'ACGT', 'CATG')").alias("data"))
+    known = w.select(F.col("doc_id").alias("chrom_id"), F.explode(F.array(*map(flipped, (110, 130, 150)))).alias("v")).select("chrom_id", F.concat_ws("_", F.lit("rs"), "chrom_id", "v.pos").alias("id"), F.lit("single").alias("type"), "v.pos", "v.data")
+    o = replace(OPTIONS, spliced=False)
+    alns = own(align.align(planted(w, shown_bases("bits")), ref, index.kmer_index(ref, o.kmer), o, variants=known))
+    named = alns.where("pos = spot + 100").withColumn("known", F.size(F.filter("edits", lambda e: e["snp"].isNotNull())))
+    best = named.groupBy("doc_id", F.col("spot").cast("long").alias("spot")).agg(F.max(F.struct("score", -F.col("known"))).alias("b"))
+    return longs(best.select("doc_id", "spot", F.col("b.score").alias("score"), (-F.col("b.col2")).alias("known")), "score", "known")
+
+
+@query(f"WITH {READS}, {_WINDOWS} SELECT doc_id, CAST(spot AS BIGINT) AS spot, 0 AS mismatches, (SELECT min(k) FROM (SELECT unnest(range(0, 31)) AS k) WHERE replace(substring(w, k + 1, 30 - k), substring(w, 31, 1), '') = '') AS place FROM w")
+def one_gap_places(spark, sf_dir):
+    """Sixty bases of each window without the thirty-first one: where the best single gap lies."""
+
+    @F.pandas_udf("mismatches long, place long")
+    def best(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([kernels.one_gap(x, y, 1) for x, y in zip(a, b, strict=True)], columns=["mismatches", "place"])
+
+    w = windows_of(spark, sf_dir).select("doc_id", F.col("spot").cast("long").alias("spot"), best(F.expr("substring(w, 1, 30) || substring(w, 32, 29)"), F.expr("substring(w, 1, 60)")).alias("g"))
+    return w.select("doc_id", "spot", "g.mismatches", "g.place")
+
+
+@query(f"WITH {REF}, u AS (SELECT seq FROM ref WHERE length(seq) >= 210), r AS (SELECT * FROM ref) SELECT item_id, CAST(2 AS INTEGER) AS n FROM r WHERE {_ALONE}")
+def merged_repeats(spark, sf_dir):
+    """Two repeats of each sequence, the second one a worn part of the first: they become one, with the copies of both."""
+    ref = ref_of(spark, sf_dir).where("length(seq) >= 210")
+    alone = ref.groupBy(F.substring("seq", 1, 20).alias("head")).agg(F.count("*").alias("_n"), F.max("chrom_id").alias("chrom_id")).where("_n = 1").select("chrom_id")
+    ref = ref.join(alone, "chrom_id", "left_semi")
+    copy = lambda at: F.array(F.struct(F.col("chrom_id"), F.lit(at).cast("long").alias("pos"), F.lit(True).alias("fw")))
+    one = ref.select((F.col("chrom_id") * 2).alias("rep_id"), F.expr("substring(seq, 1, 200)").alias("consensus"), copy(1000).alias("positions"))
+    two = ref.select((F.col("chrom_id") * 2 + 1).alias("rep_id"), F.expr("substring(seq, 21, 80) || translate(substring(seq, 101, 1), 'ACGT', 'CATG') || substring(seq, 102, 69)").alias("consensus"), copy(5000).alias("positions"))
+    return repeats.merge_similar(one.union(two)).select(F.expr("rep_id div 2").alias("item_id"), "n")

@@ -88,9 +88,9 @@ def fastq_solexa_scan(spark, sf_dir):
     return reads.scan(spark, fastq_file(short_reads(spark, sf_dir), "@JT"), "fastq", scale="solexa").select("rdid", "qual")
 
 
-@query(f"WITH {_SHORT} SELECT n AS rdid, substring(repeat('I5!~', 100), 1, 4 * least(length(seq), 25)) AS qual FROM short")
+@query(f"WITH {_SHORT} SELECT n AS rdid, repeat('I5!~', length(seq)) AS qual FROM short")
 def fastq_integers_scan(spark, sf_dir):
-    numbers = F.array_join(F.array_repeat(F.lit("40 20 -3 120"), F.least(F.length("seq"), F.lit(25)).cast("int")), " ")
+    numbers = F.array_join(F.array_repeat(F.lit("40 20 -3 120"), F.length("seq").cast("int")), " ")
     lines = short_reads(spark, sf_dir).select("n", F.concat_ws("\n", F.concat(F.lit("@r"), "doc_id"), "seq", F.lit("+"), numbers).alias("value"))
     return reads.scan(spark, text_file(lines, "fastq"), "fastq", scale="integers").select("rdid", "qual")
 
@@ -127,7 +127,7 @@ def literal_scan(spark, sf_dir):
     return reads.literal(spark, ["acgt", "GGN", "t"]).select("rdid", "name", "seq", "qual")
 
 
-@query(f"WITH {_SHORT} SELECT n AS rdid, seq, substring(repeat('!&+0', 100), 1, length(seq)) AS qual FROM short")
+@query(f"WITH {_SHORT} SELECT n AS rdid, seq, substring(repeat('!&+0', length(seq)), 1, length(seq)) AS qual FROM short")
 def quality_file_scan(spark, sf_dir):
     rows = short_reads(spark, sf_dir).select("n", F.concat(F.lit("b"), "doc_id").alias("chrom"), F.col("n").alias("chrom_id"), "seq")
     numbers = F.array_join(F.transform(F.sequence(F.lit(0), F.length("seq") - 1), lambda k: (k % 4 * 5).cast("string")), " ")
