@@ -1,7 +1,7 @@
 """Jaccard join of word n-gram sets by signature trees (operator 13).
 
-The distinct sets of shingles are the points: texts with one set are folded to one row. A set of n
-shingles has a bitmap of about 8 n bits (a power of two), one for each shingle's hash.
+The distinct sets of shingles are the points: texts with one set are folded to one row, named by a
+hash of the set. A set of n shingles has a bitmap of about 4 n bits (a power of two), one for each shingle's hash.
 
 Two sets with 100 * intersection >= 80 * union share a shingle among the first n - ceil(0.8 n) + 1 of
 each, whatever order all shingles stand in. So every such shingle is the root of a tree of the sets
@@ -9,9 +9,9 @@ that have it so far in front, and pairs are only looked for inside trees; shingl
 are one tree. The order is by hash, but shingles that very many sets have in front (COMMON_SETS, as
 those of passages that many documents share) stand behind all others.
 
-In a tree the sets stand by component and size; FAN neighbours have a node above them with their
-OR-combined bitmap, size range and component, FAN nodes have one above, and so on. A dual traversal
-starts with the top and itself and drops a pair of nodes if all their sets lie in one component, if
+In a tree the sets of the largest component stand first, then the others by size; FAN neighbours
+have a node above them with their OR-combined bitmap, size range and component, FAN nodes have one
+above, and so on. A dual traversal starts with the top and itself and drops a pair of nodes if all their sets lie in one component, if
 the sizes are too far apart, or if the most that two of their sets can share is too little:
 
     shared <= excess + bit_count(a & b)      excess: the most shingles of a set that fell on a used bit
@@ -19,7 +19,8 @@ the sizes are too far apart, or if the most that two of their sets can share is
 
 All of it bounds the true values, so no link is lost. What is left at the bottom is a candidate, and
 both texts are fetched to confirm it on the full sets. First every set is compared with one set of its
-largest tree, so that large groups of near copies mostly are one component before trees are walked.
+largest tree, so that large groups of near copies mostly are one component before trees are walked; of
+the others in such a family, those over a fifth of whose shingles no other of its sets has are left out.
 
 A tree of any size is cut into branches of at most BRANCH sets by a range sort, each a task's bounded
 piece; pairs of branches of one tree are dropped by the same rules before their sets meet.
@@ -32,18 +33,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, discard, materialize, small
 from .graph import connected_components
-from .near_dup import MAX_BROADCAST_IDS, WordHashes, overlaps, shingle_set, words_of
+from .near_dup import MAX_BROADCAST_IDS, WordHashes, overlaps, own_shingles, shingle_set, words_of
 
 THRESHOLD = 80
+#: Sets of a tree that are sorted by size in one task.
+MAX_SORTED = 4096
 #: Sets below a node; sets in a branch; bits of a bitmap at most.
-FAN, BRANCH, MAX_BITS = 8, 2048, 1 << 15
+FAN, BRANCH, MAX_BITS = 4, 8192, 1 << 15
+#: A tree of so many sets, at least half of which are one component, is a family: its sets are asked how many shingles are their own.
+FAMILY = 256
 #: A shingle that more sets have in front is common; how many of them (the most common ones) are moved back at most, as the list is broadcast (8 bytes each). Those that stay in front make large trees.
-COMMON_SETS, MAX_COMMON = 512, 100_000
+COMMON_SETS, MAX_COMMON = 100_000, 100_000
 #: Rows in an Arrow batch of whole texts; pairs of nodes that are compared at a time.
 BATCH_ROWS, PAIRS_AT_A_TIME = 500, 1 << 14
 
@@ -56,7 +61,7 @@ def front(n: int) -> int:
 def bitmap(shingles: np.ndarray) -> np.ndarray:
     """Bits of a set, as 64-bit words: the hash's low bits, as many as the set's size asks for."""
     bits = 64
-    while bits < min(8 * len(shingles), MAX_BITS):
+    while bits < min(2 * len(shingles), MAX_BITS):
         bits *= 2
     out = np.zeros(bits, bool)
     out[shingles & np.uint64(bits - 1)] = True
@@ -86,27 +91,27 @@ def front_of(shingles: np.ndarray, common: np.ndarray | None = None) -> np.ndarr
     return found
 
 
-_SIGNED = "doc_id long, t long, c1 long, c2 long, n_shingles long, bits binary, front array<long>"
+_SIGNED = "doc_id long, t long, rep long, n_shingles long, bits binary, front array<long>"
 
 
 def signed(docs: DataFrame, common: np.ndarray | None = None) -> DataFrame:
-    """doc_id, t (hash of the text), the set's 128-bit hash (c1, c2), n_shingles, bits and front for every row of docs (doc_id, text)."""
+    """doc_id, t (hash of the text), rep (a 63-bit hash of the set, its name), n_shingles, bits and front for every row of docs (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, common = WordHashes(), shared.value
         for batch in batches:
-            n, sets, sizes, bits, fronts = batch.num_rows, [], [], [], []
+            reps, sizes, bits, fronts = [], [], [], []
             for text in batch.column(2):
                 found = shingle_set(words_of(text.as_py()), hashes)
-                sets.append(np.frombuffer(xxhash.xxh128_digest(found.tobytes()), np.int64))
+                reps.append(xxhash.xxh64_intdigest(found.tobytes()) >> 1)
                 sizes.append(len(found))
                 bits.append(bitmap(found).tobytes())
                 fronts.append(front_of(found, common).view(np.int64))
-            sets, ends = np.array(sets, np.int64).reshape(n, 2), np.cumsum([0, *map(len, fronts)]).astype(np.int32)
+            ends = np.cumsum([0, *map(len, fronts)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*fronts, np.empty(0, np.int64)])))
-            columns = [batch.column(0), batch.column(1), pa.array(np.ascontiguousarray(sets[:, 0])), pa.array(np.ascontiguousarray(sets[:, 1])), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t", "c1", "c2", "n_shingles", "bits", "front"])
+            columns = [batch.column(0), batch.column(1), pa.array(reps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t", "rep", "n_shingles", "bits", "front"])
 
     text = F.col("text").cast("string")
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text), text).mapInArrow(run, _SIGNED)
@@ -209,12 +214,12 @@ def pairs_between(one: list[np.ndarray], two: list[np.ndarray] | None = None) ->
                 yield one[0][at[a]], two_branch[0][at_b[b]]
 
 
-_PLACED = ["key", "branch", "rep", "root", "n_shingles", "bits"]
+_PLACED = ["key", "branch", "rep", "root", "n_shingles", "bits", "other"]
 
 
 def _candidates(rows: pa.Table) -> pa.Table:
     """Candidates of the branches in rows (_PLACED): within each branch, or, of two branches of one tree, between them."""
-    rows = rows.sort_by([("key", "ascending"), ("branch", "ascending"), ("root", "ascending"), ("n_shingles", "ascending"), ("rep", "ascending")])
+    rows = rows.sort_by([("key", "ascending"), ("branch", "ascending"), ("other", "ascending"), ("n_shingles", "ascending"), ("rep", "ascending")])
     key, branch, rep, root, size = (rows[c].to_numpy() for c in _PLACED[:5])
     bits = np.array(rows["bits"].to_pylist(), object)
     starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (branch[1:] != branch[:-1])])) if len(key) else np.empty(0, np.int64)
@@ -246,6 +251,20 @@ def _branch_nodes(rows: pa.Table) -> pa.Table:
     return pa.table([pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)], names=["key", "branch", "least", "most", "excess", "root", "bits"])
 
 
+def _like(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of (a, b, n_a, n_b, bits_a, bits_b) that may be links by their bitmaps."""
+    for batch in batches:
+        keep = []
+        for n_a, n_b, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
+            x, y = (np.frombuffer(w, np.uint64)[None] for w in (x, y))
+            narrow = min(x.shape[1], y.shape[1])
+            x, y = folded(x, narrow), folded(y, narrow)
+            one, two, both = (int(np.bitwise_count(w).sum()) for w in (x, y, x & y))
+            shared = min(n_a - one, n_b - two) + both
+            keep.append(100 * shared >= THRESHOLD * (n_a + n_b - shared))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of branches (key, x, y with their nodes) that may hold a link: as in may_link()."""
     for batch in batches:
@@ -262,28 +281,51 @@ def _fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "one": batch.column("x").field("branch"), "two": batch.column("y").field("branch")}).filter(pa.array(keep, pa.bool_()))
 
 
-def _trees(fronts: DataFrame) -> DataFrame:
-    """(key, rep, met): the sets of each tree, of rows (rep, front). met: how many the tree has. Shingles of one set alone are no tree; of those with the same sets one stays."""
-    entries = fronts.select("rep", F.explode("front").alias("key"))
+def _entries(fronts: DataFrame) -> DataFrame:
+    return fronts.select("rep", F.explode("front").alias("key"))
+
+
+def _counts(entries: DataFrame) -> DataFrame:
+    """(key, count) of the shingles that several rows have in front (rep, key); copies count each, which costs nothing: what only copies share is dropped in _trees()."""
+    return materialize(entries.groupBy("key").count().where(F.col("count") > 1), "shared")
+
+
+def _trees(entries: DataFrame, counts: DataFrame) -> DataFrame:
+    """(key, rep, met): the sets of each tree. met: how many the tree has. Shingles of one set alone are no tree; of those with the same sets one stays."""
+    # the side of the counts is far smaller than the entries: it is hashed, and nothing is sorted
+    held = materialize(entries.join(counts.select("key").hint("shuffle_hash"), "key").distinct(), "entries")
     marks = [F.bit_xor(F.xxhash64("rep", F.lit(k))) for k in (1, 2)]
-    shared = entries.groupBy("key").agg(F.count("*").alias("met"), marks[0].alias("m1"), marks[1].alias("m2")).where("met > 1")
-    single = shared.groupBy("met", "m1", "m2").agg(F.min("key").alias("key")).select("key", "met")
-    return entries.join(single, "key")
+    trees = held.groupBy("key").agg(F.count("*").alias("met"), marks[0].alias("m1"), marks[1].alias("m2")).where("met > 1")
+    single = trees.groupBy("met", "m1", "m2").agg(F.min("key").alias("key")).select("key", "met")
+    return materialize(held.join(single, "key"), "members")
 
 
-def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of docs (doc_id, c1, c2, n_shingles), and one row for each set: rep (its number), c1, c2, least (smallest doc_id), t (hash of that row's text), n_shingles, bits, front."""
-    rows = materialize(signed(docs), "sets")
-    per = rows.where("n_shingles > 0 and doc_id is not null").groupBy("c1", "c2").agg(F.min_by(F.struct("doc_id", "t", "n_shingles", "bits", "front"), F.struct("doc_id", "t")).alias("r"))
-    per = materialize(per.select(F.monotonically_increasing_id().alias("rep"), "c1", "c2", "r.*").withColumnRenamed("doc_id", "least"), "classes")
-    return rows.select("doc_id", "c1", "c2", "n_shingles"), per
+def _classes(rows: DataFrame) -> DataFrame:
+    """One row for each set of rows (signed()): rep, least (smallest doc_id), t (hash of that row's text), n_shingles."""
+    per = rows.where("n_shingles > 0 and doc_id is not null").groupBy("rep").agg(F.min(F.struct("doc_id", "t", "n_shingles")).alias("r"))
+    return materialize(per.select("rep", F.col("r.doc_id").alias("least"), F.col("r.t").alias("t"), F.col("r.n_shingles").alias("n_shingles")), "classes")
 
 
-def _texts(docs: DataFrame, classes: DataFrame, reps: DataFrame) -> DataFrame:
-    """(id, text) of the classes in reps (rep): a text with the class's set."""
+def _held(docs: DataFrame, classes: DataFrame, reps: DataFrame) -> DataFrame:
+    """(id, text) of the classes in reps (rep): texts with the class's set, repeated rows each."""
     ids = classes.join(reps.distinct(), "rep", "left_semi").select(F.col("rep").alias("id"), F.col("least").alias("_d"), F.col("t").alias("_t"))
-    held = docs.join(small(ids, MAX_BROADCAST_IDS), (F.col("doc_id") == F.col("_d")) & (F.xxhash64("text") == F.col("_t")))
-    return held.select("id", "text").dropDuplicates(["id"])
+    return docs.join(small(ids, MAX_BROADCAST_IDS), (F.col("doc_id") == F.col("_d")) & (F.xxhash64("text") == F.col("_t"))).select("id", "text")
+
+
+def _texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, text) of the classes in pairs (a, b), a row each."""
+    reps = pairs.select(F.explode(F.array("a", "b")).alias("rep"))
+    return materialize(_held(docs, classes, reps).dropDuplicates(["id"]), "texts")
+
+
+def _sized(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """members with n_shingles, less those of which no other set of their tree has a size near enough. Trees of more than MAX_SORTED sets stay as they are."""
+    rows = members.join(classes.select("rep", "n_shingles"), "rep")
+    w = Window.partitionBy("key").orderBy("n_shingles", "rep")
+    before, after = F.lag("n_shingles").over(w), F.lead("n_shingles").over(w)
+    near = (100 * before >= THRESHOLD * F.col("n_shingles")) | (100 * F.col("n_shingles") >= THRESHOLD * after)
+    kept = rows.where(F.col("met") <= MAX_SORTED).withColumn("_near", near).where("_near").drop("_near")
+    return kept.unionByName(rows.where(F.col("met") > MAX_SORTED))
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,22 +335,14 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))], names=["key"])
 
 
-def _often(keys: DataFrame) -> DataFrame:
-    return keys.groupBy("key").count().where(F.col("count") > COMMON_SETS)
-
-
-def _reordered(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(rep, front) of the classes, with common shingles behind the others.
+def _reordered(docs: DataFrame, fronts: DataFrame, classes: DataFrame, seen: DataFrame) -> DataFrame:
+    """(rep, front) of fronts with common shingles behind the others. seen: (key, count) of the common ones in front.
 
     Sets with a common shingle in front are read again whole: all shingles that are common among them are moved back, the most common ones last.
     """
-    fronts = classes.select("rep", "front")
-    seen = materialize(_often(fronts.select(F.explode("front").alias("key"))), "often")
-    if seen.isEmpty():
-        return fronts
-    hit = fronts.select("rep", F.explode("front").alias("key")).join(small(seen.select("key"), MAX_COMMON), "key", "left_semi").select("rep")
-    texts = materialize(_texts(docs, classes, hit), "common-texts")
-    often = _often(texts.select("text").mapInArrow(_shingles, "key long"))
+    hit = _entries(fronts).join(small(seen.select("key"), MAX_COMMON), "key", "left_semi").select("rep")
+    texts = materialize(_held(docs, classes, hit).dropDuplicates(["id"]), "common-texts")
+    often = texts.select("text").mapInArrow(_shingles, "key long").groupBy("key").count().where(F.col("count") > COMMON_SETS)
     top = often.orderBy(F.desc("count"), "key").limit(MAX_COMMON).collect()  # a bounded list
     common = np.array([r["key"] for r in reversed(top)], np.int64).view(np.uint64)
     moved = materialize(signed(texts.withColumnRenamed("id", "doc_id"), common).select(F.col("doc_id").alias("rep"), "front"), "moved")
@@ -316,6 +350,22 @@ def _reordered(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return fronts.join(moved.select("rep"), "rep", "left_anti").unionByName(moved)
 
 
+def _split(placed: DataFrame) -> DataFrame:
+    """(key, main, n_main, n) of the trees of placed (key, root, ...) with several components: the largest one, its sets, and all sets."""
+    counts = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    trees = counts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("roots")).where("roots > 1")
+    return trees.select("key", F.col("m.root").alias("main"), F.col("m.n").alias("n_main"), "n")
+
+
+def _without_loners(docs: DataFrame, classes: DataFrame, placed: DataFrame, families: DataFrame) -> DataFrame:
+    """placed less the sets of families (key) that cannot be linked with any other of them, as over a fifth of their shingles are their own: no other set of any family has these."""
+    mine = placed.join(families, "key", "left_semi")
+    texts = materialize(_held(docs, classes, mine.select("rep")).dropDuplicates(["id"]), "family-texts")
+    own = own_shingles(texts).where("u > 0")
+    kept = mine.join(own, "rep", "left").where(f"100 * (n_shingles - coalesce(u, 0)) >= {THRESHOLD} * n_shingles").drop("u")
+    return materialize(kept.unionByName(placed.join(families, "key", "left_anti")), "placed")
+
+
 def links_of(found: DataFrame) -> DataFrame:
     return found.where(100 * F.col("common") >= THRESHOLD * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
 
@@ -334,29 +384,44 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
 
 def _jaccard_classes(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows, classes = _classes(docs)
-    members = materialize(_trees(_reordered(docs, classes)), "members")
-    texts = materialize(_texts(docs, classes, members.select("rep")), "texts")
-
-    # each set and the one that meets most others in its largest tree
-    met = members.groupBy("rep").agg(F.sum("met").alias("all"), F.max_by("key", F.struct("met", "key")).alias("key"))
-    hubs = members.join(met.select("rep", "all"), "rep").groupBy("key").agg(F.max_by("rep", F.struct("all", -F.col("rep"))).alias("hub"))
-    stars = met.join(hubs, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-    links = materialize(links_of(overlaps(materialize(stars, "stars"), texts)), "star-links")
+    rows = materialize(signed(docs), "sets")
+    classes = _classes(rows)
+    fronts = rows.where("n_shingles > 0 and doc_id is not null").select("rep", "front")
+    counts = _counts(_entries(fronts))
+    common = counts.where(F.col("count") > COMMON_SETS)
+    if not common.isEmpty():
+        fronts = _reordered(docs, fronts, classes, common)
+        counts = _counts(_entries(fronts))
+    members = materialize(_sized(_trees(_entries(fronts), counts), classes), "sized")
+    bits = materialize(rows.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "bits").dropDuplicates(["rep"]), "bitmaps")
+
+    # each set of a larger tree, and the one that meets most others in its largest tree
+    met = members.groupBy("rep", "n_shingles").agg(F.sum("met").alias("all"), F.max_by("key", F.struct("met", "key")).alias("key"), F.max("met").alias("most")).where(F.col("most") > FAN)
+    hubs = members.join(met.select("rep", "all"), "rep").groupBy("key").agg(F.max_by(F.struct(F.col("rep").alias("hub"), F.col("n_shingles").alias("n_hub")), F.struct("all", -F.col("rep"))).alias("h")).select("key", "h.*")
+    stars = met.join(hubs, "key").where(f"rep <> hub and 100 * least(n_shingles, n_hub) >= {THRESHOLD} * greatest(n_shingles, n_hub)")
+    stars = stars.join(bits, "rep").join(bits.select(F.col("rep").alias("hub"), F.col("bits").alias("bits_hub")), "hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"), F.col("n_hub").alias("n_a"), F.col("n_shingles").alias("n_b"), F.col("bits_hub").alias("bits_a"), F.col("bits").alias("bits_b"))
+    stars = materialize(stars.mapInArrow(_like, "a long, b long"), "stars")
+    links = materialize(links_of(overlaps(stars, _texts(docs, classes, stars))), "star-links")
 
     roots = connected_components(links).select(F.col("node").alias("rep"), "root")
     placed = members.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    placed = placed.join(split, "key").select("key", "rep", "root").join(classes.select("rep", "n_shingles", "bits"), "rep")
+    # trees with several components; the largest of each comes first, then the others by size
+    split = _split(placed)
+    families = materialize(split.where(f"n >= {FAMILY} and 2 * n_main >= n").select("key"), "families")
+    if not families.isEmpty():
+        placed = _without_loners(docs, classes, placed, families)
+        split = _split(placed)
+    placed = placed.join(split.select("key", "main"), "key").select("key", "rep", "root", "n_shingles", (F.col("root") != F.col("main")).alias("other"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["key", "root", "n_shingles", "rep"]
+    order = ["key", "other", "n_shingles", "rep"]
     placed = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("branch", F.monotonically_increasing_id())
-    placed = materialize(placed.withColumn("branch", F.floor(F.col("branch") / BRANCH)).select(*_PLACED), "branches")
-    inside = placed.groupBy("branch").applyInArrow(_candidates, "a long, b long")
+    # sets get their bitmaps when their branch is known, so that these are moved once
+    placed = materialize(placed.withColumn("branch", F.floor(F.col("branch") / BRANCH)), "branches")
+    inside = placed.join(bits, "rep").select(*_PLACED).groupBy("branch").applyInArrow(_candidates, "a long, b long")
 
     # trees of several branches
     spans = placed.groupBy("key").agg(F.min("branch").alias("low"), F.max("branch").alias("high")).where("low < high").select("key")
-    large = materialize(placed.join(spans, "key"), "large-trees")
+    large = materialize(placed.join(spans, "key").join(bits, "rep").select(*_PLACED), "large-trees")
     nodes = large.groupBy("branch").applyInArrow(_branch_nodes, "key long, branch long, least long, most long, excess long, root long, bits binary")
     nodes = materialize(nodes, "branch-nodes")
     x, y = (nodes.select("key", F.struct(*nodes.columns[1:]).alias(side)) for side in "xy")
@@ -366,12 +431,12 @@ def _jaccard_classes(docs: DataFrame) -> DataFrame:
     across = large.join(sides, ["key", "branch"]).select("task", *_PLACED).groupBy("task").applyInArrow(lambda t: _candidates(t.drop_columns("task")), "a long, b long")
 
     found = materialize(inside.unionAll(across).distinct(), "candidates")
-    links = materialize(links.unionAll(links_of(overlaps(found, texts))), "links")
+    links = materialize(links.unionAll(links_of(overlaps(found, _texts(docs, classes, found)))), "links")
     discard(large)
 
     roots = connected_components(links).select(F.col("node").alias("rep"), "root")
-    named = classes.select("rep", "c1", "c2", "least").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    named = classes.select("rep", "least").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
-    named = materialize(named.join(least, "root").select("c1", "c2", "component"), "components")
+    named = materialize(named.join(least, "root").select("rep", "component"), "components")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return rows.join(named, ["c1", "c2"], "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    return rows.select("doc_id", "rep", "n_shingles").join(named, "rep", "left").select("doc_id", "n_shingles", component.alias("component_id"))
