@@ -6,7 +6,7 @@ The others rest on a trained model (op1, op4, op5), a tokenizer (op6) or hashes
 
 from __future__ import annotations
 
-from . import licenses, mixing
+from . import jaccard_tree, licenses, mixing
 from .common import LOWER, UPPER
 from .registry import URL_RULES
 
@@ -87,3 +87,44 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_w
 """
 
 SQL: dict[str, str] = {"op2_url_filters": URLS, "op3_minhash_near_dedup": NEAR, "op8_mixing": MIX, "op9_license_scans": LICENSES}
+
+_CRC = (
+    "xor(list_reduce(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substring(CAST(doc_id AS VARCHAR), CAST(i AS BIGINT), 1)) AS UBIGINT)), "
+    "lambda c, b: list_reduce(list_transform(range(8), lambda k: CAST(k AS UBIGINT)), lambda x, k: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END), xor(c, b)), 4294967295::UBIGINT), 4294967295::UBIGINT)"
+)
+_FIELD = "CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c=c) for c in ("doc_id", "source", "lang", "n_chars", "{t}")) + ")"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _levels(name: str, rows: str, group: str) -> str:
+    """Nodes of all levels of the trees of rows (group, place, n, digest), runs of eight."""
+    return f"{name}(g, level, place, n, digest) AS (SELECT {group}, 0, place, n, digest FROM {rows} UNION ALL SELECT g, level + 1, place // 8, max((n + 7) // 8), sha256(string_agg(digest, '' ORDER BY place)) FROM {name} WHERE n > 1 GROUP BY g, level, place // 8)"
+
+
+def _beside(nodes: str, rows: str) -> str:
+    """The siblings of each of rows (id, g, place), level by level, as one text."""
+    return f"SELECT r.id, string_agg(u.digest, '' ORDER BY u.level, u.place) AS told FROM {rows} r JOIN {nodes} u ON u.g = r.g AND u.n > 1 AND u.place // 8 = r.place >> (3 * (u.level + 1)) AND u.place <> r.place >> (3 * u.level) GROUP BY r.id"
+
+
+def _fold(name: str, nodes: str, rows: str) -> str:
+    """What a digest d of each of rows (id, g, place, d) gives, level by level."""
+    return (
+        f"{name}(id, g, place, level, d) AS (SELECT id, g, place, 0, d FROM {rows} UNION ALL SELECT f.id, f.g, f.place, f.level + 1, sha256(string_agg(CASE WHEN u.place = f.place >> (3 * f.level) THEN f.d ELSE u.digest END, '' ORDER BY u.place)) "
+        f"FROM {name} f JOIN {nodes} u ON u.g = f.g AND u.level = f.level AND u.n > 1 AND u.place // 8 = f.place >> (3 * (f.level + 1)) GROUP BY f.id, f.g, f.place, f.level)"
+    )
+
+
+SQL["op12_merkle_manifest"] = (
+    f"WITH RECURSIVE d AS (SELECT row_number() OVER () AS id, doc_id, coalesce('=' || lang, '') AS g, {_LEAF.format(t='text')} AS digest, CASE WHEN {_CRC} % 3 = 0 THEN {_LEAF.format(t=_LOWER)} ELSE {_LEAF.format(t='text')} END AS d FROM documents), "
+    "l AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, digest) - 1 AS place, count(*) OVER (PARTITION BY g) AS n FROM d), "
+    f"{_levels('up', 'l', 'g')}, tops AS (SELECT g AS lang, '' AS g, row_number() OVER (ORDER BY g) - 1 AS place, count(*) OVER () AS n, digest FROM up WHERE n = 1), {_levels('over', 'tops', 'g')}, "
+    f"root AS (SELECT digest FROM over WHERE n = 1), {_fold('fold', 'up', 'l')}, folded AS (SELECT id, arg_max(d, level) AS d FROM fold GROUP BY id), "
+    "l2 AS (SELECT l.id, '' AS g, t.place, f.d FROM l JOIN tops t ON t.lang = l.g JOIN folded f ON f.id = l.id), "
+    f"{_fold('fold2', 'over', 'l2')}, folded2 AS (SELECT id, arg_max(d, level) AS d FROM fold2 GROUP BY id), b1 AS ({_beside('up', 'l')}), b2 AS ({_beside('over', 'l2')}) "
+    "SELECT l.doc_id, l.digest AS leaf, t.digest AS subroot, root.digest AS root, sha256(coalesce(b1.told, '') || coalesce(b2.told, '')) AS proof_sha256, f.d AS folded_root, f.d = root.digest AS verified "
+    "FROM l JOIN tops t ON t.lang = l.g JOIN folded2 f ON f.id = l.id LEFT JOIN b1 ON b1.id = l.id LEFT JOIN b2 ON b2.id = l.id CROSS JOIN root"
+)
+
+# the join is the same as that of the near duplicates, at another threshold and without the choice
+SQL["op13_ngram_jaccard"] = "SELECT doc_id, n_shingles, component_id FROM (" + NEAR.replace(">= 75 *", f">= {jaccard_tree.THRESHOLD} *") + ")"

@@ -970,7 +970,7 @@ def test_registered(spark):
     assert {f"op{k}_" for k in range(1, 14)} == {n.split("_")[0] + "_" for n in got if n.startswith("op")} and "pipeline" in got
 
 
-@pytest.mark.parametrize("name", ["op2_url_filters", "op3_minhash_near_dedup", "op8_mixing", "op9_license_scans"])
+@pytest.mark.parametrize("name", ["op2_url_filters", "op3_minhash_near_dedup", "op8_mixing", "op9_license_scans", "op12_merkle_manifest", "op13_ngram_jaccard"])
 def test_sql(spark, name):
     from compare import connect, same
 

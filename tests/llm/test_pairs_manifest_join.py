@@ -276,6 +276,7 @@ def test_jaccard_classes_with_small_branches_and_common_shingles(spark, monkeypa
     """Trees of several branches, and shingles that stand behind the others."""
     monkeypatch.setattr(jaccard_tree, "BRANCH", 7)
     monkeypatch.setattr(jaccard_tree, "COMMON_SETS", 5)
+    monkeypatch.setattr(jaccard_tree, "FAMILY", 6)
     shared = prose(50, 30)
     data = [(k, f"{prose(600 + k, 40 + k % 9)} {shared}") for k in range(40)] + [(100 + k, t) for k, t in enumerate(ladder(40, 50, 4))] + [(300 + k, edited(prose(9, 120), k, 0.05)) for k in range(40)] + [(500, shared), (501, shared + " more")]
     df = documents(spark, [(d, t, None, None) for d, t in data])
