@@ -1,7 +1,8 @@
 """Jaccard join of word n-gram sets by signature trees (operator 13).
 
 The distinct sets of shingles are the points: texts with one set are folded to one row, named by a
-hash of the set. A set of n shingles has a bitmap of about 4 n bits (a power of two), one for each shingle's hash.
+hash of the set. A set of n shingles has a bitmap of 2 n to 4 n bits (a power of two), a small set of 8 n
+to 16 n, one for each shingle's hash.
 
 Two sets with 100 * intersection >= 80 * union share a shingle among the first n - ceil(0.8 n) + 1 of
 each, whatever order all shingles stand in. So every such shingle is the root of a tree of the sets
@@ -45,6 +46,8 @@ THRESHOLD = 80
 MAX_SORTED = 4096
 #: Sets below a node; sets in a branch; bits of a bitmap at most.
 FAN, BRANCH, MAX_BITS = 4, 8192, 1 << 15
+#: Sets up to this size have four times as many bits for each shingle: they cost little, and copies that just miss the threshold are told apart.
+SMALL = 256
 #: A tree of so many sets, at least half of which are one component, is a family: its sets are asked how many shingles are their own.
 FAMILY = 256
 #: A shingle that more sets have in front is common; how many of them (the most common ones) are moved back at most, as the list is broadcast (8 bytes each). Those that stay in front make large trees.
@@ -59,9 +62,9 @@ def front(n: int) -> int:
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """Bits of a set, as 64-bit words: the hash's low bits, as many as the set's size asks for."""
-    bits = 64
-    while bits < min(2 * len(shingles), MAX_BITS):
+    """Bits of a set, as 64-bit words: the hash's low bits, as many as the set's size asks for. Sizes that can be linked have widths that are equal or differ by a step of two."""
+    bits, asked = 64, len(shingles) * (8 if len(shingles) <= SMALL else 2)
+    while bits < min(asked, MAX_BITS):
         bits *= 2
     out = np.zeros(bits, bool)
     out[shingles & np.uint64(bits - 1)] = True
