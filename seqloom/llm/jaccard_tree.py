@@ -24,7 +24,8 @@ largest tree, so that large groups of near copies mostly are one component befor
 the others in such a family, those over a fifth of whose shingles no other of its sets has are left out.
 
 A tree of any size is cut into branches of at most BRANCH sets by a range sort, each a task's bounded
-piece; pairs of branches of one tree are dropped by the same rules before their sets meet.
+piece; pairs of branches of one tree are dropped by the same rules before their sets meet, and a pair of
+sets that several trees of many branches have leaves the first of them only.
 """
 
 from __future__ import annotations
@@ -237,6 +238,14 @@ def _candidates(rows: pa.Table) -> pa.Table:
     return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
+def _across(rows: pa.Table) -> pa.Table:
+    """Candidates between two branches of a tree, rows (_PLACED and before: the large trees of the set that precede this one). A pair that a tree before has as well is found there."""
+    pairs = _candidates(rows.select(_PLACED))
+    before = {rep: frozenset(trees) for rep, trees in zip(rows["rep"].to_pylist(), rows["before"].to_pylist(), strict=True)}
+    first = [before[a].isdisjoint(before[b]) for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True)]
+    return pairs.filter(pa.array(first, pa.bool_()))
+
+
 def _branch_nodes(rows: pa.Table) -> pa.Table:
     """The node above each branch in rows: key, branch, least, most, excess, root (-1: several), bits (cut to the narrowest)."""
     out = []
@@ -431,7 +440,9 @@ def _jaccard_classes(docs: DataFrame) -> DataFrame:
     fits = x.join(y, "key").where("x.branch < y.branch and not (x.root = y.root and x.root <> -1)").where(f"100 * x.most >= {THRESHOLD} * y.least and 100 * y.most >= {THRESHOLD} * x.least")
     fits = materialize(fits.mapInArrow(_fitting, "key long, one long, two long").withColumn("task", F.monotonically_increasing_id()), "branch-pairs")
     sides = fits.select("task", "key", F.explode(F.array("one", "two")).alias("branch"))
-    across = large.join(sides, ["key", "branch"]).select("task", *_PLACED).groupBy("task").applyInArrow(lambda t: _candidates(t.drop_columns("task")), "a long, b long")
+    trees = large.groupBy("rep").agg(F.collect_list("key").alias("trees"))
+    met = large.join(sides, ["key", "branch"]).join(trees, "rep").withColumn("before", F.filter("trees", lambda tree: tree < F.col("key")))
+    across = met.select("task", *_PLACED, "before").groupBy("task").applyInArrow(_across, "a long, b long")
 
     found = materialize(inside.unionAll(across).distinct(), "candidates")
     links = materialize(links.unionAll(links_of(overlaps(found, _texts(docs, classes, found)))), "links")
