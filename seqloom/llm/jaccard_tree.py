@@ -240,6 +240,8 @@ def _candidates(rows: pa.Table) -> pa.Table:
 
 def _across(rows: pa.Table) -> pa.Table:
     """Candidates between two branches of a tree, rows (_PLACED and before: the large trees of the set that precede this one). A pair that a tree before has as well is found there."""
+    if len(rows["branch"].unique()) < 2:
+        rows = rows.slice(0, 0)
     pairs = _candidates(rows.select(_PLACED))
     before = {rep: frozenset(trees) for rep, trees in zip(rows["rep"].to_pylist(), rows["before"].to_pylist(), strict=True)}
     first = [before[a].isdisjoint(before[b]) for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True)]
@@ -378,6 +380,15 @@ def _without_loners(docs: DataFrame, classes: DataFrame, placed: DataFrame, fami
     return materialize(kept.unionByName(placed.join(families, "key", "left_anti")), "placed")
 
 
+def _numbered(dealt: DataFrame) -> DataFrame:
+    """dealt with at as the place in the whole order, from 0; given: the place in a partition, whose number is in the high bits."""
+    part = F.shiftright("at", 33).alias("part")
+    # one row for each partition
+    before = F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    runs = dealt.groupBy(part).agg(F.count("*").alias("rows"), F.min("at").alias("first")).select("part", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    return dealt.withColumn("part", part).join(F.broadcast(runs), "part").withColumn("at", F.col("at") - F.col("first") + F.col("before")).drop("part", "first", "before")
+
+
 def links_of(found: DataFrame) -> DataFrame:
     return found.where(100 * F.col("common") >= THRESHOLD * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
 
@@ -426,9 +437,9 @@ def _jaccard_classes(docs: DataFrame) -> DataFrame:
     placed = placed.join(split.select("key", "main"), "key").select("key", "rep", "root", "n_shingles", (F.col("root") != F.col("main")).alias("other"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["key", "other", "n_shingles", "rep"]
-    placed = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("branch", F.monotonically_increasing_id())
+    placed = materialize(placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "placed")
     # sets get their bitmaps when their branch is known, so that these are moved once
-    placed = materialize(placed.withColumn("branch", F.floor(F.col("branch") / BRANCH)), "branches")
+    placed = materialize(_numbered(placed).withColumn("branch", F.floor(F.col("at") / BRANCH)).drop("at"), "branches")
     inside = placed.join(bits, "rep").select(*_PLACED).groupBy("branch").applyInArrow(_candidates, "a long, b long")
 
     # trees of several branches
@@ -439,9 +450,12 @@ def _jaccard_classes(docs: DataFrame) -> DataFrame:
     x, y = (nodes.select("key", F.struct(*nodes.columns[1:]).alias(side)) for side in "xy")
     fits = x.join(y, "key").where("x.branch < y.branch and not (x.root = y.root and x.root <> -1)").where(f"100 * x.most >= {THRESHOLD} * y.least and 100 * y.most >= {THRESHOLD} * x.least")
     fits = materialize(fits.mapInArrow(_fitting, "key long, one long, two long").withColumn("task", F.monotonically_increasing_id()), "branch-pairs")
-    sides = fits.select("task", "key", F.explode(F.array("one", "two")).alias("branch"))
+    sides = fits.select("task", "key", F.explode(F.expr("array(struct(one as branch, two as beside), struct(two as branch, one as beside))")).alias("s")).select("task", "key", "s.*")
+    sides = sides.join(nodes.select("key", F.col("branch").alias("beside"), "least", "most", F.col("root").alias("root_beside")), ["key", "beside"])
+    # a set goes to the tasks in which the branch beside its own has another component and a size near enough
+    meets = f"root <> root_beside and 100 * most >= {THRESHOLD} * n_shingles and 100 * n_shingles >= {THRESHOLD} * least"
     trees = large.groupBy("rep").agg(F.collect_list("key").alias("trees"))
-    met = large.join(sides, ["key", "branch"]).join(trees, "rep").withColumn("before", F.filter("trees", lambda tree: tree < F.col("key")))
+    met = large.join(sides, ["key", "branch"]).where(meets).join(trees, "rep").withColumn("before", F.filter("trees", lambda tree: tree < F.col("key")))
     across = met.select("task", *_PLACED, "before").groupBy("task").applyInArrow(_across, "a long, b long")
 
     found = materialize(inside.unionAll(across).distinct(), "candidates")
