@@ -119,9 +119,9 @@ def clinical(rows: DataFrame) -> DataFrame:
 
 def dbsnp(spark: SparkSession, path: str) -> DataFrame:
     """(id, chrom, pos, end, type, alleles, frequencies) of genomic single bases, deletions and insertions; the first row of each id; alleles on the forward strand."""
-    from .reads import with_ordinal
+    from .reads import lines_of, with_ordinal
 
-    f = with_ordinal(spark.read.text(path).select(F.split("value", "\t", -1).alias("f")).where("size(f) = 26"), "n")
+    f = with_ordinal(lines_of(spark, path).withColumn("f", F.split("value", "\t", -1)).where("size(f) = 26"), "n", files=True)
     x = lambda k: F.col("f")[k]
     alleles = F.split(x(9), "/")
     rows = f.where((x(10) == "genomic") & x(11).isin("single", "deletion", "insertion")).select(
