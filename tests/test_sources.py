@@ -127,3 +127,32 @@ def test_sinks(spark, tmp_path):
     assert sinks.index_summary(ref, spark.createDataFrame([("AC", 0)], "kmer string, chrom_id long")).first().bases == 36
     assert sinks.results_table(spark, str(tmp_path / "res"), [("a", 1.5)], "tool string, seconds double").count() == 1
     assert sinks.metrics_rows(spark.range(10).select(F.col("id").alias("rdid")), "rdid", 4).orderBy("step").collect()[-1].total == 10
+
+
+def test_numbers_of_a_shuffle(spark):
+    """Rows behind a shuffle whose partitions AQE merges by the size of the columns that are read."""
+    wanted = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64kb", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1kb"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        rows = spark.range(4000).select("id", F.sha2(F.col("id").cast("string"), 512).alias("wide")).repartition(4)
+        got = reads.with_ordinal(rows.repartitionByRange("id").sortWithinPartitions("id"), "n").collect()
+        assert sorted((r.id, r.n) for r in got) == [(k, k) for k in range(4000)]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_order_of_files(spark, tmp_path):
+    """Files count in the order of their names, though Spark reads the larger ones first."""
+    row = lambda chrom, end: "\t".join(["0", chrom, "10", str(end), "rs1", "0", "+", "A", "0", "A/C", "genomic", "single", *["0"] * 12, "0.5,", "0"])
+    (tmp_path / "snps").mkdir()
+    put(tmp_path / "snps", "a.txt", row("c1", 11) + "\n")
+    put(tmp_path / "snps", "b.txt", (row("c2", 11) + "\n") * 50)
+    assert told(annotations.dbsnp(spark, str(tmp_path / "snps")), "chrom") == [("c1",)]
+    (tmp_path / "fasta").mkdir()
+    put(tmp_path / "fasta", "a.fa", ">x\nACGTAC\n")
+    put(tmp_path / "fasta", "b.fa", ">y\n" + "G" * 40 + "\n")
+    w = reads.sampled_windows(reads.fasta_records(spark, str(tmp_path / "fasta")), 4, 2)
+    assert told(w, "rdid", "name")[:3] == [(0, "x_1"), (1, "x_3"), (2, "y_1")]
