@@ -6,9 +6,10 @@ from dataclasses import replace
 import numpy as np
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from seqloom.functions.config import LengthFunction, Options, Scoring
-from seqloom.operators import chaining, index, kernels
+from seqloom.operators import chaining, index, kernels, ranking
 from seqloom.plans import align
 
 READ = "rdid long, mate int, name string, seq string, qual string, filter string"
@@ -365,3 +366,17 @@ def test_similar_repeats_become_one(spark):
     # worn is unit[20:260]: copies begin 20 bases before it, or 40 bases before its turned copy; the third is the end of worn, turned
     assert [(p.pos, p.fw) for p in got[1].positions] == [(1000, True), (2000, False), (4980, True), (5960, False), (7960, False)]
     assert {r.member for r in repeats.similar_repeats(found.where("rep_id in (1, 4)")).collect()} == set()
+
+
+def test_chains_without_a_stretch_by_chance():
+    """A hit of eight bases between two exons covers more bases than the joint costs, and hides the chain of the exons alone."""
+    hits = [np.array(x, np.int64) for x in ([0, 45, 51], [24, 79, 157], [45, 8, 9])]
+    assert chaining.best_chains(*hits, Scoring(), 10) == [[0, 1, 2], [0, 2]]
+    assert chaining.best_chains(*hits, Scoring(), 1) == [[0, 1, 2]]
+
+
+def test_introns_that_gain_nothing(spark):
+    rows = [(1, 0, True, 5, 10, 99, -6, 1), (1, 0, True, 5, 10, 300, -6, 2), (1, 0, True, 5, 10, 200, 0, 2), (1, 0, True, 5, 40, 300, -6, 0), (2, 0, True, 5, 10, 300, -6, 2)]
+    alns = spark.createDataFrame(rows, "rdid long, mate int, fw boolean, chrom_id long, pos long, end long, score int, introns int")
+    got = ranking.needed_introns(alns, ["rdid", "mate"], F.col("introns"))
+    assert sorted((r.rdid, r.end, r.introns) for r in got.collect()) == [(1, 99, 1), (1, 200, 2), (1, 300, 0), (2, 300, 2)]
