@@ -434,3 +434,11 @@ def test_align_rescues_mates_and_keeps_transcripts(spark):
     exons = spark.createDataFrame([(0, 90, 170)], "chrom_id long, left long, right long")
     kept = align.align(rd, ref, ix, replace(o, rescue_kmer=12, transcriptome_only=True), exons=exons, known=exons.where("false"))
     assert told(kept, "mate", "pos") == [(1, 100)]
+
+
+def test_colours_look_at_variants_within_reach_only(monkeypatch):
+    seen, end = [], annotation._end
+    monkeypatch.setattr(annotation, "_end", lambda v: seen.append(1) or end(v))
+    vs = [{"pos": 20 * (k // 2), "type": "S", "data": "AC"[k % 2], "freq": 0.05} for k in range(3000)]
+    assert annotation.colour(vs) == [k % 2 for k in range(3000)]
+    assert len(seen) < 20 * len(vs)
