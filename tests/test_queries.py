@@ -64,3 +64,14 @@ def test_entry(spark):
 
     assert set(registry.queries()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_names_are_aligned_once(spark, monkeypatch):
+    """dp_edit_distance aligns different texts, of which many parts have one."""
+    from seqloom.operators import kernels
+
+    asked, real = [], kernels.align_candidates
+    monkeypatch.setattr(kernels, "align_candidates", lambda c, *a, **k: asked.append(c.count()) or real(c, *a, **k))
+    names = spark.read.parquet("/root/testdata/sf0.01/part.parquet").select("p_name").distinct().count()
+    pairs = QUERIES["dp_edit_distance"](spark, "/root/testdata/sf0.01").count()
+    assert 0 < asked[0] <= names**2 < pairs
