@@ -442,3 +442,10 @@ def test_colours_look_at_variants_within_reach_only(monkeypatch):
     vs = [{"pos": 20 * (k // 2), "type": "S", "data": "AC"[k % 2], "freq": 0.05} for k in range(3000)]
     assert annotation.colour(vs) == [k % 2 for k in range(3000)]
     assert len(seen) < 20 * len(vs)
+
+
+def test_compatible_pairs_are_one_join(spark):
+    rows = spark.createDataFrame([(1, 7, 10, "single", 1), (2, 7, 10, "deletion", 5), (3, 7, 15, "single", 1), (4, 7, 16, "splice", 2), (5, 7, 40, "single", 1)], "id long, chrom long, pos long, type string, len long")
+    pairs = filters.compatible_pairs(rows, 20)
+    assert sorted((r.id_a, r.id_b) for r in pairs.collect()) == [(1, 3), (1, 4), (2, 4), (3, 4)]
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
