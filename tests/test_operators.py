@@ -449,3 +449,25 @@ def test_compatible_pairs_are_one_join(spark):
     pairs = filters.compatible_pairs(rows, 20)
     assert sorted((r.id_a, r.id_b) for r in pairs.collect()) == [(1, 3), (1, 4), (2, 4), (3, 4)]
     assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_anchored_hits_are_those_of_all_kmers(spark):
+    from seqloom.functions.seq import text_to_bases, window_rows
+    from seqloom.operators.index import kmer_index
+    from seqloom.plans.align import anchored_hits, seed_hits
+
+    rng = random.Random(5)
+    ref = "".join(rng.choice("ACGT") for _ in range(9000))
+    ref = ref[:4000] + "N" + ref[4001:8000] + ref[:300]
+    reads = [ref[100:124], ref[:23], ref[7:31] + ref[50:90], ref[3950:4050], ref[8250:], "", ref[8000:8100] + "N" + ref[20:60], ref[:24], ref, ref[8170:8215], "A" * 40, None]
+    stranded = spark.createDataFrame([(i, 0, True, s) for i, s in enumerate(reads)], "rdid long, mate int, fw boolean, s string")
+    table = spark.createDataFrame([(0, ref), (1, "A" * 30), (2, "ACG"), (3, None)], "chrom_id long, seq string")
+    for k in (24, 15):
+        want = sorted(map(tuple, seed_hits(stranded, kmer_index(table, k), k).select("rdid", "mate", "fw", "rdoff", "chrom_id", "pos").collect()))
+        assert sorted(map(tuple, anchored_hits(stranded, table, k).select("rdid", "mate", "fw", "rdoff", "chrom_id", "pos").collect())) == want
+    # windows at a step are those places only, in blocks as well
+    got = sorted(r.pos for r in window_rows(table.where("chrom_id = 0"), ["chrom_id"], "seq", 20, 13).collect())
+    assert got == list(range(0, len(ref) - 19, 13))
+    text = spark.createDataFrame([("Ab\x00 z\tZ-9\u0130\u212a\u00e9~k",), (None,), ("",)], "text string")
+    old = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", ("ACGT" * 7)[:26])
+    assert text.where(~text_to_bases("text").eqNullSafe(old)).count() == 0
