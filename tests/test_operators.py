@@ -471,3 +471,30 @@ def test_anchored_hits_are_those_of_all_kmers(spark):
     text = spark.createDataFrame([("Ab\x00 z\tZ-9\u0130\u212a\u00e9~k",), (None,), ("",)], "text string")
     old = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", ("ACGT" * 7)[:26])
     assert text.where(~text_to_bases("text").eqNullSafe(old)).count() == 0
+
+
+def test_targeted_reads_are_placed_as_on_all_sequences(spark):
+    one, two = bases(31, 700), bases(32, 300)
+    ref = spark.createDataFrame([(1, "c1", one + two), (2, "c2", two + one[:200] + "N" + one[201:260]), (3, "c3", "")], "chrom_id long, chrom string, seq string")
+    planted = [(k, 0, str(k), s, "I" * len(s), None, t) for k, (s, t) in enumerate([(one[10:70], 1), (one[10:70], 2), (two[5:60] + "ACGTA", 2), (one[400:460], 2), (two[:70], 3), (one[150:205] + "NN" + one[207:240], 2)])]
+    reads = spark.createDataFrame(planted, "rdid long, mate int, name string, seq string, qual string, filter string, target long")
+    o = Options(kmer=16, spliced=False)
+    places = lambda df: told(df, "rdid", "chrom_id", "pos", "fw", "score", "cigar", "md")
+    everywhere = align.align(reads.drop("target"), ref, index.kmer_index(ref, 16), o).join(reads.select("rdid", F.col("target").alias("chrom_id")), ["rdid", "chrom_id"])
+    want = places(everywhere)
+    assert len(want) >= 3
+    assert places(align.align(reads, ref, index.kmer_index(ref, 16), o)) == want
+
+
+def test_equal_candidates_are_aligned_once():
+    from seqloom.operators.kernels import _once
+
+    seen = []
+
+    def run(a, b):
+        seen.extend(zip(a, b, strict=True))
+        return [x + str(y) for x, y in zip(a, b, strict=True)]
+
+    assert _once(run, ["x", "y", "x", "x"], [1, 1, 1, None]) == ["x1", "y1", "x1", "xNone"]
+    assert seen == [("x", 1), ("y", 1), ("x", None)]
+    assert _once(run, [], []) == []
