@@ -25,7 +25,7 @@ the others in such a family, those over a fifth of whose shingles no other of it
 
 A tree of any size is cut into branches of at most BRANCH sets by a range sort, each a task's bounded
 piece; pairs of branches of one tree are dropped by the same rules before their sets meet, and a pair of
-sets that several trees of many branches have leaves the first of them only.
+sets that several trees have leaves the first of them only, if that is one of the first few trees of both.
 """
 
 from __future__ import annotations
@@ -53,6 +53,8 @@ SMALL = 256
 FAMILY = 256
 #: A shingle that more sets have in front is common; how many of them (the most common ones) are moved back at most, as the list is broadcast (8 bytes each). Those that stay in front make large trees.
 COMMON_SETS, MAX_COMMON = 100_000, 100_000
+#: Of the trees of a set, in the order of their keys, how many (the first ones) tell in later trees that a pair was met before.
+FIRST_TREES = 8
 #: Rows in an Arrow batch of whole texts; pairs of nodes that are compared at a time.
 BATCH_ROWS, PAIRS_AT_A_TIME = 500, 1 << 14
 
@@ -218,34 +220,46 @@ def pairs_between(one: list[np.ndarray], two: list[np.ndarray] | None = None) ->
                 yield one[0][at[a]], two_branch[0][at_b[b]]
 
 
-_PLACED = ["key", "branch", "rep", "root", "n_shingles", "bits", "other"]
+_PLACED = ["key", "branch", "rep", "root", "n_shingles", "bits", "other", "earlier"]
+
+
+
+def _first_met(pairs: tuple[np.ndarray, np.ndarray], row: dict[int, int], earlier: list) -> tuple[np.ndarray, np.ndarray]:
+    """pairs (rep, rep) less those that a tree before this one has as well: they are found there. row: the place of each set in earlier, its trees before this one (all or some of them)."""
+    at_a, at_b = (map(row.__getitem__, x.tolist()) for x in pairs)
+    first = np.fromiter((earlier[i].isdisjoint(earlier[j]) for i, j in zip(at_a, at_b, strict=True)), bool, len(pairs[0]))
+    return pairs[0][first], pairs[1][first]
 
 
 def _candidates(rows: pa.Table) -> pa.Table:
-    """Candidates of the branches in rows (_PLACED): within each branch, or, of two branches of one tree, between them."""
+    """Candidates of the branches in rows (_PLACED): within each branch, or, of two branches of one tree, between them. A pair that several trees have comes from the first of them, as far as earlier tells."""
     rows = rows.sort_by([("key", "ascending"), ("branch", "ascending"), ("other", "ascending"), ("n_shingles", "ascending"), ("rep", "ascending")])
     key, branch, rep, root, size = (rows[c].to_numpy() for c in _PLACED[:5])
     bits = np.array(rows["bits"].to_pylist(), object)
     starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (branch[1:] != branch[:-1])])) if len(key) else np.empty(0, np.int64)
-    pieces = [[x[i:j] for x in (rep, root, size, bits)] for i, j in zip(starts, [*starts[1:], len(key)], strict=False)]
-    found = []
+    ends = [*starts[1:], len(key)]
+    pieces = [[x[i:j] for x in (rep, root, size, bits)] for i, j in zip(starts, ends, strict=False)]
     if len(pieces) == 2 and key[0] == key[-1]:
-        found = list(pairs_between(*pieces))
+        groups = [(0, len(key), pairs_between(*pieces))]
     else:
-        for piece in pieces:
-            found += pairs_between(piece)
+        groups = [(i, j, pairs_between(piece)) for i, j, piece in zip(starts, ends, pieces, strict=False)]
+    found = []
+    for i, j, pairs in groups:
+        row = earlier = None
+        for pair in pairs:
+            if row is None:
+                row = {r: n for n, r in enumerate(rep[i:j].tolist())}
+                earlier = list(map(frozenset, rows["earlier"].slice(i, j - i).to_pylist()))
+            found.append(_first_met(pair, row, earlier))
     a, b = (np.concatenate([np.empty(0, np.int64), *(x[k] for x in found)]) for k in (0, 1))
     return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
 def _across(rows: pa.Table) -> pa.Table:
-    """Candidates between two branches of a tree, rows (_PLACED and before: the large trees of the set that precede this one). A pair that a tree before has as well is found there."""
+    """Candidates between two branches of a tree, in rows (_PLACED); earlier also holds all large trees of the set that precede this one."""
     if len(rows["branch"].unique()) < 2:
         rows = rows.slice(0, 0)
-    pairs = _candidates(rows.select(_PLACED))
-    before = {rep: frozenset(trees) for rep, trees in zip(rows["rep"].to_pylist(), rows["before"].to_pylist(), strict=True)}
-    first = [before[a].isdisjoint(before[b]) for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True)]
-    return pairs.filter(pa.array(first, pa.bool_()))
+    return _candidates(rows.select(_PLACED))
 
 
 def _branch_nodes(rows: pa.Table) -> pa.Table:
@@ -440,11 +454,15 @@ def _jaccard_classes(docs: DataFrame) -> DataFrame:
     placed = materialize(placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "placed")
     # sets get their bitmaps when their branch is known, so that these are moved once
     placed = materialize(_numbered(placed).withColumn("branch", F.floor(F.col("at") / BRANCH)).drop("at"), "branches")
-    inside = placed.join(bits, "rep").select(*_PLACED).groupBy("branch").applyInArrow(_candidates, "a long, b long")
+    # a pair leaves the first tree it is in only: what the first few trees of both sets tell is enough for nearly all
+    firsts = materialize(placed.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list("key")), 1, FIRST_TREES).alias("firsts")), "first-trees")
+    told = F.filter("firsts", lambda tree: tree < F.col("key"))
+    sets = placed.join(bits, "rep").join(firsts, "rep").withColumn("earlier", told)
+    inside = sets.select(*_PLACED).groupBy("branch").applyInArrow(_candidates, "a long, b long")
 
     # trees of several branches
     spans = placed.groupBy("key").agg(F.min("branch").alias("low"), F.max("branch").alias("high")).where("low < high").select("key")
-    large = materialize(placed.join(spans, "key").join(bits, "rep").select(*_PLACED), "large-trees")
+    large = materialize(sets.join(spans, "key").select(*_PLACED), "large-trees")
     nodes = large.groupBy("branch").applyInArrow(_branch_nodes, "key long, branch long, least long, most long, excess long, root long, bits binary")
     nodes = materialize(nodes, "branch-nodes")
     x, y = (nodes.select("key", F.struct(*nodes.columns[1:]).alias(side)) for side in "xy")
@@ -455,8 +473,8 @@ def _jaccard_classes(docs: DataFrame) -> DataFrame:
     # a set goes to the tasks in which the branch beside its own has another component and a size near enough
     meets = f"root <> root_beside and 100 * most >= {THRESHOLD} * n_shingles and 100 * n_shingles >= {THRESHOLD} * least"
     trees = large.groupBy("rep").agg(F.collect_list("key").alias("trees"))
-    met = large.join(sides, ["key", "branch"]).where(meets).join(trees, "rep").withColumn("before", F.filter("trees", lambda tree: tree < F.col("key")))
-    across = met.select("task", *_PLACED, "before").groupBy("task").applyInArrow(_across, "a long, b long")
+    met = large.join(sides, ["key", "branch"]).where(meets).join(trees, "rep").withColumn("earlier", F.array_union("earlier", F.filter("trees", lambda tree: tree < F.col("key"))))
+    across = met.select("task", *_PLACED).groupBy("task").applyInArrow(_across, "a long, b long")
 
     found = materialize(inside.unionAll(across).distinct(), "candidates")
     links = materialize(links.unionAll(links_of(overlaps(found, _texts(docs, classes, found)))), "links")

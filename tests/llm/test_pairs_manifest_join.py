@@ -6,6 +6,8 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import sentencepiece
 from cases import documents, edited, prose, rows, shaped
@@ -325,3 +327,20 @@ def test_front_of_sets():
         want = sorted(map(int, found), key=lambda x: (x in rank, rank.get(x, x)))[:need]
         assert list(map(int, jaccard_tree.front_of(found, common))) == want
         assert list(map(int, jaccard_tree.front_of(found))) == sorted(map(int, found))[:need]
+
+
+def test_a_pair_of_several_trees_leaves_the_first_one_only():
+    hashes = WordHashes()
+    sets = [shingle_set(words_of(edited(prose(1, 80), k, 0.01)), hashes) for k in range(4)]
+    rows = [
+        {"key": key, "branch": branch, "rep": k, "root": k, "n_shingles": len(s), "bits": jaccard_tree.bitmap(s).tobytes(), "other": True, "earlier": [t for t in (5, 6, 7) if t < key]}
+        for key, branch in ((5, 0), (6, 0), (7, 1))
+        for k, s in enumerate(sets)
+    ]
+    table = pa.Table.from_pylist(rows)
+    whole = [p for b in (0, 1) for p in jaccard_tree._candidates(table.filter(pc.equal(table["branch"], b))).to_pylist()]
+    pairs = {(p["a"], p["b"]) for p in whole}
+    assert pairs and len(pairs) == len(whole)
+    # without what comes before, each tree gives its own
+    alone = [r | {"earlier": []} for r in rows]
+    assert len(jaccard_tree._candidates(pa.Table.from_pylist(alone[:8])).to_pylist()) == 2 * len(pairs)
