@@ -498,3 +498,17 @@ def test_equal_candidates_are_aligned_once():
     assert _once(run, ["x", "y", "x", "x"], [1, 1, 1, None]) == ["x1", "y1", "x1", "xNone"]
     assert seen == [("x", 1), ("y", 1), ("x", None)]
     assert _once(run, [], []) == []
+
+
+def test_containment_does_not_grow_with_pairs(spark):
+    rng = random.Random(11)
+    left = [(k, rng.choice([1, 2, None]), x := rng.choice([None, *range(60)]), None if x is None else x + rng.randrange(-2, 9)) for k in range(150)]
+    right = [(rng.choice([1, 2, None]), x := rng.choice([None, *range(60)]), None if x is None else x + rng.randrange(-2, 14)) for _ in range(60)]
+    l, r = spark.createDataFrame(left, "a long, c long, l_start long, l_end long"), spark.createDataFrame(right, "c long, r_start long, r_end long")
+    want = sorted((a,) for a, c, s, e in left if None not in (c, s) and any(c == d and None not in (x, y) and x <= s and e <= y for d, x, y in right))
+    got = intervals.contained(l, r, ["c"])
+    assert got.columns == l.columns and told(got, "a") == want
+    # ten thousand rows in ten thousand intervals: no step makes rows of pairs
+    many = spark.range(10_000).select("id", F.lit(1).alias("c"), F.lit(5).alias("l_start"), F.lit(6).alias("l_end"))
+    wide = spark.range(10_000).select(F.lit(1).alias("c"), F.lit(0).alias("r_start"), F.lit(9).alias("r_end"))
+    assert intervals.contained(many, wide, ["c"]).count() == 10_000
