@@ -156,3 +156,14 @@ def test_order_of_files(spark, tmp_path):
     put(tmp_path / "fasta", "b.fa", ">y\n" + "G" * 40 + "\n")
     w = reads.sampled_windows(reads.fasta_records(spark, str(tmp_path / "fasta")), 4, 2)
     assert told(w, "rdid", "name")[:3] == [(0, "x_1"), (1, "x_3"), (2, "y_1")]
+
+
+def test_routed_in_one_pass(spark):
+    """All kinds come of one join, so that a kind's rows do not lie in the few tasks of a join of its own."""
+    from seqloom.plans import queries_io
+
+    alns = spark.createDataFrame([(0, 4, "UU"), (1, 0, "UU"), (2, 83, "CP"), (3, 65, "DP"), (1, 256, "UU")], "rdid long, flag int, yt string")
+    rows = sinks.routed(spark.range(5).withColumnRenamed("id", "rdid"), alns)
+    assert {r.rdid: r.kinds for r in rows.collect()} == {0: ["un"], 1: ["al"], 2: ["al_conc", "al_conc_disc"], 3: ["un_conc", "al_conc_disc"], 4: ["un"]}
+    plan = queries_io.routed_reads(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
