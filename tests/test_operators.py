@@ -512,3 +512,17 @@ def test_containment_does_not_grow_with_pairs(spark):
     many = spark.range(10_000).select("id", F.lit(1).alias("c"), F.lit(5).alias("l_start"), F.lit(6).alias("l_end"))
     wide = spark.range(10_000).select(F.lit(1).alias("c"), F.lit(0).alias("r_start"), F.lit(9).alias("r_end"))
     assert intervals.contained(many, wide, ["c"]).count() == 10_000
+
+
+def test_exons_are_sorted_once(spark):
+    rows = [("a", "c", 10, 20, "+"), ("a", "c", 24, 30, "+"), ("a", "c", 12, 15, "+"), ("a", "c", 50, 60, "+"), ("a", "c", 64, 63, "+"), ("b", "d", 1, 2, "-"), ("b", "d", 90, 95, "-")]
+    ex = spark.createDataFrame(rows, "transcript_id string, chrom string, left long, right long, strand string")
+    merged = annotation.merged_transcript_exons(ex)
+    sites = annotation.splice_sites(ex)
+    for df in (merged, sites):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    # the exon at 24 starts 9 past the end of the one before it in order, which ends at 15
+    assert sorted(map(tuple, merged.select("transcript_id", "left", "right", "chrom", "strand").collect())) == [
+        ("a", 10, 15, "c", "+"), ("a", 24, 30, "c", "+"), ("a", 50, 63, "c", "+"), ("b", 1, 2, "d", "-"), ("b", 90, 95, "d", "-")
+    ]
+    assert sorted(map(tuple, sites.collect())) == [("c", 14, 23, "+"), ("c", 29, 49, "+"), ("d", 1, 89, "-")]
