@@ -75,3 +75,35 @@ def test_names_are_aligned_once(spark, monkeypatch):
     names = spark.read.parquet("/root/testdata/sf0.01/part.parquet").select("p_name").distinct().count()
     pairs = QUERIES["dp_edit_distance"](spark, "/root/testdata/sf0.01").count()
     assert 0 < asked[0] <= names**2 < pairs
+
+
+def of_bases(tmp_path, spark, docs):
+    """A folder of documents (doc_id, bases), which are letters that stand for their bases."""
+    letters = str.maketrans("ACGT", "abcd")
+    spark.createDataFrame([(k, x.translate(letters)) for k, x in docs], "doc_id long, text string").toPandas().to_parquet(tmp_path / "documents.parquet")
+    return str(tmp_path)
+
+
+def asked(folder, name):
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{folder}/documents.parquet'")
+    return c.sql(SQL[name])
+
+
+def periodic(unit, before, after, at=100):
+    """At least 600 bases: a stretch of copies of unit from before to after the sixty bases at a place, among others."""
+    import random
+
+    some = random.Random(1)
+    x = lambda n: "".join(some.choice("ACGT") for _ in range(n))
+    return x(at - before) + (unit * 120)[: before + 60 + after] + x(600)
+
+
+@pytest.mark.parametrize("name", ["local_alignments"])
+def test_every_place_of_a_read_in_a_repeat(spark, tmp_path, name):
+    """Reads in stretches of a short unit align as well or better some bases beside their own place, which counts all the same."""
+    docs = [(k, periodic(unit, before, after)) for k, (unit, before, after) in enumerate((u, b, a) for u in ("A", "AG", "TTA", "TGAC", "AAAAC", "TTGAAC") for b in (0, 7, 13, 28) for a in (0, 1, 13, 24))]
+    folder = of_bases(tmp_path, spark, docs)
+    same(QUERIES[name](spark, folder), asked(folder, name))
