@@ -101,7 +101,7 @@ def periodic(unit, before, after, at=100):
     return x(at - before) + (unit * 120)[: before + 60 + after] + x(600)
 
 
-@pytest.mark.parametrize("name", ["local_alignments"])
+@pytest.mark.parametrize("name", ["soft_clips", "local_alignments"])
 def test_every_place_of_a_read_in_a_repeat(spark, tmp_path, name):
     """Reads in stretches of a short unit align as well or better some bases beside their own place, which counts all the same."""
     docs = [(k, periodic(unit, before, after)) for k, (unit, before, after) in enumerate((u, b, a) for u in ("A", "AG", "TTA", "TGAC", "AAAAC", "TTGAAC") for b in (0, 7, 13, 28) for a in (0, 1, 13, 24))]
