@@ -123,3 +123,31 @@ def test_sites_tell_which_copy_of_an_exon_counts(spark, tmp_path):
     want = asked(folder, "spliced_reads")
     assert want.fetchall()
     same(QUERIES["spliced_reads"](spark, folder), want)
+
+
+def test_variants_of_a_place_that_looks_like_its_neighbour(spark, tmp_path):
+    """A read whose variants make it equal to the bases ten places on still aligns at its own place, where its variants cost nothing."""
+    import random
+
+    some = random.Random(3)
+    x = lambda n: "".join(some.choice("ACGT") for _ in range(n))
+    docs = [(8 * k + 7, x(100) + "".join(b + unit for b in "AACCAACC") + x(500)) for k, unit in enumerate(x(9) for _ in range(12))]
+    folder = of_bases(tmp_path, spark, docs)
+    same(QUERIES["variant_reads"](spark, folder), asked(folder, "variant_reads"))
+
+
+def test_redundant_ranges_are_told_without_their_pairs(spark):
+    """Ranges inside one another, equal ones and ones of one start, against all pairs; no join of the plan compares two places."""
+    import random
+
+    from seqloom.operators import repeats
+
+    some = random.Random(5)
+    rows = [(k, k % 3, s, s + some.choice((0, 3, 3, 7, 20))) for k in range(400) for s in (some.randrange(60),)] + [(900, None, 1, 2), (901, 1, None, 2)]
+    df = spark.createDataFrame(rows, "id long, chrom_id long, start long, end long")
+    told = [r for r in rows if None not in r]
+    want = {a[0] for a in told for b in told if a[1] == b[1] and a[0] != b[0] and b[2] <= a[2] and a[3] <= b[3] and (a[2:] != b[2:] or b[0] < a[0])}
+    got = repeats.redundant(df)
+    assert sorted(r.id for r in got.collect()) == sorted(want)
+    joined = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert joined and not any(" >= " in x or " <= " in x for x in joined)
