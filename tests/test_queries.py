@@ -151,3 +151,21 @@ def test_redundant_ranges_are_told_without_their_pairs(spark):
     assert sorted(r.id for r in got.collect()) == sorted(want)
     joined = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
     assert joined and not any(" >= " in x or " <= " in x for x in joined)
+
+
+@pytest.mark.parametrize("name", ["repeat_overlaps", "name_distance", "haplotypes_over"])
+def test_pairs_are_dealt_to_tasks(spark, name):
+    """Joins whose few rows make many pairs keep their tasks, which AQE would put together by the size of the rows."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") >= 2 or plan.count("Repartition") >= 2
+
+
+def test_narrow_bins_of_repeats(spark, monkeypatch):
+    """Places of repeats of one chromosome are not all compared with one another."""
+    from seqloom.operators import intervals, repeats
+
+    seen, real = [], intervals.overlap_join
+    monkeypatch.setattr(repeats, "overlap_join", lambda x, y, keys, width=16384, *a, **k: seen.append(width) or real(x, y, keys, width, *a, **k))
+    rows = [(k, 0, 60 * k, 60 * k + 30) for k in range(50)] + [(100, 0, 0, 500)]
+    got = repeats.overlaps(spark.createDataFrame(rows, "id long, chrom_id long, start long, end long")).collect()
+    assert seen[0] <= 128 and {(r.a, r.b, r.kind) for r in got} == {(k, 100, "inside" if 60 * k + 30 <= 500 else "overlap") for k in range(9)}
