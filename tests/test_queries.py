@@ -169,3 +169,15 @@ def test_narrow_bins_of_repeats(spark, monkeypatch):
     rows = [(k, 0, 60 * k, 60 * k + 30) for k in range(50)] + [(100, 0, 0, 500)]
     got = repeats.overlaps(spark.createDataFrame(rows, "id long, chrom_id long, start long, end long")).collect()
     assert seen[0] <= 128 and {(r.a, r.b, r.kind) for r in got} == {(k, 100, "inside" if 60 * k + 30 <= 500 else "overlap") for k in range(9)}
+
+
+def test_missing_names_and_equal_keys(spark, tmp_path):
+    """name_distance on parts without a name, a brand or a key, and with a key twice."""
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql(f"copy (select * from (values (1, 'a', 'x', 1), (2, NULL, 'x', 1), (3, NULL, 'x', 1), (3, 'ab', 'x', 1), (4, 'a', 'x', 1), (4, 'b', NULL, 1), (NULL, 'a', 'x', 1), (5, 'a', NULL, 1)) v(p_partkey, p_name, p_brand, p_size)) to '{tmp_path}/part.parquet' (format parquet)")
+    c.sql(f"create view part as select * from '{tmp_path}/part.parquet'")
+    got = QUERIES["name_distance"](spark, str(tmp_path))
+    same(got, c.sql(SQL["name_distance"]))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("collect_list") >= 2
