@@ -181,3 +181,9 @@ def test_missing_names_and_equal_keys(spark, tmp_path):
     got = QUERIES["name_distance"](spark, str(tmp_path))
     same(got, c.sql(SQL["name_distance"]))
     assert got._jdf.queryExecution().optimizedPlan().toString().count("collect_list") >= 2
+
+
+def test_kmers_are_moved_once(spark):
+    """repeat_kmers counts documents and places of a k-mer where its rows lie: one shuffle by k-mer, and none by document."""
+    plan = QUERIES["repeat_kmers"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
